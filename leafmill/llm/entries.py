@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash_dedup
+from . import decontaminate, mixing, quality_rules, simhash_dedup, token_output
 
 
 def queries() -> dict:
     found = [
         decontaminate.op3_benchmark_decontamination,
+        quality_rules.op4_quality_rules,
+        mixing.op5_source_mixing,
+        token_output.op7_token_output,
         simhash_dedup.op9_simhash_near_dedup,
     ]
     return {f.__name__: f for f in found}
