@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality_rules, simhash_dedup, token_output
+from . import decontaminate, language_id, lm_scoring, mixing, quality_rules, simhash_dedup, token_output
 
 
 def queries() -> dict:
     found = [
+        lm_scoring.op1_lm_scoring,
         decontaminate.op3_benchmark_decontamination,
         quality_rules.op4_quality_rules,
         mixing.op5_source_mixing,
+        language_id.op6_language_id,
         token_output.op7_token_output,
         simhash_dedup.op9_simhash_near_dedup,
     ]
