@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, lm_scoring, mixing, quality_rules, simhash_dedup, token_output
+from . import decontaminate, language_id, lm_scoring, mixing, quality_rules, simhash_dedup, substring_dedup, token_output
 
 
 def queries() -> dict:
@@ -14,9 +14,10 @@ def queries() -> dict:
         language_id.op6_language_id,
         token_output.op7_token_output,
         simhash_dedup.op9_simhash_near_dedup,
+        substring_dedup.op10_substring_dedup,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**decontaminate.ORACLE}
+    return {**decontaminate.ORACLE, **substring_dedup.ORACLE}
