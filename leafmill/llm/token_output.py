@@ -17,7 +17,7 @@ import json
 import os
 import re
 import struct
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,7 @@ BLOCK_TOKENS = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
 SAMPLE = 64
 #: Chunks whose ids a worker remembers.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 _HEAD = struct.Struct("<4sBBBBIII")
 
 
@@ -125,29 +125,31 @@ class Encoder:
         self.safe = re.compile(r"(?<=\S) (?=\S)")
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.width == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[bytes | None] = [None] * len(texts)
-        whole, parts = [], {}
+        whole, parts, found, new = [], {}, {}, set()
+        get, odd = self.known.get, self.odd.search
         for i, t in enumerate(texts):
             if not self.chunked or any(s in t for s in self.special):
                 whole.append(i)
-            else:
-                parts[i] = self.safe.split(t) if self.odd.search(t) else t.split(" ")
+                continue
+            p = parts[i] = self.safe.split(t) if odd(t) else t.split(" ")
+            found[i] = f = list(map(get, p))
+            if None in f:
+                new.update([c for c, x in zip(p, f, strict=True) if x is None])
+        new = list(new)
+        fresh = dict(zip(new, self._raw([" " + c for c in new]), strict=True))
+        if len(self.known) < CACHE_CHUNKS:
+            self.known.update(fresh)
         for i, got in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = got
-        firsts = self._raw([p[0] for p in parts.values()])
-        for (i, p), first in zip(parts.items(), firsts, strict=True):
-            known = self.known
-            new = list({c for c in p[1:] if c not in known})
-            if new:
-                got = dict(zip(new, self._raw([" " + c for c in new]), strict=True))
-                if len(known) + len(got) > CACHE_CHUNKS:  # full: these are used once
-                    known = {**got, **{c: known[c] for c in p[1:] if c in known}}
-                else:
-                    known.update(got)
-            out[i] = first + b"".join([known[c] for c in p[1:]])
+        for (i, p), first in zip(parts.items(), self._raw([p[0] for p in parts.values()]), strict=True):
+            f = found[i]
+            f[0] = first
+            out[i] = b"".join([fresh[c] if x is None else x for c, x in zip(p, f, strict=True)] if None in f else f)
         return [np.frombuffer(x, self.kind) for x in out]
 
 
