@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, write_out
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -75,7 +75,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     they are dealt to partitions.  No rows give no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    sized = sizes(docs, id_col, text_col, source_col).withColumn("block", F.pmod(_hash(seed, "id"), F.lit(blocks)).cast("int"))
+    sized = write_out(sizes(docs, id_col, text_col, source_col), "sizes").withColumn("block", F.pmod(_hash(seed, "id"), F.lit(blocks)).cast("int"))
     goal = targets(sized, weights, share, most).withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("int")).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size"))
     same = F.col("s.source").eqNullSafe(F.col("g.source"))
     summed = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
