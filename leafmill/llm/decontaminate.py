@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read
 
@@ -101,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows are judged one by one; an empty benchmark finds nothing.  Further columns are not read.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(k, t) for k, t in (("text", T.BinaryType()), ("n_words", T.LongType()), ("hits", T.BinaryType()), ("items", T.ArrayType(T.StringType())))]])
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
 
     def one_pass(tables):
@@ -125,7 +126,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     for rows in [*_blocks(benchmark, item_col, item_text_col, block_words)] or [[]]:
         tables = spark.sparkContext.broadcast(searchers(rows, window))
-        out = out.mapInArrow(one_pass(tables), f"id {kind}, text binary, n_words long, hits binary, items array<string>")
+        out = out.mapInArrow(one_pass(tables), schema)
     return out
 
 
@@ -135,6 +136,12 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", n_hit.cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without the contaminated rows; takes contamination()'s options."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(options.pop("text_col", "text")).alias("text"))
+    return judged(contamination(whole, benchmark, id_col="row", **options)).where("not contaminated").select("id.*")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return judged(found).select(

@@ -70,8 +70,8 @@ def _hash(*parts: Column | str | int) -> Column:
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(id, source, size, source_size, target, shards) per row of docs; shards lists the output shard of each copy taken.
 
-    Null and wordless texts have size 0; they are taken with their block and add no words.  Rows that repeat an id are
-    dealt to one block and are taken alike, except where the block is cut.  The same rows give the same plan, however
+    Null and wordless texts have size 0; they are taken with their block and add no words.  Rows that repeat an id,
+    source and size are taken alike.  The same rows give the same plan, however
     they are dealt to partitions.  No rows give no rows; other columns are not read.
     """
     spark = docs.sparkSession
@@ -102,7 +102,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     per_block = placed.alias("s").join(lists.alias("g"), same & (F.col("s.block") == F.col("g.block")), "left").select("s.source", "s.block", "source_size", "target", "rest", "before", "cut", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
     rows = sized.alias("s").join(per_block.alias("g"), same & (F.col("s.block") == F.col("g.block"))).select("s.*", "source_size", "target", "rest", "before", "cut", "shards")
     whole = rows.where("not cut").select("id", "source", "size", "source_size", "target", "shards")
-    inner = Window.partitionBy("source", "block").orderBy(_hash(seed + 3, "id"), "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source", "block").orderBy(_hash(seed + 3, "id", "size")).rangeBetween(Window.unboundedPreceding, 0)
     singly = (
         rows.where("cut")
         .withColumn("middle", F.col("before") + F.sum("size").over(inner) - F.col("size") / 2)
@@ -113,18 +113,11 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
-    """docs' rows as often as the plan takes them, with mix_shard; shards are whole partitions in their shuffled order.
-
-    Rows that repeat an id together share that id's copies row by row.
-    """
-    planned = plan(docs, id_col, text_col, source_col, seed=seed, **options)
-    one = Window.partitionBy("id", "size").orderBy(F.size("shards").desc())
-    planned = planned.withColumn("nth", F.row_number().over(one)).select(F.col("id").alias("mix_id"), F.col("size").alias("mix_size"), "nth", "shards")
-    sized = docs.withColumn("mix_size_of", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
-    same = Window.partitionBy(id_col, "mix_size_of").orderBy(F.xxhash64(text_col))
-    rows = sized.withColumn("mix_nth", F.row_number().over(same))
-    joined = rows.join(planned, rows[id_col].eqNullSafe(planned["mix_id"]) & (rows["mix_size_of"] == planned["mix_size"]) & (rows["mix_nth"] == planned["nth"]))
-    out = joined.select(*[joined[c] for c in docs.columns], F.posexplode("shards").alias("mix_copy", "mix_shard"))
+    """docs' rows as often as the plan takes them, with mix_shard; shards are whole partitions in their shuffled order."""
+    planned = plan(docs, id_col, text_col, source_col, seed=seed, **options).select(F.col("id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "shards").dropDuplicates(["mix_id", "mix_source", "mix_size"])
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    joined = docs.withColumn("_size", size).join(planned, F.col(id_col).eqNullSafe(F.col("mix_id")) & F.col(source_col).eqNullSafe(F.col("mix_source")) & (F.col("_size") == F.col("mix_size")))
+    out = joined.select(*[F.col(c) for c in docs.columns], F.posexplode("shards").alias("mix_copy", "mix_shard"))
     return out.repartition("mix_shard").sortWithinPartitions("mix_shard", _hash(seed + 4, id_col, "mix_copy")).drop("mix_copy")
 
 
