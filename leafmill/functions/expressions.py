@@ -34,6 +34,11 @@ _BINARY = {ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: l
 _COMPARE = {ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b, ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b}
 
 
+def as_text(value: Column) -> Column:
+    """A value as a script prints it: whole numbers without a fraction."""
+    return F.regexp_replace(value.cast("string"), r"^(-?\d+)\.0$", "$1")
+
+
 def _pythonic(script: str) -> str:
     script = script.strip().rstrip(";")
     if re.search(r"\b(var|let|const|function|return|for|while|new|await|=>)\b|=>|(?<![=!<>])=(?!=)", re.sub(r"'[^']*'|\"[^\"]*\"", "", script)):
@@ -41,7 +46,7 @@ def _pythonic(script: str) -> str:
     script = re.sub(r"===", "==", re.sub(r"!==", "!=", script)).replace("&&", " and ").replace("||", " or ")
     script = re.sub(r"!(?!=)", " not ", script)
     m = re.match(r"^([^?'\"]+)\?(.+):([^:]+)$", script)
-    return f"({m[2]}) if ({m[1]}) else ({m[3]})" if m else script
+    return f"({m[2].strip()}) if ({m[1].strip()}) else ({m[3].strip()})" if m else script.strip()
 
 
 def compile_expression(script: str, names: dict[str, Column]) -> Column:
@@ -67,7 +72,7 @@ def _column(node: ast.AST, names: dict[str, Column]) -> tuple[Column, bool]:
         (a, text_a), (b, text_b) = _column(node.left, names), _column(node.right, names)
         if isinstance(node.op, ast.Add):
             if text_a or text_b:
-                return F.concat(a.cast("string"), b.cast("string")), True
+                return F.concat(as_text(a), as_text(b)), True
             return a + b, False
         if type(node.op) in _BINARY:
             num = lambda x, t: x.try_cast("double") if t else x
@@ -109,4 +114,4 @@ def fill(template: str, names: dict[str, Column]) -> Column:
     """A text with {{expression}} places filled in; <js> blocks of one expression too."""
     template = re.sub(r"<js>(.*?)</js>", lambda m: "{{" + m[1] + "}}", template, flags=re.S)
     pieces = re.split(r"\{\{(.+?)\}\}", template, flags=re.S)
-    return F.concat(*[compile_expression(x, names).cast("string") if k % 2 else F.lit(x) for k, x in enumerate(pieces)])
+    return F.concat(*[as_text(compile_expression(x, names)) if k % 2 else F.lit(x) for k, x in enumerate(pieces)])

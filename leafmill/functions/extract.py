@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,10 @@ from leafmill.functions import dom, json_paths, lists, regexes
 from leafmill.plans import rules as R
 
 
+def _replaced(rule: R.Rule, x: Column) -> Column:
+    return regexes.replace_chain(x, list(rule.replaces))
+
+
 def _one(root: dom.Node, mode: str, part: str) -> list[str]:
     if mode == "xpath":
         return dom.xpath(root, part)
@@ -70,7 +75,7 @@ def extract(df: DataFrame, body: str, wanted: dict[str, str], as_list: bool = Fa
             got = lists.combine(cols, list(r.ops) if r.mode != "regex" else [], "css" if r.mode == "default" else r.mode, list(r.parts))
         got = F.coalesce(got, lists.EMPTY())
         if r.replaces:
-            got = F.filter(F.transform(got, lambda x, r=r: regexes.replace_chain(x, list(r.replaces))), lambda x: x != "")
+            got = F.filter(F.transform(got, partial(_replaced, r)), lambda x: x != "")
         out[k] = got if as_list else lists.first(got)
     return df.withColumns(out).drop("_dom")
 

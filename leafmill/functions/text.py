@@ -186,12 +186,16 @@ def title_rule(line: Column, rules: list[tuple] = TITLE_RULES, suspicious: tuple
     from .regexes import n_groups
 
     def one(name: str, pattern: str, priority: int) -> Column:
-        last = F.regexp_replace(F.regexp_extract(line, pattern, min(2, n_groups(pattern))), r"^\s+|\s+$", "")
-        title = last if n_groups(pattern) < 2 else F.when(last != "", last).otherwise(F.trim(F.regexp_extract(line, pattern, 1)))
-        odd = reduce(lambda a, b: a | b, [F.lower(title).contains(w) for w in suspicious], (F.octet_length(title) < 2) | (F.octet_length(title) > 50) | title.rlike(r"^[+-]?\d+$"))
-        return F.when(line.rlike(pattern) & (title != "") & ~odd, F.struct(title.alias("title"), F.lit(name).alias("rule"), F.lit(priority).alias("priority")))
+        last = F.trim(F.regexp_extract(line, pattern, min(2, n_groups(pattern))))
+        title = last if n_groups(pattern) < 2 else F.coalesce(F.nullif(last, F.lit("")), F.trim(F.regexp_extract(line, pattern, 1)))
+        return F.when(line.rlike(pattern), F.struct(title.alias("title"), F.lit(name).alias("rule"), F.lit(priority).alias("priority")))
 
-    return F.when(F.octet_length(line).between(shortest, longest), F.coalesce(*[one(*r) for r in rules]))
+    def good(c: Column) -> Column:
+        odd = reduce(lambda a, b: a | b, [F.lower(c["title"]).contains(w) for w in suspicious])
+        return c.isNotNull() & ~odd & F.octet_length(c["title"]).between(2, 50) & ~c["title"].rlike(r"^[+-]?\d+$")
+
+    found = F.get(F.filter(F.array(*[one(*r) for r in rules]), good), F.lit(0))
+    return F.when(F.octet_length(line).between(shortest, longest), found)
 
 
 def book_name(path: Column) -> Column:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from leafmill.plans import queries_extract, queries_tables, queries_text, registry  # noqa: F401
+
+
+def flagship(spark, sf_dir):
+    return queries_tables.nav_links(spark, sf_dir)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)

@@ -100,8 +100,11 @@ def search_stream(results: DataFrame, keys: list[str], most: int, path: str, che
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             out = 0
+        batch = batch.persist()  # the whole batch runs, so that every partition's state is committed
+        batch.count()
         if out < most:
             batch.limit(most - out).write.mode("append").parquet(path)
+        batch.unpersist()
 
     q = results.dropDuplicates(keys).writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
