@@ -58,8 +58,8 @@ def compile_expression(script: str, names: dict[str, Column]) -> Column:
     return _column(tree, names)[0]
 
 
-def _column(node: ast.AST, names: dict[str, Column]) -> tuple[Column, bool]:
-    """The column, and whether it is a text."""
+def _column(node: ast.AST, names: dict[str, Column]) -> tuple[Column, bool | None]:
+    """The column, and whether it is a text; None if only the data's type tells."""
     if isinstance(node, ast.Constant):
         return F.lit(node.value), isinstance(node.value, str)
     if isinstance(node, ast.Name):
@@ -67,15 +67,19 @@ def _column(node: ast.AST, names: dict[str, Column]) -> tuple[Column, bool]:
             return F.lit(node.id == "true"), False
         if node.id not in names:
             raise UnsupportedScript(f"unknown name {node.id}")
-        return names[node.id], True
+        return names[node.id], None
     if isinstance(node, ast.BinOp):
         (a, text_a), (b, text_b) = _column(node.left, names), _column(node.right, names)
         if isinstance(node.op, ast.Add):
+            joined = F.concat(as_text(a), as_text(b))
             if text_a or text_b:
-                return F.concat(as_text(a), as_text(b)), True
-            return a + b, False
+                return joined, True
+            if text_a is False and text_b is False:
+                return a + b, False
+            texts = (F.typeof(a) == "string") | (F.typeof(b) == "string")
+            return F.when(texts, joined).otherwise(as_text(a.try_cast("double") + b.try_cast("double"))), None
         if type(node.op) in _BINARY:
-            num = lambda x, t: x.try_cast("double") if t else x
+            num = lambda x, t: x if t is False else x.try_cast("double")
             return _BINARY[type(node.op)](num(a, text_a), num(b, text_b)), False
     if isinstance(node, ast.UnaryOp):
         x, _ = _column(node.operand, names)
