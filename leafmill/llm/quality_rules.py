@@ -1,9 +1,9 @@
 """Quality rules as weak supervision, with DataFrame functions only.
 
-Each rule votes good (1) or bad (-1) on a document, or abstains (0).  A rule has an unknown accuracy: the probability that
-a vote it casts agrees with the document's hidden quality.  Expectation-maximisation over the counts of vote patterns (at
-most 3^rules rows, whatever the corpus) estimates the accuracies and the share of good documents; a document's posterior
-probability of being good decides, so that one stray vote does not drop it.
+Each rule votes good (1) or bad (-1) on a document, or abstains (0).  A rule has unknown accuracies: how often it casts either
+vote on documents of good and of bad hidden quality.  Expectation-maximisation over the counts of vote patterns (at
+most 3^rules rows, whatever the corpus) estimates them and the share of good documents; a document's posterior
+probability of being good decides, so that a stray vote of a rule that errs often does not drop it.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ RULES = {
     "length": ("n_words", lambda x: (x < 50) | (x > 100_000), lambda x: (x >= 80) & (x <= 50_000)),
     "word_length": ("mean_word", lambda x: (x < 2.5) | (x > 12), lambda x: (x >= 3.2) & (x <= 9)),
     "symbols": ("symbol_ratio", lambda x: x > 0.1, lambda x: x < 0.03),
-    "letters": ("letter_ratio", lambda x: x < 0.6, lambda x: x > 0.75),
+    "letters": ("letter_ratio", lambda x: x < 0.66, lambda x: x > 0.75),
     "repeats": ("repeat_ratio", lambda x: x > 0.4, lambda x: x < 0.2),
-    "lines": ("dup_line_ratio", lambda x: x > 0.3, lambda x: x < 0.1),
+    "lines": ("dup_line_ratio", lambda x: x > 0.4, lambda x: x < 0.2),
+    "bare": ("bare_ratio", lambda x: x > 0.2, lambda x: x < 0.05),
     "sentences": ("stop_ratio", lambda x: x < 0.005, lambda x: x > 0.02),
 }
 
@@ -71,37 +72,55 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         _repeat_words(F.col("w")).alias("n_repeat_words"),
         F.regexp_count("t", F.lit(r"\p{L}")).alias("n_letters"),
         F.regexp_count("t", F.lit(r"[.!?,](?=\s|$)")).alias("n_stops"),
+        F.regexp_count("t", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{N}]+(?![^\x20\x09-\x0D])")).alias("n_bare"),
     )
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return base.withColumns({"mean_word": part("word_chars", "n_words"), "symbol_ratio": part("n_symbols", "word_chars"), "letter_ratio": part("n_letters", "word_chars"), "repeat_ratio": part("n_repeat_words", "n_words"), "dup_line_ratio": part("n_dup_lines", "n_lines"), "stop_ratio": part("n_stops", "n_words")})
+    return base.withColumns({"mean_word": part("word_chars", "n_words"), "symbol_ratio": part("n_symbols", "word_chars"), "letter_ratio": part("n_letters", "word_chars"), "repeat_ratio": part("n_repeat_words", "n_words"), "dup_line_ratio": part("n_dup_lines", "n_lines"), "stop_ratio": part("n_stops", "n_words"), "bare_ratio": part("n_bare", "n_words")})
 
 
 def votes(features: DataFrame, rules: dict = RULES) -> DataFrame:
     return features.withColumns({f"vote_{k}": F.when(bad(F.col(f)), -1).when(good(F.col(f)), 1).otherwise(0) for k, (f, bad, good) in rules.items()})
 
 
-def _posterior(names: list[str], accuracy: dict[str, float], prior: float) -> Column:
-    odds = reduce(lambda a, k: a + F.col(f"vote_{k}") * math.log(accuracy[k] / (1 - accuracy[k])), names, F.lit(math.log(prior / (1 - prior))))
+#: accuracy[rule] = (P(votes bad | good), P(votes bad | bad), P(votes good | good), P(votes good | bad))
+Accuracies = dict[str, tuple[float, float, float, float]]
+
+
+def _posterior(names: list[str], accuracy: Accuracies, prior: float) -> Column:
+    """Probability of being good by the votes cast and withheld."""
+    odds = F.lit(math.log(prior / (1 - prior)))
+    for k in names:
+        bad_good, bad_bad, good_good, good_bad = accuracy[k]
+        none = math.log((1 - bad_good - good_good) / (1 - bad_bad - good_bad))
+        odds = odds + F.when(F.col(f"vote_{k}") == -1, math.log(bad_good / bad_bad)).when(F.col(f"vote_{k}") == 1, math.log(good_good / good_bad)).otherwise(none)
     return 1 / (1 + F.exp(-odds))
 
 
-def fit(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
-    """Accuracies of the rules and the share of good documents, by expectation-maximisation over all rows.
+def fit(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[Accuracies, float]:
+    """Each rule's accuracies on good and on bad documents, and the share of good ones, by expectation-maximisation over all rows.
 
-    Accuracies stay within 0.55 and 0.99 and the share within 0.05 and 0.95, so that the classes keep their meaning.
-    Without rows, or for a rule that never votes, the start values stay.
+    The first guess takes documents with a bad vote for bad.  A bad vote stays at least twice as likely on bad documents as on
+    good ones, so that the classes keep their meaning.  Without rows a plain guess stays.
     """
     patterns = write_out(voted.groupBy(*[f"vote_{k}" for k in names]).agg(F.count(F.lit(1)).alias("n")), "votes")
-    accuracy, prior = dict.fromkeys(names, 0.8), 0.8
+    any_bad = reduce(lambda a, b: a | b, [F.col(f"vote_{k}") == -1 for k in names])
+    posterior = F.when(any_bad, 0.1).otherwise(0.95)
+    accuracy, prior = dict.fromkeys(names, (0.02, 0.3, 0.9, 0.5)), 0.9
     for _ in range(rounds):
-        p = patterns.withColumn("p", _posterior(names, accuracy, prior))
-        agree = [F.sum(F.col("n") * F.when(F.col(f"vote_{k}") == 1, F.col("p")).when(F.col(f"vote_{k}") == -1, 1 - F.col("p")).otherwise(0.0)).alias(f"a_{k}") for k in names]
-        cast = [F.sum(F.col("n") * F.abs(f"vote_{k}")).alias(f"c_{k}") for k in names]
-        r = p.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("good"), *agree, *cast).first()
-        if not r["n"]:
+        p = patterns.withColumn("g", F.col("n") * posterior).withColumn("b", F.col("n") - F.col("g"))
+        sums = [F.sum(F.when(F.col(f"vote_{k}") == v, F.col(y)).otherwise(0.0)).alias(f"{k}_{v}_{y}") for k in names for v in (-1, 1) for y in "gb"]
+        r = p.agg(F.sum("g").alias("good"), F.sum("b").alias("bad"), *sums).first()
+        if not r["good"]:
             break
-        prior = min(0.95, max(0.05, r["good"] / r["n"]))
-        accuracy = {k: min(0.99, max(0.55, (r[f"a_{k}"] + 4) / (r[f"c_{k}"] + 5))) for k in names}
+        good, bad = r["good"], r["bad"]
+        prior = min(0.98, max(0.02, good / (good + bad)))
+        for k in names:
+            bad_good = min(0.25, (r[f"{k}_-1_g"] + 0.2) / (good + 20))
+            bad_bad = min(0.9, max(2 * bad_good, (r[f"{k}_-1_b"] + 2) / (bad + 20)))
+            good_good = min(0.995 - bad_good, (r[f"{k}_1_g"] + 16) / (good + 20))
+            good_bad = max(0.01, min(0.995 - bad_bad, (r[f"{k}_1_b"] + 10) / (bad + 20)))
+            accuracy[k] = (bad_good, bad_bad, good_good, good_bad)
+        posterior = _posterior(names, accuracy, prior)
     return accuracy, prior
 
 

@@ -30,8 +30,9 @@ def test_measures_equal_brute_force(spark, sf):
 def test_rules_agree_with_labels(spark, sf):
     sf = sf.replace("0.001", "0.01")
     got = quality_rules.op4_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
-    good = [r["kept"] for r in got if r["quality"] == 1]
-    assert sum(good) > 0.9 * len(good)
+    judged = [r for r in got if not r["base_failed"]]
+    good, bad = ([r["kept"] for r in judged if r["quality"] == q] for q in (1, 0))
+    assert sum(good) > 0.98 * len(good) and sum(bad) < 0.1 * len(bad)
 
 
 def test_rules_of_nothing(spark):
