@@ -373,3 +373,19 @@ def content_text(node: Node) -> str:
 def images(node: Node) -> list[str]:
     found = (next((n.attrs[a] for a in IMAGE_ATTRS if n.attrs.get(a)), "") for n in [node, *node.walk()] if n.tag == "img")
     return list(dict.fromkeys(x for x in found if x))
+
+
+#: Tags that cleaned content keeps, fixed values.
+ALLOWED = frozenset("p br div span img h1 h2 h3 h4 h5 h6 ul ol li blockquote strong em b i".split())
+
+
+def whitelisted(node: Node, allowed: frozenset[str] = ALLOWED) -> str:
+    out = ""
+    for c in node.children:
+        if isinstance(c, str):
+            out += escape(c, quote=False)
+        elif c.tag not in ("script", "style", "noscript", "iframe"):
+            inner = whitelisted(c, allowed)
+            src = f' src="{escape(c.attrs["src"])}"' if c.tag == "img" and c.attrs.get("src") else ""
+            out += (f"<{c.tag}{src}>" + ("" if c.tag in VOID else f"{inner}</{c.tag}>")) if c.tag in allowed else inner
+    return out

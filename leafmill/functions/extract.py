@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions import dom, json_paths, lists, regexes
+from leafmill.functions import dom, expressions, json_paths, lists, regexes
 from leafmill.plans import rules as R
 
 
@@ -41,13 +42,19 @@ def dom_lists(body: Column, parts: list[tuple[str, str]]) -> Column:
     return F.arrow_udf(run, "struct<" + ", ".join(f"{n}: array<string>" for n in names) + ">")(body)
 
 
-def extract(df: DataFrame, body: str, wanted: dict[str, str], as_list: bool = False) -> DataFrame:
+def extract(df: DataFrame, body: str, wanted: dict[str, str], as_list: bool = False, first_only: bool = False) -> DataFrame:
     """df with a column per rule: its first value, or all of them.
 
     DOM parts of all rules share one UDF call; JSON, regex and list operators stay built-in expressions.  A null body gives
-    empty results.  Columns of the wanted names are replaced.
+    empty results.  Columns of the wanted names are replaced.  A rule @get:{a} takes the value that rule a (or @put:{a} in
+    front of a rule) has found, and a rule with {{expressions}} is filled in from the values found; first_only takes the first
+    part of a composite rule alone.
     """
-    parsed = {k: R.parse(r) for k, r in wanted.items()}
+    everything = {k: R.parse(r) for k, r in wanted.items()}
+    late = {k: r for k, r in everything.items() if r.expressions or (r.gets and not any(r.parts))}
+    parsed = {k: r for k, r in everything.items() if k not in late}
+    if first_only:
+        parsed = {k: replace(r, parts=r.parts[:1], ops=()) for k, r in parsed.items()}
     parts: list[tuple[str, str]] = []
     where: dict[tuple[str, str], int] = {}
     for r in parsed.values():
@@ -77,7 +84,13 @@ def extract(df: DataFrame, body: str, wanted: dict[str, str], as_list: bool = Fa
         if r.replaces:
             got = F.filter(F.transform(got, partial(_replaced, r)), lambda x: x != "")
         out[k] = got if as_list else lists.first(got)
-    return df.withColumns(out).drop("_dom")
+    df = df.withColumns(out).drop("_dom")
+    if late:
+        value = {k: lists.first(F.col(k)) if as_list else F.col(k) for k in parsed}
+        value |= {p: value[k] for k, r in parsed.items() for p in r.puts}
+        filled = {k: expressions.fill(r.raw, value) if r.expressions else F.concat(*[value[g] for g in r.gets]) for k, r in late.items()}
+        df = df.withColumns({k: F.array(c) if as_list else c for k, c in filled.items()})
+    return df
 
 
 def items(df: DataFrame, body: str, rule: str, out: str = "item", pos: str = "pos") -> DataFrame:
@@ -112,3 +125,13 @@ def content(df: DataFrame, body: str, selector: str) -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(pics, pa.list_(pa.string()))], names=["content", "images"])
 
     return df.withColumn("_c", F.arrow_udf(run, "struct<content: string, images: array<string>>")(F.col(body))).select("*", "_c.*").drop("_c")
+
+
+def whitelisted(df: DataFrame, body: str, out: str = "html_clean", allowed: frozenset[str] = dom.ALLOWED) -> DataFrame:
+    """df with the body's markup reduced to the allowed tags; scripts and styles go, other tags leave their content."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([dom.whitelisted(dom.parse(p.as_py() or ""), allowed) for p in b], pa.string())
+
+    return df.withColumn(out, F.arrow_udf(run, "string")(F.col(body)))

@@ -76,3 +76,19 @@ def flat(rows: Column, depth: int = 4) -> Column:
     for _ in range(depth):
         rows = F.flatten(F.transform(rows, lambda x: F.when(F.ltrim(x).startswith("["), F.coalesce(F.from_json(x, "array<string>"), F.array(x))).otherwise(F.array(x))))
     return rows
+
+
+#: Where list pages keep their rows and what they call a book's fields, fixed values.
+LIST_KEYS = ("list", "data", "books", "result", "items", "data.list")
+BOOK_KEYS = {"name": ["name", "title", "bookName"], "author": ["author", "bookAuthor"], "url": ["url", "bookUrl", "link"], "intro": ["intro", "description", "summary"]}
+
+
+def default_items(doc: Column) -> Column:
+    """The rows of a list page without a rule: the root array, or the first usual key with a non-empty array."""
+    found = [F.get_json_object(doc, f"$.{k}") for k in LIST_KEYS]
+    listed = F.coalesce(*[F.when(x.startswith("[") & (x != "[]"), x) for x in found])
+    return F.coalesce(F.from_json(F.when(F.ltrim(doc).startswith("["), doc).otherwise(listed), "array<string>"), F.array().cast("array<string>"))
+
+
+def default_book(item: Column) -> dict[str, Column]:
+    return {k: aliases(item, names) for k, names in BOOK_KEYS.items()}

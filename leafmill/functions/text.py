@@ -238,3 +238,9 @@ def split_key(key: Column) -> Column:
 def percent(index: Column, total: Column) -> Column:
     """Reading progress, 0 for an empty book."""
     return F.when(total > 0, F.round((index + 1) / total * 100)).otherwise(0.0)
+
+
+def merge_headers(*maps: Column) -> Column:
+    """Header maps put together; a later one wins."""
+    keys = F.array_distinct(F.flatten(F.array(*[F.map_keys(m) for m in maps])))
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.coalesce(*[F.element_at(m, k) for m in reversed(maps)]))))
