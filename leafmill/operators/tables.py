@@ -75,17 +75,22 @@ def next_order(df: DataFrame, column: str = "order") -> DataFrame:
     return df.agg((F.coalesce(F.max(column), F.lit(0)) + 1).alias("next_order"))
 
 
-def with_order(old: DataFrame, new: DataFrame, *by: Column, name: str = "name", column: str = "order") -> DataFrame:
-    """New rows with consecutive orders after the old ones; rows with a blank name are skipped.
+def numbered(df: DataFrame, *by: Column, name: str = "pos") -> DataFrame:
+    """All rows numbered from 0 in this order: a range sort, numbers inside each partition, and the counts of those before.
 
-    The rank is by range: rows are numbered within range partitions and shifted by the counts of those before.
+    No task holds more than its partition; only the partitions' counts are broadcast.
     """
-    rows = new.where(F.trim(name) != "").orderBy(*by).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    inner = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_i")))
+    rows = df.orderBy(*by).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    inner = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_i")) - 1)
     sizes = inner.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    shift = sizes.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_s")
-    start = next_order(old, column)
-    return inner.join(F.broadcast(shift), "_p").join(F.broadcast(start)).withColumn(column, F.col("next_order") + F.col("_s") + F.col("_n") - 1).drop("_p", "_i", "_n", "_s", "next_order")
+    shift = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    return inner.join(F.broadcast(shift), "_p").withColumn(name, F.col("_s") + F.col("_n")).drop("_p", "_i", "_n", "_s")
+
+
+def with_order(old: DataFrame, new: DataFrame, *by: Column, name: str = "name", column: str = "order") -> DataFrame:
+    """New rows with consecutive orders after the old ones; rows with a blank name are skipped."""
+    rows = numbered(new.where(F.trim(name) != ""), *by, name="_at")
+    return rows.join(F.broadcast(next_order(old, column))).withColumn(column, F.col("next_order") + F.col("_at")).drop("_at", "next_order")
 
 
 def count_events(old: DataFrame, events: DataFrame, key: str, ok: Column, ts: str) -> DataFrame:

@@ -85,8 +85,7 @@ def natural_order(spark, sf):
     from leafmill.operators import tables
 
     names = read(spark, sf, "pages").select(F.col("page_id").alias("p")).distinct().withColumn("name", F.concat(F.lit("img"), F.col("p").cast("string"), F.lit(".png")))
-    n = names.count()
-    return tables.ranked(names, n, text.natural_key(F.col("name"))).select("p", (F.col("pos") + 1).alias("pos"))
+    return tables.numbered(names, text.natural_key(F.col("name"))).select("p", (F.col("pos") + 1).alias("pos"))
 
 
 # ---- URLs ----

@@ -6,6 +6,9 @@ import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from leafmill.functions.lists import IndexSpec
 from leafmill.functions.urls import loose_json
 
@@ -78,6 +81,23 @@ def detect(rule: str) -> str:
     return "default"
 
 
+def mode_of(rule: Column) -> Column:
+    """detect() for a column of rules."""
+    bare, low = F.trim(rule), F.lower(F.trim(rule))
+    out = F
+    for p, mode in _PREFIX.items():
+        out = out.when(low.startswith(p), mode)
+    return (
+        out.when(bare.rlike(r"^\$[.\[]"), "json")
+        .when(bare.startswith("//") | (bare.rlike(r"^\(?//?[\w*]+(\[|/|$)") & ~bare.endswith("/")), "xpath")
+        .when(bare.rlike(r"^/.+/$") | bare.startswith(":"), "regex")
+        .when(bare.rlike(r"^<js>|\bfunction\b|=>|\bvar\s"), "js")
+        .when(bare.rlike(r"(^|@)(class|tag|id|text|children)\.|@(text|html|href|src|textNodes|ownText|all|content)\b|@\w[\w.]*(@|$)"), "chain")
+        .when(bare.rlike(r"^[#.\w\[*]"), "css")
+        .otherwise("default")
+    )
+
+
 @dataclass(frozen=True)
 class Rule:
     raw: str

@@ -96,6 +96,12 @@ def test_mode(rule, mode):
     assert rules.parse(rule).mode == mode
 
 
+def test_modes_of_a_column(spark):
+    cases = ["@css:.a", "$xpath://a", "//div/a", "$.a.b", "@json:a", "/a+/", ":x(.*)", "class.a@href", "div a@text", "#id > p", "<js>1</js>", "/html/body", "!"]
+    got = spark.createDataFrame([(c,) for c in cases], "r string").select("r", rules.mode_of(F.col("r")).alias("m")).collect()
+    assert {r["r"]: r["m"] for r in got} == {c: rules.detect(c) for c in cases}
+
+
 def test_inline_syntax():
     r = rules.parse("@put:{key} class.a@text##x+##y##z##")
     assert (r.puts, r.replaces, r.parts) == (("key",), (("x+", "y"), ("z", "")), ("class.a@text",))
