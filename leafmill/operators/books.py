@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import extract, text, urls
+from leafmill.sources.shared import settled
 
 
 def fetch(requests: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
@@ -81,7 +82,7 @@ def follow_pages(start: DataFrame, links: DataFrame, key: str, url: str = "url",
     out = step
     for n in range(1, most):
         step = step.join(links.select("url", "next_url"), "url").where(~F.array_contains("seen", F.col("next_url"))).select(key, F.lit(n).alias("page_no"), F.col("next_url").alias("url"), F.concat("seen", F.array("next_url")).alias("seen"))
-        step = step.checkpoint() if step.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else step.persist()
+        step = settled(step)
         if step.isEmpty():
             break
         out = out.unionByName(step)

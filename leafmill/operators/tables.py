@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.sources.shared import settled
+
 
 def listed(df: DataFrame, *order: Column, where: Column | None = None) -> DataFrame:
     return (df if where is None else df.where(where)).orderBy(*order)
@@ -78,9 +80,10 @@ def next_order(df: DataFrame, column: str = "order") -> DataFrame:
 def numbered(df: DataFrame, *by: Column, name: str = "pos") -> DataFrame:
     """All rows numbered from 0 in this order: a range sort, numbers inside each partition, and the counts of those before.
 
-    No task holds more than its partition; only the partitions' counts are broadcast.
+    No task holds more than its partition; only the partitions' counts are broadcast.  The sorted rows are held in the shared
+    folder, since a second sort could cut the ranges elsewhere.
     """
-    rows = df.orderBy(*by).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    rows = settled(df.orderBy(*by).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     inner = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_i")) - 1)
     sizes = inner.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     shift = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))

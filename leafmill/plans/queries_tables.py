@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from leafmill.functions import extract, text
 from leafmill.operators import books, tables
 from leafmill.plans.registry import query, read
 from leafmill.sources import feeds, files
+from leafmill.sources.shared import shared_dir
 from leafmill.streaming import streams
 
 
@@ -326,8 +326,7 @@ def debug_stream(spark, sf):
 
 def _scratch(spark) -> str:
     """A new folder that driver and executors share."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 # ---- flagship ----
