@@ -16,7 +16,7 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of documents that near-duplicate links join, the one with the smallest id; of rows that repeat an id, one."""
     classes = simhash_dedup.near_duplicates(docs)
     stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi").dropDuplicates(["doc_id"])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

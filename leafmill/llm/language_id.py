@@ -170,8 +170,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang", "score"])
 
     predict = F.arrow_udf(run, "lang string, score double")
-    judged = docs.withColumn("_lang", predict(F.col(text_col).cast("binary")))
-    return judged.withColumns({"lang_pred": F.col("_lang.lang"), "lang_score": F.col("_lang.score"), "lang_rejected": (F.col("_lang.lang") == UND) | (F.col("_lang.score") < model.threshold)}).drop("_lang")
+    judged = docs.withColumn("__lang", predict(F.col(text_col).cast("binary")))
+    return judged.withColumns({"lang_pred": F.col("__lang.lang"), "lang_score": F.col("__lang.score"), "lang_rejected": (F.col("__lang.lang") == UND) | (F.col("__lang.score") < model.threshold)}).drop("__lang")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,11 +114,11 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
     """docs' rows as often as the plan takes them, with mix_shard; shards are whole partitions in their shuffled order."""
-    planned = plan(docs, id_col, text_col, source_col, seed=seed, **options).select(F.col("id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "shards").dropDuplicates(["mix_id", "mix_source", "mix_size"])
+    planned = plan(docs, id_col, text_col, source_col, seed=seed, **options).select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("shards").alias("__shards")).dropDuplicates(["__id", "__source", "__size"])
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    joined = docs.withColumn("_size", size).join(planned, F.col(id_col).eqNullSafe(F.col("mix_id")) & F.col(source_col).eqNullSafe(F.col("mix_source")) & (F.col("_size") == F.col("mix_size")))
-    out = joined.select(*[F.col(c) for c in docs.columns], F.posexplode("shards").alias("mix_copy", "mix_shard"))
-    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", _hash(seed + 4, id_col, "mix_copy")).drop("mix_copy")
+    joined = docs.withColumn("__words", size).join(planned, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
+    out = joined.select(*[F.col(c) for c in docs.columns], F.posexplode("__shards").alias("__copy", "mix_shard"))
+    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", _hash(seed + 4, id_col, "__copy")).drop("__copy")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

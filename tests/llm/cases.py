@@ -1,11 +1,11 @@
 """Tables that hold nulls, empty and long texts, ties, repeated rows and columns with clashing names."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, t string, fp long, size long, component_id long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, t string, fp long, size long, component_id long, stays long, shards long, row long"
 
 
 def documents(spark, rows):
     """rows: (doc_id, text[, lang[, source]])."""
-    full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", None, "clash", None, 1, 2, 3) for r in rows]
+    full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", None, "clash", None, 1, 2, 3, 4, 5, 6) for r in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 

@@ -116,7 +116,7 @@ def test_pipeline_runs_and_agrees(spark, stages):
 
 
 def test_pipeline_on_odd_rows(spark, tmp_path):
-    docs = documents(spark, [(*r, "en", None) for r in ODD]).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = documents(spark, [(*r, "en", None) for r in ODD])
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, None), (None, "a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     corpus_pipeline.run(spark, str(tmp_path)).collect()
