@@ -25,7 +25,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 BLOCKS = 4096
-SHARDS = 16
+#: Words of an output shard; shards are a power of two between these, and larger ones are dealt to several partitions.
+SHARD_WORDS = 4_000_000
+SHARDS = (16, 1024)
 SEED = 20240607
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,11 +65,15 @@ def split_quotas(draws: list[int], shards: int, rng: np.random.Generator) -> np.
     return np.vstack([split_quotas(half.tolist(), left, rng), split_quotas(rest, shards - left, rng)])
 
 
+def _shards(words: float | None) -> int:
+    return min(SHARDS[1], max(SHARDS[0], 1 << max(0, int((words or 0) / SHARD_WORDS)).bit_length()))
+
+
 def _hash(*parts: Column | str | int) -> Column:
     return F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts])
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """(id, source, size, source_size, target, shards) per row of docs; shards lists the output shard of each copy taken.
 
     Null and wordless texts have size 0; they are taken with their block and add no words.  Rows that repeat an id,
@@ -90,6 +96,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         .withColumn("cut", ~F.col("whole") & (F.col("before") < F.col("rest")) & (F.col("rest") > 0))
         .withColumn("copies", F.col("base") + (F.col("whole") | F.col("cut")).cast("int"))
     )
+    if shards is None:
+        shards = _shards(goal.agg(F.sum("target").alias("n")).first()["n"])
     counted = placed.groupBy("source").agg(F.sum("copies").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
     quotas = split_quotas([r["n"] for r in counted], shards, np.random.default_rng(seed)) if counted else np.zeros((shards, 0), int)
     ends = [(r["source"], [int(x) for x in np.cumsum(quotas[:, i])]) for i, r in enumerate(counted)]
@@ -113,12 +121,20 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
-    """docs' rows as often as the plan takes them, with mix_shard; shards are whole partitions in their shuffled order."""
+    """docs' rows as often as the plan takes them, with mix_shard.
+
+    A partition holds rows of few shards, each in its shuffled order; a shard of over SHARD_WORDS words has several partitions.
+    """
     planned = plan(docs, id_col, text_col, source_col, seed=seed, **options).select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("shards").alias("__shards")).dropDuplicates(["__id", "__source", "__size"])
+    planned = write_out(planned, "mix")
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     joined = docs.withColumn("__words", size).join(planned, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
     out = joined.select(*[F.col(c) for c in docs.columns], F.posexplode("__shards").alias("__copy", "mix_shard"))
-    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", _hash(seed + 4, id_col, "__copy")).drop("__copy")
+    taken = planned.agg(F.sum(F.col("__size") * F.size("__shards")).alias("n")).first()["n"] or 0
+    shards = options.get("shards") or _shards(taken)
+    each = 1 + taken // (SHARD_WORDS * shards)
+    part = F.pmod(_hash(seed + 5, id_col, "__copy"), F.lit(each))
+    return out.repartition(shards * each, "mix_shard", part).sortWithinPartitions("mix_shard", _hash(seed + 4, id_col, "__copy")).drop("__copy")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
