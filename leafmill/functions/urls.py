@@ -106,14 +106,14 @@ def source_url(template: str, base: Column, value: Column, **more: Column) -> Co
 
 def absolutize(base: Column, raw: Column) -> Column:
     """raw if it is absolute, else the base (up to # and without a last slash) and raw with a first slash."""
-    root = F.rtrim(F.split_part(base, F.lit("#"), F.lit(1)), F.lit("/"))
+    root = F.regexp_replace(F.split_part(base, F.lit("#"), F.lit(1)), "/+$", "")
     return F.when(is_http(raw), raw).when(raw.startswith("//"), F.concat(F.lit("https:"), raw)).when(raw.startswith("/"), F.concat(root, raw)).otherwise(F.concat(root, F.lit("/"), raw))
 
 
 def join_loose(base: Column, href: Column) -> Column:
     """How pages' feed readers join: // is https, /x is on the host, anything else follows the base."""
     host = F.regexp_extract(base, r"^(https?://[^/]+)", 1)
-    return F.when(href == "", "").when(is_http(href), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), href))
+    return F.when(href == "", "").when(is_http(href), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), href))
 
 
 def undouble(url: Column) -> Column:
