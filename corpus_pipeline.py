@@ -13,10 +13,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links join, the one with the smallest id; of rows that repeat an id, one."""
-    classes = simhash_dedup.near_duplicates(docs)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of rows that near-duplicate links join, the one with the smallest id, null last, then the smallest digest of its text.
+
+    Rows are told apart by their whole content: distinct texts under one id, or under none, each stay unless a link
+    joins them; of rows that repeat every column, one stays.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("digest"), F.xxhash64(*docs.columns).alias("rest"))
+    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
+    classes = simhash_dedup.near_duplicates(rows.select("key", "row.text"), "key")
+    stay = classes.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("stays")).distinct()
+    once = rows.dropDuplicates(["key"])
+    return once.join(stay, once["key"].eqNullSafe(stay["stays"]), "left_semi").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

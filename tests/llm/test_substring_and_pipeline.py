@@ -120,3 +120,16 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, None), (None, "a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+
+def test_pipeline_keeps_distinct_texts_under_one_id_or_none(spark):
+    random.seed(31)
+    one, two, three, four, five, six = (text(40) for _ in range(6))
+    rows = [(1, one), (1, two), (None, three), (None, four), (2, five), (None, five.upper()), (2, five.title()), (3, six), (3, six), (None, six.upper()), (None, None), (None, " ")]
+    docs = documents(spark, rows)
+    left = corpus_pipeline.one_of_each_class(spark, docs, "")
+    assert left.columns == docs.columns
+    first = min((five, five.title()), key=lambda t: hashlib.md5(t.encode()).digest())
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    want = [(1, one), (1, two), (None, three), (None, four), (2, first), (3, six), (None, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
