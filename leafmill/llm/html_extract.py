@@ -30,6 +30,10 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _PIECE = re.compile(r"[a-z]+")
 _SKIP = frozenset("script style noscript template iframe svg math select textarea button object title head canvas audio video".split())
 _RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select button".split())
+#: Raw elements whose content is text up to their own end tag, whatever looks like a tag or comment in it.
+_UNPARSED = frozenset("script style noscript iframe textarea title".split())
+_CODE = frozenset({"script", "style"})
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br del".split())
 _CLOSES = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
@@ -44,14 +48,38 @@ class Block:
         self.words = text.count(" ") + 1
 
 
+def _after_raw(page: str, tag: str, at: int, missing: dict[str, int]) -> int | None:
+    """Where a raw element ends whose content starts at ``at``, or None if it is not closed; missing has from where on a tag is not."""
+    start = at
+    if start >= missing.get(tag, len(page) + 1):
+        return None
+    if tag in _UNPARSED:
+        if m := _END[tag].search(page, at):
+            return m.end()
+    elif _END[tag].search(page, at):
+        while m := _TOKEN.search(page, at):
+            at, inner = m.end(), (m[2] or m[5] or "").lower()
+            if inner == tag and (m[1] or m[4]):
+                return at
+            if inner in _UNPARSED and not (m[1] or m[4]) and not m[0].endswith("/>"):
+                at = _after_raw(page, inner, at, missing) or at
+    missing[tag] = start
+    return None
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in their order; unclosed and misnested tags are tolerated."""
+    """Leaf blocks of a page in their order; unclosed and misnested tags are tolerated.
+
+    The start tag of a raw element without an end tag is passed over, so that the rest of the page stays; of an
+    unclosed script or style the code up to the next tag goes with it.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     path: tuple | None = None
     links = [0, 0, 0]  # open anchors, letters inside, letters
-    raw_until, at = "", 0
+    missing: dict[str, int] = {}
+    at = upto = 0  # where text that is not taken yet and the next search start
 
     def flush():
         nonlocal path
@@ -76,22 +104,21 @@ def blocks(page: str) -> list[Block]:
             if links[0]:
                 links[1] += n
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, upto):
         tag = (m[2] or m[5] or "").lower()
         closing = bool(m[1] or m[4])
-        if raw_until:
-            if not (closing and tag == raw_until):
-                continue
-            raw_until, at = "", m.end()
-            continue
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
+        at = upto = m.end()
         if not tag:
             continue
         if tag in _RAW and not closing:
             if not m[0].endswith("/>"):
-                raw_until = tag
+                end = _after_raw(page, tag, at, missing)
+                if end is None and tag in _CODE:
+                    after = _TOKEN.search(page, at)
+                    end = after.start() if after else len(page)
+                at = upto = at if end is None else end
             if tag not in _INLINE:
                 flush()
             continue
@@ -123,9 +150,9 @@ def blocks(page: str) -> list[Block]:
                         del stack[k:]
                         break
         if tag not in _VOID and not m[0].endswith("/>"):
-            named = tuple(w for a in _ATTR.findall(m[3] or m[6] or "") for w in _PIECE.findall((a[1] or a[2] or a[3]).lower()))[:12] if (m[3] or m[6]) else ()
+            named = tuple(w for a in _ATTR.findall(m[3] or m[6] or "") for w in _PIECE.findall((a[1] or a[2] or a[3]).lower())) if (m[3] or m[6]) else ()
             stack.append((tag, named))
-    if not raw_until and at < len(page):
+    if at < len(page):
         rest = page[at:]
         add(rest if "<" not in rest or not re.match(r"<[/!a-zA-Z]", rest) else "")
     flush()

@@ -41,6 +41,39 @@ def test_odd_pages(spark):
     assert len(got) == len(rows) and all(isinstance(r["text"], str) for r in got)
     assert html_extract.extract(df.limit(0)).count() == 0
 
+ARTICLE = "<article><h1>A title</h1><p>The first text goes on, and on.</p><p>The second one, too.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<script>for(i=0;i<n;i++){f(i);}</script>",
+        "<script>if (a<b) x = '<!--';</SCRIPT >",
+        "<style><!-- p{}</style>",
+        "<noscript><img src='x></noscript>",
+        "<template><script>while(a<b){}</script><p>no</p></template>",
+        "<svg><!-- </svg> --><text>no</text></svg>",
+        "<noscript>",
+        "<button>",
+        "<select><option>",
+        "<object data=x>",
+        "<script>var x = 1;",
+        "<title>a <b</title>",
+    ],
+)
+def test_raw_elements_end_at_their_own_end_tag(before):
+    got = [b.text for b in html_extract.blocks(f"<p>Top</p>{before}{ARTICLE}<p>Last</p>")]
+    assert got == ["Top", "A title", "The first text goes on, and on.", "The second one, too.", "Last"]
+
+
+def test_text_of_unclosed_elements_and_all_class_words_stay():
+    assert [b.text for b in html_extract.blocks("<p>a</p><button>b<p>c</p>")] == ["a", "b", "c"]
+    assert [b.text for b in html_extract.blocks("<button><script>no()</script>a<p>b</p><script>no(")] == ["a", "b"]
+    words = [chr(97 + i) * 3 for i in range(20)]
+    (block,) = html_extract.blocks(f'<div class="{" ".join(words)}">x</div>')
+    assert block.path == (("div", tuple(words)),)
+    assert len(html_extract.blocks("<button>x" * 20_000)) == 20_000
+
 
 def brute_best(model, fs):
     import itertools
