@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import new_path, read, remove
 
 WINDOW = 13
 #: Words of benchmark items that are broadcast at once; more items are searched in further passes of blocks of this size.
@@ -97,7 +97,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, text, n_words, hits, items): hits is a binary of one byte a word, 1 inside an occurrence; items the sorted ids found.
 
     Benchmark items are read in blocks of at most block_words words (and the last item); each block is broadcast and
-    searched in one pass over docs without a shuffle, and the passes add up.  Null or wordless texts have no words and
+    searched in one pass over docs without a shuffle, and the passes add up.  The driver holds one block at a time (and
+    the next while a pass is written); every pass but the last is written to the shared folder, after which its
+    broadcast is freed and the pass before it removed.  Null or wordless texts have no words and
     no hits; a null or wordless item has no window; an item without an id marks its words but is not listed.  Repeated
     rows are judged one by one; an empty benchmark finds nothing.  Further columns are not read.
     """
@@ -124,10 +126,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return run
 
-    for rows in [*_blocks(benchmark, item_col, item_text_col, block_words)] or [[]]:
+    blocks, before = _blocks(benchmark, item_col, item_text_col, block_words), None
+    rows = next(blocks, [])
+    while True:
         tables = spark.sparkContext.broadcast(searchers(rows, window))
         out = out.mapInArrow(one_pass(tables), schema)
-    return out
+        rows = next(blocks, None)
+        if rows is None:
+            return out
+        path = new_path(spark, "hits")
+        out.write.option("compression", "zstd").parquet(path)
+        out = spark.read.schema(schema).parquet(path)
+        tables.destroy()
+        if before:
+            remove(spark, before)
+        before = path
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import extract, json_paths, text
 from leafmill.operators import books, tables
-from leafmill.plans.registry import query, read
+from leafmill.plans.registry import block, query, read
 
 
 def _list_pages(spark, sf):
-    """A JSON list page a brand: its parts under data.list, with the usual names."""
+    """JSON list pages of each brand: its parts of a block of ids under data.list, with the usual names."""
     row = F.to_json(F.struct(F.col("p_name").alias("title"), F.col("p_type").alias("author"), F.concat(F.lit("/b/"), F.col("p_partkey").cast("string")).alias("bookUrl")))
-    docs = read(spark, sf, "part").select("p_brand", F.struct("p_partkey", row.alias("j")).alias("r")).groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["j"]), ",").alias("rows"))
+    docs = read(spark, sf, "part").select("p_brand", F.struct("p_partkey", row.alias("j")).alias("r")).groupBy("p_brand", block(F.col("r.p_partkey"))).agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["j"]), ",").alias("rows"))
     return docs.select("p_brand", F.concat(F.lit('{"code": 0, "data": {"list": ['), F.col("rows"), F.lit("]}}")).alias("doc"))
 
 

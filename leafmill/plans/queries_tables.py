@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from leafmill.functions import extract, text
 from leafmill.operators import books, tables
-from leafmill.plans.registry import query, read
+from leafmill.plans.registry import block, query, read
 from leafmill.sources import feeds, files
 from leafmill.sources.shared import shared_dir
 from leafmill.streaming import streams
@@ -178,8 +178,8 @@ def export_import(spark, sf):
 
 @query("SELECT s_suppkey AS id, s_name AS name FROM supplier")
 def collection_import(spark, sf):
-    """A wrapper object a nation, with its suppliers as sources."""
-    doc = read(spark, sf, "supplier").groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("bookSourceName"))).alias("bookSources"))).alias("doc"))
+    """Wrapper objects of each nation, with its suppliers as sources, those of a block of ids in one."""
+    doc = read(spark, sf, "supplier").groupBy("s_nationkey", block(F.col("s_suppkey"))).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("bookSourceName"))).alias("bookSources"))).alias("doc"))
     got = files.collection(doc, "doc").where("error is null")
     return got.select(F.get_json_object("json", "$.id").cast("long").alias("id"), F.get_json_object("json", "$.bookSourceName").alias("name"))
 
@@ -267,9 +267,9 @@ def chapter_align(spark, sf):
 
 @query("SELECT user_id AS feed_id, count(*) AS n, max(ts) AS newest, min(concat('t', event_id)) AS first_title FROM (SELECT *, date_trunc('second', ts) AS ts2 FROM events) GROUP BY user_id".replace("max(ts)", "max(ts2)"))
 def rss_reader(spark, sf):
-    """A feed a user: its events as items."""
+    """Feeds of each user: its events as items, those of a block of ids in one document."""
     item = F.concat(F.lit("<item><title>t"), F.col("event_id").cast("string"), F.lit("</title><link>http://x/"), F.col("event_id").cast("string"), F.lit("</link><description>d &amp; e</description><pubDate>"), F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate></item>"))
-    docs = read(spark, sf, "events").select("user_id", item.alias("i")).groupBy(F.col("user_id").alias("feed_id")).agg(F.concat(F.lit("<rss><channel><title>c</title>"), F.array_join(F.collect_list("i"), ""), F.lit("</channel></rss>")).alias("body"))
+    docs = read(spark, sf, "events").select("user_id", block(F.col("event_id")).alias("b"), item.alias("i")).groupBy(F.col("user_id").alias("feed_id"), "b").agg(F.concat(F.lit("<rss><channel><title>c</title>"), F.array_join(F.collect_list("i"), ""), F.lit("</channel></rss>")).alias("body"))
     return feeds.rss_items(docs).where("guid = link and content = 'd & e'").groupBy("feed_id").agg(F.count(F.lit(1)).alias("n"), F.max("published_at").cast("timestamp_ntz").alias("newest"), F.min("title").alias("first_title"))
 
 

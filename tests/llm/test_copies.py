@@ -117,3 +117,16 @@ def test_contamination_equals_brute_force(spark):
 def test_contamination_without_items(spark):
     found = decontaminate.judged(decontaminate.contamination(documents(spark, ODD), spark.createDataFrame([], "item_id long, text string")))
     assert found.where("contaminated or n_hit > 0").count() == 0 and found.count() == len(ODD)
+
+
+def test_blocks_are_taken_one_by_one(spark, monkeypatch):
+    took, made, ahead = [], [], []
+    blocks, searchers = decontaminate._blocks, decontaminate.searchers
+    monkeypatch.setattr(decontaminate, "_blocks", lambda *a: (took.append(1) or b for b in blocks(*a)))
+    monkeypatch.setattr(decontaminate, "searchers", lambda *a: ahead.append(len(took) - len(made)) or made.append(1) or searchers(*a))
+    items = [(i, text(20)) for i in range(5)]
+    docs = [(i, items[i][1] + " " + text(5)) for i in range(5)]
+    found = decontaminate.contamination(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_words=1)
+    assert len(made) == 5 and max(ahead) == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r["id"], r["items"]) for r in found.collect()) == [(i, [str(i)]) for i in range(5)]
