@@ -32,8 +32,9 @@ END_ID = 2
 BLOCK_TOKENS = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
 SAMPLE = 64
-#: Chunks whose ids a worker remembers.
-CACHE_CHUNKS = 1_000_000
+#: Bytes of chunks and their ids that a worker remembers, and about how much a chunk takes besides its letters.
+CACHE_BYTES = 256 << 20
+_ENTRY = 200
 _HEAD = struct.Struct("<4sBBBBIII")
 
 
@@ -104,8 +105,9 @@ class Encoder:
     """Encodes texts with a tokenizers file.
 
     Byte-level files split at every single space between two other characters that are not white space, and never merge
-    across it, so a text's ids are its chunks' ids in a row; the chunks' ids are remembered.  Texts with a special
-    token's string, and files of another kind, are encoded whole.
+    across it, so a text's ids are its chunks' ids in a row; the chunks' ids are remembered, up to CACHE_BYTES of them, after
+    which the memory starts anew.  New chunks are encoded as one text, which is cut again where an id begins with a space.
+    Texts with a special token's string, and files of another kind, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -121,35 +123,65 @@ class Encoder:
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.known: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s\s|^\s|\s$")
+        self.held = 0
         self.safe = re.compile(r"(?<=\S) (?=\S)")
+        vocabulary = self.tok.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level files write a space
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.width == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _follow(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each of these clean chunks where it follows a space."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), 512):
+            some = chunks[at : at + 512]
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(self.spaced[ids]) * self.width
+            if len(cuts) != len(some):
+                out += self._raw([" " + c for c in some])
+                continue
+            raw = ids.tobytes()
+            out += map(raw.__getitem__, map(slice, cuts.tolist(), [*cuts[1:].tolist(), len(raw)]))
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[bytes | None] = [None] * len(texts)
-        whole, parts, found, new = [], {}, {}, set()
-        get, odd = self.known.get, self.odd.search
+        whole, parts, found = [], {}, {}
+        new: dict[str, bytes] = {}  # clean chunks: not empty, no white space at their ends
+        rough: dict[str, bytes] = {}  # pieces of texts in which spaces stand beside other white space
+        get = self.known.get
         for i, t in enumerate(texts):
             if not self.chunked or any(s in t for s in self.special):
                 whole.append(i)
                 continue
-            p = parts[i] = self.safe.split(t) if odd(t) else t.split(" ")
-            found[i] = f = list(map(get, p))
+            p = t.split(" ")
+            f = list(map(get, p))
             if None in f:
-                new.update([c for c, x in zip(p, f, strict=True) if x is None])
-        new = list(new)
-        fresh = dict(zip(new, self._raw([" " + c for c in new]), strict=True))
-        if len(self.known) < CACHE_CHUNKS:
-            self.known.update(fresh)
+                fresh = [c for c, x in zip(p, f, strict=True) if x is None]
+                if "" not in fresh and all(map(str.__eq__, map(str.strip, fresh), fresh)):
+                    new.update(dict.fromkeys(fresh))
+                else:
+                    p = self.safe.split(t)
+                    f = [None] * len(p)
+                    rough.update(dict.fromkeys(p))
+            parts[i], found[i] = p, f
+        new = dict(zip(new, self._follow(list(new)), strict=True))
+        rough = dict(zip(rough, self._raw([" " + c for c in rough]), strict=True))
         for i, got in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = got
         for (i, p), first in zip(parts.items(), self._raw([p[0] for p in parts.values()]), strict=True):
             f = found[i]
+            if None in f:
+                f = [(new[c] if c in new else rough[c]) if x is None else x for c, x in zip(p, f, strict=True)]
             f[0] = first
-            out[i] = b"".join([fresh[c] if x is None else x for c, x in zip(p, f, strict=True)] if None in f else f)
+            out[i] = b"".join(f)
+        self.held += sum(map(len, new)) + _ENTRY * len(new)
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
+        self.known.update(new)
         return [np.frombuffer(x, self.kind) for x in out]
 
 
@@ -173,7 +205,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """Write docs' ids to path in ascending id order, end_id after each document.
 
     Null texts are empty and give the end id only; null ids come first; rows that repeat an id follow each other, in the
-    order of their texts.  A document longer than a block gets a block of its own.  An empty table gives an empty folder.
+    order of their texts, and may be dealt to several tasks where their texts' beginnings differ.  A document longer than a block gets a block of its own.  An empty table gives an empty folder.
     """
     tokenizer = tokenizer or default_tokenizer()
     kind = docs.schema[id_col].dataType
@@ -203,7 +235,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .repartitionByRange(n, "id")
+        .repartitionByRange(n, "id", F.substring("text", 1, 128))
         .sortWithinPartitions("id", "text")
         .mapInArrow(run, f"part int, block int, ids array<{kind.simpleString()}>, n_tokens long, payload binary")
         .write.option("compression", "zstd")

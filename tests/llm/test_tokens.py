@@ -39,3 +39,27 @@ def test_tokens_of_nothing(spark):
     path = common.new_path(spark, "t")
     token_output.write_tokens(documents(spark, []), path)
     assert token_output.documents_of(spark, path).count() == 0
+
+
+def test_encoder_equals_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    random.seed(8)
+    path = token_output.default_tokenizer()
+    tok = Tokenizer.from_file(path)
+    bits = ["a", "b", "don't", "x's", "12", "é", "ß", " ", "　", "\n", "\n\n", "\t", "\r", "  ", " ", " ", " ", " ", ",", "...", "<|endoftext|>", "\x1c", "\x85", "Ġ", "日本", "_", "😀"]
+    texts = ["", " ", "Ġ", "a Ġ b", *("".join(random.choices(bits, k=random.randint(1, 30))) for _ in range(3000))]
+    for room in (1, token_output.CACHE_BYTES):
+        monkeypatch.setattr(token_output, "CACHE_BYTES", room)
+        enc = token_output.Encoder(path)
+        for at in range(0, len(texts), 700):
+            for t, got in zip(texts[at : at + 700], enc.encode(texts[at : at + 700]), strict=True):
+                assert got.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_rows_of_one_id_are_dealt_to_several_tasks(spark):
+    rows = [(7, f"text {k:04d}") for k in range(2000)]
+    path = common.new_path(spark, "t")
+    token_output.write_tokens(documents(spark, rows), path)
+    parts = spark.read.parquet(path).groupBy("part").agg({"n_tokens": "sum"}).collect()
+    assert len(parts) == 4 and token_output.documents_of(spark, path).count() == 2000
