@@ -1,50 +1,51 @@
-"""Removal of repeated passages with a log-structured index of window hashes.
+"""Removal of repeated passages with a log-structured fingerprint index of window hashes.
 
-A passage counts as repeated where a window of 13 words occurs in a document with a smaller id.
+A window is 13 consecutive words of one document; it is repeated where it also starts in a document of an earlier batch, or
+in a document with a smaller id of its own batch.
 
-Index.  Every window has an anchor, its run of ``anchor`` words with the smallest hash (winnowing), and neighbouring windows
-mostly share one, so that about two anchors in ten words stand for all windows.  An index row is (h, c, id): the anchor's hash, a
-hash of the whole stretch of words of its windows, and the document.  Equal windows have equal anchors, so nothing is missed;
-equal (h, c) means that all windows of the stretch are equal.
+Fingerprint.  A word has a 128-bit XXH3 hash.  A window's fingerprint h and its digest v are two sums of its words' hashes (one
+of each half), every place weighed by an odd number of its own, and mixed: 64 bits each, from independent halves.
 
-Log structure.  Each batch of documents becomes an immutable run, a table bucketed by h and sorted by (h, c, id).  Runs of like size
-are merged (compacted) bucket by bucket.  New rows meet historical ones by merging the runs' buckets, without a shuffle.
+Index.  Every batch becomes an immutable run: the sorted (h, v) of the windows that history lacks, dealt to hash ranges
+(``bucket``) of bounded size and laid down as a table bucketed by them.  Runs of like size are merged (compacted), bucket by
+bucket.
 
-Verdicts.  Of an anchor in two or more documents, a stretch whose (h, c) a smaller document has is repeated as a whole.
-Where an anchor stands in different stretches, the first document of each brings its windows' 128-bit digests, which are compared one
-by one.  Only these and the verdicts move, and each text moves once, to its verdicts.
+A batch.  Its documents are cut into parts; each part sorts its windows, keeps each once with its least id, and deals them to
+the hash ranges.  There they are merge-joined with the runs, which do not move: equal h are candidates, and v
+verifies them, so no window is called repeated on its fingerprint alone.  A range answers each part with the part's own windows that
+are repeated, and the part removes their words.  Nothing but a batch's own texts is read; history is its (h, v) alone.
+
+Hot passages.  A part sends a window once however often it holds it, so a passage of a third of all documents gives its
+range one entry a part.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import new_path, read, remove, write_out
+from .common import new_path, read, remove
 
 WINDOW = 13
-ANCHOR = 5
-#: Share of the documents in each batch of a whole table, in order of id.
-BATCHES = (1 / 32, 1 / 32, 1 / 8, 13 / 16)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        n = 1 << n.bit_length()
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+#: Batches of a whole table, in order of id.
+BATCHES = 7
+#: Bytes of text after which a part of a batch ends, and windows that are sorted at once.
+PART_BYTES = 8 << 20
+CHUNK = 1 << 20
+#: Windows of the whole index that a hash range should hold.
+BUCKET_WINDOWS = 1 << 20
+#: Different words whose hashes a worker remembers.
+REMEMBERED = 1 << 20
+_ALL = (1 << 64) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,229 +54,385 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Stretches:
-    """Anchors of a text: hashes h and c, the first and last window (lo, hi) of each, and the words' places in norm."""
-
-    def __init__(self, words: list[bytes], window: int, anchor: int):
-        self.norm = b" ".join(words)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        self.end = np.cumsum(size + 1) - 1
-        self.start = self.end - size
-        power, inverse = _power(len(self.norm) + 1)
-        a = np.frombuffer(self.norm, np.uint8).astype(np.uint64) + np.uint64(1)
-        total = np.r_[np.zeros(1, np.uint64), np.cumsum(a * power[: len(a)], dtype=np.uint64)]
-
-        def hashed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return _mix((total[j] - total[i]) * inverse[i] + (j - i).astype(np.uint64))
-
-        g = hashed(self.start[: len(words) - anchor + 1], self.end[anchor - 1 :])
-        reach = window - anchor + 1
-        n = len(words) - window + 1
-        least = g[:n].copy()
-        for k in range(1, reach):
-            np.minimum(least, g[k : k + n], out=least)
-        lo, hi = np.full(len(g), n, np.int64), np.full(len(g), -1, np.int64)
-        at = np.arange(n)
-        for k in range(reach):  # window i has its anchor at i + k
-            i = at[least == g[k : k + n]]
-            lo[i + k] = np.minimum(lo[i + k], i)
-            hi[i + k] = np.maximum(hi[i + k], i)
-        p = np.flatnonzero(hi >= 0)
-        self.lo, self.hi, self.h = lo[p], hi[p], g[p]
-        self.c = hashed(self.start[self.lo], self.end[self.hi + window - 1]) >> np.uint64(24)
-
-    def keys(self) -> np.ndarray:
-        return key_of(self.h, self.c).view(np.int64)
-
-
-def key_of(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return _mix(h + c * np.uint64(0xD6E8FEB86659FD93))
+def _weights(n: int, seed: int) -> np.ndarray:
+    return _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+
+
+class Words(dict):
+    """Numbers of words, and the two halves of their hashes by number."""
+
+    def __init__(self):
+        self.halves = array("Q"), array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_128_intdigest
+
+        d = xxh3_128_intdigest(word)
+        n = self[word] = len(self.halves[0])
+        self.halves[0].append(d >> 64)
+        self.halves[1].append(d & _ALL)
+        return n
+
+    def numbers(self, raw: bytes) -> np.ndarray:
+        return np.concatenate([np.fromiter(map(self.__getitem__, w), np.int32, len(w)) for w in split(raw)])
+
+    def windows(self, numbers: np.ndarray, window: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprint h (its upper ``bits``) and digest v of every window of these words."""
+        n = len(numbers) - window + 1
+        out = []
+        for k, half in enumerate(self.halves):
+            words = np.frombuffer(half, np.uint64)[numbers]
+            weight = _weights(window, k)
+            total = words[:n] * weight[0]
+            for i in range(1, window):
+                total += words[i : i + n] * weight[i]
+            out.append(_mix(total))
+        if bits < 64:
+            out[0] &= np.uint64(_ALL << (64 - bits) & _ALL)
+        return out[0], out[1]
+
+
+def split(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some millions of bytes at a time; at least one list."""
+    step, at = 4 << 20, 0
+    while len(raw) - at > step:
+        end = at + step
+        while end < len(raw) and raw[end] not in b" \t\n\r\v\f":
+            end += 1
+        yield raw[at:end].split()
+        at = end
+    yield (raw[at:] if at else raw).split()
+
+
+def _starts(sizes: np.ndarray, window: int) -> np.ndarray:
+    """Where whole windows start in texts of these sizes that follow one another."""
+    n = int(sizes.sum())
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
+    return np.flatnonzero(left >= window)
+
+
+def _stretches(numbers: list[np.ndarray], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Joined words, the starts of their whole windows, and the first word's place: CHUNK words or few more at a time."""
+    if not numbers:
+        return
+    words, sizes = np.concatenate(numbers), np.array([len(x) for x in numbers])
+    starts = _starts(sizes, window)
+    for at in range(0, len(words), CHUNK):
+        here = starts[np.searchsorted(starts, at) : np.searchsorted(starts, at + CHUNK)]
+        if len(here):
+            yield words[at : at + CHUNK + window - 1], here - at, at
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Sorted numbers byte by byte, as the upper bytes, which hardly change, compress well then."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplaned(raw: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for x in raw.to_pylist() if x]
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def _plain(raw: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.to_pylist()), np.uint64)
+
+
+def _sorted(h: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (h, v), and where a new pair starts in it."""
+    order = np.argsort(h, kind="stable")
+    for again in (False, True):
+        hs, vs = h[order], v[order]
+        same = hs[1:] == hs[:-1]
+        equal = same & (vs[1:] == vs[:-1])
+        if again or (same == equal).all():
+            break
+        order = np.lexsort((v, h))
+    return order, np.flatnonzero(np.r_[True, ~equal]) if len(h) else order
+
+
+def find(h: np.ndarray, v: np.ndarray, known_h: np.ndarray, known_v: np.ndarray) -> np.ndarray:
+    """Place of each (h, v) among known ones that are sorted by (h, v), or -1: a candidate by h, verified by v."""
+    at, out = np.searchsorted(known_h, h), np.full(len(h), -1, np.int64)
+    left = np.arange(len(h))
+    while len(left):
+        left = left[at[left] < len(known_h)]
+        left = left[known_h[at[left]] == h[left]]
+        right = known_v[at[left]] == v[left]
+        out[left[right]] = at[left[right]]
+        left = left[~right]
+        at[left] += 1
+    return out
 
 
 class WindowIndex:
-    """Sorted immutable runs under a folder of their own."""
+    """Sorted immutable runs under a folder of their own; leaving it as a context drops them.
+
+    ``expected`` is about how many windows the index will hold in all; it sets the number of hash ranges.  ``bits`` are those
+    of the fingerprint that are used; fewer only make more candidates for the digests to tell apart.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, anchor: int = ANCHOR, buckets: int | None = None):
-        self.spark, self.window, self.anchor = spark, window, anchor
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, expected: int = 1 << 24, bits: int = 64, part_bytes: int = PART_BYTES):
+        self.spark, self.window, self.bits, self.part_bytes = spark, window, bits, part_bytes
         self.path = path or new_path(spark, "windows")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[tuple[str, int]] = []  # table and its rows
+        self.tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.ranges = max(4 * self.tasks, expected // BUCKET_WINDOWS).bit_length()
+        self.table = f"leafmill_windows_{uuid.uuid4().hex}"
+        self.runs: list[tuple[int, int]] = []  # number and its windows
+        self.made = 0
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Index a batch.  Rows without an id, or of fewer words than a window, add nothing."""
-        window, anchor = self.window, self.anchor
+    def __enter__(self) -> WindowIndex:
+        return self
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, 1000):
-                    h, c, who, some = [], [], [], b.slice(at, 1000)
-                    for i, t in enumerate(some.column(1)):
-                        words = (t.as_py() or b"").split()
-                        if len(words) >= window:
-                            s = Stretches(words, window, anchor)
-                            pairs = np.unique(np.column_stack([s.h, s.c]), axis=0)
-                            h.append(pairs[:, 0])
-                            c.append(pairs[:, 1])
-                            who.append(np.full(len(pairs), i))
-                    if h:
-                        ids = some.column(0).take(pa.array(np.concatenate(who)))
-                        yield pa.record_batch([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(c).view(np.int64)), ids], names=["h", "c", "id"])
+    def __exit__(self, *error) -> None:
+        self.drop()
 
-        kind = docs.schema[id_col].dataType.simpleString()
-        rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"h long, c long, id {kind}")
-        self._write(rows.repartition(self.buckets, "h"))
-        while len(self.runs) > 1 and self.runs[-2][1] < 2 * self.runs[-1][1] and self.runs[-1][1] < 2 * self.runs[-2][1]:
-            self.compact(2)
-
-    def _write(self, rows: DataFrame) -> None:
-        name = f"leafmill_run_{uuid.uuid4().hex}"
-        (rows.sortWithinPartitions("h", "c", "id").write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}").bucketBy(self.buckets, "h").sortBy("h", "c", "id").saveAsTable(name))
-        self.runs.append((name, self.spark.table(name).count()))
+    def _lay(self, rows: DataFrame) -> None:
+        """Add rows to the table, which is bucketed by hash range and has a folder for each run."""
+        rows.write.mode("append").format("parquet").option("compression", "zstd").option("path", self.path).partitionBy("run").bucketBy(self.tasks, "bucket").saveAsTable(self.table)
 
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
-        remove(self.spark, f"{self.path}/{name}")
+    def _keep(self, run: int) -> None:
+        n = self.spark.table(self.table).where(F.col("run") == run).agg(F.sum("n")).first()[0]
+        self.runs.append((run, n or 0))
 
-    def compact(self, last: int | None = None) -> None:
-        """Merge the last runs (all, if none is named) into one; buckets stay where they are."""
-        old = self.runs[-last:] if last else self.runs
-        if len(old) > 1:
-            rows, self.runs = self.rows(old), self.runs[: -len(old)]
-            self._write(rows)
-            for name, _ in old:
-                self._drop(name)
+    def _forget(self, *runs: int) -> None:
+        for run in runs:
+            remove(self.spark, f"{self.path}/run={run}")
+        self.spark.catalog.refreshTable(self.table)
 
     def rows(self, runs: list | None = None) -> DataFrame:
-        found = None
-        for name, _ in runs if runs is not None else self.runs:
-            # the filter keeps the scan row by row: a union of columnar scans loses which bucket a partition is
-            table = self.spark.table(name).where("h is not null")
-            found = table if found is None else found.unionByName(table)
-        return found
+        """(bucket, h, v) of these runs, by default of all; the scan is dealt by bucket already."""
+        named = [run for run, _ in (runs if runs is not None else self.runs)]
+        if not named:
+            return self.spark.createDataFrame([], "bucket long, h binary, v binary")
+        return self.spark.table(self.table).where(F.col("run").isin(named)).select("bucket", "h", "v")
 
     def drop(self) -> None:
-        for name, _ in self.runs:
-            self._drop(name)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(self.spark, self.path)
         self.runs = []
 
-    def verdicts(self) -> DataFrame:
-        """(id, whole, open): keys of the stretches that repeat as a whole, and of those whose windows must be compared."""
-        by_h, by_c = Window.partitionBy("h"), Window.partitionBy("h", "c")
-        rows = (
-            self.rows()
-            .withColumns({"d0": F.min("id").over(by_h), "d1": F.max("id").over(by_h), "c0": F.min("c").over(by_h), "c1": F.max("c").over(by_h)})
-            .where("d0 < d1")
-            .withColumn("first", F.min("id").over(by_c))
-            .where("first < id or c0 < c1")
-        )
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                h, c = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-                yield pa.record_batch([b.column(2), pa.array(key_of(h, c).view(np.int64)), b.column(3)], names=["id", "k", "whole"])
-
-        kind = rows.schema["id"].dataType.simpleString()
-        keys = rows.select("h", "c", "id", (F.col("first") < F.col("id")).alias("whole")).mapInArrow(keyed, f"id {kind}, k long, whole boolean")
-        return keys.groupBy("id").agg(F.collect_list(F.when(F.col("whole"), F.col("k"))).alias("whole"), F.collect_list(F.when(~F.col("whole"), F.col("k"))).alias("open"))
-
-
-def _finish(words: list[bytes], gone: np.ndarray | None, text: bool) -> tuple[int, bytes | str]:
-    kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-    joined = b" ".join(kept)
-    return len(words) - len(kept), joined.decode("utf-8", "replace") if text else hashlib.sha256(joined).hexdigest()
-
+    def compact(self, last: int | None = None) -> None:
+        """Merge the last runs (all, if none is named) into one; hash ranges stay where they are."""
+        old = self.runs[-last:] if last else list(self.runs)
+        if len(old) < 2:
+            return
+        self.made = run = self.made + 1
+        kind = self.spark.table(self.table).schema
+
+        def merge(rows: pa.Table) -> pa.Table:
+            h, v = _unplaned(rows["h"]), _plain(rows["v"])
+            order, first = _sorted(h, v)
+            order = order[first]
+            made = {"bucket": [rows["bucket"][0].as_py()], "n": [len(order)], "h": [_planes(h[order])], "v": [v[order].tobytes()], "run": [run]}
+            return pa.table([pa.array(made[k], t) if k in made else pa.nulls(1, t) for k, t in zip(names, types, strict=True)], names=names)
+
+        names, types = [f.name for f in kind], [to_arrow_type(f.dataType) for f in kind]
+        self._lay(self.rows(old).groupBy("bucket").applyInArrow(merge, kind))
+        self.runs = self.runs[: -len(old)]
+        self._keep(run)
+        self._forget(*[r for r, _ in old])
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text: bool = True) -> DataFrame:
+        """Remove what a batch repeats, then index it: (id, n_words, n_removed, kept) per row of docs.
+
+        kept is the text left over (words joined by single spaces), or with text=False its SHA-256.  A window is repeated if
+        an earlier batch has it, or a document of this one with a smaller id; the windows are those of the input, not of
+        what is left.  Rows that repeat an id do not repeat each other.  A null text has no words; of fewer words than a
+        window, or without an id, nothing is removed, and nothing is indexed.  An empty batch gives no rows; other columns are
+        not read.
+        """
+        kind = docs.schema[id_col].dataType.simpleString()
+        window, bits, part_bytes, ranges = self.window, self.bits, self.part_bytes, self.ranges
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Documents with their parts (kind 0), and every part's windows by hash range (kind 1)."""
+            words, number = Words(), TaskContext.get().partitionId() << 32
+            numbers, ids, held, size = [], [], 0, 0
+            names = ["kind", "part", "id", "raw", "bucket", "h", "v", "first", "again"]
+
+            def sent() -> Iterator[pa.RecordBatch]:
+                """The windows of the documents held, each once with its least id, and whether two of these have it."""
+                sizes = np.array([len(x) for x in numbers])
+                who = pa.array(ids, type_).to_numpy(zero_copy_only=False)
+                for joined, starts, at in _stretches(numbers, window):
+                    h, v = words.windows(joined, window, bits)
+                    h, v = h[starts], v[starts]
+                    mine = who[np.searchsorted(np.cumsum(sizes), starts + at, side="right")]
+                    order, first = _sorted(h, v)
+                    h, v, mine = h[order[first]], v[order[first]], mine[order]
+                    least, most = np.minimum.reduceat(mine, first), np.maximum.reduceat(mine, first)
+                    bucket = (h >> np.uint64(64 - ranges)).astype(np.int64)
+                    edge = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+                    spans = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+                    lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(least, type_))
+                    flags = pa.array([np.packbits(least[a:b] < most[a:b]).tobytes() for a, b in spans], pa.binary())
+                    some = len(spans)
+                    yield pa.record_batch([pa.array([1] * some, pa.int32()), pa.array([number] * some, pa.int64()), pa.nulls(some, type_), pa.nulls(some, pa.binary()), pa.array(bucket[edge[:-1]]), pa.array([_planes(h[a:b]) for a, b in spans], pa.binary()), pa.array([v[a:b].tobytes() for a, b in spans], pa.binary()), lists, flags], names=names)
 
-def _spread(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
-    """Which of n words lie in one of the ranges."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, stops, -1)
-    return np.cumsum(edge[:-1]) > 0
+            for b in batches:
+                type_ = b.schema.field(0).type
+                for at in range(0, b.num_rows, 256):
+                    some = b.slice(at, 256)
+                    yielded = []
+                    for i, t in zip(some.column(0).to_pylist(), some.column(1), strict=True):
+                        raw = t.as_py() or b""
+                        yielded.append(number)
+                        size += len(raw)
+                        if i is not None:
+                            n = words.numbers(raw)
+                            if len(n) >= window:
+                                numbers.append(n)
+                                ids.append(i)
+                                held += len(n)
+                        if held >= CHUNK or size >= part_bytes:
+                            yield from sent()
+                            numbers, ids, held = [], [], 0
+                            if len(words) > REMEMBERED:
+                                words = Words()
+                        if size >= part_bytes:
+                            number, size = number + 1, 0
+                    k = some.num_rows
+                    yield pa.record_batch([pa.array([0] * k, pa.int32()), pa.array(yielded, pa.int64()), some.column(0), some.column(1), *[pa.nulls(k, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.list_(type_), pa.binary())]], names=names)
+            if numbers:
+                yield from sent()
+
+        def merge(new: pa.Table, old: pa.Table) -> pa.Table:
+            """The range's part of the new run, and answers to the parts (as a run of the opposite number)."""
+            names = ["bucket", "part", "n", "h", "v", "first", "old", "run"]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(new.schema.field("first").type.value_type), pa.binary(), pa.int32()]
+            if not new.num_rows:
+                return pa.table([pa.nulls(0, t) for t in types], names=names)
+            h, v = _unplaned(new["h"]), _plain(new["v"])
+            firsts = new["first"].combine_chunks()
+            sizes = firsts.value_lengths().to_numpy()
+            least = firsts.flatten().to_numpy(zero_copy_only=False)
+            part = np.repeat(new["part"].to_numpy(), sizes)
+            again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(new["again"].to_pylist(), sizes.tolist(), strict=True)]).astype(bool)
+            order, start = _sorted(h, v)
+            h, v, least, part, again = h[order], v[order], least[order], part[order], again[order]
+            group = np.zeros(len(h), np.int64)
+            group[start[1:]] = 1
+            group = np.cumsum(group)
+            first = np.minimum.reduceat(least, start)
+            known_h, known_v = _unplaned(old["h"]), _plain(old["v"])
+            known, _ = _sorted(known_h, known_v)
+            held = find(h[start], v[start], known_h[known], known_v[known]) >= 0
+            hit = np.flatnonzero(held[group] | again | (first[group] < least))
+            hit = hit[np.argsort(part[hit], kind="stable")]
+            edge = np.r_[0, np.flatnonzero(part[hit][1:] != part[hit][:-1]) + 1, len(hit)] if len(hit) else np.zeros(1, np.int64)
+            bucket = new["bucket"][0].as_py()
+            rows = []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                x = hit[a:b]
+                rows.append((bucket, int(part[x[0]]), len(x), _planes(h[x]), v[x].tobytes(), first[group[x]], np.packbits(held[group[x]]).tobytes(), -run))
+            fresh = start[~held]
+            rows.append((bucket, None, len(fresh), _planes(h[fresh]), v[fresh].tobytes(), None, None, run))
+            return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        def judge(mine: pa.Table, told: pa.Table) -> pa.Table:
+            """A part's documents without the words that its repeated windows cover."""
+            known_h, known_v = _unplaned(told["h"]), _plain(told["v"])
+            order, once = _sorted(known_h, known_v)  # a part's chunks may each have been told
+            order = order[once]
+            known_h, known_v = known_h[order], known_v[order]
+            if told.num_rows:
+                first = told["first"].combine_chunks().flatten().to_numpy(zero_copy_only=False)[order]
+                old = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(told["old"].to_pylist(), told["n"].to_pylist(), strict=True)]).astype(bool)[order]
+            words, ids = Words(), mine["id"].to_pylist()
+            raws = [x.as_py() or b"" for x in mine["raw"]]
+            count, gone, out = [0] * len(ids), [None] * len(ids), []
+            some: list[tuple[int, np.ndarray]] = []
+
+            def mark():
+                sizes = np.array([len(n) for _, n in some])
+                ends = np.cumsum(sizes)
+                who = pa.array([ids[k] for k, _ in some], mine.schema.field("id").type).to_numpy(zero_copy_only=False)
+                edges = np.zeros(int(ends[-1]) + 1, np.int32)
+                for joined, starts, at in _stretches([n for _, n in some], window):
+                    h, v = words.windows(joined, window, bits)
+                    h, v = h[starts], v[starts]
+                    place = find(h, v, known_h, known_v)
+                    hit = np.flatnonzero(place >= 0)
+                    at = starts[hit] + at
+                    own = who[np.searchsorted(ends, at, side="right")]
+                    at = at[old[place[hit]] | (first[place[hit]] < own)]
+                    edges[at] += 1
+                    edges[at + window] -= 1
+                covered = np.cumsum(edges[:-1]) > 0
+                for (k, _), a, b in zip(some, (ends - sizes).tolist(), ends.tolist(), strict=True):
+                    if covered[a:b].any():
+                        gone[k] = covered[a:b]
+
+            held = 0
+            for k, raw in enumerate(raws):
+                if ids[k] is None or not told.num_rows:
+                    continue
+                n = words.numbers(raw)
+                if len(n) >= window:
+                    some.append((k, n))
+                    held += len(n)
+                if held >= CHUNK:
+                    mark()
+                    some, held = [], 0
+            if some:
+                mark()
+            for k, raw in enumerate(raws):
+                kept, at, removed = [], 0, 0
+                for w in split(raw):
+                    count[k] += len(w)
+                    if gone[k] is not None:
+                        mask = gone[k][at : at + len(w)]
+                        at += len(w)
+                        removed += int(mask.sum())
+                        w = [x for x, g in zip(w, mask.tolist(), strict=True) if not g]
+                    if w:
+                        kept.append(b" ".join(w))
+                joined = b" ".join(kept)
+                out.append((ids[k], count[k], removed, joined.decode("utf-8", "replace") if text else hashlib.sha256(joined).hexdigest()))
+            types = [mine.schema.field("id").type, pa.int64(), pa.int64(), pa.string()]
+            return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, types, strict=True)], names=["id", "n_words", "n_removed", "kept"])
+
+        spark, at, done = self.spark, new_path(self.spark, "batch"), new_path(self.spark, "judged")
+        self.made = run = self.made + 1
+        schema = f"kind int, part long, id {kind}, raw binary, bucket long, h binary, v binary, first array<{kind}>, again binary"
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(cut, schema).write.option("compression", "zstd").partitionBy("kind").parquet(at)
+        rows = spark.read.schema(schema).parquet(at)
+        sent = rows.where("kind = 1").select("bucket", "part", "h", "v", "first", "again").repartition(self.tasks, "bucket")
+        self._lay(sent.groupBy("bucket").cogroup(self.rows().groupBy("bucket")).applyInArrow(merge, f"bucket long, part long, n long, h binary, v binary, first array<{kind}>, old binary, run int"))
+        told = spark.table(self.table).where(F.col("run") == -run).select("part", "n", "h", "v", "first", "old")
+        mine = rows.where("kind = 0").select("part", "id", "raw")
+        judged = mine.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(judge, f"id {kind}, n_words long, n_removed long, kept string")
+        judged.write.option("compression", "zstd").parquet(done)
+        remove(spark, at)
+        self._keep(run)
+        self._forget(-run)
+        while len(self.runs) > 1 and self.runs[-2][1] < 2 * self.runs[-1][1] and self.runs[-1][1] < 2 * self.runs[-2][1]:
+            self.compact(2)
+        return spark.read.schema(judged.schema).parquet(done)
 
 
-def remove_repeats(docs: DataFrame, index: WindowIndex, id_col: str = "doc_id", text_col: str = "text", text: bool = True, drop_index: bool = False) -> DataFrame:
-    """(id, n_words, n_removed, kept) per row of docs, which must hold all documents of the index and may hold more.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text: bool = True, batches: int = BATCHES, **options) -> DataFrame:
+    """WindowIndex.add()'s rows for a whole table, taken in batches of like size in order of id.
 
-    kept is the text left over (words joined by single spaces), or with text=False its SHA-256.  Nothing is removed from a row
-    without an id, of fewer words than a window, or with null text.  Rows that repeat an id do not repeat each other.  The
-    smaller id of equal texts keeps the text.  An empty table gives no rows; other columns are not read.
+    As every batch's ids are above those before it, a window is repeated exactly where a document with a smaller id has it.
+    Rows of one id share a batch; rows without an id go with the first.
     """
-    window, anchor = index.window, index.anchor
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = write_out(index.verdicts(), "verdicts") if index.runs else docs.sparkSession.createDataFrame([], f"id {kind}, whole array<long>, open array<long>")
-    if drop_index:
-        index.drop()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    joined = rows.join(found.withColumnRenamed("id", "of"), rows["id"] == F.col("of"), "left").select("id", "raw", "whole", "open")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_intdigest as digest
-
-        names = ["id", "n_words", "n_removed", "kept", "raw", "gone", "tests"]
-        test = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("i", pa.int32())]))
-        types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), test]
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                some, out = b.slice(at, 1000), []
-                for t, whole, open_ in zip(some.column(1), some.column(2), some.column(3), strict=True):
-                    raw = t.as_py() or b""
-                    words = raw.split()
-                    if not whole.is_valid or len(words) < window:
-                        out.append((len(words), *_finish(words, None, text), None, None, []))
-                        continue
-                    s = Stretches(words, window, anchor)
-                    keys = s.keys()
-                    hit = np.isin(keys, whole.values.to_numpy(zero_copy_only=False))
-                    gone = _spread(s.lo[hit], s.hi[hit] + window, len(words))
-                    tests = []
-                    for j in np.flatnonzero(np.isin(keys, open_.values.to_numpy(zero_copy_only=False)) & ~hit).tolist():
-                        for i in range(s.lo[j], s.hi[j] + 1):
-                            d = digest(s.norm[s.start[i] : s.end[i + window - 1]])
-                            tests.append({"a": (d >> 64) - (1 << 63), "b": (d & (1 << 64) - 1) - (1 << 63), "i": i})
-                    if tests:
-                        out.append((len(words), None, None, raw, np.packbits(gone).tobytes(), tests))
-                    else:
-                        out.append((len(words), *_finish(words, gone, text), None, None, []))
-                yield pa.record_batch([some.column(0), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]], names=names)
-
-    schema = f"id {kind}, n_words long, n_removed long, kept string, raw binary, gone binary, tests array<struct<a: long, b: long, i: int>>"
-    judged = write_out(joined.mapInArrow(judge, schema).withColumn("row", F.monotonically_increasing_id()), "judged")
-    tests = judged.select("row", "id", F.explode("tests").alias("x")).select("row", "id", "x.*")
-    first = tests.groupBy("a", "b").agg(F.min("id").alias("first"))
-    again = tests.join(first, ["a", "b"]).where("first < id").groupBy("row").agg(F.collect_list("i").alias("starts"))
-    pending = judged.where("raw is not null").select("row", "id", "n_words", "raw", "gone").join(again, "row", "left").select("id", "n_words", "raw", "gone", "starts")
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for raw, was, starts in zip(b.column(2), b.column(3), b.column(4), strict=True):
-                words = raw.as_py().split()
-                gone = np.unpackbits(np.frombuffer(was.as_py(), np.uint8), count=len(words)).astype(bool)
-                if starts.is_valid:
-                    i = starts.values.to_numpy(zero_copy_only=False)
-                    gone |= _spread(i, i + window, len(words))
-                out.append(_finish(words, gone, text))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], names=["id", "n_words", "n_removed", "kept"])
-
-    settled = pending.mapInArrow(settle, f"id {kind}, n_words long, n_removed long, kept string")
-    return judged.where("raw is null").select("id", "n_words", "n_removed", "kept").unionByName(settled)
-
-
-def index_in_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: tuple[float, ...] = BATCHES, **options) -> WindowIndex:
-    """An index of docs, added batch by batch in order of id."""
-    index = WindowIndex(docs.sparkSession, **options)
-    shares = [float(x) for x in np.cumsum(batches)[:-1]]
-    cuts = docs.select(F.percentile_approx(id_col, shares, 10_000).alias("p")).first()["p"] or []
-    edges = [None, *sorted(set(cuts)), None]
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        part = docs if lo is None else docs.where(F.col(id_col) > lo)
-        index.add(part if hi is None else part.where(F.col(id_col) <= hi), id_col, text_col)
-    return index
+    shares = [k / batches for k in range(1, batches)]
+    facts = docs.agg(F.percentile_approx(id_col, shares, 10_000).alias("cuts"), F.sum(F.octet_length(text_col)).alias("bytes")).first() if shares else None
+    edges = [None, *sorted(set(facts["cuts"] or [] if facts else [])), None]
+    found = None
+    with WindowIndex(docs.sparkSession, expected=int((facts and facts["bytes"]) or 1) // 6, **options) as index:
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            held = F.lit(True) if lo is None and hi is None else F.col(id_col) > F.lit(lo) if hi is None else F.col(id_col) <= F.lit(hi)
+            if lo is not None and hi is not None:
+                held = held & (F.col(id_col) > F.lit(lo))
+            part = index.add(docs.where(held if lo is not None else held | F.col(id_col).isNull()), id_col, text_col, text)
+            found = part if found is None else found.unionByName(part)
+    return found
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    got = remove_repeats(docs, index_in_batches(docs), text=False, drop_index=True)
+    got = remove_repeats(read(spark, sf_dir, "documents"), text=False)
     return got.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 

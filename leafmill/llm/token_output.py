@@ -235,7 +235,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .repartitionByRange(n, "id", F.substring("text", 1, 128))
+        .repartitionByRange(n, "id", F.substring("text", 1, 16))
         .sortWithinPartitions("id", "text")
         .mapInArrow(run, f"part int, block int, ids array<{kind.simpleString()}>, n_tokens long, payload binary")
         .write.option("compression", "zstd")

@@ -49,31 +49,63 @@ def found(df):
 def test_repeats_equal_brute_force(spark):
     rows = cases()
     docs = documents(spark, rows)
-    assert found(S.remove_repeats(docs, S.index_in_batches(docs), text=False, drop_index=True)) == slow(rows)
-    texts = S.remove_repeats(docs, S.index_in_batches(docs, anchor=9, batches=(0.5, 0.5)), drop_index=True).collect()
+    assert found(S.remove_repeats(docs, text=False)) == slow(rows)
+    texts = S.remove_repeats(docs, batches=2, part_bytes=1000).collect()
     assert sorted((repr(r["id"]), hashlib.sha256(r["kept"].encode()).hexdigest()) for r in texts) == sorted((a, d) for a, _, _, d in slow(rows))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("leafmill_windows")]
 
 
-def test_runs_are_compacted_and_batches_meet_history(spark):
+@pytest.mark.parametrize("bits", [64, 7])
+def test_batches_meet_history_by_their_own_texts(spark, bits):
+    """Each batch brings its own texts only; with 7 bits most windows share their fingerprint with others."""
     rows = [r for r in cases() if r[0] is not None]
     rows.sort(key=lambda r: r[0])
-    index, seen = S.WindowIndex(spark), []
-    for k in range(0, len(rows), 20):
-        seen += rows[k : k + 20]
-        index.add(documents(spark, rows[k : k + 20]))
-        assert found(S.remove_repeats(documents(spark, seen), index, text=False)) == slow(seen)
-        assert all(a[1] >= 2 * b[1] or b[1] >= 2 * a[1] for a, b in zip(index.runs, index.runs[1:], strict=False))
-    before = index.rows().count()
-    index.compact()
-    assert len(index.runs) == 1 and index.rows().count() == before
-    index.drop()
+    with S.WindowIndex(spark, bits=bits) as index:
+        got = []
+        for lo, hi in ((0, 20), (20, 40), (40, 60), (60, 92), (92, 1000)):
+            batch = [r for r in rows if lo < r[0] <= hi]
+            got += found(index.add(documents(spark, batch), text=False))
+            assert all(a[1] >= 2 * b[1] or b[1] >= 2 * a[1] for a, b in zip(index.runs, index.runs[1:], strict=False))
+        assert sorted(got) == slow(rows)
+        windows = {tuple((t or "").encode().split()[a : a + 13]) for _, t in rows for a in range(len((t or "").encode().split()) - 12)}
+        assert sum(n for _, n in index.runs) == len(windows)
+        index.compact()
+        assert len(index.runs) == 1 and index.runs[0][1] == len(windows)
+        index.add(documents(spark, rows[:30]), text=False)
+        joined = spark.range(9).selectExpr("id AS bucket").repartition(index.tasks, "bucket").groupBy("bucket").cogroup(index.rows().groupBy("bucket")).applyInArrow(lambda a, b: a, "bucket long")
+        assert len(index.runs) == 2 and joined._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the runs do not move
+
+
+def test_ids_of_other_kinds_and_earlier_batches_win(spark):
+    shared = text(30)
+    with S.WindowIndex(spark, part_bytes=50) as index:
+        docs = spark.createDataFrame([("b", shared), ("a", shared + " x"), ("c", text(40)), (None, shared)], "key string, body string")
+        got = {r["id"]: r["n_removed"] for r in index.add(docs, "key", "body").collect()}
+        assert got == {"b": 30, "a": 0, "c": 0, None: 0}
+        late = spark.createDataFrame([("0", shared), ("1", text(20))], "key string, body string")
+        assert {r["id"]: r["n_removed"] for r in index.add(late, "key", "body").collect()} == {"0": 30, "1": 0}
+
+
+def test_words_that_polynomial_hashes_confuse_stay(spark):
+    """Two windows whose last words are a Thue-Morse string and its complement are different."""
+    start = text(12)
+    a = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    rows = [(1, f"{start} {a}"), (2, f"{start} {a.translate(str.maketrans('ab', 'ba'))}")]
+    assert [n for _, _, n, _ in found(S.remove_repeats(documents(spark, rows), text=False))] == [0, 0]
+
+
+def test_a_text_longer_than_its_pieces():
+    raw = (" ".join(f"w{i % 997}" for i in range(1_700_000)) + " \n").encode()
+    assert [w for part in S.split(raw) for w in part] == raw.split() and sum(1 for _ in S.split(raw)) == 2
+    words = S.Words()
+    n = words.numbers(raw)
+    h, v = words.windows(n[:2000], 13, 64)
+    assert len(n) == 1_700_000 and h[3] == h[1000] and v[3] == v[1000] and len(set(h.tolist())) == 997
 
 
 def test_repeats_of_nothing(spark):
-    docs = documents(spark, [])
-    assert S.remove_repeats(docs, S.index_in_batches(docs)).count() == 0
-    docs = documents(spark, [(1, None), (None, text(20))])
-    assert S.remove_repeats(docs, S.index_in_batches(docs)).count() == 2
+    assert S.remove_repeats(documents(spark, [])).count() == 0
+    assert S.remove_repeats(documents(spark, [(1, None), (None, text(20))])).count() == 2
 
 
 @pytest.fixture(scope="module")
