@@ -1,14 +1,19 @@
 """Hidden Markov language model: Baum-Welch training over the whole corpus, exact likelihoods by the scaled forward recursion.
 
 Counts.  All training tokens are counted (pre-aggregated in each task, then summed by token); every token's count enters the
-scores, however rare it is: the ``known`` most frequent tokens are broadcast, all others are joined.
+scores, however rare it is: the ``known`` most frequent tokens of at most LONGEST bytes are broadcast, all others are joined.
 
 Model.  ``STATES`` hidden states emit classes: each of the ``emitted`` most frequent tokens is a class of its own, and every other
 token belongs to one of ``ENDINGS`` classes by a hash of its last three bytes, inside which it has the probability
 (c + 0.5) / (N_class + 0.5 (V_class + 1)).  This is a proper distribution over known tokens and one unseen token a class.
 
-Training.  Baum-Welch runs to a warm start on a bounded hash sample, then ``PASSES`` times over all training documents: each task sums
-expected counts over its documents (in stretches of at most ``STRETCH`` tokens), and a shuffle by class adds the tasks up.
+Encoding.  The texts are read once more and become arrays of class numbers, written to the shared folder; training and scoring
+read these alone.
+
+Training.  Every Baum-Welch round goes over all training documents, whole: each task sums expected counts over its documents, and
+a shuffle by class adds the tasks up.  Rounds end when the likelihood's gain falls below ``GAIN`` of it, or after ``ROUNDS``.
+Documents are taken side by side, place by place; stretches of places are held one at a time, the forward variables at
+their edges are kept, and the backward ones are carried over them, so that a document of any length counts as one sequence.
 
 Scoring.  The forward recursion runs over a whole text and its end token, with scaling at each token.
 """
@@ -31,13 +36,13 @@ STATES = 8
 KNOWN = 200_000
 EMITTED = 32_768
 ENDINGS = 512
-PASSES = 2
-#: Training documents of the warm start, on average.
-WARM_DOCS = 2500
-WARM_ROUNDS = 12
-STRETCH = 512
-CHUNK_TOKENS = 200_000
-SCORE_TOKENS = 1_000_000
+#: Longest token, in bytes, that is broadcast and emitted by itself.
+LONGEST = 64
+ROUNDS = 8
+GAIN = 1e-3
+#: Tokens of the documents taken side by side, and of a stretch of places whose variables are held at once.
+POOL_TOKENS = 1_000_000
+STRETCH_TOKENS = 400_000
 #: Tokens that a task counts before it passes their counts on.
 COUNTED = 300_000
 END = b""
@@ -112,34 +117,69 @@ class Hmm:
         start, step, emit = start + 0.1, step + 0.1, emit + 200 * prior[:, None] + 1e-9
         return Hmm(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
-    def expect(self, seqs: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> float:
+    def expect(self, seqs: list[np.ndarray], start: np.ndarray, step: np.ndarray, emit: np.ndarray, stretch: int = STRETCH_TOKENS) -> float:
         """Add expected counts of these sequences (forward and backward, all sequences at once); returns the log-likelihood."""
         ids, sizes = _by_time(seqs)
         at = np.r_[0, np.cumsum(sizes)]
-        e = self.emit[ids].astype(np.float32)
-        alpha, scale = np.empty_like(e), np.empty(len(e), np.float32)
-        a32 = self.step.astype(np.float32)
-        for t in range(len(sizes)):
-            lo, hi = at[t], at[t + 1]
-            p = e[lo:hi] * (alpha[at[t - 1] : at[t - 1] + hi - lo] @ a32 if t else self.start.astype(np.float32))
-            scale[lo:hi] = s = p.sum(axis=1)
-            alpha[lo:hi] = p / s[:, None]
-        start += 0
-        beta = np.ones((0, e.shape[1]), np.float32)
-        for t in range(len(sizes) - 1, -1, -1):
-            lo, hi = at[t], at[t + 1]
-            here = np.ones((hi - lo, e.shape[1]), np.float32)
-            here[: len(beta)] = beta
-            weighed = e[lo:hi] * here / scale[lo:hi, None]
-            e[lo:hi] = alpha[lo:hi] * here  # from here on gamma
-            if t:
-                before = alpha[at[t - 1] : at[t - 1] + hi - lo]
-                step += self.step * (before.T.astype(np.float64) @ weighed)
-                beta = weighed @ a32.T
-        start += e[: sizes[0]].sum(axis=0)
-        for s in range(e.shape[1]):
-            emit[:, s] += np.bincount(ids, weights=e[:, s], minlength=len(emit))
-        return float(np.log(scale.astype(np.float64)).sum())
+        table, move, ones = self.emit.astype(np.float32), self.step.astype(np.float32), np.ones(len(self.start), np.float32)
+        back = np.ascontiguousarray(move.T)
+        edges = [0]
+        while edges[-1] < len(sizes):
+            edges.append(max(edges[-1] + 1, int(np.searchsorted(at, at[edges[-1]] + stretch, side="right")) - 1))
+
+        def forward(k: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Emissions, forward variables and scales of stretch k, whose first place follows the variables ``before``."""
+            first, last = edges[k], edges[k + 1]
+            e = table[ids[at[first] : at[last]]]
+            alpha, scale = np.empty_like(e), np.empty(len(e), np.float32)
+            spans = (at[first : last + 1] - at[first]).tolist()
+            for lo, hi in zip(spans[:-1], spans[1:], strict=True):
+                p = alpha[lo:hi]
+                if before is None:
+                    p[:] = self.start
+                else:
+                    np.matmul(before[: hi - lo], move, out=p)
+                p *= e[lo:hi]
+                np.matmul(p, ones, out=scale[lo:hi])
+                p /= scale[lo:hi, None]
+                before = p
+            return e, alpha, scale
+
+        kept: list[np.ndarray | None] = [None]
+        total = 0.0
+        for k in range(len(edges) - 1):
+            made = forward(k, kept[k])
+            kept.append(made[1][len(made[1]) - sizes[edges[k + 1] - 1] :].copy())
+            total += float(np.log(made[2], dtype=np.float64).sum())
+        after = None  # backward variables of the next stretch's first place, moved to this stretch's last
+        for k in range(len(edges) - 2, -1, -1):
+            first, last = edges[k], edges[k + 1]
+            e, alpha, scale = made if k == len(edges) - 2 else forward(k, kept[k])
+            e /= scale[:, None]
+            beta = np.ones_like(e)
+            spans = (at[first : last + 1] - at[first]).tolist()
+            if after is not None:
+                beta[spans[-2] : spans[-2] + len(after)] = after
+            for i in range(last - first - 1, -1, -1):
+                lo, hi = spans[i], spans[i + 1]
+                w = e[lo:hi]
+                w *= beta[lo:hi]
+                if i:
+                    np.matmul(w, back, out=beta[spans[i - 1] : spans[i - 1] + hi - lo])
+            n = sizes[first]
+            if k:
+                after = e[:n] @ back
+                step += self.step * (kept[k][:n].T @ e[:n])
+            inner = np.arange(n, len(e))
+            before = alpha[inner - np.repeat(sizes[first : last - 1], sizes[first + 1 : last])]
+            step += self.step * (before.T @ e[n:])
+            alpha *= beta
+            if not k:
+                start += alpha[:n].sum(axis=0)
+            here = ids[at[first] : at[last]]
+            for s in range(alpha.shape[1]):
+                emit[:, s] += np.bincount(here, weights=alpha[:, s], minlength=len(emit))
+        return total
 
     def likelihoods(self, seqs: list[np.ndarray]) -> np.ndarray:
         """Exact log10 likelihood of each sequence by the scaled forward recursion."""
@@ -164,15 +204,11 @@ def _by_time(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.bincount(np.minimum(length, length[0]), minlength=length[0] + 1)[::-1].cumsum()[::-1][1:]
     first = np.r_[0, np.cumsum(sizes)][:-1]
     place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    ids = np.empty(length.sum(), np.int64)
+    ids = np.empty(length.sum(), np.int32)
     ids[first[place] + np.repeat(np.arange(len(seqs)), length)] = np.concatenate(seqs)
     return ids, sizes
 
 
-def _stretches(seq: np.ndarray) -> list[np.ndarray]:
-    return [seq[i : i + STRETCH] for i in range(0, len(seq), STRETCH)]
-
-
 def count_tokens(train: DataFrame) -> DataFrame:
     """(word binary, c) over all rows of train (column raw)."""
 
@@ -213,10 +249,11 @@ def _least_count(counts: DataFrame, known: int) -> int:
 
 
 def vocabulary(counts: DataFrame, known: int = KNOWN, emitted: int = EMITTED) -> Vocabulary:
-    frequent = counts.where(F.col("c") >= _least_count(counts, known)).collect()
+    short = counts.where(F.octet_length("word") <= LONGEST)
+    frequent = short.where(F.col("c") >= _least_count(short, known)).collect()
     top = sorted(frequent, key=lambda r: (-r["c"], bytes(r["word"])))
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    rest = counts.where(_beyond(top[min(emitted, len(top)) - 1])) if top else counts
+    rest = counts.where(_beyond(top[min(emitted, len(top)) - 1]) | (F.octet_length("word") > LONGEST)) if top else counts
     by_ending = rest.groupBy((F.crc32(F.expr("substring(word, -3, 3)")) % ENDINGS).cast("int").alias("e")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     n, v = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in by_ending:
@@ -224,19 +261,35 @@ def vocabulary(counts: DataFrame, known: int = KNOWN, emitted: int = EMITTED) ->
     return Vocabulary([bytes(r["word"]) for r in top], np.array([r["c"] for r in top], float), min(emitted, len(top)), whole["n"] or 0, whole["v"], n, v)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], voc: Vocabulary) -> Iterator[list[np.ndarray]]:
-    """Stretches of the texts in column 0, about CHUNK_TOKENS at a time."""
-    held, n = [], 0
-    for b in batches:
-        for t in b.column(0):
-            words = tokens(t.as_py())
-            held += _stretches(voc.encode(words, voc.ranks(words)))
-            n += len(words)
-            if n >= CHUNK_TOKENS:
-                yield held
-                held, n = [], 0
-    if held:
-        yield held
+def encode(docs: DataFrame, voc: Vocabulary) -> DataFrame:
+    """Rows of docs (columns id, raw, learn) as class numbers, with what the frequent tokens add to the scores, and the rare ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(voc)
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = shared.value
+        names = ["id", "learn", "n_tokens", "n_known", "base", "inside", "words", "times", "classes"]
+        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                some, out = b.slice(at, 500), []
+                for t in some.column(1):
+                    words = tokens(t.as_py())
+                    ranks = voc.ranks(words)
+                    ids = voc.encode(words, ranks)
+                    found = ranks >= 0
+                    base = float(voc.log_count[ranks[found]].sum())
+                    inside = float(voc.log_count[ranks[ranks >= voc.emitted]].sum()) - float(voc.log_rest[ids[ids >= voc.emitted] - voc.emitted].sum())
+                    rare = Counter(words[j] for j in np.flatnonzero(~found).tolist())
+                    out.append((len(words), int(found.sum()), base, inside, list(rare.keys()), list(rare.values()), ids.astype("<i4" if voc.classes >> 16 else "<u2").tobytes()))
+                yield pa.record_batch([some.column(0), some.column(2), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]], names=names)
+
+    schema = f"id {kind}, learn boolean, n_tokens long, n_known long, base double, inside double, words array<binary>, times array<long>, classes binary"
+    return write_out(docs.select("id", "raw", "learn").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "encoded")
+
+
+def _read(column: pa.Array, wide: bool) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), "<i4" if wide else "<u2") for x in column]
 
 
 def _flat(hmm: Hmm) -> bytes:
@@ -249,130 +302,108 @@ def _unflat(raw: bytes, states: int) -> Hmm:
     return Hmm(v[:states], v[states:k].reshape(states, states), v[k:].reshape(-1, states))
 
 
-def warm_start(train: DataFrame, voc: Vocabulary, states: int = STATES, docs: int = WARM_DOCS, rounds: int = WARM_ROUNDS) -> Hmm:
-    """Baum-Welch on a hash sample of about ``docs`` training documents, in one task."""
-    n = int(voc.counts[voc.rank[END]]) if END in voc.rank else 0
-    first = Hmm.first(voc.class_prior(), states)
-    if not n:
-        return first
-    top = 1 << 30
-    sample = train.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(top)) < min(top, top * docs // n))
-    shared = train.sparkSession.sparkContext.broadcast((voc, _flat(first)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, hmm = shared.value[0], _unflat(shared.value[1], states)
-        chunks = list(_encoded(batches, voc))
-        for _ in range(rounds if chunks else 0):
-            start, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros(hmm.emit.shape)
-            for c in chunks:
-                hmm.expect(c, start, step, emit)
-            hmm = Hmm.from_counts(start, step, emit, voc.class_prior())
-        yield pa.record_batch([pa.array([_flat(hmm)], pa.binary())], names=["model"])
-
-    made = sample.repartition(1).sortWithinPartitions("key").select("raw").mapInArrow(run, "model binary").first()
-    return _unflat(bytes(made["model"]), states) if made else first
-
-
-def baum_welch(train: DataFrame, voc: Vocabulary, hmm: Hmm) -> Hmm:
-    """One pass over all training documents; the tasks' expected counts are added up by class."""
-    states = len(hmm.start)
-    shared = train.sparkSession.sparkContext.broadcast((voc, _flat(hmm)))
+def baum_welch(train: DataFrame, voc: Vocabulary, hmm: Hmm) -> tuple[Hmm, float]:
+    """One round over all training documents (column classes): the next model, and the log-likelihood under this one."""
+    states, classes, wide = len(hmm.start), voc.classes, bool(voc.classes >> 16)
+    shared = train.sparkSession.sparkContext.broadcast(_flat(hmm))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, hmm = shared.value[0], _unflat(shared.value[1], states)
-        start, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros(hmm.emit.shape)
-        for c in _encoded(batches, voc):
-            hmm.expect(c, start, step, emit)
+        hmm = _unflat(shared.value, states)
+        start, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
+        held, n, total = [], 0, 0.0
+        for b in batches:
+            for x in _read(b.column(0), wide):
+                held.append(x)
+                n += len(x)
+                if n >= POOL_TOKENS:
+                    total += hmm.expect(held, start, step, emit)
+                    held, n = [], 0
+        if held:
+            total += hmm.expect(held, start, step, emit)
         used = np.flatnonzero(emit.any(axis=1))
-        rows = np.vstack([emit[used], step, start])
-        names = np.concatenate([used, -1 - np.arange(states), [-1 - states]])
+        rows = np.vstack([emit[used], step, start, np.full(states, total)])
+        names = np.concatenate([used, -1 - np.arange(states + 2)])
         yield pa.record_batch([pa.array(names, pa.int64()), *[pa.array(rows[:, s]) for s in range(states)]], names=["k", *[f"s{s}" for s in range(states)]])
 
     cols = [f"s{s}" for s in range(states)]
-    got = train.select("raw").mapInArrow(run, "k long, " + ", ".join(f"{c} double" for c in cols)).groupBy("k").agg(*[F.sum(c).alias(c) for c in cols]).collect()
-    start, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros(hmm.emit.shape)
+    got = train.select("classes").mapInArrow(run, "k long, " + ", ".join(f"{c} double" for c in cols)).groupBy("k").agg(*[F.sum(c).alias(c) for c in cols]).collect()
+    shared.destroy()
+    start, step, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states)), 0.0
     for r in got:
         k, v = r["k"], list(r[1:])
         if k >= 0:
             emit[k] = v
         elif k >= -states:
             step[-1 - k] = v
-        else:
+        elif k == -1 - states:
             start[:] = v
-    return Hmm.from_counts(start, step, emit, voc.class_prior())
+        else:
+            total = v[0]
+    return Hmm.from_counts(start, step, emit, voc.class_prior()), total
 
 
-def train_model(train: DataFrame, passes: int = PASSES, known: int = KNOWN, emitted: int = EMITTED) -> tuple[DataFrame, Vocabulary, Hmm]:
-    """Token counts, vocabulary and model of train (columns key, raw)."""
-    counts = count_tokens(train)
-    voc = vocabulary(counts, known, emitted)
-    hmm = warm_start(train, voc)
-    for _ in range(passes if voc.total else 0):
-        hmm = baum_welch(train, voc, hmm)
-    return counts, voc, hmm
+def train_model(train: DataFrame, voc: Vocabulary, states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN) -> Hmm:
+    """Baum-Welch over the encoded training documents from a seeded first guess, until it settles."""
+    hmm, before = Hmm.first(voc.class_prior(), states), None
+    for _ in range(rounds if voc.total else 0):
+        hmm, now = baum_welch(train, voc, hmm)
+        if before is not None and now - before < gain * abs(before):
+            break
+        before = now
+    return hmm
 
 
-def score(docs: DataFrame, counts: DataFrame, voc: Vocabulary, hmm: Hmm) -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) per row of docs (columns id, raw)."""
-    states = len(hmm.start)
-    shared = docs.sparkSession.sparkContext.broadcast((voc, _flat(hmm)))
-    kind = docs.schema["id"].dataType.simpleString()
+def score(encoded: DataFrame, counts: DataFrame, voc: Vocabulary, hmm: Hmm) -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) per encoded row."""
+    states, wide = len(hmm.start), bool(voc.classes >> 16)
+    shared = encoded.sparkSession.sparkContext.broadcast(_flat(hmm))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, hmm = shared.value[0], _unflat(shared.value[1], states)
-        held: list[tuple] = []
-        names = ["id", "n_tokens", "n_known", "base", "score", "words", "times"]
-        types = [None, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        hmm = _unflat(shared.value, states)
+        rows, seqs, n = [], [], 0
 
         def out():
-            forward = hmm.likelihoods([h[0] for h in held])
-            rows = [(*h[1:5], f + h[5], *h[6:]) for h, f in zip(held, forward.tolist(), strict=True)]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            return pa.record_batch([pa.array(rows, pa.int64()), pa.array(hmm.likelihoods(seqs))], names=["row", "forward"])
 
-        n = 0
         for b in batches:
-            types[0] = b.schema.field(0).type
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = tokens(t.as_py())
-                ranks = voc.ranks(words)
-                ids = voc.encode(words, ranks)
-                found = ranks >= 0
-                base = float(voc.log_count[ranks[found]].sum())
-                inside = float(voc.log_count[ranks[ranks >= voc.emitted]].sum()) - float(voc.log_rest[ids[ids >= voc.emitted] - voc.emitted].sum())
-                rare = Counter(words[j] for j in np.flatnonzero(~found).tolist())
-                held.append((ids, i, len(words), int(found.sum()), base, inside, list(rare.keys()), list(rare.values())))
-                n += len(words)
-                if n >= SCORE_TOKENS:
+            for row, x in zip(b.column(0).to_pylist(), _read(b.column(1), wide), strict=True):
+                rows.append(row)
+                seqs.append(x)
+                n += len(x)
+                if n >= POOL_TOKENS:
                     yield out()
-                    held, n = [], 0
-        if held:
+                    rows, seqs, n = [], [], 0
+        if rows:
             yield out()
 
-    schema = f"id {kind}, n_tokens long, n_known long, base double, score double, words array<binary>, times array<long>"
-    marked = write_out(docs.select("id", "raw").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    forward = encoded.select("row", "classes").mapInArrow(run, "row long, forward double")
+    marked = encoded.drop("classes")
     rare = marked.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
     c = F.coalesce("c", F.lit(0))
     joined = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
     floor = float(np.log10(voc.total + 0.5 * (voc.distinct + 1)))
     rare_score = F.coalesce("rare", F.lit(0.0))
-    return marked.join(joined, "row", "left").select(
+    return marked.join(forward, "row").join(joined, "row", "left").select(
         "id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         (F.col("base") + rare_score - F.col("n_tokens") * floor).alias("base_score"),
-        (F.col("score") + rare_score).alias("score"),
+        (F.col("forward") + F.col("inside") + rare_score).alias("score"),
     )
 
 
-def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Train on the rows where ``learn`` holds and score all rows of docs.
+def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", known: int = KNOWN, emitted: int = EMITTED, **training) -> DataFrame:
+    """Train on the rows where ``learn`` holds and score all rows of docs; ``training`` goes to train_model().
 
     A null text is empty: the end token alone.  Repeated rows count as often as they stand.  With no training rows every
     token is unseen.  No rows give no rows; other columns of docs are not read, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(text_col).cast("binary").alias("raw"), learn.alias("learn"))
-    counts, voc, hmm = train_model(rows.where("learn"), **options)
-    return score(rows, counts, voc, hmm).withColumn("train_tokens", F.lit(voc.total).cast("long"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"), learn.alias("learn"))
+    counts = count_tokens(rows.where("learn"))
+    voc = vocabulary(counts, known, emitted)
+    encoded = encode(rows, voc)
+    hmm = train_model(encoded.where("learn"), voc, **training)
+    return score(encoded, counts, voc, hmm).withColumn("train_tokens", F.lit(voc.total).cast("long"))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

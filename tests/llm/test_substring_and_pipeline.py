@@ -67,7 +67,7 @@ def test_batches_meet_history_by_their_own_texts(spark, bits):
             got += found(index.add(documents(spark, batch), text=False))
             assert all(a[1] >= 2 * b[1] or b[1] >= 2 * a[1] for a, b in zip(index.runs, index.runs[1:], strict=False))
         assert sorted(got) == slow(rows)
-        windows = {tuple((t or "").encode().split()[a : a + 13]) for _, t in rows for a in range(len((t or "").encode().split()) - 12)}
+        windows = {tuple(w[a : a + 13]) for w in ((t or "").split() for _, t in rows) for a in range(len(w) - 12)}
         assert sum(n for _, n in index.runs) == len(windows)
         index.compact()
         assert len(index.runs) == 1 and index.runs[0][1] == len(windows)
