@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from html import escape
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 from leafmill.functions.lists import IndexSpec
 from leafmill.plans.rules import index_spec
@@ -362,7 +363,7 @@ def xpath(root: Node, query: str) -> list[str]:
 # ---- content ----
 
 #: Attributes that hold lazy images, fixed values.
-IMAGE_ATTRS = ("data-src", "data-original", "data-lazy-src", "data-url", "data-lazyload", "src")
+IMAGE_ATTRS = ("src", "data-src", "data-original", "data-url", "data-echo", "data-lazy-src")
 
 
 def content_text(node: Node) -> str:
@@ -370,13 +371,14 @@ def content_text(node: Node) -> str:
     return "\n\n".join(block_text(node).split("\n"))
 
 
-def images(node: Node) -> list[str]:
-    found = (next((n.attrs[a] for a in IMAGE_ATTRS if n.attrs.get(a)), "") for n in [node, *node.walk()] if n.tag == "img")
-    return list(dict.fromkeys(x for x in found if x))
+def images(node: Node, base: str = "") -> list[str]:
+    """The images below an element, the first filled attribute of each, resolved; none twice."""
+    found = (next((v for a in IMAGE_ATTRS if (v := n.attrs.get(a, "").strip())), "") for n in node.walk() if n.tag == "img")
+    return list(dict.fromkeys(urljoin(base, x) for x in found if x))
 
 
 #: Tags that cleaned content keeps, fixed values.
-ALLOWED = frozenset("p br div span img h1 h2 h3 h4 h5 h6 ul ol li blockquote strong em b i".split())
+ALLOWED = frozenset(("p", "br", "div", "span", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "strong", "em", "b", "i", "img"))
 
 
 def whitelisted(node: Node, allowed: frozenset[str] = ALLOWED) -> str:

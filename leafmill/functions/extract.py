@@ -42,14 +42,15 @@ def dom_lists(body: Column, parts: list[tuple[str, str]]) -> Column:
     return F.arrow_udf(run, "struct<" + ", ".join(f"{n}: array<string>" for n in names) + ">")(body)
 
 
-def extract(df: DataFrame, body: str, wanted: dict[str, str], as_list: bool = False, first_only: bool = False) -> DataFrame:
-    """df with a column per rule: its first value, or all of them.
+def extract(df: DataFrame, body: str, wanted: dict[str, str], as_list: bool | set[str] = False, first_only: bool = False) -> DataFrame:
+    """df with a column per rule: its first value, or all of them (as_list: for every rule, or for those named).
 
     DOM parts of all rules share one UDF call; JSON, regex and list operators stay built-in expressions.  A null body gives
     empty results.  Columns of the wanted names are replaced.  A rule @get:{a} takes the value that rule a (or @put:{a} in
     front of a rule) has found, and a rule with {{expressions}} is filled in from the values found; first_only takes the first
     part of a composite rule alone.
     """
+    listed = set(wanted) if as_list is True else as_list or set()
     everything = {k: R.parse(r) for k, r in wanted.items()}
     late = {k: r for k, r in everything.items() if r.expressions or (r.gets and not any(r.parts))}
     parsed = {k: r for k, r in everything.items() if k not in late}
@@ -76,20 +77,20 @@ def extract(df: DataFrame, body: str, wanted: dict[str, str], as_list: bool = Fa
             raise ValueError(f"{k}: scripts are not run; see functions.expressions")
         else:
             cols = [F.col(f"_dom.p{where[r.mode, p]}") for p in r.parts]
-        if r.mode == "chain" and "||" in r.ops and not as_list:
+        if r.mode == "chain" and "||" in r.ops and k not in listed:
             got = F.coalesce(*[F.when(F.size(c) > 0, c) for c in cols], lists.EMPTY())
         else:
             got = lists.combine(cols, list(r.ops) if r.mode != "regex" else [], "css" if r.mode == "default" else r.mode, list(r.parts))
         got = F.coalesce(got, lists.EMPTY())
         if r.replaces:
             got = F.filter(F.transform(got, partial(_replaced, r)), lambda x: x != "")
-        out[k] = got if as_list else lists.first(got)
+        out[k] = got if k in listed else lists.first(got)
     df = df.withColumns(out).drop("_dom")
     if late:
-        value = {k: lists.first(F.col(k)) if as_list else F.col(k) for k in parsed}
+        value = {k: lists.first(F.col(k)) if k in listed else F.col(k) for k in parsed}
         value |= {p: value[k] for k, r in parsed.items() for p in r.puts}
         filled = {k: expressions.fill(r.raw, value) if r.expressions else F.concat(*[value[g] for g in r.gets]) for k, r in late.items()}
-        df = df.withColumns({k: F.array(c) if as_list else c for k, c in filled.items()})
+        df = df.withColumns({k: F.array(c) if k in listed else c for k, c in filled.items()})
     return df
 
 
@@ -111,20 +112,20 @@ def items(df: DataFrame, body: str, rule: str, out: str = "item", pos: str = "po
     return df.select("*", F.posexplode(F.arrow_udf(run, "array<string>")(F.col(body))).alias(pos, out))
 
 
-def content(df: DataFrame, body: str, selector: str) -> DataFrame:
-    """df with content (text by blocks) and images of the first element that matches, or of the page."""
+def content(df: DataFrame, body: str, selector: str, base: str | None = None) -> DataFrame:
+    """df with content (text by blocks) and images of the first element that matches, or of the page; base is the column of its URL."""
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for b, at in batches:
             texts, pics = [], []
-            for page in b:
+            for page, url in zip(b, at, strict=True):
                 root = dom.parse(page.as_py() or "")
                 node = next(iter(dom.select(root, selector)), root)
                 texts.append(dom.content_text(node))
-                pics.append(dom.images(node))
+                pics.append(dom.images(node, url.as_py() or ""))
             yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(pics, pa.list_(pa.string()))], names=["content", "images"])
 
-    return df.withColumn("_c", F.arrow_udf(run, "struct<content: string, images: array<string>>")(F.col(body))).select("*", "_c.*").drop("_c")
+    return df.withColumn("_c", F.arrow_udf(run, "struct<content: string, images: array<string>>")(F.col(body), F.col(base) if base else F.lit(""))).select("*", "_c.*").drop("_c")
 
 
 def whitelisted(df: DataFrame, body: str, out: str = "html_clean", allowed: frozenset[str] = dom.ALLOWED) -> DataFrame:

@@ -71,11 +71,12 @@ def is_json(doc: Column) -> Column:
     return F.try_parse_json(doc).isNotNull()
 
 
-def flat(rows: Column, depth: int = 4) -> Column:
-    """Nested JSON arrays flattened down to the given depth."""
-    for _ in range(depth):
-        rows = F.flatten(F.transform(rows, lambda x: F.when(F.ltrim(x).startswith("["), F.coalesce(F.from_json(x, "array<string>"), F.array(x))).otherwise(F.array(x))))
-    return rows
+def flat(rows: Column) -> Column:
+    """Nested JSON arrays flattened, however deep: as many steps as brackets can be inside one another, while any is left."""
+    nested = lambda x: F.ltrim(x).startswith("[") & F.from_json(x, "array<string>").isNotNull()
+    step = lambda xs: F.flatten(F.transform(xs, lambda x: F.when(nested(x), F.from_json(x, "array<string>")).otherwise(F.array(x))))
+    most = F.coalesce(F.array_max(F.transform(rows, lambda x: F.coalesce(F.regexp_count(x, F.lit(r"\[")), F.lit(0)))), F.lit(0))
+    return F.when(most == 0, rows).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), rows.cast("array<string>"), lambda xs, _: F.when(F.exists(xs, nested), step(xs)).otherwise(xs)))
 
 
 #: Where list pages keep their rows and what they call a book's fields, fixed values.
@@ -83,6 +84,48 @@ LIST_KEYS = ("list", "data", "books", "result", "items", "data.list")
 BOOK_KEYS = {"name": ["name", "title", "bookName"], "author": ["author", "bookAuthor"], "url": ["url", "bookUrl", "link"], "intro": ["intro", "description", "summary"]}
 
 
+#: What detail pages and contents call their fields, and where contents keep their rows, fixed values, tried in this order.
+DETAIL_KEYS = {
+    "name": ["name", "title", "bookName", "book.name"],
+    "author": ["author", "authorName", "book.author"],
+    "url": ["bookUrl", "url", "book.url"],
+    "cover": ["coverUrl", "cover", "book.cover"],
+    "intro": ["intro", "description", "introduction", "book.description"],
+    "category": ["category", "tag", "genre", "book.category"],
+    "last_chapter": ["lastChapter", "latestChapter", "lastChapterName"],
+    "last_chapter_url": ["lastChapterUrl", "latestChapterUrl", "lastChapter.url"],
+    "update_time": ["updateTime", "lastUpdateTime"],
+    "status": ["status", "bookStatus", "book.status"],
+    "publisher": ["publisher", "publishInfo"],
+    "isbn": ["isbn", "ISBN"],
+}
+CHAPTER_KEYS = {"title": ["title", "name", "chapterTitle"], "url": ["url", "chapterUrl", "link"]}
+CHAPTER_LISTS = ("list", "data", "chapters", "toc", "volume.chapters")
+
+
+def default_detail(doc: Column) -> dict[str, Column]:
+    """A book's fields by the usual keys."""
+    return {k: aliases(doc, names) for k, names in DETAIL_KEYS.items()}
+
+
+def fields(doc: Column, rules: dict[str, str]) -> dict[str, Column]:
+    """Fields of a document by rules, each with fall-backs; a missing rule gives ''."""
+    return {k: first_of(doc, rule) for k, rule in rules.items()}
+
+
+def listed(doc: Column, rule: str) -> Column:
+    """The rows at the first path of p1&&p2&&... that holds a non-empty array."""
+    found = [F.get_json_object(doc, to_path(p.strip())) for p in rule.split("&&") if p.strip()]
+    return F.coalesce(F.from_json(F.coalesce(*[F.when(x.startswith("[") & (x != "[]"), x) for x in found]), "array<string>"), F.array().cast("array<string>"))
+
+
+def default_chapters(doc: Column) -> Column:
+    """The rows of contents without a rule: the root array, or the first usual key with an array, be it empty."""
+    found = [F.get_json_object(doc, f"$.{k}") for k in CHAPTER_LISTS]
+    held = F.coalesce(*[F.when(x.startswith("["), x) for x in found])
+    return F.coalesce(F.from_json(F.when(F.ltrim(doc).startswith("["), doc).otherwise(held), "array<string>"), F.array().cast("array<string>"))
+
+
 def default_items(doc: Column) -> Column:
     """The rows of a list page without a rule: the root array, or the first usual key with a non-empty array."""
     found = [F.get_json_object(doc, f"$.{k}") for k in LIST_KEYS]

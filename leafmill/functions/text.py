@@ -100,14 +100,33 @@ TIME_FORMATS = [
 ]
 
 
-def parse_time(text: Column) -> Column:
+#: Date formats of list pages that are read as feeds, fixed values, tried in this order after the weekday is gone.
+PAGE_TIME_FORMATS = [
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "dd MMM yyyy HH:mm:ss Z",
+    "dd MMM yyyy HH:mm:ss z",
+    "dd MMM yy HH:mm Z",
+    "dd MMM yy HH:mm z",
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd",
+    "dd/MM/yyyy",
+    "MM/dd/yyyy",
+    "MMM dd, yyyy",
+    "MMMM dd, yyyy",
+    "yyyy年MM月dd日",
+    "yyyy年M月d日",
+]
+
+
+def parse_time(text: Column, formats: list[str] = TIME_FORMATS) -> Column:
     """Lenient timestamp; null if no format fits."""
     bare = F.regexp_replace(F.trim(text), "^[A-Za-z]+, ", "")
-    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in TIME_FORMATS])
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in formats])
 
 
 # ---- titles ----
 
+#: What goes from the front of a chapter's title, a fixed value.
 _PREFIX = r"^(第[\d一二三四五六七八九十百千万]+章[：:\s\-—]*)"
 
 
@@ -176,6 +195,24 @@ UPLOAD_RULES = [
 ]
 
 
+#: What the title of an upload's chapter does not hold, fixed values.
+UPLOAD_SUSPICIOUS = ("目录", "contents", "content", "index", "版权声明", "版权所有", "copyright", "简介", "介绍", "summary", "作者", "author", "editor", "出版", "publisher", "推荐", "recommend")
+
+
+def upload_title(line: Column) -> Column:
+    """The title of a chapter that begins with this trimmed line, by the first rule that gives an unsuspicious one, else null."""
+
+    def one(pattern: str) -> Column:
+        title = F.coalesce(F.nullif(F.trim(F.regexp_extract(line, pattern, 1)), F.lit("")), line)
+        return F.when(line.rlike(pattern), title)
+
+    def good(t: Column) -> Column:
+        odd = reduce(lambda a, b: a | b, [F.lower(t).contains(w) for w in UPLOAD_SUSPICIOUS])
+        return t.isNotNull() & ~odd & F.octet_length(t).between(2, 80)
+
+    return F.when(F.octet_length(line).between(2, 100), F.get(F.filter(F.array(*[one(p) for _, p, _ in UPLOAD_RULES]), good), F.lit(0)))
+
+
 def with_rule(rules: list[tuple], name: str, pattern: str, priority: int) -> list[tuple]:
     """The rules and one more, by priority."""
     return sorted([*rules, (name, pattern, priority)], key=lambda r: -r[2])
@@ -198,10 +235,22 @@ def title_rule(line: Column, rules: list[tuple] = TITLE_RULES, suspicious: tuple
     return F.when(F.octet_length(line).between(shortest, longest), found)
 
 
+#: What a text's name may begin with, fixed values: the first of them in this order goes, whatever its case.
+NAME_PREFIXES = ("小说", "txt", "全本小说", "完整版", "免费")
+#: What goes from an upload's name, fixed values.
+NAME_TAGS = ("【全本】", "【完结】", "(完结)", "（完结）", "【精校】")
+
+
 def book_name(path: Column) -> Column:
-    """A book's name from its file name."""
-    base = F.regexp_replace(F.regexp_replace(path, r"^.*[/\\]", ""), r"\.[^.]*$", "")
-    return F.trim(F.regexp_replace(base, r"^(?:【[^】]*】|\[[^\]]*\]|《|\([^)]*\))+|(?:》|_(?:全本|完结|txt))$", ""))
+    """A text's name from its path: without folders, the ending .txt and one known prefix."""
+    base = F.regexp_replace(F.regexp_replace(path, r"^.*[/\\]", ""), r"(?i)\.txt$", "")
+    return F.trim(F.regexp_replace(base, "^(?i:" + "|".join(NAME_PREFIXES) + ")", ""))
+
+
+def upload_name(path: Column) -> Column:
+    """An upload's name from its file name: without its ending and the known tags."""
+    base = F.trim(F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"\.[^.]*$", ""))
+    return F.trim(reduce(lambda x, tag: F.replace(x, F.lit(tag), F.lit("")), NAME_TAGS, base))
 
 
 def natural_key(name: Column) -> Column:

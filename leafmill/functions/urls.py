@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -143,8 +144,13 @@ def _joined(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    """RFC 3986 resolution; the plain cases stay in the JVM only where callers use absolutize or join_loose."""
-    return _joined(base, ref)
+    """RFC 3986 resolution.  Absolute references and paths from the root without dots stay in the JVM; only others go to Python."""
+    said = F.trim(ref)
+    host = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    whole = said.rlike(r"^https?://[^\s?#]+$")
+    rooted = (host != "") & said.rlike(r"^/(?:[^/.\s;?#][^.\s;?#]*)?$")
+    easy = F.when(whole, said).when(rooted, F.concat(host, said))
+    return F.coalesce(easy, _joined(F.when(easy.isNull(), base), F.when(easy.isNull(), ref)))
 
 
 @F.arrow_udf(T.BooleanType())
@@ -182,9 +188,12 @@ def choose_tab(tabs: Column, wanted: Column) -> Column:
     return F.coalesce(exact, near, F.get(tabs, F.lit(0)))
 
 
+#: Marks of pages that scripts build, fixed values, looked for in lower case.
+SCRIPT_MARKS = ("react", "vue", "angular", "next.js", "nuxt", "window.__initial", "window.__data", "window.__app", "#app", "#root", "[data-reactroot]")
+
+
 def needs_browser(url: Column, body: Column) -> Column:
     """Whether a page looks as if it were built by scripts."""
     low = F.lower(body)
     many = (F.regexp_count(low, F.lit("<script")) > 5) & (F.octet_length(body) < 5000)
-    marks = low.contains('id="app"') | low.contains('id="root"') | low.contains("__next_data__")
-    return F.lower(url).contains("webview") | low.contains("<noscript") | many | marks
+    return reduce(lambda a, b: a | b, [low.contains(m) for m in SCRIPT_MARKS], url.contains("webView") | low.contains("<noscript>") | many)

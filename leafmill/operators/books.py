@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leafmill.functions import extract, text, urls
+from leafmill.functions import extract, json_paths, text, urls
 from leafmill.sources.shared import settled
 
 
@@ -128,14 +130,18 @@ def align_chapter(titles: DataFrame, current: str, key: str) -> DataFrame:
 # ---- local texts ----
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _line_starts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Byte offsets of the lines: one pass over the bytes (a sum carried through built-in array functions is quadratic)."""
+    for b in texts:
+        raw = (np.frombuffer(t.as_buffer(), np.uint8) if t.is_valid else None for t in b.cast(pa.binary()))
+        yield pa.array([None if r is None else np.r_[0, np.flatnonzero(r == 10) + 1] for r in raw], pa.list_(pa.int64()))
+
+
 def lines(docs: DataFrame, key: str, body: str) -> DataFrame:
     """(key, line_no, line, start, stop) with byte offsets into the text."""
-    split = docs.select(key, F.split(body, "\n").alias("l"))
-    ends = F.transform(
-        F.aggregate("l", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.octet_length(x) + 1))),
-        lambda x: x,
-    )
-    return split.select(key, "l", ends.alias("at")).select(key, F.posexplode(F.arrays_zip(F.col("l").alias("line"), F.slice("at", F.lit(1), F.size("l")).alias("start"))).alias("line_no", "x")).select(key, "line_no", F.col("x.line").alias("line"), F.col("x.start").alias("start"), (F.col("x.start") + F.octet_length("x.line")).alias("stop"))
+    split = docs.select(key, F.split(body, "\n").alias("l"), _line_starts(F.col(body)).alias("at"))
+    return split.select(key, F.posexplode(F.arrays_zip(F.col("l").alias("line"), F.col("at").alias("start"))).alias("line_no", "x")).select(key, "line_no", F.col("x.line").alias("line"), F.col("x.start").alias("start"), (F.col("x.start") + F.octet_length("x.line")).alias("stop"))
 
 
 def text_chapters(docs: DataFrame, key: str, body: str, rules: list[tuple] = text.TITLE_RULES, titles: DataFrame | None = None) -> DataFrame:
@@ -147,6 +153,48 @@ def text_chapters(docs: DataFrame, key: str, body: str, rules: list[tuple] = tex
     return spans.select(key, "idx", "title", "rule", F.col("start").alias("start_pos"), "end_pos", text.span_words(F.col("start"), F.col("end_pos")).alias("word_count"))
 
 
+def upload_chapters(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, idx, title, content) of uploaded texts: lines up to the next title; what stands before the first one goes.
+
+    The running number of titles over a text's lines names the chapter that a line belongs to.
+    """
+    by = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
+    rows = lines(docs, key, body).withColumn("title", text.upload_title(trimmed)).withColumn("n", F.count("title").over(by)).where("n > 0")
+    held = rows.groupBy(key, "n").agg(F.max("title").alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("title").isNull(), F.struct("line_no", "line")))), lambda x: x["line"]), "\n").alias("content"))
+    return held.select(key, (F.col("n") - 1).alias("idx"), "title", F.regexp_replace("content", r"^\s+|\s+$", "").alias("content"))
+
+
+def json_chapters(docs: DataFrame, body: str, rules: dict[str, str] | None = None) -> DataFrame:
+    """docs with a row per chapter (idx, title, chapter_url) of JSON contents, by rules or by the usual keys; blank titles go."""
+    rows = json_paths.listed(F.col(body), rules["list"]) if rules else json_paths.default_chapters(F.col(body))
+    got = docs.select("*", F.posexplode(rows).alias("idx", "_item"))
+    item = F.col("_item")
+    named = json_paths.fields(item, {"title": rules["title"], "url": rules["url"]}) if rules else {k: json_paths.aliases(item, v) for k, v in json_paths.CHAPTER_KEYS.items()}
+    return got.withColumns({"title": named["title"], "chapter_url": named["url"]}).where(F.trim("title") != "").drop(body, "_item")
+
+
+def search_one(sources: DataFrame, pages: DataFrame, rules: dict[str, str], key: str, source_id: int) -> DataFrame:
+    """search() in one enabled source, all its results."""
+    asked = sources.where((F.col("id") == source_id) & F.col("enabled")).select(F.col("id").alias("source_id"), F.replace("search_url", F.lit("{{key}}"), F.lit(key)).alias("url"), "base_url")
+    return list_page(fetch(allowed(asked), pages).where("found"), rules, "body", "base_url")
+
+
+def first_in_full(sources: DataFrame, pages: DataFrame, search_rules: dict[str, str], info_rules: dict[str, str], chapter_rules: dict[str, str], key: str) -> tuple[DataFrame, DataFrame]:
+    """In one call: the first search result's details, and its contents."""
+    info = book_info(search(sources, pages, search_rules, key, limit=1), pages, info_rules)
+    return info, chapters(info.select("name", "url"), pages, chapter_rules, "name")
+
+
+def explore_home(sources: DataFrame, pages: DataFrame, rules: dict[str, str], page_no: int, size: int) -> DataFrame:
+    """Explore without an explore URL: each source's home page read by its search rule, one page of its books."""
+    home = F.when(F.col("base_url").startswith("http"), F.col("base_url")).otherwise(F.concat(F.lit("https://"), F.col("base_url")))
+    asked = sources.where(F.trim("base_url") != "").select(F.col("id").alias("source_id"), home.alias("url"), home.alias("home"))
+    rows = list_page(fetch(asked, pages).where("found"), rules, "body", "home")
+    at = F.row_number().over(Window.partitionBy("source_id").orderBy("pos")) - 1
+    return rows.withColumn("at", at).where((F.col("at") >= (page_no - 1) * size) & (F.col("at") < page_no * size)).drop("at", "home")
+
+
 def rule_hits(docs: DataFrame, key: str, body: str, rules: list[tuple] = text.TITLE_RULES) -> DataFrame:
     """(key, rule, hits, priority) over the lines of each text."""
     return lines(docs, key, body).withColumn("t", text.title_rule(F.trim("line"), rules)).where("t is not null").groupBy(key, F.col("t.rule").alias("rule")).agg(F.count(F.lit(1)).alias("hits"), F.max("t.priority").alias("priority"))
@@ -179,4 +227,4 @@ def split_long(docs: DataFrame, key: str, body: str, most: int) -> DataFrame:
 def spine_titles(spine: DataFrame, toc: DataFrame, path: str = "path") -> DataFrame:
     """Spine documents with their title from the contents, else from the file name."""
     titles = toc.groupBy(path).agg(F.min_by("title", "pos").alias("title"))
-    return spine.join(titles, path, "left").withColumn("title", F.coalesce(F.nullif("title", F.lit("")), text.book_name(F.col(path))))
+    return spine.join(titles, path, "left").withColumn("title", F.coalesce(F.nullif("title", F.lit("")), text.upload_name(F.col(path))))

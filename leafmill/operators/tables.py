@@ -149,3 +149,11 @@ def bundle(df: DataFrame, key: str) -> DataFrame:
 def unbundle(df: DataFrame, schema: str) -> DataFrame:
     """Import of exported rows; what is no JSON object goes."""
     return df.select(F.from_json("json", schema).alias("r")).where("r is not null").select("r.*")
+
+
+def stream_results(rows: DataFrame) -> DataFrame:
+    """rows with book_id, book_name, author, book_url and source_name: results of a streaming search, blanks filled from what else they say."""
+    either = lambda *v: F.coalesce(*[F.nullif(x, F.lit("")) for x in v])
+    named = either(F.col("bookKey"), F.when((F.col("sourceId") != "") & (F.col("bookUrl") != ""), F.concat("sourceId", F.lit("::"), "bookUrl")), F.col("bookId"), F.lit(""))
+    key = F.coalesce(named, F.lit(""))
+    return rows.withColumns({"book_id": key, "book_name": F.coalesce(either(F.col("bookName"), F.col("name")), F.lit("")), "author": either(F.col("author"), F.lit("未知作者")), "book_url": either(F.col("bookUrl"), key), "source_name": either(F.col("sourceName"), F.col("source"), F.lit("未知来源"))})

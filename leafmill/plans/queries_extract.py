@@ -219,7 +219,10 @@ def regex_flags(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.size(regexes.find_all(F.col("text"), regexes.flags("THE", ignore_case=True))).cast("long").alias("n"))
 
 
-@query()
+_DOUBLED = "|".join(2 * chr(c) for c in range(97, 123))
+
+
+@query(f"SELECT doc_id, CAST((length(text) - length(replace(text, 'ther', ''))) / 4 AS INTEGER) AS n_look, CAST(len(regexp_extract_all(text, '(?:{_DOUBLED})+')) AS INTEGER) AS n_doubled FROM documents")
 def regex_lookaround(spark, sf):
     """Lookbehind, lookahead and a back reference, which the other engine's regexes lack."""
     t = F.col("text")

@@ -134,10 +134,10 @@ def counter_upsert(spark, sf):
     return tables.count_events(empty, e.where("event_id % 2 = 1"), "user_id", ok, "ts")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 1 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 2 = 0 AND event_id < 2000)")
+@query("SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 50 <> 0 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 50 = 0)")
 def feed_ingest(spark, sf):
     e = read(spark, sf, "events").select("event_id", F.col("user_id").alias("feed_id"), F.col("event_type").alias("guid"))
-    new = feeds.ingest(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0 and event_id < 2000"))
+    new = feeds.ingest(e.where("event_id % 50 <> 0"), e.where("event_id % 50 = 0"))
     return new.select(F.col("feed_id").alias("user_id"), F.col("guid").alias("event_type"))
 
 
@@ -164,16 +164,16 @@ def batch_delete(spark, sf):
     return tables.delete(read(spark, sf, "orders"), gone, "o_custkey").select("o_orderkey")
 
 
-@query("SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS icon_url, n_regionkey FROM nation")
+@query("SELECT c_custkey, c_name, CAST(NULL AS VARCHAR) AS icon_url, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def migrate_columns(spark, sf):
-    schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType()), T.StructField("icon_url", T.StringType())])
-    return tables.migrate(read(spark, sf, "nation"), schema)
+    schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()), T.StructField("icon_url", T.StringType())])
+    return tables.migrate(read(spark, sf, "customer"), schema)
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT c_custkey, c_name FROM customer")
 def export_import(spark, sf):
-    out = tables.bundle(read(spark, sf, "nation"), "n_nationkey")
-    return tables.unbundle(out, "n_nationkey int, n_name string")
+    out = tables.bundle(read(spark, sf, "customer"), "c_custkey")
+    return tables.unbundle(out, "c_custkey long, c_name string")
 
 
 @query("SELECT s_suppkey AS id, s_name AS name FROM supplier")
@@ -189,9 +189,10 @@ def collection_import(spark, sf):
 _NAV = "SELECT page_id, url, regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1) AS hrefs, [trim(regexp_replace(x, '\\s+', ' ', 'g')) for x in regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)] AS texts FROM pages"
 
 
-@query("SELECT text, source, min(doc_id) AS doc_id FROM documents WHERE length(text) < 200 GROUP BY text, source ORDER BY min(doc_id) LIMIT 50")
+@query("SELECT md5(text) AS text, source, min(doc_id) AS doc_id FROM documents GROUP BY ALL ORDER BY min(doc_id) LIMIT 50")
 def search_merge(spark, sf):
-    rows = read(spark, sf, "documents").where(F.char_length("text") < 200).select("text", "source", "doc_id", F.lit("u").alias("url"))
+    """All documents as search results, merged by text and source; the first 50."""
+    rows = read(spark, sf, "documents").select(F.md5("text").alias("text"), "source", "doc_id", F.lit("u").alias("url"))
     return books.merge_results(rows, F.col("doc_id"), keys=("text", "source")).select("text", "source", "doc_id")
 
 
@@ -226,12 +227,14 @@ def content_pages(spark, sf):
     return books.join_pages(read(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", most=50)
 
 
-@query("WITH RECURSIVE f AS (SELECT n_nationkey AS k, 0 AS page_no, n_nationkey AS u FROM nation WHERE n_nationkey < 3 UNION ALL SELECT k, page_no + 1, u + 3 FROM f WHERE page_no < 5 AND u + 3 <= 24) SELECT k, page_no, concat('/p/', u) AS url FROM f")
+@query("SELECT p.page_id AS k, CAST(i AS INTEGER) AS page_no, concat('/p/', p.page_id + 3 * i) AS url FROM pages p, range(6) r(i) WHERE p.page_id % 24 < 3 AND p.page_id % 24 + 3 * i < 13 + p.page_id % 5 AND p.page_id + 3 * i IN (SELECT page_id FROM pages)")
 def content_page_links(spark, sf):
-    n = read(spark, sf, "nation").select(F.col("n_nationkey").alias("k"))
+    """Chapters of up to six pages: every 24 pages hold three, whose pages take turns; lengths differ."""
+    n = read(spark, sf, "pages").select(F.col("page_id").alias("k"))
     url = lambda c: F.concat(F.lit("/p/"), c.cast("string"))
-    links = n.select(url(F.col("k")).alias("url"), url(F.col("k") + 3).alias("next_url")).where("next_url in ('" + "','".join(f"/p/{i}" for i in range(25)) + "')")
-    return books.follow_pages(n.where("k < 3").select("k", url(F.col("k")).alias("url")), links, "k", most=6)
+    first = F.col("k") - F.col("k") % 24 + F.col("k") % 3
+    links = n.where((F.col("k") % 24 + 3) < 13 + first % 5).select(url(F.col("k")).alias("url"), (F.col("k") + 3).alias("to")).join(n.withColumnRenamed("k", "to"), "to", "left_semi").select("url", url(F.col("to")).alias("next_url"))
+    return books.follow_pages(n.where("k % 24 < 3").select("k", url(F.col("k")).alias("url")), links, "k", most=6)
 
 
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'ring') AND contains(p_type, 'ECONOMY') ORDER BY p_partkey LIMIT 20 OFFSET 20")
@@ -287,10 +290,25 @@ def page_feed(spark, sf):
     return feeds.page_items(read(spark, sf, "pages")).select("page_id", "title")
 
 
-@query("SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN concat(regexp_extract(url, '^(https?://[^/]+)', 1), '/my.xml') END AS feed_url FROM pages")
+@query("SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN concat(regexp_extract(url, '^(https?://[^/]+)', 1), '/my.xml') WHEN 1 THEN concat(regexp_extract(url, '^[^?#]*'), '/feed/') WHEN 2 THEN concat(regexp_extract(url, '^[^?#]*'), '/rss') END AS feed_url FROM (SELECT page_id, concat(regexp_extract(url, '^[^?#]*'), '/', page_id, '?q#f') AS url FROM pages)")
 def feed_discovery(spark, sf):
-    pages = read(spark, sf, "pages").select("page_id", "url", F.when(F.col("page_id") % 2 == 0, '<html><head><link rel="alternate" type="application/rss+xml" href="/my.xml"></head>').otherwise("<html>").alias("html"))
-    return feeds.discover(pages.select("page_id", "url"), pages).select("page_id", "url", "feed_url")
+    """Feeds that a page's head names, or that lie at a usual path below it; the fourth usual path is not tried."""
+    at = F.concat(F.regexp_extract("url", r"^[^?#]*", 0), F.lit("/"), F.col("page_id").cast("string"))
+    named = F.col("page_id") % 4 == 0
+    pages = read(spark, sf, "pages").select("page_id", F.concat(at, F.lit("?q#f")).alias("url"), F.when(named, '<html><head><link rel="alternate" type="application/rss+xml" href="/my.xml"></head>').otherwise("<html>").alias("html"))
+    below = F.element_at(F.array(*[F.lit(x) for x in ("/feed/", "/rss", "/rss.xml")]), (F.col("page_id") % 4).cast("int"))
+    found = read(spark, sf, "pages").where(~named).select("page_id", F.concat(at, below).alias("url"), F.lit("<rss>").alias("html"))
+    return feeds.discover(pages.select("page_id", "url"), pages.unionByName(found)).select("page_id", "url", "feed_url")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'rss' ELSE 'atom' END AS title, concat('http://x/', event_id) AS link FROM events WHERE event_id % 3 < 2")
+def feed_entry(spark, sf):
+    """RSS, Atom and neither: one entry point sniffs a body's kind and reads it; previews hold the first item."""
+    e = F.col("event_id").cast("string")
+    rss = F.concat(F.lit("<rss><channel><title>c</title><item><title>rss</title><link>http://x/"), e, F.lit("</link></item><item><title>more</title></item></channel></rss>"))
+    atom = F.concat(F.lit('<feed><title>c</title><entry><title>atom</title><link href="http://x/'), e, F.lit('"/></entry></feed>'))
+    bodies = read(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, rss).when(F.col("event_id") % 3 == 1, atom).otherwise("<p>none</p>").alias("body"))
+    return feeds.preview(bodies, 1, key="event_id").select("event_id", "title", "link")
 
 
 # ---- streams ----
@@ -309,12 +327,27 @@ def rate_window(spark, sf):
     return streams.in_window(read(spark, sf, "events"), "user_id", "ts", 3600).select("event_id", "n_window")
 
 
-@query()
+_TURNS = "SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events"
+
+
+@query(
+    f"""WITH RECURSIVE e AS ({_TURNS}),
+r AS (SELECT user_id, event_id, k, [us] AS held, true AS accepted FROM e WHERE k = 1
+      UNION ALL SELECT user_id, event_id, k, CASE WHEN len(h) < 3 THEN list_append(h, us) ELSE h END, len(h) < 3
+      FROM (SELECT e.*, [t FOR t IN r.held IF t > e.us - 1800000000] AS h FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT user_id, event_id, accepted FROM r"""
+)
 def sliding_limiter(spark, sf):
     return streams.sliding_limit(read(spark, sf, "events"), "user_id", "ts", "event_id", 3, 1800.0)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE e AS ({_TURNS}),
+r AS (SELECT user_id, event_id, k, us, CAST(2 AS DOUBLE) AS tokens, true AS accepted FROM e WHERE k = 1
+      UNION ALL SELECT user_id, event_id, k, us, CASE WHEN t >= 1 THEN t - 1 ELSE t END, t >= 1
+      FROM (SELECT e.*, least(CAST(3 AS DOUBLE), r.tokens + (1 / CAST(600 AS DOUBLE)) * (e.us - r.us) / CAST(1000000 AS DOUBLE)) AS t FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT user_id, event_id, accepted FROM r"""
+)
 def token_buckets(spark, sf):
     return streams.token_bucket(read(spark, sf, "events"), "user_id", "ts", "event_id", 1 / 600, 3.0)
 
@@ -335,9 +368,8 @@ def _scratch(spark) -> str:
 def nav_links(spark, sf):
     """Titles and navigation links of all pages, cleaned: one parse a page, resolved links, one row per page and link."""
     pages = read(spark, sf, "pages").select("page_id", "url", "html")
-    got = extract.extract(pages, "html", {"title": "@css:article h1@text"})
-    links = extract.extract(got, "html", {"links": "@css:nav ul li a@href"}, as_list=True)
-    rows = links.select("page_id", "url", text.apply_rules(F.col("title"), [{"id": 1, "pattern": "\\s+", "replacement": " ", "scope": "all", "order": 1}], "all").alias("title"), F.posexplode("links").alias("pos", "link"))
+    got = extract.extract(pages, "html", {"title": "@css:article h1@text", "links": "@css:nav ul li a@href"}, as_list={"links"})
+    rows = got.select("page_id", "url", text.apply_rules(F.col("title"), [{"id": 1, "pattern": "\\s+", "replacement": " ", "scope": "all", "order": 1}], "all").alias("title"), F.posexplode("links").alias("pos", "link"))
     from leafmill.functions import urls
 
     full = rows.withColumn("link", urls.absolutize(F.regexp_extract("url", "^(https?://[^/]+)", 1), F.col("link")))

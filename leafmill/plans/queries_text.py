@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.functions import expressions, text, urls
+from leafmill.functions import expressions, regexes, text, urls
 from leafmill.operators import books
 from leafmill.plans.registry import query, read
 from leafmill.sources import files
@@ -28,7 +28,18 @@ def collapse_blanks(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.md5(text.collapse(F.col("text"))).alias("h"))
 
 
-@query()
+_BLANK = r"[\t\x0B\f\r \x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+
+
+def _cleaned(t: str) -> str:
+    lines = f"array_to_string([regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g') for x in string_split({t}, chr(10))], chr(10))"
+    return f"regexp_replace(regexp_replace({lines}, '\\n{{4,}}', repeat(chr(10), 3), 'g'), '^\\n+|\\n+$', '', 'g')"
+
+
+_ROUND = "concat('  ', repeat(chr(10), 4), text, ' ', chr(10), ' ', chr(10))"
+
+
+@query(f"SELECT doc_id, {_cleaned(_ROUND)} AS lines, {_cleaned(f"""regexp_replace(regexp_replace({_ROUND}, '\\r\\n?', chr(10), 'g'), '[ \\t\\x{{3000}}]+', ' ', 'g')""")} AS plain FROM documents")
 def clean_lines(spark, sf):
     t = F.concat(F.lit("  \n\n\n\n"), F.col("text"), F.lit(" \n \n"))
     return read(spark, sf, "documents").select("doc_id", text.clean_lines(t).alias("lines"), text.clean_plain(t).alias("plain"))
@@ -58,6 +69,16 @@ def parse_times(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", *[F.unix_timestamp(text.parse_time(v)).alias(k) for k, v in said.items()])
 
 
+@query(
+    "SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS day_first, CAST(epoch(CASE WHEN day(o_orderdate) > 12 THEN o_orderdate ELSE make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) END) AS BIGINT) AS month_first, CAST(epoch(o_orderdate) AS BIGINT) AS named, CAST(epoch(o_orderdate) AS BIGINT) AS mailed, CAST(NULL AS BIGINT) AS none FROM orders"
+)
+def parse_page_times(spark, sf):
+    """Dates of list pages: a day stands before its month where both readings are possible."""
+    d = F.col("o_orderdate")
+    said = {"day_first": F.date_format(d, "dd/MM/yyyy"), "month_first": F.date_format(d, "MM/dd/yyyy"), "named": F.date_format(d, "MMMM dd, yyyy"), "mailed": F.concat(F.lit("Tue, "), F.date_format(d, "dd MMM yyyy HH:mm:ss"), F.lit(" +0000")), "none": F.date_format(d, "yyyy.MM.dd")}
+    return read(spark, sf, "orders").select("o_orderkey", *[F.unix_timestamp(text.parse_time(v, text.PAGE_TIME_FORMATS)).alias(k) for k, v in said.items()])
+
+
 @query("SELECT p_partkey, CAST(p_retailprice AS DOUBLE) * 10000 AS in_units, p_retailprice AS plain FROM part")
 def parse_numbers(spark, sf):
     said = F.col("p_retailprice").cast("string")
@@ -74,12 +95,26 @@ def progress_percent(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", text.percent(F.col("o_orderkey") % 8, F.lit(8)).alias("pct"))
 
 
-@query("SELECT page_id, concat('cover_', page_id, CASE WHEN page_id % 2 = 0 THEN '.JPG' ELSE '.txt' END) AS name, page_id % 2 = 0 AS is_image, CASE WHEN page_id % 2 = 0 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS kind, concat('cover_', page_id) AS book FROM pages")
+@query("SELECT page_id, concat('cover_', page_id, CASE WHEN page_id % 2 = 0 THEN '.JPG' ELSE '.txt' END) AS name, page_id % 2 = 0 AS is_image, CASE WHEN page_id % 2 = 0 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS kind, concat('cover_', page_id, CASE WHEN page_id % 2 = 0 THEN '.JPG' ELSE '' END) AS book FROM pages")
 def file_names(spark, sf):
     name = F.concat(F.lit("cover_"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".JPG").otherwise(".txt"))
     return read(spark, sf, "pages").select("page_id", name.alias("name"), text.is_image(name).alias("is_image"), text.image_type(name).alias("kind"), text.book_name(F.concat(F.lit("/a/"), name)).alias("book"))
 
 
+_NAMES = ["免费", "小说", "TXT ", "全本小说", "完整版", "【完结】", "book "]
+
+
+@query(
+    f"SELECT page_id, trim(regexp_replace(concat({_NAMES}[1 + page_id % 7], 'Sea', page_id), '^(小说|txt|全本小说|完整版|免费)', '', 'i')) AS book, trim(replace(concat({_NAMES}[1 + page_id % 7], 'Sea', page_id, CASE WHEN page_id % 2 = 0 THEN '(完结)' ELSE '【精校】' END), '【完结】', '').replace('(完结)', '').replace('【精校】', '')) AS upload, concat('a', page_id, '.epub') AS other FROM pages"
+)
+def book_names(spark, sf):
+    """Names of texts and of uploads from their paths."""
+    begun = F.concat(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("page_id") % 7 + 1).cast("int")), F.lit("Sea"), F.col("page_id").cast("string"))
+    tagged = F.concat(F.lit("/up/"), begun, F.when(F.col("page_id") % 2 == 0, "(完结)").otherwise("【精校】"), F.lit(".txt"))
+    other = F.concat(F.lit("C:\\b\\a"), F.col("page_id").cast("string"), F.lit(".epub"))
+    return read(spark, sf, "pages").select("page_id", text.book_name(F.concat(F.lit("/x/"), begun, F.lit(".TXT"))).alias("book"), text.upload_name(tagged).alias("upload"), text.book_name(other).alias("other"))
+
+
 @query("SELECT p, CAST(row_number() OVER (ORDER BY length(CAST(p AS VARCHAR)), p) AS BIGINT) AS pos FROM (SELECT DISTINCT page_id AS p FROM pages)")
 def natural_order(spark, sf):
     from leafmill.operators import tables
@@ -115,16 +150,23 @@ def url_checks(spark, sf):
     return read(spark, sf, "pages").select("page_id", urls.undouble(F.concat(F.lit("http://dup.example/"), u)).alias("undoubled"), urls.is_http(u).alias("is_http"), urls.is_allowed(u).alias("allowed"), urls.is_allowed(F.concat(F.lit("http://10.0.0."), (F.col("page_id") % 250).cast("string"))).alias("local_allowed"), urls.first_http(F.lit("ftp://x"), F.lit(None), u).alias("first"))
 
 
-@query("SELECT n_nationkey, concat('/r/', n_regionkey) AS url, concat('R', n_regionkey) AS tab FROM nation")
+@query("SELECT c_custkey, concat('/r/', c_nationkey % 5) AS url, concat('R', c_nationkey % 5) AS tab FROM customer")
 def explore_tabs(spark, sf):
     tabs = F.concat_ws("\n", F.array(*[F.lit(f"R{k}::/r/{k}") for k in range(5)]), F.lit("none::"))
-    got = urls.choose_tab(urls.explore_tabs(tabs), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")))
-    return read(spark, sf, "nation").select("n_nationkey", got["url"].alias("url"), got["title"].alias("tab"))
+    got = urls.choose_tab(urls.explore_tabs(tabs), F.concat(F.lit("R"), (F.col("c_nationkey") % 5).cast("string")))
+    return read(spark, sf, "customer").select("c_custkey", got["url"].alias("url"), got["title"].alias("tab"))
+
 
+_MARKS = ["React", "vue", "angular", "next.js", "nuxt", "window.__INITIAL_STATE__", "window.__data", "window.__app", "#app", "#root", "[data-reactroot]", "<noscript>", "<noscript class=a>", '<div id="app">', "__NEXT_DATA__", "webview"]
 
-@query("SELECT page_id, octet_length(encode(html)) < 5000 AND len(regexp_extract_all(lower(html), '<script')) > 5 AS needs FROM pages")
+
+@query(
+    rf"SELECT page_id, octet_length(encode(body)) < 5000 AND len(regexp_extract_all(lower(body), '<script')) > 5 OR regexp_matches(lower(body), 'react|vue|angular|next\.js|nuxt|window\.__(initial|data|app)|#app|#root|\[data-reactroot\]|<noscript>') AS needs, true AS asked FROM (SELECT page_id, concat(html, CASE WHEN page_id % 3 = 0 THEN list_value({', '.join(repr(m) for m in _MARKS)})[1 + page_id % 16] ELSE '' END) AS body FROM pages)"
+)
 def browser_needed(spark, sf):
-    return read(spark, sf, "pages").select("page_id", urls.needs_browser(F.col("url"), F.col("html")).alias("needs"))
+    marks = F.element_at(F.array(*map(F.lit, _MARKS)), (F.col("page_id") % 16 + 1).cast("int"))
+    body = F.concat(F.col("html"), F.when(F.col("page_id") % 3 == 0, marks).otherwise(""))
+    return read(spark, sf, "pages").select("page_id", urls.needs_browser(F.col("url"), body).alias("needs"), urls.needs_browser(F.concat("url", F.lit("#webView")), F.lit("")).alias("asked"))
 
 
 # ---- expressions ----
@@ -157,17 +199,36 @@ def chapter_spans(spark, sf):
     return books.text_chapters(docs, "doc_id", "text", titles=short).select("doc_id", F.col("idx").cast("long").alias("idx"), "start_pos", "end_pos")
 
 
-@query()
+def _ruled() -> str:
+    """Lines of the documents with the first rule that gives an unsuspicious title."""
+
+    def case(name: str, pattern: str, priority: int) -> str:
+        group = lambda k: f"trim(regexp_extract(line, '{pattern}', {k}))"
+        title = group(1) if regexes.n_groups(pattern) < 2 else f"coalesce(nullif({group(2)}, ''), {group(1)})"
+        odd = " OR ".join(f"contains(lower({title}), '{w}')" for w in ("http", "www.", ".com"))
+        return f"WHEN regexp_matches(line, '{pattern}') AND NOT ({odd}) AND strlen({title}) BETWEEN 2 AND 50 AND NOT regexp_matches({title}, '^[+-]?[0-9]+$') THEN ('{name}', {priority})"
+
+    found = "CASE " + " ".join(case(*r) for r in text.TITLE_RULES) + " END"
+    lines = "SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents"
+    return f"SELECT doc_id, struct_extract(r, 1) AS rule, count(*) AS hits, max(struct_extract(r, 2)) AS priority FROM (SELECT doc_id, {found} AS r FROM ({lines}) WHERE strlen(line) BETWEEN 2 AND 100) WHERE r IS NOT NULL GROUP BY ALL"
+
+
+@query(_ruled())
 def title_rule_hits(spark, sf):
     return books.rule_hits(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-@query()
+@query(f"SELECT doc_id, max_by(rule, (hits, priority)) AS rule, max(hits) AS hits FROM ({_ruled()}) GROUP BY doc_id")
 def best_title_rule(spark, sf):
     return books.best_rule(books.rule_hits(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, l, 1 AS i, 0 AS part, length(l[1]) AS n FROM d
+      UNION ALL SELECT doc_id, l, i + 1, CASE WHEN n + length(l[i + 1]) > 4000 THEN part + 1 ELSE part END, CASE WHEN n + length(l[i + 1]) > 4000 THEN 0 ELSE n END + length(l[i + 1]) FROM r WHERE i < len(l))
+SELECT doc_id, part, string_agg(l[i], chr(10) ORDER BY i) AS text FROM r GROUP BY doc_id, part"""
+)
 def long_text_parts(spark, sf):
     return books.split_long(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", 4000)
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions import dom, text, urls
+from leafmill.functions import dom, json_paths, text, urls
 
 _ITEM = "struct<title: string, link: string, description: string, guid: string, pubDate: string, author: string, `content:encoded`: string>"
 _RSS = f"channel struct<title: string, link: string, description: string, item: array<{_ITEM}>>"
@@ -42,6 +42,28 @@ def atom_items(feeds: DataFrame, body: str = "body", key: str = "feed_id") -> Da
     return one.select(key, "pos", _or(F.col("i.id"), link).alias("guid"), _or(F.col("i.title")).alias("title"), _or(link).alias("link"), _or(F.col("i.summary")).alias("description"), _or(F.col("i.content"), F.col("i.summary")).alias("content"), _or(F.col("i.author.name")).alias("author"), text.parse_time(_or(F.col("i.published"), F.col("i.updated"))).alias("published_at"))
 
 
+def feed_items(feeds: DataFrame, body: str = "body", key: str = "feed_id") -> DataFrame:
+    """Items of RSS and Atom feeds alike: each body goes to the reader that its kind names; others give nothing."""
+    return rss_items(feeds, body, key).unionByName(atom_items(feeds, body, key))
+
+
+def preview(feeds: DataFrame, n: int, body: str = "body", key: str = "feed_id") -> DataFrame:
+    """The first n items of each feed; nothing is written."""
+    return feed_items(feeds, body, key).where(F.col("pos") < n)
+
+
+def json_items(docs: DataFrame, rules: dict[str, str], body: str = "body", base: str = "url") -> DataFrame:
+    """docs with a row per article of JSON feeds by rules (list, title, link, author, image, date, description).
+
+    A title falls back to its link; rows with neither go.
+    """
+    rows = docs.select("*", F.posexplode(json_paths.listed(F.col(body), rules["list"])).alias("pos", "_item"))
+    got = json_paths.fields(F.col("_item"), {k: rules.get(k, "") for k in ("title", "link", "author", "image", "date", "description")})
+    got["link"], got["image"] = (F.when(got[k] != "", urls.resolve(F.col(base), got[k])).otherwise("") for k in ("link", "image"))
+    named = rows.withColumns({**got, "date": text.parse_time(got["date"])}).drop(body, "_item")
+    return named.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.col("link"))).where("title <> ''")
+
+
 #: Selectors of list items and of their titles, fixed values, tried in this order.
 ITEM_SELECTORS = ("article", ".article", ".post", ".entry", ".item", ".news-item", ".list-item", ".card", "[itemprop='articleBody']", ".content-item", "main article", ".main-content article", "#content article", "tr.athing", ".athing", "[data-testid='post-container']", ".Post", ".story", ".news", "li.item", "div.item")
 TITLE_SELECTORS = ("h1", "h2", "h3", "h4", ".title", ".post-title", ".entry-title", "[itemprop='headline']", "a.title", ".titleline a", ".titleline", "a.storylink", "a[href]")
@@ -97,13 +119,15 @@ def discovered(body: Column) -> Column:
     return F.regexp_extract(body, _REL, 1)
 
 
-#: Where feeds usually are, fixed values.
-COMMON_PATHS = ("/feed", "/rss", "/rss.xml", "/atom.xml", "/feed.xml", "/index.xml")
+#: Where feeds usually are below a page's path, fixed values.
+COMMON_PATHS = ("feed/", "feed", "rss", "rss.xml", "atom.xml", "index.xml")
 
 
 def candidates(page_url: Column, n: int = 3) -> Column:
-    root = F.regexp_extract(page_url, r"^(https?://[^/?#]+)", 1)
-    return F.when(root != "", F.transform(F.array(*map(F.lit, COMMON_PATHS[:n])), lambda p: F.concat(root, p))).otherwise(F.array().cast("array<string>"))
+    """The first n usual feed URLs below a page's own path; its query and fragment go."""
+    page = F.regexp_extract(page_url, r"^(https?://[^/?#]+[^?#]*)", 1)
+    below = F.when(page.endswith("/"), page).otherwise(F.concat(page, F.lit("/")))
+    return F.when(page != "", F.transform(F.array(*map(F.lit, COMMON_PATHS[:n])), lambda p: F.concat(below, p))).otherwise(F.array().cast("array<string>"))
 
 
 def discover(asked: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:

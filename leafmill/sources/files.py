@@ -201,3 +201,50 @@ def collection(df: DataFrame, body: str, wrappers: tuple[str, ...] = ("sources",
     rest = [c for c in df.columns if c != body]
     got = df.select(*rest, F.posexplode_outer(listed).alias("pos", "json"))
     return got.withColumn("error", F.when(F.col("json").isNull(), "no collection").when(F.coalesce(F.get_json_object("json", "$.bookSourceName"), F.get_json_object("json", "$.sourceName"), F.get_json_object("json", "$.name"), F.lit("")) == "", "no name"))
+
+
+def converted(json: Column) -> dict[str, Column]:
+    """A source of an older kind as today's columns: names, order and mode fall back as they can be told from the rest."""
+    said = lambda k: F.coalesce(F.trim(F.get_json_object(json, f"$.{k}")), F.lit(""))
+    either = lambda *v: F.coalesce(*[F.nullif(x, F.lit("")) for x in v], F.lit(""))
+    base = either(said("bookSourceUrl"), said("baseUrl"))
+    host = F.regexp_replace(F.coalesce(F.try_parse_url(base, F.lit("HOST")), F.lit("")), r"^www\.", "")
+    derived = F.when(host != "", host).when(F.octet_length(base) > 48, F.concat(F.substring(base, 1, 48), F.lit("..."))).otherwise(base)
+    number = lambda k: F.coalesce(F.get_json_object(json, f"$.{k}").try_cast("int"), F.lit(0))
+    rule = flat_rule(json, "ruleSearch")
+    low = F.lower(F.trim(rule))
+    bare = F.trim(rule)
+    mode = (
+        F.when(bare == "", "")
+        .when(bare.startswith("$") | bare.contains("$.") | low.startswith("@json:"), "jsonpath")
+        .when(bare.startswith("//") | low.startswith("@xpath:"), "xpath")
+        .when(low.startswith("@css:"), "css")
+        .when(bare.startswith(":") | low.startswith("@regex:"), "regex")
+        .otherwise("default")
+    )
+    info = [F.when(said(f"ruleBookInfo.{k}") != "", F.concat(F.lit(f"{k}:"), F.get_json_object(json, f"$.ruleBookInfo.{k}"))) for k in ("author", "coverUrl", "intro", "name", "kind", "lastChapter", "wordCount", "status")]
+    return {
+        "name": either(said("bookSourceName"), said("name"), derived),
+        "base_url": base,
+        "search_url": said("searchUrl"),
+        "enabled": F.coalesce(F.get_json_object(json, "$.enabled") == "true", F.lit(False)),
+        "group": said("bookSourceGroup"),
+        "order": F.when(number("weight") != 0, number("weight")).otherwise(number("customOrder")),
+        "search_rule": rule,
+        "search_mode": mode,
+        "info_rule": F.concat_ws("&&", *info),
+        "toc_rule": flat_rule(json, "ruleToc"),
+        "content_rule": flat_rule(json, "ruleContent"),
+    }
+
+
+def flat_rule(json: Column, key: str) -> Column:
+    """A rule as one text: a text as it is, {type, rule} as <type>rule, a list joined by @, any other object as JSON."""
+    got = F.coalesce(F.get_json_object(json, f"$.{key}"), F.lit(""))
+
+    def one(x: Column) -> Column:
+        kind, rule = F.get_json_object(x, "$.type"), F.get_json_object(x, "$.rule")
+        return F.when(kind.isNotNull() & rule.isNotNull(), F.concat(F.lit("<"), kind, F.lit(">"), rule))
+
+    parts = F.transform(F.from_json(got, "array<string>"), lambda x: F.when(x.startswith("{"), F.coalesce(one(x), F.lit(""))).otherwise(x))
+    return F.when(got.startswith("[") & parts.isNotNull(), F.array_join(parts, "@")).when(got.startswith("{"), F.coalesce(one(got), got)).otherwise(got)

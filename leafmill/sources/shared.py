@@ -12,7 +12,10 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if not at.isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
         at = sc._jsc.sc().getCheckpointDir()
     return at.get().rstrip("/")
 

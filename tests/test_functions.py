@@ -23,6 +23,8 @@ def test_json_query(spark, rule, want):
 def test_json_more(spark):
     r = one(spark, "[[1, [2, 3]], 4]", flat=lambda v: json_paths.flat(json_paths.items(v, "$")), ok=json_paths.is_json)
     assert r["flat"] == ["1", "2", "3", "4"] and r["ok"]
+    deep = "[" * 12 + '1, "[x"' + "]" * 12
+    assert one(spark, f"[0, {deep}, []]", flat=lambda v: json_paths.flat(json_paths.items(v, "$")))["flat"] == ["0", "1", "[x"]
     r = one(spark, DOC, a=lambda v: json_paths.first_of(v, "x && $.book.title"), b=lambda v: json_paths.first_of(v, "<{{$.book.title}}>"), c=lambda v: json_paths.aliases(v, ["name", "title"]))
     assert (r["a"], r["b"], r["c"]) == ("T", "<T>", "")
     assert not one(spark, "{x", ok=json_paths.is_json)["ok"]

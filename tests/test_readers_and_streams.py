@@ -52,9 +52,9 @@ def test_feeds(spark):
     page = "<html><div class=item><h2>Long title</h2><a href='/a'>x</a></div><div class=item><a href='b'>Another title</a><p>text</p></div></html>"
     got = feeds.page_items(spark.createDataFrame([(1, "http://s/l", page)], "page_id int, url string, html string")).collect()
     assert [(r["title"], r["link"], r["description"]) for r in got] == [("Long title", "http://s/a", ""), ("Another title", "http://s/l/b", "text")]
-    pages = spark.createDataFrame([("http://s/p", "<html>"), ("http://s/rss", rss), ("http://t/p", '<html><link rel=alternate type="application/rss+xml" href="/f">'.replace("rel=", 'rel="').replace("alternate ", 'alternate" '))], "url string, html string")
+    pages = spark.createDataFrame([("http://s/p", "<html>"), ("http://s/p/rss", rss), ("http://t/p", '<html><link rel=alternate type="application/rss+xml" href="/f">'.replace("rel=", 'rel="').replace("alternate ", 'alternate" '))], "url string, html string")
     got = {r["url"]: r["feed_url"] for r in feeds.discover(pages.select("url"), pages).collect()}
-    assert got == {"http://s/p": "http://s/rss", "http://s/rss": "http://s/rss", "http://t/p": "http://t/f"}
+    assert got == {"http://s/p": "http://s/p/rss", "http://s/p/rss": "http://s/p/rss", "http://t/p": "http://t/f"}
 
 
 def test_collections(spark):

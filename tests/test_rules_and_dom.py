@@ -72,7 +72,9 @@ def test_chain(page, rule, want):
 
 
 def test_content_and_images(page):
-    assert dom.images(page) == ["/i.png"]
+    assert dom.images(page) == ["x.gif", "/i.png"]  # src comes first
+    lazy = dom.parse('<p><img data-lazy-src=c data-src=" a "><img data-echo="/b"><img src=a><img src=" "></p>')
+    assert dom.images(lazy, "http://x/d/e") == ["http://x/d/a", "http://x/b"]
     assert "second bold" in dom.content_text(dom.select(page, ".text")[0]).split("\n\n")
     assert dom.parse(dom.parse("<p>a<p>b").outer().removeprefix("<#root>").removesuffix("</#root>")).text() == "ab"
 
