@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if sc.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="leafmill-")
     sc.setCheckpointDir(made)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")

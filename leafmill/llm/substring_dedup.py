@@ -3,14 +3,15 @@
 A window is 13 consecutive words of one document; it is repeated where it also starts in a document of an earlier batch, or
 in a document with a smaller id of its own batch.
 
-Fingerprint.  A word has a 128-bit XXH3 hash.  A window's fingerprint h and its digest v are two sums of its words' hashes (one
-of each half), every place weighed by an odd number of its own, and mixed: 64 bits each, from independent halves.
+Fingerprint.  A word has two 64-bit hashes, made eight bytes at a time by two chains of multiplying and mixing (words of over
+256 bytes: the halves of their XXH3).  A window's fingerprint h and its digest v are sums of its words' first and second
+hashes, every place weighed by an odd number of its own, and mixed: 64 bits each, 128 in all.
 
 Index.  Every batch becomes an immutable run: the sorted (h, v) of the windows that history lacks, dealt to hash ranges
 (``bucket``) of bounded size and laid down as a table bucketed by them.  Runs of like size are merged (compacted), bucket by
 bucket.
 
-A batch.  Its documents are cut into parts; each part sorts its windows, keeps each once with its least id, and deals them to
+A batch.  Its documents are written with the part that each is in; each part sorts its windows, keeps each once with its least id, and deals them to
 the hash ranges.  There they are merge-joined with the runs, which do not move: equal h are candidates, and v
 verifies them, so no window is called repeated on its fingerprint alone.  A range answers each part with the part's own windows that
 are repeated, and the part removes their words.  Nothing but a batch's own texts is read; history is its (h, v) alone.
@@ -23,11 +24,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import pyarrow.ipc  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,14 +40,15 @@ from .common import new_path, read, remove
 WINDOW = 13
 #: Batches of a whole table, in order of id.
 BATCHES = 7
-#: Bytes of text after which a part of a batch ends, and windows that are sorted at once.
+#: Bytes of text after which a part of a batch ends, and that are hashed and sorted at once.
 PART_BYTES = 8 << 20
-CHUNK = 1 << 20
+STEP = 4 << 20
 #: Windows of the whole index that a hash range should hold.
 BUCKET_WINDOWS = 1 << 20
-#: Different words whose hashes a worker remembers.
-REMEMBERED = 1 << 20
 _ALL = (1 << 64) - 1
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_FIRST = np.array([_ALL >> (64 - 8 * n) if n else 0 for n in range(9)], np.uint64)
+_LONG = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,69 +61,100 @@ def _weights(n: int, seed: int) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-class Words(dict):
-    """Numbers of words, and the two halves of their hashes by number."""
-
-    def __init__(self):
-        self.halves = array("Q"), array("Q")
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_128_intdigest
-
-        d = xxh3_128_intdigest(word)
-        n = self[word] = len(self.halves[0])
-        self.halves[0].append(d >> 64)
-        self.halves[1].append(d & _ALL)
-        return n
-
-    def numbers(self, raw: bytes) -> np.ndarray:
-        return np.concatenate([np.fromiter(map(self.__getitem__, w), np.int32, len(w)) for w in split(raw)])
-
-    def windows(self, numbers: np.ndarray, window: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprint h (its upper ``bits``) and digest v of every window of these words."""
-        n = len(numbers) - window + 1
-        out = []
-        for k, half in enumerate(self.halves):
-            words = np.frombuffer(half, np.uint64)[numbers]
-            weight = _weights(window, k)
-            total = words[:n] * weight[0]
-            for i in range(1, window):
-                total += words[i : i + n] * weight[i]
-            out.append(_mix(total))
-        if bits < 64:
-            out[0] &= np.uint64(_ALL << (64 - bits) & _ALL)
-        return out[0], out[1]
-
-
-def split(raw: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, some millions of bytes at a time; at least one list."""
-    step, at = 4 << 20, 0
-    while len(raw) - at > step:
-        end = at + step
-        while end < len(raw) and raw[end] not in b" \t\n\r\v\f":
-            end += 1
-        yield raw[at:end].split()
-        at = end
-    yield (raw[at:] if at else raw).split()
-
-
-def _starts(sizes: np.ndarray, window: int) -> np.ndarray:
-    """Where whole windows start in texts of these sizes that follow one another."""
-    n = int(sizes.sum())
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
-    return np.flatnonzero(left >= window)
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end."""
+    space = np.concatenate([[True], _SPACE[raw], [True]])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    return edge[0::2], edge[1::2]
+
+
+def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of every word of a text, and where the words start."""
+    from xxhash import xxh3_128_intdigest
+
+    padded = text + bytes(8)
+    start, end = _words(np.frombuffer(padded, np.uint8)[: len(text)])
+    eight = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    x = eight[start] & _FIRST[np.minimum(size, 8)]
+    length = size.astype(np.uint64)
+    a = _mix(x ^ (length * np.uint64(0xC2B2AE3D27D4EB4F)))
+    b = _mix((x + length) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x165667B19E3779F9))
+    more = np.flatnonzero((size > 8) & (size <= _LONG))
+    at = 8
+    while len(more):
+        x = eight[start[more] + at] & _FIRST[np.minimum(size[more] - at, 8)]
+        a[more] = _mix(a[more] * np.uint64(0xD6E8FEB86659FD93) ^ x)
+        b[more] = _mix((b[more] ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB) + x)
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        d = xxh3_128_intdigest(text[start[i] : end[i]])
+        a[i], b[i] = d >> 64, d & _ALL
+    return a, b, start
+
+
+def window_hashes(words: tuple[np.ndarray, np.ndarray], window: int, bits: int) -> list[np.ndarray]:
+    """Fingerprint h (its upper ``bits``) and digest v of every window of words with these hashes."""
+    n = len(words[0]) - window + 1
+    out = []
+    for k, half in enumerate(words):
+        weight = _weights(window, k)
+        total = half[:n] * weight[0]
+        for i in range(1, window):
+            total += half[i : i + n] * weight[i]
+        out.append(_mix(total))
+    if bits < 64:
+        out[0] &= np.uint64(_ALL << (64 - bits) & _ALL)
+    return out
 
 
-def _stretches(numbers: list[np.ndarray], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Joined words, the starts of their whole windows, and the first word's place: CHUNK words or few more at a time."""
-    if not numbers:
-        return
-    words, sizes = np.concatenate(numbers), np.array([len(x) for x in numbers])
-    starts = _starts(sizes, window)
-    for at in range(0, len(words), CHUNK):
-        here = starts[np.searchsorted(starts, at) : np.searchsorted(starts, at + CHUNK)]
-        if len(here):
-            yield words[at : at + CHUNK + window - 1], here - at, at
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """A text in pieces of some millions of bytes, cut where words end; at least one."""
+    at = 0
+    while len(raw) - at > STEP:
+        end = at + STEP
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        yield raw[at:end]
+        at = end
+    yield raw[at:] if at else raw
+
+
+def windows(texts: list[bytes], window: int, bits: int, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, place, h, v) of all whole windows, about STEP bytes at a time; adds the texts' words to count."""
+    group: list[int] = []
+    size = 0
+    for k in range(len(texts) + 1):
+        if group and (k == len(texts) or size + len(texts[k]) > STEP):
+            owner = np.array(group)
+            a, b, start = hash_words(b"\n".join([texts[i] for i in group]))
+            ends = np.cumsum([len(texts[i]) + 1 for i in group])
+            sizes = np.diff(np.r_[0, np.searchsorted(start, ends)])
+            count[owner] += sizes
+            offset = np.cumsum(sizes) - sizes
+            place = np.arange(len(a)) - np.repeat(offset, sizes)
+            whole = np.flatnonzero(place + window <= np.repeat(sizes, sizes))
+            if len(whole):
+                h, v = window_hashes((a, b), window, bits)
+                yield np.repeat(owner, sizes)[whole], place[whole], h[whole], v[whole]
+            group, size = [], 0
+        if k == len(texts):
+            return
+        if len(texts[k]) <= STEP:
+            group.append(k)
+            size += len(texts[k]) + 1
+            continue
+        a = b = np.empty(0, np.uint64)
+        for piece in pieces(texts[k]):
+            x, y, _ = hash_words(piece)
+            at = count[k] - len(a)
+            count[k] += len(x)
+            a, b = np.concatenate([a, x]), np.concatenate([b, y])
+            if len(a) >= window:
+                h, v = window_hashes((a, b), window, bits)
+                yield np.full(len(h), k), at + np.arange(len(h)), h, v
+                a, b = a[len(h) :], b[len(h) :]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -137,6 +171,21 @@ def _plain(raw: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(raw.to_pylist()), np.uint64)
 
 
+def _packed(ids: np.ndarray, kind: pa.DataType) -> bytes:
+    """Ids of one type as bytes: integers byte by byte, others as an Arrow batch."""
+    if pa.types.is_integer(kind):
+        return _planes(ids.astype(np.int64))
+    return pa.record_batch([pa.array(ids, kind)], names=["x"]).serialize().to_pybytes()
+
+
+def _unpacked(raw: pa.ChunkedArray, kind: pa.DataType) -> np.ndarray:
+    if pa.types.is_integer(kind):
+        return _unplaned(raw).view(np.int64)
+    schema = pa.schema([("x", kind)])
+    parts = [pa.ipc.read_record_batch(pa.py_buffer(x), schema).column(0).to_numpy(zero_copy_only=False) for x in raw.to_pylist()]
+    return np.concatenate(parts) if parts else np.empty(0, object)
+
+
 def _sorted(h: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by (h, v), and where a new pair starts in it."""
     order = np.argsort(h, kind="stable")
@@ -152,15 +201,22 @@ def _sorted(h: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def find(h: np.ndarray, v: np.ndarray, known_h: np.ndarray, known_v: np.ndarray) -> np.ndarray:
     """Place of each (h, v) among known ones that are sorted by (h, v), or -1: a candidate by h, verified by v."""
-    at, out = np.searchsorted(known_h, h), np.full(len(h), -1, np.int64)
-    left = np.arange(len(h))
+    out = np.full(len(h), -1, np.int64)
+    if not len(known_h):
+        return out
+    shift = np.uint64(64 - min(24, (8 * len(known_h)).bit_length()))
+    seen = np.zeros(1 << (64 - int(shift)), bool)
+    seen[known_h >> shift] = True
+    left = np.flatnonzero(seen[h >> shift])
+    at = np.searchsorted(known_h, h[left])
     while len(left):
-        left = left[at[left] < len(known_h)]
-        left = left[known_h[at[left]] == h[left]]
-        right = known_v[at[left]] == v[left]
-        out[left[right]] = at[left[right]]
-        left = left[~right]
-        at[left] += 1
+        inside = at < len(known_h)
+        left, at = left[inside], at[inside]
+        same = known_h[at] == h[left]
+        left, at = left[same], at[same]
+        right = known_v[at] == v[left]
+        out[left[right]] = at[right]
+        left, at = left[~right], at[~right] + 1
     return out
 
 
@@ -242,70 +298,59 @@ class WindowIndex:
         not read.
         """
         kind = docs.schema[id_col].dataType.simpleString()
+        id_type = to_arrow_type(docs.schema[id_col].dataType)
         window, bits, part_bytes, ranges = self.window, self.bits, self.part_bytes, self.ranges
 
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Documents with their parts."""
+            first, size = TaskContext.get().partitionId() << 32, 0
+            for b in batches:
+                length = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                end = size + np.cumsum(length)
+                yield pa.record_batch([pa.array(first + (end - length) // part_bytes), b.column(0), b.column(1)], names=["part", "id", "raw"])
+                size = int(end[-1]) if len(end) else size
+
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Documents with their parts (kind 0), and every part's windows by hash range (kind 1)."""
-            words, number = Words(), TaskContext.get().partitionId() << 32
-            numbers, ids, held, size = [], [], 0, 0
-            names = ["kind", "part", "id", "raw", "bucket", "h", "v", "first", "again"]
+            """Every part's windows by hash range."""
+            number, texts, ids, held = None, [], [], 0
+            names = ["bucket", "part", "n", "h", "v", "first", "again"]
 
             def sent() -> Iterator[pa.RecordBatch]:
                 """The windows of the documents held, each once with its least id, and whether two of these have it."""
-                sizes = np.array([len(x) for x in numbers])
                 who = pa.array(ids, type_).to_numpy(zero_copy_only=False)
-                for joined, starts, at in _stretches(numbers, window):
-                    h, v = words.windows(joined, window, bits)
-                    h, v = h[starts], v[starts]
-                    mine = who[np.searchsorted(np.cumsum(sizes), starts + at, side="right")]
+                for owner, _, h, v in windows(texts, window, bits, np.zeros(len(texts), np.int64)):
                     order, first = _sorted(h, v)
-                    h, v, mine = h[order[first]], v[order[first]], mine[order]
+                    h, v, mine = h[order[first]], v[order[first]], who[owner[order]]
                     least, most = np.minimum.reduceat(mine, first), np.maximum.reduceat(mine, first)
                     bucket = (h >> np.uint64(64 - ranges)).astype(np.int64)
                     edge = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
                     spans = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
-                    lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(least, type_))
-                    flags = pa.array([np.packbits(least[a:b] < most[a:b]).tobytes() for a, b in spans], pa.binary())
-                    some = len(spans)
-                    yield pa.record_batch([pa.array([1] * some, pa.int32()), pa.array([number] * some, pa.int64()), pa.nulls(some, type_), pa.nulls(some, pa.binary()), pa.array(bucket[edge[:-1]]), pa.array([_planes(h[a:b]) for a, b in spans], pa.binary()), pa.array([v[a:b].tobytes() for a, b in spans], pa.binary()), lists, flags], names=names)
+                    flags = [np.packbits(least[a:b] < most[a:b]).tobytes() for a, b in spans]
+                    some = [bucket[edge[:-1]], np.full(len(spans), number), np.diff(edge), [_planes(h[a:b]) for a, b in spans], [v[a:b].tobytes() for a, b in spans], [_packed(least[a:b], type_) for a, b in spans], flags]
+                    yield pa.record_batch([pa.array(x, pa.int64() if k < 3 else pa.binary()) for k, x in enumerate(some)], names=names)
 
             for b in batches:
-                type_ = b.schema.field(0).type
-                for at in range(0, b.num_rows, 256):
-                    some = b.slice(at, 256)
-                    yielded = []
-                    for i, t in zip(some.column(0).to_pylist(), some.column(1), strict=True):
-                        raw = t.as_py() or b""
-                        yielded.append(number)
-                        size += len(raw)
-                        if i is not None:
-                            n = words.numbers(raw)
-                            if len(n) >= window:
-                                numbers.append(n)
-                                ids.append(i)
-                                held += len(n)
-                        if held >= CHUNK or size >= part_bytes:
-                            yield from sent()
-                            numbers, ids, held = [], [], 0
-                            if len(words) > REMEMBERED:
-                                words = Words()
-                        if size >= part_bytes:
-                            number, size = number + 1, 0
-                    k = some.num_rows
-                    yield pa.record_batch([pa.array([0] * k, pa.int32()), pa.array(yielded, pa.int64()), some.column(0), some.column(1), *[pa.nulls(k, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.list_(type_), pa.binary())]], names=names)
-            if numbers:
+                type_ = b.schema.field(1).type
+                for part, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                    if texts and (part != number or held >= STEP):
+                        yield from sent()
+                        texts, ids, held = [], [], 0
+                    number = part
+                    if i is not None and t.is_valid:
+                        texts.append(t.as_py())
+                        ids.append(i)
+                        held += len(texts[-1])
+            if texts:
                 yield from sent()
 
         def merge(new: pa.Table, old: pa.Table) -> pa.Table:
             """The range's part of the new run, and answers to the parts (as a run of the opposite number)."""
             names = ["bucket", "part", "n", "h", "v", "first", "old", "run"]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(new.schema.field("first").type.value_type), pa.binary(), pa.int32()]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
             if not new.num_rows:
                 return pa.table([pa.nulls(0, t) for t in types], names=names)
             h, v = _unplaned(new["h"]), _plain(new["v"])
-            firsts = new["first"].combine_chunks()
-            sizes = firsts.value_lengths().to_numpy()
-            least = firsts.flatten().to_numpy(zero_copy_only=False)
+            sizes, least = new["n"].to_numpy(), _unpacked(new["first"], id_type)
             part = np.repeat(new["part"].to_numpy(), sizes)
             again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(new["again"].to_pylist(), sizes.tolist(), strict=True)]).astype(bool)
             order, start = _sorted(h, v)
@@ -324,7 +369,7 @@ class WindowIndex:
             rows = []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 x = hit[a:b]
-                rows.append((bucket, int(part[x[0]]), len(x), _planes(h[x]), v[x].tobytes(), first[group[x]], np.packbits(held[group[x]]).tobytes(), -run))
+                rows.append((bucket, int(part[x[0]]), len(x), _planes(h[x]), v[x].tobytes(), _packed(first[group[x]], id_type), np.packbits(held[group[x]]).tobytes(), -run))
             fresh = start[~held]
             rows.append((bucket, None, len(fresh), _planes(h[fresh]), v[fresh].tobytes(), None, None, run))
             return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -336,51 +381,32 @@ class WindowIndex:
             order = order[once]
             known_h, known_v = known_h[order], known_v[order]
             if told.num_rows:
-                first = told["first"].combine_chunks().flatten().to_numpy(zero_copy_only=False)[order]
+                first = _unpacked(told["first"], id_type)[order]
                 old = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(told["old"].to_pylist(), told["n"].to_pylist(), strict=True)]).astype(bool)[order]
-            words, ids = Words(), mine["id"].to_pylist()
-            raws = [x.as_py() or b"" for x in mine["raw"]]
-            count, gone, out = [0] * len(ids), [None] * len(ids), []
-            some: list[tuple[int, np.ndarray]] = []
-
-            def mark():
-                sizes = np.array([len(n) for _, n in some])
-                ends = np.cumsum(sizes)
-                who = pa.array([ids[k] for k, _ in some], mine.schema.field("id").type).to_numpy(zero_copy_only=False)
-                edges = np.zeros(int(ends[-1]) + 1, np.int32)
-                for joined, starts, at in _stretches([n for _, n in some], window):
-                    h, v = words.windows(joined, window, bits)
-                    h, v = h[starts], v[starts]
-                    place = find(h, v, known_h, known_v)
-                    hit = np.flatnonzero(place >= 0)
-                    at = starts[hit] + at
-                    own = who[np.searchsorted(ends, at, side="right")]
-                    at = at[old[place[hit]] | (first[place[hit]] < own)]
-                    edges[at] += 1
-                    edges[at + window] -= 1
-                covered = np.cumsum(edges[:-1]) > 0
-                for (k, _), a, b in zip(some, (ends - sizes).tolist(), ends.tolist(), strict=True):
-                    if covered[a:b].any():
-                        gone[k] = covered[a:b]
-
-            held = 0
-            for k, raw in enumerate(raws):
-                if ids[k] is None or not told.num_rows:
-                    continue
-                n = words.numbers(raw)
-                if len(n) >= window:
-                    some.append((k, n))
-                    held += len(n)
-                if held >= CHUNK:
-                    mark()
-                    some, held = [], 0
-            if some:
-                mark()
+            ids, raws = mine["id"].to_pylist(), [x.as_py() or b"" for x in mine["raw"]]
+            named = [k for k, i in enumerate(ids) if i is not None] if told.num_rows else []
+            who = pa.array([ids[k] for k in named], mine.schema.field("id").type).to_numpy(zero_copy_only=False)
+            count, hits = np.zeros(len(named), np.int64), []
+            for owner, at, h, v in windows([raws[k] for k in named], window, bits, count):
+                place = find(h, v, known_h, known_v)
+                hit = np.flatnonzero(place >= 0)
+                place = place[hit]
+                hit = hit[old[place] | (first[place] < who[owner[hit]])]
+                hits.append((owner[hit], at[hit]))
+            offset = np.cumsum(count) - count
+            edges = np.zeros(int(count.sum()) + 1, np.int32)
+            for owner, at in hits:
+                np.add.at(edges, offset[owner] + at, 1)
+                np.add.at(edges, offset[owner] + at + window, -1)
+            covered = np.cumsum(edges[:-1]) > 0
+            gone = {named[k]: covered[offset[k] : offset[k] + count[k]] for k in np.unique(np.concatenate([x for x, _ in hits])).tolist()} if hits else {}
+            out = []
             for k, raw in enumerate(raws):
-                kept, at, removed = [], 0, 0
-                for w in split(raw):
-                    count[k] += len(w)
-                    if gone[k] is not None:
+                kept, n, at, removed = [], 0, 0, 0
+                for piece in pieces(raw):
+                    w = piece.split()
+                    n += len(w)
+                    if k in gone:
                         mask = gone[k][at : at + len(w)]
                         at += len(w)
                         removed += int(mask.sum())
@@ -388,19 +414,18 @@ class WindowIndex:
                     if w:
                         kept.append(b" ".join(w))
                 joined = b" ".join(kept)
-                out.append((ids[k], count[k], removed, joined.decode("utf-8", "replace") if text else hashlib.sha256(joined).hexdigest()))
+                out.append((ids[k], n, removed, joined.decode("utf-8", "replace") if text else hashlib.sha256(joined).hexdigest()))
             types = [mine.schema.field("id").type, pa.int64(), pa.int64(), pa.string()]
             return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, types, strict=True)], names=["id", "n_words", "n_removed", "kept"])
 
         spark, at, done = self.spark, new_path(self.spark, "batch"), new_path(self.spark, "judged")
         self.made = run = self.made + 1
-        schema = f"kind int, part long, id {kind}, raw binary, bucket long, h binary, v binary, first array<{kind}>, again binary"
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(cut, schema).write.option("compression", "zstd").partitionBy("kind").parquet(at)
-        rows = spark.read.schema(schema).parquet(at)
-        sent = rows.where("kind = 1").select("bucket", "part", "h", "v", "first", "again").repartition(self.tasks, "bucket")
-        self._lay(sent.groupBy("bucket").cogroup(self.rows().groupBy("bucket")).applyInArrow(merge, f"bucket long, part long, n long, h binary, v binary, first array<{kind}>, old binary, run int"))
+        schema = f"part long, id {kind}, raw binary"
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(deal, schema).write.option("compression", "zstd").parquet(at)
+        mine = spark.read.schema(schema).parquet(at)
+        sent = mine.mapInArrow(cut, "bucket long, part long, n long, h binary, v binary, first binary, again binary").repartition(self.tasks, "bucket")
+        self._lay(sent.groupBy("bucket").cogroup(self.rows().groupBy("bucket")).applyInArrow(merge, "bucket long, part long, n long, h binary, v binary, first binary, old binary, run int"))
         told = spark.table(self.table).where(F.col("run") == -run).select("part", "n", "h", "v", "first", "old")
-        mine = rows.where("kind = 0").select("part", "id", "raw")
         judged = mine.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(judge, f"id {kind}, n_words long, n_removed long, kept string")
         judged.write.option("compression", "zstd").parquet(done)
         remove(spark, at)

@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from leafmill.llm import substring_dedup as S
 
@@ -94,13 +95,22 @@ def test_words_that_polynomial_hashes_confuse_stay(spark):
     assert [n for _, _, n, _ in found(S.remove_repeats(documents(spark, rows), text=False))] == [0, 0]
 
 
-def test_a_text_longer_than_its_pieces():
-    raw = (" ".join(f"w{i % 997}" for i in range(1_700_000)) + " \n").encode()
-    assert [w for part in S.split(raw) for w in part] == raw.split() and sum(1 for _ in S.split(raw)) == 2
-    words = S.Words()
-    n = words.numbers(raw)
-    h, v = words.windows(n[:2000], 13, 64)
-    assert len(n) == 1_700_000 and h[3] == h[1000] and v[3] == v[1000] and len(set(h.tolist())) == 997
+def test_windows_of_long_and_short_texts(monkeypatch):
+    random.seed(4)
+    parts = ["a", "ab", "ab" * 4, "ab" * 8, "c" * 17, "d" * 300, "é", "\x1c", "x y", "\x0b", "\n", "  ", "\t\r"]
+    texts = [" ".join(random.choices(parts, k=random.choice([0, 1, 12, 13, 14, 60, 900]))).encode() for _ in range(40)]
+    monkeypatch.setattr(S, "STEP", 500)
+    count, got = np.zeros(len(texts), np.int64), {}
+    for owner, place, h, v in S.windows(texts, 13, 64, count):
+        got |= {(k, i): (a, b) for k, i, a, b in zip(owner.tolist(), place.tolist(), h.tolist(), v.tolist(), strict=True)}
+    words = [t.split() for t in texts]
+    assert count.tolist() == [len(w) for w in words] and [b"".join(S.pieces(t)) for t in texts] == texts
+    assert sorted(got) == [(k, i) for k, w in enumerate(words) for i in range(len(w) - 12)]
+    of = defaultdict(set)
+    for (k, i), pair in got.items():
+        of[tuple(words[k][i : i + 13])].add(pair)
+    assert all(len(x) == 1 for x in of.values()) and len({p for x in of.values() for p in x}) == len(of)
+    assert len({p[0] for x in of.values() for p in x}) == len({p[1] for x in of.values() for p in x}) == len(of)
 
 
 def test_repeats_of_nothing(spark):
