@@ -108,7 +108,7 @@ def _compound(text: str):
     while at < len(text):
         m = _SIMPLE.match(text, at)
         if not m:
-            return None
+            raise ValueError(f"selector {text!r} is not supported")
         at = m.end()
         tag, id_, cls, attr, op, value, pseudo, nth, needle, negated = m.groups()
         if tag and tag != "*":
@@ -126,7 +126,7 @@ def _compound(text: str):
             tests.append(lambda n, v=needle: v in n.text())
         elif negated is not None:
             inner = _compound(negated)
-            tests.append(lambda n, f=inner: f is None or not all(t(n) for t in f))
+            tests.append(lambda n, f=inner: not all(t(n) for t in f))
         elif pseudo:
             k = 0 if pseudo == "first-child" else -1
             tests.append(lambda n, k=k: n.parent is not None and n.parent.elements()[k] is n)
@@ -152,7 +152,7 @@ def _selector(text: str) -> list[list[tuple[str, str]]]:
 
 def _fits(n: Node, chain: list[tuple[str, str]]) -> bool:
     tests = _compound(chain[-1][1])
-    if tests is None or not all(t(n) for t in tests):
+    if not all(t(n) for t in tests):
         return False
     if len(chain) == 1:
         return True
@@ -247,6 +247,7 @@ def chain_step(nodes: list[Node], step: str) -> list[Node]:
     base, index, gone = _STEP.match(step.strip()).groups()
     kind, _, name = base.partition(".")
     out: list[Node] = []
+    held: set[int] = set()
     for n in nodes:
         if kind == "class" and name:
             found = [x for x in n.walk() if all(c in x.classes() for c in name.replace(".", " ").split())]
@@ -261,7 +262,8 @@ def chain_step(nodes: list[Node], step: str) -> list[Node]:
             found = n.elements()
         else:
             found = select(n, base) if base else [n]
-        out += [x for x in found if not any(x is y for y in out)]
+        out += [x for x in found if id(x) not in held]
+        held.update(map(id, found))
     if index is not None and out:
         i = int(index)
         return [out[i]] if -len(out) <= i < len(out) else [out[0] if i >= 0 else out[-1]]
@@ -308,7 +310,29 @@ def chain_list(root: Node, rule: str) -> list[Node]:
 
 # ---- XPath subset ----
 
-_XSTEP = re.compile(r"(//?)(@?[\w*-]+(?:\(\))?|\.\.|\.)((?:\[[^\]]*\])*)")
+_CONDITION = r"\[(?:\"[^\"]*\"|'[^']*'|[^\]\"'])*\]"
+_XSTEP = re.compile(rf"(//?)(@?[\w*-]+(?:\(\))?|\.\.|\.)((?:{_CONDITION})*)")
+
+
+@lru_cache(maxsize=2048)
+def _xsteps(path: str) -> list[tuple[str, str, list[str]]]:
+    """(separator, name, conditions) of a path's steps; what is beyond the subset raises ValueError."""
+    path = path if path.startswith("/") else "//" + path
+    steps = _XSTEP.findall(path)
+    if "".join(map("".join, steps)) != path or any(name.endswith("()") and name != "text()" for _, name, _ in steps):
+        raise ValueError(f"path {path!r} is not supported")
+    return [(sep, name, [c[1:-1] for c in re.findall(_CONDITION, conds)]) for sep, name, conds in steps]
+
+
+def _split(text: str, word: str) -> list[str]:
+    """text cut at a word that stands outside of quotes."""
+    out, at = [""], 0
+    for m in re.finditer(rf"\"[^\"]*\"|'[^']*'|({re.escape(word)})", text):
+        out[-1] += text[at : m.start()] + ("" if m[1] else m[0])
+        at = m.end()
+        if m[1]:
+            out.append("")
+    return [*out[:-1], out[-1] + text[at:]]
 
 
 def _xtest(n: Node, cond: str, place: int, size: int) -> bool:
@@ -318,8 +342,8 @@ def _xtest(n: Node, cond: str, place: int, size: int) -> bool:
     if cond == "last()":
         return place == size
     for word, join in ((" and ", all), (" or ", any)):
-        if word in cond:
-            return join(_xtest(n, c, place, size) for c in cond.split(word))
+        if len(parts := _split(cond, word)) > 1:
+            return join(_xtest(n, c, place, size) for c in parts)
     if m := re.match(r"^(contains|starts-with)\(\s*(@[\w-]+|text\(\)|\.)\s*,\s*['\"](.*)['\"]\s*\)$", cond):
         value = n.attrs.get(m[2][1:], "") if m[2][0] == "@" else n.own_text() if m[2] == "text()" else n.text()
         return m[3] in value if m[1] == "contains" else value.startswith(m[3])
@@ -330,21 +354,23 @@ def _xtest(n: Node, cond: str, place: int, size: int) -> bool:
     if m := re.match(r"^position\(\)\s*(<=|>=|<|>|=)\s*(\d+)$", cond):
         k = int(m[2])
         return {"<": place < k, ">": place > k, "<=": place <= k, ">=": place >= k, "=": place == k}[m[1]]
+    if not re.match(r"^@?[\w-]+$", cond):
+        raise ValueError(f"condition [{cond}] is not supported")
     return cond[1:] in n.attrs if cond.startswith("@") else any(c.tag == cond for c in n.elements())
 
 
 def xpath(root: Node, query: str) -> list[str]:
     """Texts of a path of //, /, names, *, @attribute, text(), .., and conditions; unions by |."""
     out: list[str] = []
-    for path in query.split("|"):
-        path = path.strip()
+    for path in _split(query, "|"):
         nodes, values = [root], None
-        for sep, name, conds in _XSTEP.findall(path if path.startswith("/") else "//" + path):
+        for sep, name, conds in _xsteps(path.strip()):
             if name.startswith("@") or name == "text()":
                 owners = [x for n in nodes for x in ([n, *n.walk()] if sep == "//" else [n])]
                 values = [n.attrs.get(name[1:], "") for n in owners] if name[0] == "@" else [c.strip() for n in owners for c in n.children if isinstance(c, str)]
                 break
             found: list[Node] = []
+            held: set[int] = set()
             for n in nodes:
                 pool = [n.parent] if name == ".." and n.parent else [n] if name == "." else list(n.walk()) if sep == "//" else n.elements()
                 groups: dict[int, list[Node]] = {}
@@ -352,9 +378,10 @@ def xpath(root: Node, query: str) -> list[str]:
                     if name in ("*", ".", "..") or x.tag == name.lower():
                         groups.setdefault(id(x.parent), []).append(x)
                 for peers in groups.values():
-                    for cond in re.findall(r"\[([^\]]*)\]", conds):
+                    for cond in conds:
                         peers = [x for k, x in enumerate(peers, 1) if _xtest(x, cond, k, len(peers))]
-                    found += [x for x in peers if not any(x is y for y in found)]
+                    found += [x for x in peers if id(x) not in held]
+                    held.update(map(id, peers))
             nodes = found
         out += [v for v in (values if values is not None else [spaced_text(n) for n in nodes]) if v]
     return out

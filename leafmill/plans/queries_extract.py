@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.functions import extract, json_paths, lists, regexes, text
+from leafmill.functions import dom, extract, json_paths, lists, regexes, text
 from leafmill.plans import rules
 from leafmill.plans.registry import query, read
 
@@ -114,7 +114,14 @@ def list_rule_items(spark, sf):
     return extract.extract(rows, "item", {"name": "tag.a@text", "link": "tag.a@href"}).select("page_id", F.col("pos").cast("long").alias("pos"), "name", "link")
 
 
-@query()
+_INLINE = "|".join(sorted(dom.INLINE - {"br", "li"}))
+#: The article's text by blocks: code and comments go, inline tags join, every other tag ends a block.
+_BLOCKS = f"""SELECT page_id, array_to_string([y FOR y IN [trim(regexp_replace(x, '\\s+', ' ', 'g')) FOR x IN string_split(t, chr(1))] IF y <> ''], repeat(chr(10), 2)) AS content FROM (
+SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)</?({_INLINE})(\\s[^>]*)?>', '', 'g'), '<[^>]*>', chr(1), 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;?', '&', 'g') AS t
+FROM (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages))"""
+
+
+@query(f"SELECT page_id, content, CAST([] AS VARCHAR[]) AS images, CAST(strlen(replace(content, ' ', '')) AS INTEGER) AS word_count FROM ({_BLOCKS})")
 def content_text(spark, sf):
     return extract.content(read(spark, sf, "pages").select("page_id", "html"), "html", "article").select("page_id", "content", "images", text.count_bytes(F.col("content")).alias("word_count"))
 

@@ -71,6 +71,17 @@ def test_chain(page, rule, want):
     assert dom.chain_value(page, rule) == want
 
 
+def test_texts_inside_quotes_and_what_is_not_supported():
+    root = dom.parse("<p><a href=x>a|b</a><a href='y or z'>c and d</a><a>e] f</a></p>")
+    assert dom.xpath(root, "//a[contains(text(),'a|b')]") == ["a|b"]
+    assert dom.xpath(root, "//a[text()='c and d' and @href='y or z'] | //a[contains(., '] f')]") == ["c and d", "e] f"]
+    for query in ("//a[not(@href)]", "//a[normalize-space()='x']", "//a/following-sibling::a", "//a[count(b)=1]", "count(//a)"):
+        with pytest.raises(ValueError):
+            dom.xpath(root, query)
+    with pytest.raises(ValueError):
+        dom.select(root, "a:hover")
+
+
 def test_content_and_images(page):
     assert dom.images(page) == ["x.gif", "/i.png"]  # src comes first
     lazy = dom.parse('<p><img data-lazy-src=c data-src=" a "><img data-echo="/b"><img src=a><img src=" "></p>')
