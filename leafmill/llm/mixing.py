@@ -1,16 +1,20 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, with DataFrame functions only.
 
 1. Targets: sources in code-point order weigh 3, 1, 2, repeating, and share ``share`` of all words; a target stops at
-   ``most`` times its source's words and the excess is shared again by weight (a water level, found with windows over the
-   sources).
-2. Blocks: a hash deals every source's documents to ``blocks`` blocks.  All blocks are drawn floor(target / words) times;
-   blocks in a permuted order are drawn once more until the words that are left are used up, and the documents of the
-   block in which that happens are drawn singly, to the nearest document.
-3. Splitting tree: the sources' exact numbers of draws are halved again and again among the output shards, each half by a
+   ``most`` times its source's words and the excess is shared again by weight, round after round, until none is above.
+2. Blocks: a hash deals every source's documents to blocks of about BLOCK_WORDS words.  All blocks are drawn
+   floor(target / words) times; blocks in a permuted order are drawn once more until the words that are left are used up, and the
+   documents of the block in which that happens are drawn singly, to the nearest document.
+3. Splitting tree: the exact numbers of draws are halved again and again among the output shards, each half by a
    multivariate hypergeometric draw, so that every shard's share of each source is that of drawing without replacement.
-   Only these counts, one number per source and node, are computed on the driver.
-4. A source's draws are permuted, and a shard takes the stretch of them that its quota says: the shards' draws are disjoint.
-   Inside a shard the order is that of a seeded hash.
+   Only these counts, one a stratum and node, are computed on the driver.  A stratum is a source; of more than STRATA
+   sources several share one, inside which the permutation of step 4 splits them by the same law.
+4. A stratum's draws are permuted, and a shard takes the stretch of them that its quota says: the shards' draws are disjoint.
+   Inside a shard (inside each part of a large one) a seeded hash orders the documents.  The words taken are those of the
+   documents that the shards hold.
+
+Rows that agree in id, source and text are one unit with a multiplicity, so that repeated rows meet in no task.  Running sums
+over a source's blocks are taken in two steps, inside 1,024 stretches and over them.
 """
 
 from __future__ import annotations
@@ -19,38 +23,48 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import numbered
 from .common import read, write_out
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-BLOCKS = 4096
+BLOCK_WORDS = 1 << 16
+#: Blocks of a source at least.
+LEAST_BLOCKS = 64
+STRATA = 1024
 #: Words of an output shard; shards are a power of two between these, and larger ones are dealt to several partitions.
 SHARD_WORDS = 4_000_000
 SHARDS = (16, 1024)
 SEED = 20240607
 WORD = r"[^\x20\x09-\x0D]+"
+UNIT = ["id", "source", "digest", "size"]
 
 
-def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, size) per row; size is the number of words, 0 for null."""
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(id, source, digest, size, m): rows that agree in id, source and text, and their number; size is the words of each, 0 for null."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("digest"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return rows.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("m"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(source, source_size, target) per source; null is a source of its own, the last."""
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weighed = totals.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (order % len(weights) + 1).cast("int"))).withColumn("cap", most * F.col("source_size").cast("double"))
-    ratio = F.col("cap") / F.col("w")
-    by_ratio = Window.orderBy(ratio, F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = weighed.withColumn("total", share * F.sum("source_size").over(everything)).withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    # of the sources in order of cap / weight, the first that stays below its cap gives the water level
-    water = F.min(F.when(F.col("level") <= ratio, F.struct(ratio.alias("r"), F.col("level").alias("l")))).over(everything)["l"]
-    return level.withColumn("water", water).select("source", "source_size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("water") * F.col("w"))).alias("target"))
+    """(source, nth, source_size, target) per source of units; null is a source of its own, the last.
+
+    One row of sums a round reaches the driver; the sources themselves stay distributed.
+    """
+    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
+    cap = most * F.col("source_size").cast("double")
+    rows = numbered(totals, F.col("source").asc_nulls_last(), name="nth").withColumn("w", weight).withColumn("cap", cap)
+    level, above = 0.0, -1
+    while True:
+        full = F.col("w") * F.lit(level) > F.col("cap")
+        r = rows.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("cap")).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("w"))).alias("w"), F.count_if(full).alias("n")).first()
+        if r["n"] == above or not r["w"]:
+            break
+        level, above = (share * r["all"] - r["held"]) / r["w"], r["n"]
+    return rows.select("source", "nth", "source_size", F.least(F.col("cap"), F.col("w") * F.lit(level)).alias("target"))
 
 
 def split_quotas(draws: list[int], shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -73,70 +87,94 @@ def _hash(*parts: Column | str | int) -> Column:
     return F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts])
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, shards: int | None = None, seed: int = SEED) -> DataFrame:
-    """(id, source, size, source_size, target, shards) per row of docs; shards lists the output shard of each copy taken.
+def _same(a: str, b: str, *columns: str) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
 
-    Null and wordless texts have size 0; they are taken with their block and add no words.  Rows that repeat an id,
-    source and size are taken alike.  The same rows give the same plan, however
-    they are dealt to partitions.  No rows give no rows; other columns are not read.
+def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shards: int | None = None, strata: int = STRATA, seed: int = SEED) -> tuple[DataFrame, int, int]:
+    """(units' columns, source_size, target, shards) per unit; shards lists the output shard of each copy taken.
+
+    Also the number of shards, and of the parts of each.  Null and wordless texts have size 0; they are taken with their block
+    and add no words.  The same rows give the same plan, however they are dealt to partitions.
     """
-    spark = docs.sparkSession
-    sized = write_out(sizes(docs, id_col, text_col, source_col), "sizes").withColumn("block", F.pmod(_hash(seed, "id"), F.lit(blocks)).cast("int"))
-    goal = targets(sized, weights, share, most).withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("int")).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size"))
-    same = F.col("s.source").eqNullSafe(F.col("g.source"))
-    summed = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    place = Window.partitionBy("source").orderBy(_hash(seed + 1, "block"), "block").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        summed.alias("s")
-        .join(goal.alias("g"), same)
-        .select("s.source", "block", "words", "source_size", "target", "base", "rest")
-        .withColumn("upto", F.sum("words").over(place))
-        .withColumn("before", F.col("upto") - F.col("words"))
-        .withColumn("whole", (F.col("upto") <= F.col("rest")) & (F.col("rest") > 0))
+    spark = sized.sparkSession
+    whole_times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("int")
+    goal = write_out(
+        targets(sized, weights, share, most)
+        .withColumn("base", whole_times)
+        .withColumn("rest", F.col("target") - F.col("base") * F.col("source_size"))
+        .withColumn("blocks", F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("source_size") / block_words)))
+        .withColumn("stratum", F.pmod("nth", F.lit(strata))),
+        "targets",
+    )
+    words = goal.agg(F.sum("target").alias("n")).first()["n"] or 0
+    shards = shards or _shards(words)
+    each = 1 + int(words // (SHARD_WORDS * shards))
+    rows = sized.alias("u").join(goal.alias("g"), _same("u", "g", "source")).select("u.*", *[f"g.{c}" for c in ("stratum", "source_size", "target", "base", "rest")], F.pmod(_hash(seed, "id", "digest"), "blocks").alias("block"))
+    per_source = ["source", "stratum", "base", "rest"]
+    order = _hash(seed + 1, "source", "block")
+    summed = rows.groupBy(*per_source, "block").agg(F.sum(F.col("size") * F.col("m")).alias("words")).withColumn("u", order).withColumn("stretch", F.shiftrightunsigned("u", 54))
+    earlier = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = summed.groupBy("source", "stretch").agg(F.sum("words").alias("n")).select("source", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("upto"))
+    inside = Window.partitionBy("source", "stretch").orderBy("u", "block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = write_out(
+        summed.alias("b")
+        .join(stretches.alias("s"), _same("b", "s", "source", "stretch"))
+        .select("b.*", "s.upto")
+        .withColumn("before", F.col("upto") + F.coalesce(F.sum("words").over(inside), F.lit(0)))
+        .withColumn("whole", (F.col("before") + F.col("words") <= F.col("rest")) & (F.col("rest") > 0))
         .withColumn("cut", ~F.col("whole") & (F.col("before") < F.col("rest")) & (F.col("rest") > 0))
-        .withColumn("copies", F.col("base") + (F.col("whole") | F.col("cut")).cast("int"))
+        .withColumn("copies", F.col("base") + (F.col("whole") | F.col("cut")).cast("int")),
+        "blocks",
     )
-    if shards is None:
-        shards = _shards(goal.agg(F.sum("target").alias("n")).first()["n"])
-    counted = placed.groupBy("source").agg(F.sum("copies").alias("n")).orderBy(F.col("source").asc_nulls_last()).collect()
-    quotas = split_quotas([r["n"] for r in counted], shards, np.random.default_rng(seed)) if counted else np.zeros((shards, 0), int)
-    ends = [(r["source"], [int(x) for x in np.cumsum(quotas[:, i])]) for i, r in enumerate(counted)]
-    kind = sized.schema["source"].dataType.simpleString()
-    cuts = spark.createDataFrame(ends, f"source {kind}, ends array<long>")
-    permuted = Window.partitionBy("source").orderBy(_hash(seed + 2, "block", "copy"), "block", "copy")
-    drawn = placed.where("copies > 0").select("source", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).withColumn("draw", F.row_number().over(permuted) - 1)
-    dealt = drawn.alias("s").join(cuts.alias("g"), same).select("s.source", "block", "copy", F.size(F.filter("ends", lambda e: e <= F.col("draw"))).alias("shard"))
+    drawn = placed.where("copies > 0").select("source", "stratum", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    counted = drawn.groupBy("stratum").count().orderBy("stratum").collect()
+    draws = [r["count"] for r in counted]
+    ends = split_quotas(draws, shards, np.random.default_rng(seed)).cumsum(axis=0) if counted else np.zeros((shards, 0), int)
+    first = np.cumsum(draws) - np.array(draws) if counted else []
+    cuts = spark.createDataFrame([(r["stratum"], int(first[i]), ends[:, i].tolist()) for i, r in enumerate(counted)], "stratum long, first long, ends array<long>")
+    permuted = numbered(drawn, F.col("stratum"), _hash(seed + 2, "source", "block", "copy"), F.col("source"), F.col("block"), F.col("copy"), name="draw")
+    dealt = permuted.join(cuts, "stratum").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("draw") - F.col("first"))))
     lists = dealt.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("shards"))
-    per_block = placed.alias("s").join(lists.alias("g"), same & (F.col("s.block") == F.col("g.block")), "left").select("s.source", "s.block", "source_size", "target", "rest", "before", "cut", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
-    rows = sized.alias("s").join(per_block.alias("g"), same & (F.col("s.block") == F.col("g.block"))).select("s.*", "source_size", "target", "rest", "before", "cut", "shards")
-    whole = rows.where("not cut").select("id", "source", "size", "source_size", "target", "shards")
-    inner = Window.partitionBy("source", "block").orderBy(_hash(seed + 3, "id", "size")).rangeBetween(Window.unboundedPreceding, 0)
-    singly = (
-        rows.where("cut")
-        .withColumn("middle", F.col("before") + F.sum("size").over(inner) - F.col("size") / 2)
-        .withColumn("shards", F.when(F.col("middle") <= F.col("rest"), F.col("shards")).otherwise(F.slice("shards", F.lit(1), F.size("shards") - 1)))
-        .select("id", "source", "size", "source_size", "target", "shards")
-    )
-    return whole.unionByName(singly)
+    per_block = placed.alias("b").join(lists.alias("l"), _same("b", "l", "source", "block"), "left").select("b.source", "b.block", "before", "cut", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
+    found = rows.alias("u").join(per_block.alias("b"), _same("u", "b", "source", "block")).select("u.*", "before", "cut", "shards")
+    kept = [*UNIT, "m", "source_size", "target", "shards"]
+    singly = Window.partitionBy("source", "block").orderBy(_hash(seed + 3, "id", "digest"), *UNIT).rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("before") + F.sum(F.col("size") * F.col("m")).over(singly) - F.col("size") * F.col("m") / 2
+    by_unit = found.where("cut").withColumn("middle", middle).withColumn("shards", F.when(F.col("middle") <= F.col("rest"), F.col("shards")).otherwise(F.slice("shards", F.lit(1), F.size("shards") - 1)))
+    return write_out(found.where("not cut").select(*kept).unionByName(by_unit.select(*kept)), "plan"), shards, each
+
+
+def deal(planned: DataFrame, each: int, seed: int = SEED) -> DataFrame:
+    """(units' columns, source_size, target, copy, shard, part, place) per drawn unit: where the output shards hold it.
+
+    A shard has ``each`` parts; place is the number of rows before it in its part's shuffled order.
+    """
+    drawn = planned.select(*planned.columns, F.posexplode("shards").alias("copy", "shard")).drop("shards").withColumn("part", F.pmod(_hash(seed + 5, "id", "digest", "copy"), F.lit(each)))
+    before = Window.partitionBy("shard", "part").orderBy(_hash(seed + 4, "id", "digest", "copy"), *UNIT, "copy").rowsBetween(Window.unboundedPreceding, -1)
+    return drawn.withColumn("place", F.coalesce(F.sum("m").over(before), F.lit(0)))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
-    """docs' rows as often as the plan takes them, with mix_shard.
+    """docs' rows as often as the shards hold them, with mix_shard; other columns stay as they are.
 
-    A partition holds rows of few shards, each in its shuffled order; a shard of over SHARD_WORDS words has several partitions.
+    A partition holds one part of a shard or several, each in its shuffled order.  No rows give no rows.
     """
-    planned = plan(docs, id_col, text_col, source_col, seed=seed, **options).select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("shards").alias("__shards")).dropDuplicates(["__id", "__source", "__size"])
-    planned = write_out(planned, "mix")
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    joined = docs.withColumn("__words", size).join(planned, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-    out = joined.select(*[F.col(c) for c in docs.columns], F.posexplode("__shards").alias("__copy", "mix_shard"))
-    taken = planned.agg(F.sum(F.col("__size") * F.size("__shards")).alias("n")).first()["n"] or 0
-    shards = options.get("shards") or _shards(taken)
-    each = 1 + taken // (SHARD_WORDS * shards)
-    part = F.pmod(_hash(seed + 5, id_col, "__copy"), F.lit(each))
-    return out.repartition(shards * each, "mix_shard", part).sortWithinPartitions("mix_shard", _hash(seed + 4, id_col, "__copy")).drop("__copy")
+    planned, shards, each = plan(write_out(units(docs, id_col, text_col, source_col), "units"), seed=seed, **options)
+    drawn = deal(planned, each, seed).select(*[F.col(c).alias(f"__{c}") for c in ("id", "source", "digest", "shard", "part", "place")])
+    joined = docs.withColumn("__text", F.xxhash64(F.col(text_col).cast("string"))).join(drawn, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__digest")))
+    dealt = joined.repartition(shards * each, "__shard", "__part").sortWithinPartitions("__shard", "__part", "__place")
+    return dealt.select(*[F.col(c) for c in docs.columns if c != "mix_shard"], F.col("__shard").alias("mix_shard"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = plan(read(spark, sf_dir, "documents"))
-    return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+    docs = read(spark, sf_dir, "documents")
+    planned, _, each = plan(write_out(units(docs, "doc_id", "text", "source"), "units"))
+    unit = [*UNIT, "m", "source_size", "target"]
+    held = deal(planned, each).withColumn("held", F.struct("shard", "part", "place"))
+    none = planned.where(F.size("shards") == 0).withColumn("held", F.lit(None).cast(held.schema["held"].dataType))
+    rows = held.select(*unit, "held").unionByName(none.select(*unit, "held")).groupBy(*unit).agg(F.sum(F.when(F.col("held").isNotNull(), F.col("size")).otherwise(0)).alias("taken"), F.array_sort(F.collect_list("held")).alias("held"))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "held", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("nth")).drop("nth")

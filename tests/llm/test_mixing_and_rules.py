@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from leafmill.llm import mixing, quality_rules
+from pyspark.sql import functions as F
 
 from .cases import ODD, documents
 
@@ -53,35 +54,94 @@ def slow_targets(size, share=1.5):
     return target
 
 
+def planned(docs, **options):
+    return mixing.plan(mixing.units(docs, "doc_id", "text", "source"), **options)
+
+
 def test_mix_meets_its_targets(spark, sf):
-    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
-    got = mixing.plan(docs).collect()
-    assert sorted(r["id"] for r in got) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    sf = sf.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = mixing.op5_source_mixing(spark, sf).collect()
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    assert sorted(r["doc_id"] for r in got) == sorted(source)
     size, taken, largest = Counter(), Counter(), defaultdict(int)
     for r in got:
-        size[r["source"]] += r["size"]
-        taken[r["source"]] += r["size"] * len(r["shards"])
-        largest[r["source"]] = max(largest[r["source"]], r["size"])
-        assert len(r["shards"]) <= 2
+        s = source[r["doc_id"]]
+        size[s] += r["size"]
+        taken[s] += r["taken"]
+        largest[s] = max(largest[s], r["size"])
+        assert r["taken"] == r["size"] * len(r["held"]) and len(r["held"]) <= 2
     want = slow_targets(size)
     for r in got:
-        assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == size[r["source"]]
+        s = source[r["doc_id"]]
+        assert r["target"] == pytest.approx(want[s]) and r["source_size"] == size[s]
     for s in size:
         assert abs(taken[s] - want[s]) <= largest[s]
-    again = mixing.plan(docs.repartition(7)).collect()
-    assert sorted(map(str, got)) == sorted(map(str, again))
-    mixed = mixing.mix(docs)
-    assert mixed.count() == sum(len(r["shards"]) for r in got)
-    per = Counter(r["mix_shard"] for r in mixed.collect())
-    assert len(per) == mixing.SHARDS[0]
+    # the shards hold what was taken, every place once, in the order of their places
+    places = defaultdict(list)
+    for r in got:
+        for h in r["held"]:
+            places[h["shard"], h["part"]].append(h["place"])
+    assert len({k for k, _ in places}) == mixing.SHARDS[0] and all(sorted(v) == list(range(len(v))) for v in places.values())
+    again = mixing.plan(mixing.units(docs.repartition(7), "doc_id", "text", "source"))[0].collect()
+    assert sorted(map(str, planned(docs)[0].collect())) == sorted(map(str, again))
+    mixed = Counter((r["doc_id"], r["mix_shard"]) for r in mixing.mix(docs).collect())
+    assert mixed == Counter((r["doc_id"], h["shard"]) for r in got for h in r["held"])
+
+
+@pytest.mark.parametrize("strata", [1024, 2])
+def test_shards_hold_the_trees_quotas(spark, sf, strata):
+    """Blocks, draws and quotas by hand: a draw lies in one shard, and every shard has each stratum's quota."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    plan, shards, _ = planned(docs, strata=strata)
+    block = F.pmod(mixing._hash(mixing.SEED, "id", "digest"), F.lit(mixing.LEAST_BLOCKS))
+    rows = plan.withColumn("block", block).withColumn("u", mixing._hash(mixing.SEED + 1, "source", "block")).collect()
+    shard_of, words, target = defaultdict(set), Counter(), {}
+    for r in rows:
+        for k, shard in enumerate(r["shards"]):
+            shard_of[r["source"], r["block"], k].add(shard)
+        words[r["source"], (r["u"] % 2**64 >> 54, r["u"], r["block"])] += r["size"] * r["m"]
+        target[r["source"]] = r["source_size"], r["target"]
+    assert all(len(v) == 1 for v in shard_of.values())
+    stratum = {s: i % strata for i, s in enumerate(sorted(target, key=lambda s: (s is None, s)))}
+    counts, held, unseen = Counter(), Counter(), 0
+    for s, (size, goal) in target.items():
+        base, before = int(goal // size), 0
+        for (_, (_, _, b)), n in sorted((k, n) for k, n in words.items() if k[0] == s):
+            copies = base + (before < goal - base * size)
+            before += n
+            counts[stratum[s]] += copies
+            for k in range(copies):
+                if (s, b, k) in shard_of:
+                    held[min(shard_of[s, b, k]), stratum[s]] += 1
+                else:
+                    unseen += 1  # the last draw of a block that is cut before its first document
+    quotas = mixing.split_quotas([counts[i] for i in sorted(counts)], shards, np.random.default_rng(mixing.SEED))
+    left = quotas - [[held[k, i] for i in sorted(counts)] for k in range(shards)]
+    assert left.min() >= 0 and left.sum() == unseen <= len(target)
 
 
 def test_mix_of_odd_rows(spark):
     rows = [(*r, "en", None if i % 3 else "b") for i, r in enumerate(ODD)]
-    got = mixing.plan(documents(spark, rows)).collect()
-    assert len(got) == len(rows)
-    assert mixing.mix(documents(spark, rows)).count() == sum(len(r["shards"]) for r in got)
-    assert mixing.plan(documents(spark, [])).count() == 0 and mixing.mix(documents(spark, [])).count() == 0
+    docs = documents(spark, rows)
+    got = planned(docs)[0].collect()
+    assert sum(r["m"] for r in got) == len(rows)
+    assert mixing.mix(docs).count() == sum(len(r["shards"]) * r["m"] for r in got)
+    assert mixing.mix(documents(spark, [])).count() == 0
+    same = documents(spark, [(None, "a b c", "en", None)] * 30 + [(None, "d e", "en", None)] * 5 + [(1, None, "en", "x")])
+    plan = {(r["id"], r["size"]): r for r in planned(same)[0].collect()}
+    assert plan[None, 3]["m"] == 30 and plan[None, 3]["source_size"] == 100 and plan[1, 0]["target"] == 0
+    assert mixing.mix(same).where("text = 'a b c'").count() == 30 * len(plan[None, 3]["shards"])
+
+
+def test_many_sources_reach_their_targets(spark):
+    rows = [(i, "w " * (1 + i % 9), "en", f"host{i % 400:03d}") for i in range(2000)]
+    got = planned(documents(spark, rows), strata=16)[0].collect()
+    size = Counter()
+    for r in got:
+        size[r["source"]] += r["size"]
+    want = slow_targets(size)
+    assert all(r["target"] == pytest.approx(want[r["source"]]) for r in got)
 
 
 def test_quotas_are_exact():
