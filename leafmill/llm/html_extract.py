@@ -15,7 +15,7 @@ import html
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,14 +40,95 @@ _CLOSES = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozens
 _HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
+#: Elements that shut a paragraph in: a block inside one does not end the paragraph around it.
+_SCOPE = ("table", "td", "th", "caption", "object", "marquee", "applet", "template", "button", "html")
+
+
+class Path:
+    """The tags above a block, linked to those further up; ``new`` are the feature names that those do not have yet."""
+
+    __slots__ = ("new", "score", "tag", "up")
+
+    def __init__(self, tag: str, up: Path | None, new: list[str]):
+        self.tag, self.up, self.new, self.score = tag, up, new, None
+
+    def names(self) -> list[str]:
+        out, at = [], self
+        while at is not None:
+            out += at.new
+            at = at.up
+        return out
+
+
 class Block:
     __slots__ = ("linked", "path", "text", "words")
 
-    def __init__(self, text: str, path: tuple[tuple[str, tuple[str, ...]], ...], linked: float):
+    def __init__(self, text: str, path: Path | None, linked: float):
         self.text, self.path, self.linked = text, path, linked
         self.words = text.count(" ") + 1
 
 
+class _Open:
+    """The open elements of a page: where each tag stands among them, and the path that they make.
+
+    Every step costs as much as it opens and closes, however deep the page is.
+    """
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.paths: list[Path | None] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.held: Counter = Counter()  # open elements that bring each feature name
+
+    @property
+    def path(self) -> Path | None:
+        return self.paths[-1] if self.paths else None
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str, named: tuple[str, ...]) -> None:
+        inline = tag in _INLINE
+        path = self.path
+        if not inline or named:
+            names = dict.fromkeys([f"t:{tag}", *[f"c:{w}" for w in named]])
+            path = Path(tag, path, [n for n in names if not self.held[n]])
+            self.held.update(path.new)
+        self.places[tag].append(len(self.tags))
+        if not inline:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.paths.append(path)
+
+    def cut(self, k: int) -> None:
+        """Close element k and all inside it."""
+        while len(self.tags) > k:
+            tag, path = self.tags.pop(), self.paths.pop()
+            self.places[tag].pop()
+            if tag not in _INLINE:
+                self.blocks.pop()
+            if path is not self.path:
+                for n in path.new:
+                    self.held[n] -= 1
+
+    def close(self, tag: str) -> None:
+        """An end tag: the last such element ends; an inline one only inside its block."""
+        k = self.last(tag)
+        if k >= 0 and (tag not in _INLINE or not self.blocks or self.blocks[-1] < k):
+            self.cut(k)
+
+    def make_room(self, tag: str) -> None:
+        """What the start of a block ends: the paragraph around it, and an item of its kind."""
+        k = self.last("p")
+        if k > self.last(*_SCOPE):
+            self.cut(k)
+        if tag in _CLOSES:
+            k = self.last(*_CLOSES[tag])
+            if k > self.last(*_HOLDS[tag]):
+                self.cut(k)
+
+
 def _after_raw(page: str, tag: str, at: int, missing: dict[str, int]) -> int | None:
     """Where a raw element ends whose content starts at ``at``, or None if it is not closed; missing has from where on a tag is not."""
     start = at
@@ -74,30 +155,31 @@ def blocks(page: str) -> list[Block]:
     unclosed script or style the code up to the next tag goes with it.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Open()
     text: list[str] = []
-    path: tuple | None = None
+    path: Path | None = None
+    begun = False  # whether the block has text other than white space, which sets its path
     links = [0, 0, 0]  # open anchors, letters inside, letters
     missing: dict[str, int] = {}
     at = upto = 0  # where text that is not taken yet and the next search start
 
     def flush():
-        nonlocal path
+        nonlocal path, begun
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                out.append(Block(whole, path or (), links[1] / max(1, links[2])))
+                out.append(Block(whole, path, links[1] / max(1, links[2])))
             text.clear()
-        path = None
+        path, begun = None, False
         links[1] = links[2] = 0
 
     def add(piece: str):
-        nonlocal path
+        nonlocal path, begun
         if "&" in piece:
             piece = html.unescape(piece)
         if piece:
-            if path is None and not piece.isspace():
-                path = tuple(x for x in stack if x[0] not in _INLINE or x[1])
+            if not begun and not piece.isspace():
+                path, begun = stack.path, True
             text.append(piece)
             n = len(piece.strip())
             links[2] += n
@@ -131,27 +213,13 @@ def blocks(page: str) -> list[Block]:
         if block:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if not block and stack[k][0] not in _INLINE:
-                    break
+            stack.close(tag)
             continue
         if block:
-            if any(x[0] == "p" for x in stack[-6:]):
-                k = max(i for i, x in enumerate(stack) if x[0] == "p")
-                del stack[k:]
-            if tag in _CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in _HOLDS[tag]:
-                        break
-                    if stack[k][0] in _CLOSES[tag]:
-                        del stack[k:]
-                        break
+            stack.make_room(tag)
         if tag not in _VOID and not m[0].endswith("/>"):
             named = tuple(w for a in _ATTR.findall(m[3] or m[6] or "") for w in _PIECE.findall((a[1] or a[2] or a[3]).lower())) if (m[3] or m[6]) else ()
-            stack.append((tag, named))
+            stack.push(tag, named)
     if at < len(page):
         rest = page[at:]
         add(rest if "<" not in rest or not re.match(r"<[/!a-zA-Z]", rest) else "")
@@ -160,13 +228,17 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> list[list[str]]:
-    """Names of the features that each block has."""
+    """Names of the features that each block has: all those of its path, then its own."""
+    return [(b.path.names() if b.path else []) + f for b, f in zip(found, own_features(found), strict=True)]
+
+
+def own_features(found: list[Block]) -> list[list[str]]:
+    """Names of the features of each block besides those of its path."""
     out, n = [], len(found)
     longest = max((b.words for b in found), default=1)
     for i, b in enumerate(found):
-        tags = [t for t, _ in b.path]
-        names = {f"c:{w}" for _, ws in b.path for w in ws}
-        f = ["bias", f"p:{tags[-1] if tags else ''}", *{f"t:{t}" for t in tags}, *names]
+        tag = b.path.tag if b.path else ""
+        f = ["bias", f"p:{tag}"]
         f.append(f"w:{min(9, int(math.log2(b.words)))}")
         f.append(f"rel:{int(4 * b.words / longest)}")
         f.append(f"link:{int(4 * b.linked)}")
@@ -178,7 +250,7 @@ def features(found: list[Block]) -> list[list[str]]:
             f.append("mark")
         if "@" in b.text or "http" in b.text:
             f.append("address")
-        f.append(f"x:{tags[-1] if tags else ''}:{min(4, int(math.log2(b.words)))}:{b.linked > 0.5}")
+        f.append(f"x:{tag}:{min(4, int(math.log2(b.words)))}:{b.linked > 0.5}")
         out.append(f)
     return out
 
@@ -194,11 +266,27 @@ class Crf:
         get = self.weight.get
         return [sum(get(k, 0.0) for k in f) for f in fs]
 
-    def decode(self, fs: list[list[str]]) -> list[int]:
-        """Viterbi labels; other wins ties."""
-        if not fs:
+    def label(self, found: list[Block]) -> list[int]:
+        """Viterbi labels of a page's blocks; what a path adds to the scores is summed up once."""
+        get = self.weight.get
+
+        def above(path: Path | None) -> float:
+            chain = []
+            while path is not None and path.score is None:
+                chain.append(path)
+                path = path.up
+            total = path.score if path else 0.0
+            for x in reversed(chain):
+                total = x.score = total + sum(get(n, 0.0) for n in x.new)
+            return total
+
+        return self.decode([above(b.path) + s for b, s in zip(found, self._scores(own_features(found)), strict=True)])
+
+    def decode(self, s: list[float]) -> list[int]:
+        """Viterbi labels by the blocks' scores; other wins ties."""
+        if not s:
             return []
-        s, w, back = self._scores(fs), self.step, []
+        w, back = self.step, []
         a, b = 0.0, s[0]
         for e in s[1:]:
             a0, b0, a1, b1 = a + w[0][0], b + w[1][0], a + w[0][1], b + w[1][1]
@@ -353,7 +441,7 @@ def default_model() -> Crf:
 
 def extract_text(page: str | None, model: Crf) -> str:
     found = blocks(page or "")
-    return "\n\n".join(b.text for b, y in zip(found, model.decode(features(found)), strict=True) if y)
+    return "\n\n".join(b.text for b, y in zip(found, model.label(found), strict=True) if y)
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text", model: Crf | None = None) -> DataFrame:
