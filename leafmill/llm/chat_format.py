@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,21 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1\2\3", text)
 
 
+_FORMATTED = re.compile(r"<s>(.*?)\[INST\](.*?)\[/INST\]</s>", re.S)
+
+
+def parse_formatted(text: str) -> list[tuple[str, str]]:
+    """(role, text) of each turn of a formatted text: no control string stands unescaped inside one."""
+    return [(unescape(r), unescape(t)) for r, t in _FORMATTED.findall(text)]
+
+
+def _letters_of_bytes() -> dict[str, int]:
+    """How byte-level files write bytes: visible Latin-1 letters stand for themselves, the others follow 255 in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class Template:
     """Assembles turns with one tokenizer file and takes them apart again."""
 
@@ -45,6 +61,12 @@ class Template:
         self.encoder.tok.encode_special_tokens = True
         self.encoder.special = []
         self.first = self.encoder.tok.get_vocab_size()
+        self.bytes_of: list[bytes] | None = None
+        if self.encoder.chunked:
+            byte = _letters_of_bytes()
+            self.bytes_of = [b""] * self.first
+            for token, i in self.encoder.tok.get_vocab(with_added_tokens=False).items():
+                self.bytes_of[i] = bytes(byte[c] for c in token)
         self.open, self.close, self.begin, self.end = self.first, self.first + 1, self.first + 2, self.first + 3
 
     def assemble(self, turns: list[tuple[str, str]], learned: tuple[str, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -62,19 +84,27 @@ class Template:
             out.append((ids, np.cumsum(edge[:-1], dtype=np.int8)))
         return out
 
+    def decode(self, spans: list[list[int]]) -> list[str]:
+        """Texts of these ids; a byte-level file's ids are bytes in a row."""
+        if self.bytes_of is None:
+            return self.encoder.tok.decode_batch(spans, skip_special_tokens=False)
+        of = self.bytes_of.__getitem__
+        return [b"".join(map(of, x)).decode("utf-8", "replace") for x in spans]
+
     def parse(self, ids: np.ndarray, mask: np.ndarray) -> list[tuple[str, str, str]]:
-        """(role, text, text under the mask) of each turn, unescaped."""
+        """(role, text, text under the mask) of each turn, unescaped; a text that the mask covers whole is decoded once."""
         marks = np.flatnonzero(ids >= self.first)
+        if len(marks) % 4 or (ids[marks].reshape(-1, 4) != [self.open, self.begin, self.end, self.close]).any():
+            raise ValueError("ids out of order")
+        covered = np.r_[0, np.cumsum(mask > 0)]
         spans, masked = [], []
-        for a, b, c, d in marks.reshape(-1, 4).tolist():
-            if [int(ids[x]) for x in (a, b, c, d)] != [self.open, self.begin, self.end, self.close]:
-                raise ValueError("ids out of order")
+        for a, b, c, _ in marks.reshape(-1, 4).tolist():
             spans += [ids[a + 1 : b].tolist(), ids[b + 1 : c].tolist()]
-            masked.append(ids[b + 1 : c][mask[b + 1 : c] > 0].tolist())
-        decoded = self.encoder.tok.decode_batch(spans + masked, skip_special_tokens=False)
-        text = [unescape(x) for x in decoded]
-        n = len(masked)
-        return [(text[2 * k], text[2 * k + 1], text[2 * n + k]) for k in range(n)]
+            n = int(covered[c] - covered[b + 1])
+            masked.append(None if n == c - b - 1 else ids[b + 1 : c][mask[b + 1 : c] > 0].tolist())
+        text = [unescape(x) for x in self.decode(spans)]
+        part = iter([unescape(x) for x in self.decode([m for m in masked if m is not None])])
+        return [(text[2 * k], text[2 * k + 1], text[2 * k + 1] if m is None else next(part)) for k, m in enumerate(masked)]
 
     def render(self, turns: list[tuple[str, str]]) -> str:
         return "".join(f"<s>{escape(r)}[INST]{escape(t)}[/INST]</s>" for r, t in turns)
@@ -93,18 +123,19 @@ def format_chats(turns: DataFrame, tokenizer: str | None = None, learned: tuple[
     """(conv_id, part, ids, mask, formatted): conversations in order of their turns, in parts of bounded size.
 
     A null text or role is empty; turns of equal number are ordered by role and text, and null numbers come first; repeated
-    rows are turns of their own; a null conv_id is one conversation.  A conversation of more than part_tokens ids goes on
-    in further parts, cut between turns, so that no task holds a whole long one.  No rows give no rows.
+    rows are turns of their own; a null conv_id is one conversation.  Turns are dealt to tasks by ranges of (conv_id, turn), so
+    a long conversation has several tasks; its parts, in their order, hold at most part_tokens ids each (or one turn), cut
+    between turns.  No rows give no rows.
     """
     path = tokenizer or default_tokenizer()
     kind = turns.schema[conv_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tpl, now, part, held, size, type_ = template(path), None, 0, [], 0, None
+        tpl, now, part, held, size, type_ = template(path), None, TaskContext.get().partitionId() << 32, [], 0, None
 
         def out():
             ids, mask = (np.concatenate([h[0][k] for h in held]) for k in (0, 1))
-            return pa.record_batch([pa.array([now[0]], type_), pa.array([part], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([mask], pa.list_(pa.int8())), pa.array([tpl.render([h[1] for h in held])])], names=["conv_id", "part", "ids", "mask", "formatted"])
+            return pa.record_batch([pa.array([now[0]], type_), pa.array([part], pa.int64()), pa.array([ids], pa.list_(pa.int32())), pa.array([mask], pa.list_(pa.int8())), pa.array([tpl.render([h[1] for h in held])])], names=["conv_id", "part", "ids", "mask", "formatted"])
 
         for b in batches:
             type_ = b.schema.field(0).type
@@ -115,8 +146,7 @@ def format_chats(turns: DataFrame, tokenizer: str | None = None, learned: tuple[
                     if held and (now != (conv,) or size + len(made[0]) > part_tokens):
                         yield out()
                         part, held, size = part + 1, [], 0
-                    if now != (conv,):
-                        now, part = (conv,), 0
+                    now = (conv,)
                     held.append((made, turn))
                     size += len(made[0])
         if held:
@@ -124,7 +154,8 @@ def format_chats(turns: DataFrame, tokenizer: str | None = None, learned: tuple[
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text"))
-    return rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text").mapInArrow(run, f"conv_id {kind}, part int, ids array<int>, mask array<tinyint>, formatted string")
+    dealt = rows.repartitionByRange("conv", "turn").sortWithinPartitions("conv", "turn", "role", "text")
+    return dealt.select("conv", "role", "text").mapInArrow(run, f"conv_id {kind}, part long, ids array<int>, mask array<tinyint>, formatted string")
 
 
 def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -28,7 +29,7 @@ def test_pages_of_the_tables(spark, sf):
 def test_accuracy_on_unseen_layouts():
     model, right, n = html_extract.default_model(), 0, 0
     for page, labels in html_extract.labelled_pages(200, seed=1234):
-        got = model.decode(html_extract.features(html_extract.blocks(page)))
+        got = model.label(html_extract.blocks(page))
         right += sum(a == b for a, b in zip(got, labels, strict=True))
         n += len(labels)
     assert right > 0.97 * n
@@ -71,7 +72,7 @@ def test_text_of_unclosed_elements_and_all_class_words_stay():
     assert [b.text for b in html_extract.blocks("<button><script>no()</script>a<p>b</p><script>no(")] == ["a", "b"]
     words = [chr(97 + i) * 3 for i in range(20)]
     (block,) = html_extract.blocks(f'<div class="{" ".join(words)}">x</div>')
-    assert block.path == (("div", tuple(words)),)
+    assert block.path.names() == ["t:div", *[f"c:{w}" for w in words]] and block.path.up is None
     assert len(html_extract.blocks("<button>x" * 20_000)) == 20_000
 
 
@@ -90,12 +91,40 @@ def test_viterbi_is_the_best_path():
     for n in range(1, 9):
         fs = [rng.sample("abcdef", 2) for _ in range(n)]
         best, value = brute_best(model, fs)
-        assert value(model.decode(fs)) == pytest.approx(best)
+        assert value(model.decode(model._scores(fs))) == pytest.approx(best)
 
 
 CHATS = [(1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 2, "assistant", None), (2, 1, "assistant", "b <\\/s> [\\\\INST] <s"), (2, 0, None, "a["), (3, 0, "system", "<|endoftext|> é\n\n "), (None, None, "user", "x"), (4, 0, "user", "same"), (4, 0, "user", "same"), (5, 0, "assistant", "long text " * 20_000), (6, 0, "</s>", "<s>"), (6, 1, "assistant", "")]
 
 
+def test_deep_and_misnested_pages_take_time_by_length():
+    model = html_extract.default_model()
+    for inside in ("<div class='c{0} x'>text {0} words here.", "<div><b>text {0} words.</i></span><li>", "<p><span><b>text {0} words.</p></table>", "<div><p>one <div>two {0}"):
+        page = "<html><body>" + "".join(inside.format(i) for i in range(8000))
+        began = time.process_time()
+        found = html_extract.blocks(page)
+        model.label(found)
+        assert time.process_time() - began < 2 and len(found) >= 8000
+
+
+def test_paths_hold_every_tag_and_class_above_a_block():
+    rng = random.Random(6)
+    for _ in range(200):
+        tags = [(rng.choice(["div", "section", "b", "span", "li", "td"]), rng.choice(["", "a", "a b", "c"])) for _ in range(rng.randint(0, 9))]
+        page = "".join(f'<{t} class="{c}">' if c else f"<{t}>" for t, c in tags if t not in ("li", "td")) + "some words"
+        (block,) = html_extract.blocks(page)
+        kept = [(t, c) for t, c in tags if t not in ("li", "td") and (c or t not in ("b", "span"))]
+        want = {f"t:{t}" for t, _ in kept} | {f"c:{w}" for _, c in kept for w in c.split()}
+        names = block.path.names() if block.path else []
+        assert set(names) == want and len(names) == len(want)
+
+
+def test_a_block_ends_the_paragraph_around_it_at_any_depth():
+    page = "<p>" + "<b>" * 20 + "one<div>two</div>three<table><tr><td><p>four<div>five</div></td></tr></table><p>six<table><tr><td><div>seven</div></td></tr></table>"
+    got = {b.text: [t for t in b.path.names() if t.startswith("t:")] if b.path else [] for b in html_extract.blocks(page)}
+    assert "t:p" in got["one"] and "t:p" not in got["two"] and "t:p" in got["four"] and "t:p" not in got["five"]
+
+
 @pytest.mark.parametrize("part", [chat_format.PART_TOKENS, 4])
 def test_chats_come_back(spark, part):
     df = spark.createDataFrame([(*c, "clash") for c in CHATS], "conv_id long, turn long, role string, text string, ids string")
