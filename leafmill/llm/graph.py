@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 
 from .common import write_out
 
+#: Tasks that the rows of one hub are dealt to.
+SALTS = 16
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """many joined with its key's single row of one; a key's rows are dealt by a hash of column ``by``, and one is repeated for that."""
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    return dealt.join(repeated.hint("shuffle_merge"), [key, "_salt"]).drop("_salt")  # its size before it is repeated is no bound for a broadcast
+
 
 def _round(e: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (u, v) with u > v."""
+    """One large-star and one small-star step over edges (u, v) with u > v; a hub's edges are dealt to many tasks."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = salted_join(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     low = large.groupBy("u").agg(F.min("v").alias("m"))
-    hung = large.join(low, "u")
+    hung = salted_join(large, low, "u", "v")
     small = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, write_out
-from .graph import connected_components
+from .graph import connected_components, salted_join
 
 RADIUS = 4
 SHINGLE = 4
@@ -176,9 +176,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = write_out(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = marks.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected_components(links(distinct.select("fp"), radius, bucket_rows))
-    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
+    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "root")
+    members = joined.where("root is not null")
+    below = members.groupBy("root").agg(F.min("least").alias("below"))
+    heads = joined.where("root is null").join(below.withColumnRenamed("root", "of"), F.col("fp") == F.col("of"), "left").select("fp", F.least("least", "below").alias("component_id"), F.col("of").isNotNull().alias("head"))
+    inside = salted_join(members.select("fp", "root"), heads.where("head").select(F.col("fp").alias("root"), "component_id"), "root", "fp")
+    classes = heads.select("fp", "component_id").unionByName(inside.select("fp", "component_id"))
     return marks.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
