@@ -42,37 +42,47 @@ def dom_lists(body: Column, parts: list[tuple[str, str]]) -> Column:
     return F.arrow_udf(run, "struct<" + ", ".join(f"{n}: array<string>" for n in names) + ">")(body)
 
 
-def extract(df: DataFrame, body: str, wanted: dict[str, str], as_list: bool | set[str] = False, first_only: bool = False) -> DataFrame:
+_DOM = ("css", "xpath", "chain", "default")
+
+
+def _places(parsed: dict[str, R.Rule]) -> dict[tuple[str, str], int]:
+    """The (mode, selector) parts of the DOM rules, each with its number."""
+    where: dict[tuple[str, str], int] = {}
+    for r in parsed.values():
+        if r.mode in _DOM:
+            for p in r.parts:
+                where.setdefault((r.mode, p), len(where))
+    return where
+
+
+def _late(everything: dict[str, R.Rule]) -> dict[str, R.Rule]:
+    """The rules that are filled in from what the others have found."""
+    return {k: r for k, r in everything.items() if r.expressions or (r.gets and not any(r.parts))}
+
+
+def extract(df: DataFrame, body: str, wanted: dict[str, str], as_list: bool | set[str] = False, first_only: bool = False, ready: bool = False) -> DataFrame:
     """df with a column per rule: its first value, or all of them (as_list: for every rule, or for those named).
 
     DOM parts of all rules share one UDF call; JSON, regex and list operators stay built-in expressions.  A null body gives
     empty results.  Columns of the wanted names are replaced.  A rule @get:{a} takes the value that rule a (or @put:{a} in
     front of a rule) has found, and a rule with {{expressions}} is filled in from the values found; first_only takes the first
-    part of a composite rule alone.
+    part of a composite rule alone.  With ready, df has the DOM parts' lists in column _dom and no body.
     """
     listed = set(wanted) if as_list is True else as_list or set()
     everything = {k: R.parse(r) for k, r in wanted.items()}
-    late = {k: r for k, r in everything.items() if r.expressions or (r.gets and not any(r.parts))}
+    late = _late(everything)
     parsed = {k: r for k, r in everything.items() if k not in late}
     if first_only:
         parsed = {k: replace(r, parts=r.parts[:1], ops=()) for k, r in parsed.items()}
-    parts: list[tuple[str, str]] = []
-    where: dict[tuple[str, str], int] = {}
-    for r in parsed.values():
-        if r.mode in ("css", "xpath", "chain", "default"):
-            for p in r.parts:
-                if (r.mode, p) not in where:
-                    where[r.mode, p] = len(parts)
-                    parts.append((r.mode, p))
-    if parts:
-        df = df.withColumn("_dom", dom_lists(F.col(body), parts))
-    text = F.coalesce(F.col(body), F.lit(""))
+    where = _places(parsed)
+    if where and not ready:
+        df = df.withColumn("_dom", dom_lists(F.col(body), list(where)))
     out = {}
     for k, r in parsed.items():
         if r.mode == "json":
             cols = [json_paths.query(F.col(body), p) for p in r.parts]
         elif r.mode == "regex":
-            cols = [regexes.chain(text, list(r.parts))]
+            cols = [regexes.chain(F.coalesce(F.col(body), F.lit("")), list(r.parts))]
         elif r.mode == "js":
             raise ValueError(f"{k}: scripts are not run; see functions.expressions")
         else:
@@ -105,13 +115,53 @@ def items(df: DataFrame, body: str, rule: str, out: str = "item", pos: str = "po
             got = []
             for page in b:
                 root = dom.parse(page.as_py() or "")
-                nodes = dom.chain_list(root, parsed.raw) if parsed.mode == "chain" else dom.taken(dom.select(root, (s := R.index_spec(parsed.parts[0]))[1]), s[0])
-                got.append([n.outer() for n in nodes])
+                got.append([n.outer() for n in _elements(root, parsed)])
             yield pa.array(got, pa.list_(pa.string()))
 
     return df.select("*", F.posexplode(F.arrow_udf(run, "array<string>")(F.col(body))).alias(pos, out))
 
 
+def _elements(root: dom.Node, rule: R.Rule) -> list[dom.Node]:
+    """The elements of a list rule."""
+    if rule.mode == "chain":
+        return dom.chain_list(root, rule.raw)
+    spec, selector = R.index_spec(rule.parts[0])
+    return dom.taken(dom.select(root, selector), spec)
+
+
+def extract_items(df: DataFrame, body: str, rule: str, wanted: dict[str, str], pos: str = "pos") -> DataFrame:
+    """df without its body, with one row per element of a list rule: its place and a column per rule, told from the element alone.
+
+    Where all rules are DOM rules, a page is parsed once and its elements are looked at in place; else each element's
+    HTML (or JSON) goes through extract().
+    """
+    parsed = R.parse(rule)
+    everything = {k: R.parse(r) for k, r in wanted.items()}
+    late = _late(everything)
+    where = _places({k: r for k, r in everything.items() if k not in late})
+    if parsed.mode == "json" or not where or any(r.mode not in _DOM for k, r in everything.items() if k not in late):
+        return extract(items(df, body, rule, pos=pos), "item", wanted).drop(body, "item")
+    names = [f"p{i}" for i in range(len(where))]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([(n, pa.list_(pa.string())) for n in names]))
+        for b in batches:
+            out = []
+            for page in b:
+                rows = []
+                for n in _elements(dom.parse(page.as_py() or ""), parsed):
+                    alone, up = dom.Node("#root"), n.parent
+                    alone.children, n.parent = [n], alone
+                    rows.append(dict(zip(names, (_one(alone, mode, part) for mode, part in where), strict=True)))
+                    n.parent = up
+                out.append(rows)
+            yield pa.array(out, kind)
+
+    found = F.arrow_udf(run, "array<struct<" + ", ".join(f"{n}: array<string>" for n in names) + ">>")(F.col(body))
+    rest = [c for c in df.columns if c != body]
+    return extract(df.select(*rest, F.posexplode(found).alias(pos, "_dom")), body, wanted, ready=True)
+
+
 def content(df: DataFrame, body: str, selector: str, base: str | None = None) -> DataFrame:
     """df with content (text by blocks) and images of the first element that matches, or of the page; base is the column of its URL."""
 

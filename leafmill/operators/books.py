@@ -47,11 +47,10 @@ def search(sources: DataFrame, pages: DataFrame, rules: dict[str, str], key: str
 
 def list_page(pages: DataFrame, rules: dict[str, str], body: str, base: str) -> DataFrame:
     """Books of list pages: the list rule's items and each item's fields; items without a name go."""
-    items = extract.items(pages, body, rules["list"])
-    got = extract.extract(items, "item", {k: v for k, v in rules.items() if k != "list"})
+    got = extract.extract_items(pages, body, rules["list"], {k: v for k, v in rules.items() if k != "list"})
     if "url" in rules:
         got = got.withColumn("url", urls.resolve(F.col(base), F.col("url")))
-    return got.where(F.trim("name") != "").drop(body, "item")
+    return got.where(F.trim("name") != "")
 
 
 def book_info(books: DataFrame, pages: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -63,8 +62,8 @@ def book_info(books: DataFrame, pages: DataFrame, rules: dict[str, str]) -> Data
 
 def chapters(books: DataFrame, pages: DataFrame, rules: dict[str, str], key: str, url: str = "url", newest_first: bool = False) -> DataFrame:
     """Contents: (key, idx, title, chapter_url); blank titles go, numbers are dense, reversed lists renumbered."""
-    items = extract.items(fetch(books.select(key, F.col(url)), pages, url).where("found"), "body", rules["list"])
-    got = extract.extract(items, "item", {"title": rules["title"], "link": rules["url"]}).where(F.trim("title") != "")
+    found = fetch(books.select(key, F.col(url)), pages, url).where("found")
+    got = extract.extract_items(found, "body", rules["list"], {"title": rules["title"], "link": rules["url"]}).where(F.trim("title") != "")
     order = F.col("pos").desc() if newest_first else F.col("pos").asc()
     return got.select(key, (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).alias("idx"), "title", urls.resolve(F.col(url), F.col("link")).alias("chapter_url"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.functions import extract, json_paths, text
+from leafmill.functions import dom, extract, json_paths, text
 from leafmill.operators import books, tables
 from leafmill.plans.registry import block, query, read
 from leafmill.sources import feeds, files
@@ -85,7 +85,14 @@ def feed_flags(spark, sf):
     return j.groupBy(F.coalesce(F.nullif(F.trim("source"), F.lit("")), F.lit("-")).alias("source")).agg(F.count_if(F.col("quality") == 1).alias("n_read"), F.count_if(F.col("toxic") == 1).alias("starred"))
 
 
-@query()
+_ALLOWED = "|".join(sorted(dom.ALLOWED, key=lambda t: (-len(t), t)))
+_ENDS = "article|aside|footer|section|header|nav|main|div|p|ul|ol|h[1-6]|table|form|blockquote|figure|pre|body"
+#: The pages' unclosed bold paragraphs are closed, code and comments go, allowed tags lose their attributes, others go, texts are escaped anew.
+_MARKED = f"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<br>(\\s*</?(?:{_ENDS}))', '<br></b></p>\\1', 'g'), '(?s)<(script|style|noscript|iframe)[^>]*>.*?</(script|style|noscript|iframe)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<(/?)({_ALLOWED})(\\s[^>]*)?>', chr(2) || '\\1\\2' || chr(3), 'g'), '<[^>]*>', '', 'g') AS h FROM pages"""
+_SAID = "replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160))"
+
+
+@query(f"SELECT page_id, replace(replace(replace(regexp_replace(regexp_replace({_SAID}, '&(lt|gt|amp);?', chr(4) || '\\1;', 'g'), '&', '&amp;', 'g'), chr(4), '&'), chr(2), '<'), chr(3), '>') AS html_clean FROM ({_MARKED})")
 def whitelisted_html(spark, sf):
     return extract.whitelisted(read(spark, sf, "pages").select("page_id", "html"), "html").select("page_id", "html_clean")
 
