@@ -256,3 +256,31 @@ def rule_modes(spark, sf):
     """Modes of a table's rules, told by expressions."""
     rule = F.when(F.col("p_type").contains("ECONOMY"), "//div/a/@href").otherwise(".book a")
     return read(spark, sf, "part").groupBy("p_name", "p_type", rules.mode_of(rule).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_INLINE_RULES = ["@XPath://a", "@Json:$.a", "@CSS:a", "@css:a", "$.a", "/a/b", ":a(b)", "a.b", "class.x@text"]
+
+
+@query(f"SELECT p_partkey, ['xpath', 'json', 'css', 'default', 'json', 'xpath', 'regex', 'default', 'default'][1 + p_partkey % 9] AS inline, ['xpath', 'json', 'css', 'css', 'json', 'css', 'regex', 'css', 'chain'][1 + p_partkey % 9] AS analyzed, {_INLINE_RULES}[1 + p_partkey % 9] AS rule FROM part".replace("'json', 'css', 'regex'", "'json', 'xpath', 'regex'"))
+def inline_modes(spark, sf):
+    """Both ways of telling a rule's mode, side by side."""
+    rule = F.element_at(F.array(*map(F.lit, _INLINE_RULES)), (F.col("p_partkey") % 9 + 1).cast("int"))
+    return read(spark, sf, "part").select("p_partkey", rules.inline_mode(rule).alias("inline"), rules.mode_of(rule).alias("analyzed"), rule.alias("rule"))
+
+
+@query("SELECT p_partkey, [CAST(p_partkey AS VARCHAR), p_name] AS of_object, [p_name, p_brand] AS of_array, [CAST(p_size AS VARCHAR)] AS number FROM part")
+def json_roots(spark, sf):
+    """Values of a root object, elements of a root array, and a whole number without its fraction."""
+    part = read(spark, sf, "part")
+    obj, arr = F.to_json(F.struct("p_partkey", "p_name")), F.to_json(F.array("p_name", "p_brand"))
+    number = F.concat(F.lit('{"n": '), F.col("p_size").cast("string"), F.lit(".0}"))
+    return part.select("p_partkey", json_paths.query(obj, "$").alias("of_object"), json_paths.query(arr, "$.").alias("of_array"), json_paths.query(number, "@json:$.n").alias("number"))
+
+
+@query(f"SELECT page_id, title, texts[1] AS first_link FROM ({_NAV})")
+def field_rule_maps(spark, sf):
+    """Field rules written in two ways, looked up whatever their case and name."""
+    quoted = rules.field_rules("{'bookName': '@css:article h1@text'}")
+    plain = rules.field_rules("Title::@css:nav li@text@author::none")
+    wanted = {"title": rules.field_rule(quoted, "name"), "first_link": rules.field_rule(plain, "missing", "title")}
+    return extract.extract(read(spark, sf, "pages").select("page_id", "html"), "html", wanted).drop("html")

@@ -169,6 +169,32 @@ def browser_needed(spark, sf):
     return read(spark, sf, "pages").select("page_id", urls.needs_browser(F.col("url"), body).alias("needs"), urls.needs_browser(F.concat("url", F.lit("#webView")), F.lit("")).alias("asked"))
 
 
+@query(
+    "SELECT p_partkey, concat('https://x.example/s/', replace(url_encode(p_name), '%20', '+'), '/', least(greatest(p_size, 1), 9)) AS found, concat('https://x.example/toc/', p_partkey, '/1') AS toc, concat('https://x.example/base/b', p_partkey) AS plain, CASE WHEN p_size % 4 BETWEEN 1 AND 3 THEN ['first', 'second', 'third'][p_size % 4] ELSE 'first' END AS tab, concat('http://a/b/c', p_partkey, '/') AS slashes FROM part"
+)
+def source_urls(spark, sf):
+    """URLs of searches, contents and tabs from a source's templates."""
+    base = F.lit("https://x.example/base/#about")
+    k, page = F.col("p_partkey").cast("string"), F.least(F.greatest(F.col("p_size"), F.lit(1)), F.lit(9)).cast("int")
+    tabs = urls.parse_template("<first, second, third>")
+    return read(spark, sf, "part").select(
+        "p_partkey",
+        urls.search_url("https://x.example//s/{{key}}/{page},{'method': 'post', body: 'q={{key}}'}", base, F.col("p_name"), page).alias("found"),
+        urls.source_url("https://x.example/toc/{{bookUrl}}/{page}", base, k).alias("toc"),
+        urls.source_url("", base, F.concat(F.lit("b"), k)).alias("plain"),
+        urls.evaluate(tabs, {}, (F.col("p_size") % 4).cast("int"), beyond="first").alias("tab"),
+        urls.single_slashes(F.concat(F.lit("http://a//b///c"), k, F.lit("//"))).alias("slashes"),
+    )
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'thecustomer' ELSE concat('part', o_custkey) END AS normal, CAST(o_custkey // 3 AS INTEGER) AS words, CAST(o_custkey // 2 AS INTEGER) AS words2 FROM orders")
+def chapter_titles(spark, sf):
+    """Titles without their numbers and blanks, and words from byte spans."""
+    said = F.when(F.col("o_orderkey") % 3 == 0, "  第十二章： The Customer ").otherwise(F.concat(F.lit("第"), F.col("o_orderkey").cast("string"), F.lit("章 Part　"), F.col("o_custkey").cast("string")))
+    start = F.col("o_orderkey").cast("long")
+    return read(spark, sf, "orders").select("o_orderkey", text.normal_title(said).alias("normal"), text.span_words(start, start + F.col("o_custkey")).alias("words"), text.span_words(start, start + F.col("o_custkey"), 2).alias("words2"))
+
+
 # ---- expressions ----
 
 

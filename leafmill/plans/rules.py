@@ -98,6 +98,18 @@ def mode_of(rule: Column) -> Column:
     )
 
 
+#: Prefixes of inline segments, fixed values, in this case only.
+INLINE_PREFIXES = {"@XPath:": "xpath", "@Json:": "json", "@CSS:": "css"}
+
+
+def inline_mode(rule: Column) -> Column:
+    """Mode of an inline segment: its prefix, or its first letter."""
+    out = F
+    for p, mode in INLINE_PREFIXES.items():
+        out = out.when(rule.startswith(p), mode)
+    return out.when(rule.startswith("$"), "json").when(rule.startswith("/"), "xpath").when(rule.startswith(":"), "regex").otherwise("default")
+
+
 @dataclass(frozen=True)
 class Rule:
     raw: str
