@@ -3,7 +3,9 @@
 Each rule votes good (1) or bad (-1) on a document, or abstains (0).  A rule has unknown accuracies: how often it casts either
 vote on documents of good and of bad hidden quality.  Expectation-maximisation over the counts of vote patterns (at
 most 3^rules rows, whatever the corpus) estimates them and the share of good documents; a document's posterior
-probability of being good decides, so that a stray vote of a rule that errs often does not drop it.
+probability of being good decides.  Every rule is taken to err on ERRS of the good documents at least: one bad vote against
+many good ones does not drop a document, several do, and rules that withhold the votes they cast on nearly all good documents
+speak against one that no rule votes bad on.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from .common import read, write_out
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 12
 KEEP = 0.5
+#: Share of good documents on which a rule votes bad, at least.
+ERRS = 0.02
 
 #: name: (feature, bad if, good if); features are those of measure().
 RULES = {
@@ -41,19 +45,28 @@ def _let(value: Column, use) -> Column:
 def _repeat_words(words: Column, width: int = 3) -> Column:
     """Words inside windows of this width that occur twice or more among these words."""
     n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.struct(F.xxhash64(*[F.element_at(words, (i + k).cast("int")) for k in range(width)]).alias("h"), i.alias("i")))
+    names = [f"w{k}" for k in range(width)]
+
+    m = F.greatest(n - width + 1, F.lit(0))
+    shifted = [F.slice(words, k + 1, m).alias(c) for k, c in enumerate(names)]
+    zipped = F.arrays_zip(*shifted, F.sequence(F.lit(1), F.greatest(m, F.lit(1))).alias("i"))
+    windows = F.transform(zipped, lambda x: F.struct(F.xxhash64(*[x[c] for c in names]).alias("h"), *[x[c].alias(c) for c in names], x["i"].alias("i")))
 
     def twice(s: Column) -> Column:
-        at = lambda j: F.get(s, j)["h"]
-        return F.transform(F.filter(s, lambda x, j: (x["h"] == at(j + 1)).eqNullSafe(True) | ((j > 0) & (x["h"] == at(j - 1)).eqNullSafe(True))), lambda x: x["i"])
+        """Places of the windows whose words equal those of a neighbour; the hash only settles most comparisons early."""
+
+        def same(x: Column, j: Column) -> Column:
+            y = F.get(s, j)
+            return reduce(lambda a, c: a & (x[c] == y[c]), names, x["h"] == y["h"]).eqNullSafe(True)
+
+        return F.transform(F.filter(s, lambda x, j: same(x, j + 1) | ((j > 0) & same(x, j - 1))), lambda x: x["i"])
 
     def covered(p: Column) -> Column:
         return F.when(F.size(p) == 0, F.lit(0)).otherwise(
             F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(width), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
         )
 
-    sorted_ = F.sort_array(hashes)
-    found = _let(sorted_, lambda s: _let(F.sort_array(twice(s)), covered))
+    found = _let(F.sort_array(windows), lambda s: _let(F.sort_array(twice(s)), covered))
     return F.when(n < width + 1, F.lit(0)).otherwise(found).cast("long")
 
 
@@ -99,13 +112,13 @@ def _posterior(names: list[str], accuracy: Accuracies, prior: float) -> Column:
 def fit(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[Accuracies, float]:
     """Each rule's accuracies on good and on bad documents, and the share of good ones, by expectation-maximisation over all rows.
 
-    The first guess takes documents with a bad vote for bad.  A bad vote stays at least twice as likely on bad documents as on
-    good ones, so that the classes keep their meaning.  Without rows a plain guess stays.
+    The first guess goes by the number of bad votes: none, one, or more.  A bad vote stays at least twice as likely on bad
+    documents as on good ones, so that the classes keep their meaning.  Without rows a plain guess stays.
     """
     patterns = write_out(voted.groupBy(*[f"vote_{k}" for k in names]).agg(F.count(F.lit(1)).alias("n")), "votes")
-    any_bad = reduce(lambda a, b: a | b, [F.col(f"vote_{k}") == -1 for k in names])
-    posterior = F.when(any_bad, 0.1).otherwise(0.95)
-    accuracy, prior = dict.fromkeys(names, (0.02, 0.3, 0.9, 0.5)), 0.9
+    n_bad = reduce(lambda a, b: a + b, [(F.col(f"vote_{k}") == -1).cast("int") for k in names])
+    posterior = F.when(n_bad == 0, 0.95).when(n_bad == 1, 0.5).otherwise(0.05)
+    accuracy, prior = dict.fromkeys(names, (ERRS, 0.3, 0.9, 0.5)), 0.9
     for _ in range(rounds):
         p = patterns.withColumn("g", F.col("n") * posterior).withColumn("b", F.col("n") - F.col("g"))
         sums = [F.sum(F.when(F.col(f"vote_{k}") == v, F.col(y)).otherwise(0.0)).alias(f"{k}_{v}_{y}") for k in names for v in (-1, 1) for y in "gb"]
@@ -115,7 +128,7 @@ def fit(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[Accur
         good, bad = r["good"], r["bad"]
         prior = min(0.98, max(0.02, good / (good + bad)))
         for k in names:
-            bad_good = min(0.25, (r[f"{k}_-1_g"] + 0.2) / (good + 20))
+            bad_good = min(0.25, max(ERRS, (r[f"{k}_-1_g"] + 0.2) / (good + 20)))
             bad_bad = min(0.9, max(2 * bad_good, (r[f"{k}_-1_b"] + 2) / (bad + 20)))
             good_good = min(0.995 - bad_good, (r[f"{k}_1_g"] + 16) / (good + 20))
             good_bad = max(0.01, min(0.995 - bad_bad, (r[f"{k}_1_b"] + 10) / (bad + 20)))
@@ -138,4 +151,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     got = score(read(spark, sf_dir, "documents")).withColumn("base_failed", failed)
-    return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("kept")).alias("kept"), "posterior")
+    return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("kept")).alias("kept"), "posterior", F.col("kept").alias("rules_kept"))

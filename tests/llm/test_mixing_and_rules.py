@@ -36,6 +36,43 @@ def test_rules_agree_with_labels(spark, sf):
     assert sum(good) > 0.98 * len(good) and sum(bad) < 0.1 * len(bad)
 
 
+def judged_votes(spark, patterns, names):
+    """Which of these vote patterns are kept; patterns: (votes, number of documents)."""
+    rows = [(*v, n) for v, n in patterns]
+    voted = spark.createDataFrame(rows, ", ".join(f"vote_{k} int" for k in names) + ", many int").withColumn("x", F.explode(F.sequence(F.lit(1), F.col("many"))))
+    accuracy, prior = quality_rules.fit(voted, names)
+    got = voted.dropDuplicates([f"vote_{k}" for k in names]).withColumn("p", quality_rules._posterior(names, accuracy, prior)).collect()
+    return {tuple(r[f"vote_{k}"] for k in names): r["p"] >= quality_rules.KEEP for r in got}, accuracy
+
+
+def test_a_stray_bad_vote_does_not_drop_a_document(spark):
+    names = list("abcdef")
+    good, stray, bad = (1,) * 6, (1, 1, -1, 1, 1, 1), (-1, -1, 1, -1, 0, 1)
+    kept, accuracy = judged_votes(spark, [(good, 900), (stray, 40), (bad, 80), ((-1, 1, 0, -1, -1, 1), 40)], names)
+    assert kept == {good: True, stray: True, bad: False, (-1, 1, 0, -1, -1, 1): False}
+    assert accuracy["c"][0] > 1.5 * accuracy["a"][0]  # the rule that errs often is found out
+
+
+def test_withheld_votes_outweigh_an_all_pass(spark):
+    names = list("abcdef")
+    good, silent, bad = (1,) * 6, (0, 0, 0, 0, 0, 1), (-1, 0, 0, -1, 0, 1)
+    kept, _ = judged_votes(spark, [(good, 900), (silent, 10), (bad, 90), ((0, -1, -1, 0, 0, 1), 40)], names)
+    assert kept[good] and not kept[silent] and not kept[bad]  # no rule votes bad on the second
+
+
+def test_stray_votes_on_texts(spark):
+    """Prose with a few lines of symbols' share just too high stays; lines of symbols go."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("aeioulnrst"), rng.integers(3, 8)))
+    prose = lambda n: " ".join(word() + ("." if k % 9 == 8 else "") for k in range(n))
+    junk = lambda n: " ".join("###" if k % 3 else "12" for k in range(n))
+    rows = [(i, prose(120)) for i in range(300)] + [(1000 + i, junk(120)) for i in range(40)] + [(2000 + i, "\n".join([prose(60)] + ["end of page"] * 4 + [prose(60)])) for i in range(8)]
+    got = quality_rules.score(documents(spark, rows)).collect()
+    strayed = [r for r in got if r["id"] >= 2000]
+    assert all(r["kept"] for r in got if r["id"] < 1000) and not any(r["kept"] for r in got if 1000 <= r["id"] < 2000)
+    assert all(r["vote_lines"] == -1 and r["kept"] for r in strayed)
+
+
 def test_rules_of_nothing(spark):
     assert quality_rules.score(documents(spark, [])).count() == 0
     assert quality_rules.score(documents(spark, ODD)).count() == len(ODD)
