@@ -175,6 +175,48 @@ def test_languages_of_odd_rows(spark):
     assert nothing.langs == [] and language_id.identify(documents(spark, [(1, "word")]), nothing).first()["lang_pred"] == "und"
 
 
+def test_texts_of_no_learned_language_are_rejected(spark, sf):
+    """Clean texts and short cuts of them stay; letters of other languages go, the shortest least surely."""
+    rows = [r for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").where("lang is not null and text is not null").select("doc_id", "lang", "text").collect()]
+    mine = [(r["lang"], r["text"].encode()) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    held = [r["text"].encode() for r in rows if not zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    model = language_id.train(mine)
+    cuts = [b" ".join(t.split()[:12]) for t in held if len(t.split()) >= 12]
+    share = lambda texts: sum(model.predict(t)[2] for t in texts) / len(texts)
+    assert share(held) <= 0.01 and share(cuts) <= 0.02
+    rng = np.random.default_rng(5)
+
+    def other(parts, n):
+        return " ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(n)).encode()
+
+    letters = lambda a, b: [chr(c) for c in range(a, b)]
+    for parts in (letters(0x3B1, 0x3CA), letters(0x430, 0x450), letters(0x4E00, 0x4F00), letters(0x5D0, 0x5EB), letters(0xE01, 0xE2F)):
+        assert share([other(parts, 200) for _ in range(60)]) >= 0.95
+        assert share([other(parts, 50) for _ in range(60)]) >= 0.8
+
+
+def test_every_language_is_learned():
+    rng = np.random.default_rng(3)
+    made = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(6)] for k in range(600)}
+    model = language_id.train([(k, " ".join(rng.choice(w, 20)).encode()) for k, w in made.items() for _ in range(6)])
+    assert len(model.langs) == 600 and sum(model.predict(" ".join(w * 3).encode())[0] == k for k, w in made.items()) > 500
+
+
+def test_pieces_cut_neither_words_nor_letters():
+    raw = ("  Der die  das, nicht! é 日本 \n" * 60 + "x").encode()
+    whole = np.sort(language_id.grams(raw))
+    for piece in (1, 2, 3, 5, 7, 64, 1000):
+        assert np.array_equal(np.sort(np.concatenate([x for x, _ in language_id.pieces(raw, piece)])), whole)
+    assert len(whole) == len(language_id.grams(b" ".join(raw.translate(None, b"\n").split()).replace(b",", b"").replace(b"!", b"")))
+
+
+def test_sample_is_bounded_where_one_id_repeats(spark):
+    rows = [(7, f"the of and to in that was it {k % 3}", "en") for k in range(900)] + [(k, "der die und das ist nicht ein zu", "de") for k in range(900)] + [(None, "x " * 200_000, "de")]
+    docs = documents(spark, rows)
+    seen = language_id.fit(docs, per_lang=50, longest=1000)
+    assert seen.langs == ["de", "en"]
+
+
 def test_long_texts_are_read_whole():
     model = language_id.train([("en", b"the of and to in that was it " * 5), ("de", b"der die und das ist nicht ein zu " * 5)] * 20)
     start = b"the of and to " * 1000
