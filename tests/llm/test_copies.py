@@ -119,6 +119,24 @@ def test_contamination_without_items(spark):
     assert found.where("contaminated or n_hit > 0").count() == 0 and found.count() == len(ODD)
 
 
+def test_rows_that_stay_keep_their_columns(spark):
+    items = [(1, text(20))]
+    docs = documents(spark, [*ODD[:4], (50, items[0][1]), (None, text(30)), (51, text(400) + " " + items[0][1])])
+    left = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert left.columns == docs.columns and left.dtypes == docs.dtypes
+    assert sorted(map(repr, left.collect())) == sorted(repr(r) for r in docs.collect() if r["doc_id"] != 50)
+
+
+def test_a_bucket_of_many_patterns_costs_one_comparison():
+    """Patterns that share their first word and last three, against a text of that kind."""
+    start, end, mid = b"a", (b"x", b"y", b"z"), [text(9).encode().split() for _ in range(3000)]
+    patterns = {(start, *m, *end): [k] for k, m in enumerate(mid)}
+    s = decontaminate.Searcher(patterns, 13)
+    words = [w for m in mid[:50] for w in (start, *m, *end)]
+    assert [k for _, p in s.find(words) for k in patterns[p]] == list(range(50))
+    assert sum(len(x) for x in s.bucket[end].values()) == 3000
+
+
 def test_blocks_are_taken_one_by_one(spark, monkeypatch):
     took, made, ahead = [], [], []
     blocks, searchers = decontaminate._blocks, decontaminate.searchers
