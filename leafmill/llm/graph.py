@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_out
+from .common import new_path, remove
 
 #: Tasks that the rows of one hub are dealt to.
 SALTS = 16
@@ -47,12 +47,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         .select("u", "v")
         .distinct()
     )
-    e = write_out(e, "edges")
+    spark, schema, path = edges.sparkSession, e.schema, None
+
+    def put(e: DataFrame) -> DataFrame:
+        """Write a round's edges and remove those before."""
+        nonlocal path
+        was, path = path, new_path(spark, "edges")
+        e.write.option("compression", "zstd").parquet(path)
+        if was:
+            remove(spark, was)
+        return spark.read.schema(schema).parquet(path)
+
+    e = put(e)
     mark = _mark(e)
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        e = write_out(_round(e), "edges")
+        e = put(_round(e))
         was, mark = mark, _mark(e)
         if was == mark:
             break
