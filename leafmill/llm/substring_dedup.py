@@ -38,11 +38,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import new_path, read, remove
 
 WINDOW = 13
-#: Batches of a whole table, in order of id.
-BATCHES = 7
+#: Batches of a whole table, in order of id: runs of eight, four and two of them remain, so no merge rewrites everything.
+BATCHES = 14
 #: Bytes of text after which a part of a batch ends, and that are hashed and sorted at once.
 PART_BYTES = 8 << 20
-STEP = 4 << 20
+STEP = 2 << 20
 #: Windows of the whole index that a hash range should hold.
 BUCKET_WINDOWS = 1 << 20
 _ALL = (1 << 64) - 1
