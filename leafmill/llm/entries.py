@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, language_id, lm_scoring, mixing, quality_rules, simhash_dedup, spelling, substring_dedup, token_output
+from . import chat_format, decontaminate, html_extract, language_id, lm_scoring, mixing, prefix_trie, quality_rules, simhash_dedup, spelling, substring_dedup, token_output
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         chat_format.op8_chat_formatting,
         simhash_dedup.op9_simhash_near_dedup,
         substring_dedup.op10_substring_dedup,
+        prefix_trie.op12_prefix_trie,
         spelling.op13_spelling_variants,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**decontaminate.ORACLE, **chat_format.ORACLE, **substring_dedup.ORACLE}
+    return {**decontaminate.ORACLE, **chat_format.ORACLE, **substring_dedup.ORACLE, **prefix_trie.ORACLE}
