@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, language_id, lm_scoring, mixing, prefix_trie, quality_rules, simhash_dedup, spelling, substring_dedup, token_output
+from . import chat_format, decontaminate, html_extract, language_id, lm_scoring, mixing, prefix_trie, quality_rules, simhash_dedup, spelling, substring_dedup, token_output, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         chat_format.op8_chat_formatting,
         simhash_dedup.op9_simhash_near_dedup,
         substring_dedup.op10_substring_dedup,
+        warc.op11_warc,
         prefix_trie.op12_prefix_trie,
         spelling.op13_spelling_variants,
     ]
@@ -24,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**decontaminate.ORACLE, **chat_format.ORACLE, **substring_dedup.ORACLE, **prefix_trie.ORACLE}
+    return {**decontaminate.ORACLE, **chat_format.ORACLE, **substring_dedup.ORACLE, **warc.ORACLE, **prefix_trie.ORACLE}
