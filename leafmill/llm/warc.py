@@ -81,7 +81,8 @@ class Inflated:
 
     def __init__(self, raw, name: str, limit: int | None = None):
         self.raw, self.name, self.left = raw, name, limit
-        self.held, self.zip, self.rest, self.over = b"", None, b"", False
+        self.held, self.at = b"", 0  # inflated, and what of it is taken
+        self.zip, self.rest, self.over = None, b"", False
 
     def _more(self) -> bool:
         """Inflate a little more into held; false at the end."""
@@ -105,27 +106,28 @@ class Inflated:
             else:
                 self.rest = self.zip.unconsumed_tail
             if got:
-                self.held += got
+                self.held, self.at = self.held[self.at :] + got, 0
                 return True
         return False
 
     def line(self, most: int = 1 << 30) -> bytes:
         """The next line with its end, or what is left; at most so many bytes."""
-        at = 0
-        while (end := self.held.find(b"\n", at)) < 0:
-            at = len(self.held)
-            if at >= most or not self._more():
+        seen = 0
+        while (end := self.held.find(b"\n", self.at + seen)) < 0:
+            seen = len(self.held) - self.at
+            if seen >= most or not self._more():
                 break
-        cut = min(most, end + 1 if end >= 0 else len(self.held))
-        out, self.held = self.held[:cut], self.held[cut:]
+        cut = min(self.at + most, end + 1 if end >= 0 else len(self.held))
+        out, self.at = self.held[self.at : cut], cut
         return out
 
     def take(self, n: int) -> Iterator[bytes]:
         """The next n bytes in pieces."""
         while n:
-            if not self.held and not self._more():
+            if self.at == len(self.held) and not self._more():
                 raise ValueError(f"{self.name} ends inside a record")
-            out, self.held = self.held[:n], self.held[n:]
+            out = self.held[self.at : self.at + n]
+            self.at += len(out)
             n -= len(out)
             yield out
 
