@@ -29,12 +29,21 @@ class Node:
         return [c for c in self.children if isinstance(c, Node)]
 
     def walk(self) -> Iterator[Node]:
-        for c in self.elements():
-            yield c
-            yield from c.walk()
+        stack = self.elements()[::-1]
+        while stack:
+            n = stack.pop()
+            yield n
+            stack += n.elements()[::-1]
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, stack = [], self.children[::-1]
+        while stack:
+            c = stack.pop()
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                stack += c.children[::-1]
+        return "".join(out)
 
     def own_text(self) -> str:
         return "".join(c for c in self.children if isinstance(c, str))
@@ -43,11 +52,25 @@ class Node:
         return self.attrs.get("class", "").split()
 
     def inner(self) -> str:
-        return "".join((c if self.tag in ("script", "style") else escape(c, quote=False)) if isinstance(c, str) else c.outer() for c in self.children)
+        return _written([(c, self.tag) for c in reversed(self.children)])
 
     def outer(self) -> str:
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}/>" if self.tag in VOID else f"<{self.tag}{attrs}>{self.inner()}</{self.tag}>"
+        return _written([(self, "")])
+
+
+def _written(stack: list[tuple[Node | str, str | None]]) -> str:
+    """Markup of nodes and texts, the last first, each with the tag that it stands in; no tag: the text is markup already."""
+    out = []
+    while stack:
+        c, within = stack.pop()
+        if isinstance(c, str):
+            out.append(c if within in (None, "script", "style") else escape(c, quote=False))
+            continue
+        out.append(f"<{c.tag}" + "".join(f' {k}="{escape(v)}"' for k, v in c.attrs.items()) + ("/>" if c.tag in VOID else ">"))
+        if c.tag not in VOID:
+            stack.append((f"</{c.tag}>", None))
+            stack += [(x, c.tag) for x in reversed(c.children)]
+    return "".join(out)
 
 
 class _Builder(HTMLParser):
@@ -193,33 +216,45 @@ def taken(items: list, spec: IndexSpec) -> list:
 
 def block_text(node: Node) -> str:
     """Inline content joined, each block on a line of its own."""
-    out: list[str] = [""]
-
-    def add(n: Node):
-        for c in n.children:
-            if isinstance(c, str):
-                out[-1] += c
-            elif c.tag not in ("script", "style"):
-                block = c.tag not in INLINE
-                if block and out[-1].strip():
-                    out.append("")
-                add(c)
-                if (block or c.tag == "br") and out[-1].strip():
-                    out.append("")
-
-    add(node)
-    return "\n".join(x for x in (" ".join(p.split()) for p in out) if x)
+    lines: list[list[str]] = [[]]
+    filled = False  # whether the line has more than blanks
+    stack: list[Node | str | None] = node.children[::-1]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            lines[-1].append(c)
+            filled = filled or not c.isspace() and c != ""
+        elif c is None or c.tag not in ("script", "style"):  # None: a block ends
+            if filled and (c is None or c.tag not in INLINE):
+                lines.append([])
+                filled = False
+            if c is not None:
+                if c.tag not in INLINE or c.tag == "br":
+                    stack.append(None)
+                stack += c.children[::-1]
+    return "\n".join(x for x in (" ".join("".join(p).split()) for p in lines) if x)
 
 
 def spaced_text(node: Node) -> str:
     """Descendant text with a space before an element where there is none."""
-    out = ""
-    for c in node.children:
-        piece = c if isinstance(c, str) else spaced_text(c)
-        if not isinstance(c, str) and out and not out[-1].isspace() and piece:
-            out += " "
-        out += piece
-    return out.strip() if node.tag != _HEAD else out
+    # (element, its pieces so far, its children that are left)
+    stack: list[tuple[Node, list[str], list]] = [(node, [], node.children[::-1])]
+    while True:
+        n, out, left = stack[-1]
+        if left and not isinstance(left[-1], str):
+            c = left.pop()
+            stack.append((c, [], c.children[::-1]))
+            continue
+        if left:
+            out.append(left.pop())
+            continue
+        said = "".join(out)
+        said = said.strip() if n.tag != _HEAD else said
+        stack.pop()
+        if not stack:
+            return said
+        before = next((x for x in reversed(stack[-1][1]) if x), "")
+        stack[-1][1].append(" " + said if said and before and not before[-1].isspace() else said)
 
 
 def attribute(nodes: list[Node], what: str) -> list[str]:
@@ -409,12 +444,18 @@ ALLOWED = frozenset(("p", "br", "div", "span", "h1", "h2", "h3", "h4", "h5", "h6
 
 
 def whitelisted(node: Node, allowed: frozenset[str] = ALLOWED) -> str:
-    out = ""
-    for c in node.children:
+    out: list[str] = []
+    stack: list[tuple[Node | str, bool]] = [(c, False) for c in reversed(node.children)]  # bool: is markup already
+    while stack:
+        c, done = stack.pop()
         if isinstance(c, str):
-            out += escape(c, quote=False)
+            out.append(c if done else escape(c, quote=False))
         elif c.tag not in ("script", "style", "noscript", "iframe"):
-            inner = whitelisted(c, allowed)
-            src = f' src="{escape(c.attrs["src"])}"' if c.tag == "img" and c.attrs.get("src") else ""
-            out += (f"<{c.tag}{src}>" + ("" if c.tag in VOID else f"{inner}</{c.tag}>")) if c.tag in allowed else inner
-    return out
+            if c.tag in allowed:
+                src = f' src="{escape(c.attrs["src"])}"' if c.tag == "img" and c.attrs.get("src") else ""
+                out.append(f"<{c.tag}{src}>")
+                if c.tag in VOID:
+                    continue
+                stack.append((f"</{c.tag}>", True))
+            stack += [(x, False) for x in reversed(c.children)]
+    return "".join(out)

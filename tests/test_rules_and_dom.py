@@ -151,3 +151,19 @@ def test_lists(spark):
     assert (row["i"], row["u"], row["c"], row["f"]) == (["b"], ["a", "b", "c"], ["b", "b"], ["b", "c", ""])
     assert row["x"] == ["a", "b", "b", "c", "", ""] and row["y"] == ["a", "b", "", "b", "b", "c", ""]
     assert row["t"] == ["b", "b"] and row["e"] == []
+
+
+def test_deep_pages_end_no_query(spark):
+    from leafmill.functions import extract
+
+    n = 8000
+    deep = "<nav><ul><li><a href=/a>A</a></ul></nav><article>" + "<div>x " * n + "<p>last</p>"
+    pages = spark.createDataFrame([(1, deep), (2, "<nav><a href=/b>B</a></nav><article><p>y</p></article>")], "id int, html string")
+    got = extract.extract(pages, "html", {"links": "nav a@href", "end": "@css:article p@text", "x": "//nav//a/@href"}).orderBy("id").collect()
+    assert [(r["links"], r["end"], r["x"]) for r in got] == [("/a", "last", "/a"), ("/b", "y", "/b")]
+    text = extract.content(pages, "html", "article").orderBy("id").first()["content"]
+    assert text.count("x") == n and text.endswith("last")
+    clean = extract.whitelisted(pages, "html").orderBy("id").first()["html_clean"]
+    assert clean.count("<div>") == clean.count("</div>") == n
+    outer = extract.items(pages.where("id = 1"), "html", "@css:article").first()["item"]
+    assert outer.startswith("<article><div>x ") and outer.endswith("</div></article>")
