@@ -151,7 +151,12 @@ def title_similarity(a: Column, b: Column) -> Column:
 
 def text_similarity(a: Column, b: Column) -> Column:
     x, y = F.trim(F.lower(a)), F.trim(F.lower(b))
-    return _alike(x, y, 0.9, title_similarity(x, y))
+    return text_similarity_of(x, normal_title(x), y, normal_title(y))
+
+
+def text_similarity_of(x: Column, normal_x: Column, y: Column, normal_y: Column, jaccard: Column | None = None) -> Column:
+    """text_similarity() of trimmed texts in small letters whose normalised forms, and their letters' Jaccard similarity, are there already."""
+    return _alike(x, y, 0.9, _alike(normal_x, normal_y, 0.88, _jaccard(normal_x, normal_y) if jaccard is None else jaccard))
 
 
 def book_score(name: Column, author: Column, other_name: Column, other_author: Column) -> Column:

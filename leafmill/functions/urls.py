@@ -8,7 +8,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -131,26 +130,64 @@ def first_http(*urls: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.array(*urls), lambda u: u.isNotNull() & is_http(u)), F.lit(0)), F.lit(""))
 
 
-@F.arrow_udf(T.StringType())
-def _joined(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for base, ref in parts:
-        out = []
-        for b, r in zip(base.to_pylist(), ref.to_pylist(), strict=True):
-            try:
-                out.append(None if r is None else urljoin(b or "", r.strip()))
-            except ValueError:
-                out.append(r)
-        yield pa.array(out, pa.string())
+#: Scheme, authority, path, query and fragment of a reference (RFC 3986, appendix B).
+_PIECES = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _without_dots(segments: Column) -> Column:
+    """Segments with . and .. worked off; one of them at the end leaves a slash."""
+    none = F.array().cast("array<string>")
+    step = lambda held, x: F.when(x == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).when(x == ".", held).otherwise(F.concat(held, F.array(x)))
+    left = F.aggregate(segments, none, step)
+    return F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(left, F.array(F.lit("")))).otherwise(left)
+
+
+def _merged_path(base: Column, path: Column, authority: Column) -> Column:
+    """The reference's path, after the base's up to its last slash if it is relative; without dots, and joined ones without empty segments."""
+    above = F.regexp_replace(base, "[^/]*$", "")
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(above, path))
+    parts = F.split(whole, "/", -1)
+    n = F.size(parts)
+    filled = F.filter(parts, lambda x, i: (x != "") | (i == 0) | (i == n - 1) | path.startswith("/"))
+    joined = F.array_join(_without_dots(filled), "/")
+    out = F.when(joined == "", "/").otherwise(joined)
+    return F.when((authority != "") & ~out.startswith("/"), F.concat(F.lit("/"), out)).otherwise(out)
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    """RFC 3986 resolution.  Absolute references and paths from the root without dots stay in the JVM; only others go to Python."""
-    said = F.trim(ref)
-    host = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    whole = said.rlike(r"^https?://[^\s?#]+$")
-    rooted = (host != "") & said.rlike(r"^/(?:[^/.\s;?#][^.\s;?#]*)?$")
-    easy = F.when(whole, said).when(rooted, F.concat(host, said))
-    return F.coalesce(easy, _joined(F.when(easy.isNull(), base), F.when(easy.isNull(), ref)))
+    """RFC 3986 resolution of a reference, blanks at its ends and line ends inside it left out; null stays null.
+
+    An absolute reference stays as it is, one without a base too; a fold over the path's segments keeps those that no .. takes back.
+    """
+    said = F.translate(F.trim(ref), "\t\r\n", "")
+    mark = {2: "//", 4: "?", 5: "#"}  # alone, it says nothing
+
+    def of(text: Column, k: int) -> Column:
+        piece = F.coalesce(F.regexp_extract(text, _PIECES, k), F.lit(""))
+        return F.when(piece == mark[k], "").otherwise(piece) if k in mark else piece
+
+    from_ = F.coalesce(F.trim(base), F.lit(""))
+    host = F.regexp_extract(from_, r"^(https?://[^/?#]+)", 1)
+    whole = said.rlike(r"^https?://")
+    rooted = (host != "") & said.rlike(r"^/(?:[^/.\s;?#][^.\s;?#]*)?$") & ~said.contains("//")
+    scheme, same = of(said, 1), F.lower(of(said, 1)) == F.lower(of(from_, 1))
+    authority, path, query, fragment = (of(said, k) for k in (2, 3, 4, 5))
+    front = F.when(of(from_, 1) != "", F.concat(F.lower(of(from_, 1)), F.lit(":"))).otherwise("")
+    foreign = (scheme != "") & (~same | (authority != ""))
+    same_path = F.concat(front, of(from_, 2), of(from_, 3), F.when(query != "", query).otherwise(of(from_, 4)), fragment)
+    merged = F.concat(front, of(from_, 2), _merged_path(of(from_, 3), path, of(from_, 2)), query, fragment)
+    return (
+        F.when(said.isNull(), None)
+        .when(from_ == "", F.trim(ref))
+        .when(whole, said)
+        .when(said == "", from_)
+        .when(rooted, F.concat(host, said))
+        .when(foreign & same, F.concat(front, F.substr(said, F.length(scheme) + 2)))
+        .when(foreign, said)
+        .when(authority != "", F.concat(front, said))
+        .when(path == "", same_path)
+        .otherwise(merged)
+    )
 
 
 @F.arrow_udf(T.BooleanType())

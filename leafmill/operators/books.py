@@ -77,17 +77,22 @@ def join_pages(parts: DataFrame, key: str, order: str, value: str, sep: str = "\
 def follow_pages(start: DataFrame, links: DataFrame, key: str, url: str = "url", most: int = 50) -> DataFrame:
     """(key, page_no, url) along next-page links: links(url, next_url); at most ``most`` pages, none twice.
 
-    Each round joins the frontier only; the loop ends when no frontier is left.
+    By doubling: in round k every page that is known is joined with the page 2^k links on, so that fifty pages take six
+    rounds.  A page has one next page (the smallest of several); a chain ends at a page that has none, or that it has been at before: from
+    there on it would repeat itself, so a page's first number is its only one.  Pages that are lost are listed, as they are asked for.
     """
-    step = start.select(key, F.lit(0).alias("page_no"), F.col(url).alias("url"), F.array(F.col(url)).alias("seen"))
-    out = step
-    for n in range(1, most):
-        step = step.join(links.select("url", "next_url"), "url").where(~F.array_contains("seen", F.col("next_url"))).select(key, F.lit(n).alias("page_no"), F.col("next_url").alias("url"), F.concat("seen", F.array("next_url")).alias("seen"))
-        step = settled(step)
-        if step.isEmpty():
-            break
-        out = out.unionByName(step)
-    return out.select(key, "page_no", "url")
+    jump = links.where(F.col("next_url").isNotNull()).groupBy("url").agg(F.min("next_url").alias("to"))
+    known = start.select(key, F.lit(0).alias("page_no"), F.col(url).alias("url"))
+    step = 1
+    while step < most:
+        jump = settled(jump)
+        further = known.join(jump, "url").select(key, (F.col("page_no") + step).alias("page_no"), F.col("to").alias("url")).where(F.col("page_no") < most)
+        known = settled(known.unionByName(further).groupBy(key, "url").agg(F.min("page_no").alias("page_no")))
+        step *= 2
+        if step < most:
+            then = jump.select(F.col("url").alias("to"), F.col("to").alias("further"))
+            jump = jump.join(then, "to").select("url", F.col("further").alias("to"))
+    return known.select(key, "page_no", "url")
 
 
 def explore(rows: DataFrame, search: str, category: str, page_no: int, size: int, *order: Column) -> DataFrame:

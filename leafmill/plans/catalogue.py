@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.plans import queries_extract, queries_more, queries_tables, queries_text, registry  # noqa: F401
+from leafmill.plans import queries_extract, queries_flows, queries_more, queries_tables, queries_text, registry  # noqa: F401
 
 
 def flagship(spark, sf_dir):
