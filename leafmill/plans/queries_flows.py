@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from leafmill.operators import alike, books, by_source
+from leafmill.operators import alike, books, by_source, replacing
 from leafmill.plans.registry import query, read
+from leafmill.sources.shared import shared_dir
+from leafmill.streaming import searches, streams
 
 #: Five ways in which sources list their books: a JSON text of rules, k:v rules, regexes, fall-backs with a template, and markup.
 _RULES = [
@@ -132,3 +136,61 @@ def page_chains(spark, sf):
     links = e.select(url(F.col("event_id")).alias("url"), url(to).alias("next_url"))
     start = e.groupBy(F.col("user_id").alias("k")).agg(url(F.min("event_id")).alias("url"))
     return books.follow_pages(start, links, "k")
+
+
+# ---- replace rules ----
+
+#: A rule a brand, with the number of its newest part: groups, patterns that cannot be compiled, none, capitals, plain ones.
+_RULE_ROWS = """SELECT max(p_partkey) AS id, n, chr(CAST(96 + n AS INTEGER)) AS l, CASE WHEN n % 5 = 0 THEN 'all' ELSE concat('s', n % 4) END AS scope, n * 7 % 5 AS ord FROM (SELECT *, CAST(substr(p_brand, 7) AS INTEGER) AS n FROM part) WHERE n % 11 <> 0 AND n % 6 <> 2 GROUP BY n"""
+
+
+def _brand_rules(spark, sf):
+    n = F.col("n")
+    letter, kind = F.char((96 + n).cast("int")), n % 6
+    pattern = F.when(kind == 0, F.concat(F.lit("("), letter, F.lit(")([aeiou])"))).when(kind == 1, F.concat(F.lit("("), letter)).when(kind == 2, F.lit("")).when(kind == 3, F.concat(F.upper(letter), F.lit("{2}"))).otherwise(F.concat(letter, F.lit("\\s")))
+    replacement = F.when(kind == 0, "$2$1").when(kind == 1, "$1\\").when(kind != 3, F.concat(F.lit("-"), n.cast("string"), F.lit(" ")))
+    brands = read(spark, sf, "part").groupBy(F.substring("p_brand", 7, 9).cast("int").alias("n")).agg(F.max("p_partkey").alias("id"))
+    return brands.select("id", pattern.alias("pattern"), replacement.alias("replacement"), F.when(n % 5 == 0, "all").otherwise(F.concat(F.lit("s"), (n % 4).cast("string"))).alias("scope"), (n * 7 % 5).alias("order"), (kind == 3).alias("case_insensitive"), (n % 11 != 0).alias("enabled"))
+
+
+@query(
+    f"""WITH RECURSIVE s AS (SELECT concat('s', i) AS s FROM range(6) r(i)), r AS (SELECT s, n, l, row_number() OVER (PARTITION BY s ORDER BY ord DESC, id DESC) AS k FROM s JOIN ({_RULE_ROWS}) ON scope IN ('all', s)),
+t AS (SELECT doc_id, concat('s', doc_id % 6) AS s, 0 AS k, concat(text, ' (a (g (m (s (y Ccc iI oOo') AS text FROM documents
+      UNION ALL SELECT doc_id, t.s, r.k, CASE n % 6 WHEN 0 THEN regexp_replace(text, concat('(', l, ')([aeiou])'), '\\2\\1', 'g') WHEN 1 THEN replace(text, concat('(', l), '$1\\') WHEN 3 THEN regexp_replace(text, concat('(?i)', l, '{{2}}'), '', 'g') ELSE regexp_replace(text, concat(l, '\\s'), concat('-', n, ' '), 'g') END
+      FROM t JOIN r ON r.s = t.s AND r.k = t.k + 1)
+SELECT doc_id, md5(arg_max(text, k)) AS h FROM t GROUP BY doc_id""".replace("\\\\", "\\")
+)
+def replace_rules_table(spark, sf):
+    """Rules from a table on all documents, each by its scope; two scopes have none of their own."""
+    docs = read(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" (a (g (m (s (y Ccc iI oOo")).alias("text"), F.concat(F.lit("s"), (F.col("doc_id") % 6).cast("string")).alias("scope"))
+    return replacing.apply_rules(docs, _brand_rules(spark, sf), "text", "scope").select("doc_id", F.md5("text").alias("h"))
+
+
+@query("SELECT p_partkey AS id, p_size AS \"order\" FROM part WHERE p_partkey % 11 <> 0")
+def replace_rules_enabled(spark, sf):
+    rows = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("order"), (F.col("p_partkey") % 11 != 0).alias("enabled"))
+    return replacing.listed(rows, enabled_only=True).select("id", "order")
+
+
+# ---- streamed search ----
+
+_STREAM_MOST, _STREAM_SECONDS = 12, 40 * 3600
+_RESULTS = "SELECT CAST(user_id AS VARCHAR) AS request, ts, event_type AS source_id, event_id, event_id % 7 AS book FROM events"
+
+
+@query(
+    f"""WITH r AS ({_RESULTS}), u AS (SELECT *, min(ts) OVER (PARTITION BY request) + INTERVAL {_STREAM_SECONDS} SECONDS AS until FROM r),
+b AS (SELECT request, source_id, book, min(ts) AS ts FROM u WHERE ts <= until AND book <> 3 GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY ts, source_id, concat('/b/', book)) - 1 AS seq FROM b QUALIFY seq < {_STREAM_MOST}),
+d AS (SELECT request, any_value(until) AS until, max(ts) AS last FROM u GROUP BY request)
+SELECT request, 'result' AS event, seq, source_id, concat('B', book) AS name, concat('/b/', book) AS url, NULL AS total FROM n
+UNION ALL SELECT request, 'done', t, NULL, NULL, NULL, t FROM d LEFT JOIN (SELECT request, count(*) AS t FROM n GROUP BY request) USING (request) WHERE t >= {_STREAM_MOST} OR last > until OR until <= (SELECT max(ts) FROM events)"""
+)
+def search_streamed(spark, sf):
+    """The events as a stream of search results: every user asks, event types are sources, twelve books or forty hours end a request."""
+    place = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+    e = streams.read_parquet_stream(spark, f"{sf}/events.parquet*")
+    book = F.col("event_id") % 7
+    url = F.when(book != 3, F.concat(F.lit("/b/"), book.cast("string")))
+    rows = e.select(F.col("user_id").alias("request"), "ts", F.col("event_type").alias("source_id"), F.concat(F.lit("B"), book.cast("string")).alias("name"), F.lit("").alias("author"), url.alias("url"))
+    return searches.run_search(spark, rows, f"{place}/out", f"{place}/state", most=_STREAM_MOST, seconds=_STREAM_SECONDS).drop("author")
