@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import alike, books, by_source, replacing
 from leafmill.plans.registry import query, read
+from leafmill.sources import formats
 from leafmill.sources.shared import shared_dir
 from leafmill.streaming import searches, streams
 
@@ -184,7 +185,7 @@ b AS (SELECT request, source_id, book, min(ts) AS ts FROM u WHERE ts <= until AN
 n AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY ts, source_id, concat('/b/', book)) - 1 AS seq FROM b QUALIFY seq < {_STREAM_MOST}),
 d AS (SELECT request, any_value(until) AS until, max(ts) AS last FROM u GROUP BY request)
 SELECT request, 'result' AS event, seq, source_id, concat('B', book) AS name, concat('/b/', book) AS url, NULL AS total FROM n
-UNION ALL SELECT request, 'done', t, NULL, NULL, NULL, t FROM d LEFT JOIN (SELECT request, count(*) AS t FROM n GROUP BY request) USING (request) WHERE t >= {_STREAM_MOST} OR last > until OR until <= (SELECT max(ts) FROM events)"""
+UNION ALL SELECT request, 'done', coalesce(t, 0), NULL, NULL, NULL, coalesce(t, 0) FROM d LEFT JOIN (SELECT request, count(*) AS t FROM n GROUP BY request) USING (request) WHERE t >= {_STREAM_MOST} OR last > until OR until <= (SELECT max(ts) FROM events)"""
 )
 def search_streamed(spark, sf):
     """The events as a stream of search results: every user asks, event types are sources, twelve books or forty hours end a request."""
@@ -194,3 +195,26 @@ def search_streamed(spark, sf):
     url = F.when(book != 3, F.concat(F.lit("/b/"), book.cast("string")))
     rows = e.select(F.col("user_id").alias("request"), "ts", F.col("event_type").alias("source_id"), F.concat(F.lit("B"), book.cast("string")).alias("name"), F.lit("").alias("author"), url.alias("url"))
     return searches.run_search(spark, rows, f"{place}/out", f"{place}/state", most=_STREAM_MOST, seconds=_STREAM_SECONDS).drop("author")
+
+
+# ---- formats ----
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_size > 20 AS enabled, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS price FROM part")
+def collection_format(spark, sf):
+    """All parts written as a collection of lines and read back, three of the four fields that were written and one that was not always."""
+    formats.register(spark)
+    path = f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}"
+    rows = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") > 20).alias("enabled"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice")).alias("price"), F.col("p_type").alias("type"))
+    rows.write.format("json_collection").mode("append").save(path)
+    return spark.read.format("json_collection").schema("id long, name string, enabled boolean, price double").option("split", 1 << 16).load(path)
+
+
+@query("SELECT p_brand AS \"group\", count(*) AS n, min(p_name) AS name FROM part GROUP BY p_brand")
+def collection_stream(spark, sf):
+    """The same as a stream of collection files, counted by brand when it is out."""
+    formats.register(spark)
+    path = f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}"
+    read(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("group")).write.format("json_collection").mode("append").save(f"{path}/in")
+    found = streams.run_to_parquet(spark.readStream.format("json_collection").schema("name string, `group` string").load(f"{path}/in"), f"{path}/out", f"{path}/state")
+    return found.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
