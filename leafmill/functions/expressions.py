@@ -55,11 +55,17 @@ def compile_expression(script: str, names: dict[str, Column]) -> Column:
         tree = ast.parse(_pythonic(script), mode="eval").body
     except SyntaxError as e:
         raise UnsupportedScript(script) from e
-    return _column(tree, names)[0]
+    return typed(tree, names)[0]
 
 
-def _column(node: ast.AST, names: dict[str, Column]) -> tuple[Column, bool | None]:
-    """The column, and whether it is a text; None if only the data's type tells."""
+def typed(node: ast.AST, names: dict, more=None) -> tuple[Column, bool | None]:
+    """The column, and whether it is a text; None if only the data's type tells.
+
+    A name may hold such a pair too; more(node, names) is asked first, for what this language lacks.
+    """
+    if more is not None and (got := more(node, names)) is not None:
+        return got
+    _column = lambda n, names: typed(n, names, more)
     if isinstance(node, ast.Constant):
         return F.lit(node.value), isinstance(node.value, str)
     if isinstance(node, ast.Name):
@@ -67,7 +73,7 @@ def _column(node: ast.AST, names: dict[str, Column]) -> tuple[Column, bool | Non
             return F.lit(node.id == "true"), False
         if node.id not in names:
             raise UnsupportedScript(f"unknown name {node.id}")
-        return names[node.id], None
+        return names[node.id] if isinstance(names[node.id], tuple) else (names[node.id], None)
     if isinstance(node, ast.BinOp):
         (a, text_a), (b, text_b) = _column(node.left, names), _column(node.right, names)
         if isinstance(node.op, ast.Add):

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from leafmill.functions import blocks, urls
 from leafmill.operators import alike, books, by_source, replacing
 from leafmill.plans.registry import query, read
 from leafmill.sources import formats
@@ -218,3 +219,44 @@ def collection_stream(spark, sf):
     read(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("group")).write.format("json_collection").mode("append").save(f"{path}/in")
     found = streams.run_to_parquet(spark.readStream.format("json_collection").schema("name string, `group` string").load(f"{path}/in"), f"{path}/out", f"{path}/state")
     return found.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
+
+
+# ---- scripts ----
+
+_SCRIPT = """
+var title = name.trim();  // declared, used twice
+var words = title.split(' ').map(function(w) { return w.substring(0, 1).toUpperCase() + w.substring(1); });
+const price = (n, cut) => n > cut ? n - cut : 0;
+var tail = '/' + price(size, 20);
+tail += words.length > 1 ? '; many!' : '; one?';
+words.join('-') + tail
+"""
+
+
+@query(
+    """SELECT p_partkey, concat(array_to_string([concat(upper(w[1]), w[2:]) FOR w IN string_split(trim(p_name), ' ')], '-'), '/', greatest(p_size - 20, 0), CASE WHEN contains(trim(p_name), ' ') THEN '; many!' ELSE '; one?' END) AS said,
+       concat(p_size * 2 + 1, CASE WHEN p_size % 2 = 0 THEN concat('-', p_brand) ELSE '' END, md5(p_type)) AS added FROM part"""
+)
+def script_blocks(spark, sf):
+    """A script of declarations and functions, and blocks whose values are added up, on every part."""
+    names = {"name": F.col("p_name"), "size": F.col("p_size"), "brand": F.col("p_brand"), "kind": F.col("p_type")}
+    added = "text <js>function twice(n) { return n * 2; } twice(size) + one</js> and <js>var one = 1; size % 2 == 0 ? '-' + brand : ''</js><JS>md5Encode(kind)</JS>"
+    return read(spark, sf, "part").select("p_partkey", blocks.as_text(blocks.run(_SCRIPT, names)).alias("said"), blocks.as_text(blocks.embedded(added, names)).alias("added"))
+
+
+# ---- references ----
+
+_REFS = ["g", "./g?y=1", "../h/./i", "/r/../s", "//o.example/x", "?q=2", "#f", "../../../up", "http://z.example/a/../b", "javascript:void(0)", "", "a//b/.."]
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, concat(regexp_extract(url, '^(https?://[^/]+)', 1), '/one/two/', page_id, '.html;v=1?k=', page_id, '#top') AS base, regexp_extract(url, '^(https?)', 1) AS scheme, regexp_extract(url, '^(https?://[^/]+)', 1) AS root FROM pages)
+SELECT page_id, CAST(i AS INTEGER) AS i, CASE i WHEN 0 THEN concat(root, '/one/two/g') WHEN 1 THEN concat(root, '/one/two/g?y=1') WHEN 2 THEN concat(root, '/one/h/i') WHEN 3 THEN concat(root, '/s') WHEN 4 THEN concat(scheme, '://o.example/x') WHEN 5 THEN concat(root, '/one/two/', page_id, '.html;v=1?q=2')
+       WHEN 6 THEN concat(root, '/one/two/', page_id, '.html;v=1?k=', page_id, '#f') WHEN 7 THEN concat(root, '/up') WHEN 8 THEN 'http://z.example/a/../b' WHEN 9 THEN 'javascript:void(0)' WHEN 10 THEN base ELSE concat(root, '/one/two/a/') END AS resolved FROM p, range({len(_REFS)}) r(i)"""
+)
+def url_resolve_cases(spark, sf):
+    """Twelve kinds of references against a base with path, parameters, query and fragment on every page's host."""
+    k, root = F.col("page_id").cast("string"), F.regexp_extract("url", "^(https?://[^/]+)", 1)
+    base = F.concat(root, F.lit("/one/two/"), k, F.lit(".html;v=1?k="), k, F.lit("#top"))
+    rows = read(spark, sf, "pages").select("page_id", base.alias("base"), F.posexplode(F.array(*map(F.lit, _REFS))).alias("i", "ref"))
+    return rows.select("page_id", "i", urls.resolve(F.col("base"), F.col("ref")).alias("resolved"))
