@@ -166,9 +166,26 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mix(docs).count() == sum(len(r["shards"]) * r["m"] for r in got)
     assert mixing.mix(documents(spark, [])).count() == 0
     same = documents(spark, [(None, "a b c", "en", None)] * 30 + [(None, "d e", "en", None)] * 5 + [(1, None, "en", "x")])
-    plan = {(r["id"], r["size"]): r for r in planned(same)[0].collect()}
-    assert plan[None, 3]["m"] == 30 and plan[None, 3]["source_size"] == 100 and plan[1, 0]["target"] == 0
-    assert mixing.mix(same).where("text = 'a b c'").count() == 30 * len(plan[None, 3]["shards"])
+    got = planned(same)[0].collect()
+    spans = [r for r in got if r["size"] == 3]
+    assert sum(r["m"] for r in spans) == 30 and {(r["copies"], r["source_size"]) for r in spans} == {(30, 100)} and [r["target"] for r in got if r["id"] == 1] == [0]
+    assert mixing.mix(same).where("text = 'a b c'").count() == sum(r["m"] * len(r["shards"]) for r in spans)
+
+
+@pytest.mark.parametrize(("rows", "target"), [([("q w e r t y u i o p", 1000)], 15_000), ([("q w e r t y u i o p", 700), ("a s d", 500)], 12_750), ([("q w e r t y u i o p", 3000)], 45_000), ([("", 50), ("one", 7)], 10.5)])
+def test_repeated_rows_meet_the_target(spark, rows, target):
+    """Sources of one and of two distinct texts, alone: a copy more or less, as the cut falls inside equal rows."""
+    docs = spark.createDataFrame([(7, t, "s", k) for t, n in rows for k in range(n)], "doc_id long, text string, source string, __text int").repartition(5)
+    got = planned(docs)[0].collect()
+    words = sum(r["size"] * r["m"] * len(r["shards"]) for r in got)
+    longest = max(r["size"] for r in got)
+    assert {r["target"] for r in got} == {float(target)} and abs(words - target) <= longest / 2 + 1e-9
+    assert sum(r["m"] for r in got) == sum(n for _, n in rows) and all(r["m"] <= mixing.COPIES for r in got)
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "mix_shard"]
+    held = Counter((r["text"], r["__text"]) for r in out.collect())
+    assert sum(len(t.split()) * n for (t, _), n in held.items()) == words and max(held.values()) <= 2
+    assert {x for _, x in held} <= set(range(3000))
 
 
 def test_many_sources_reach_their_targets(spark):
