@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import xxhash
+import pytest
 from leafmill.llm import decontaminate, graph, simhash_dedup
 
 from .cases import ODD, documents
@@ -130,11 +131,47 @@ def test_rows_that_stay_keep_their_columns(spark):
 def test_a_bucket_of_many_patterns_costs_one_comparison():
     """Patterns that share their first word and last three, against a text of that kind."""
     start, end, mid = b"a", (b"x", b"y", b"z"), [text(9).encode().split() for _ in range(3000)]
-    patterns = {(start, *m, *end): [k] for k, m in enumerate(mid)}
-    s = decontaminate.Searcher(patterns, 13)
-    words = [w for m in mid[:50] for w in (start, *m, *end)]
-    assert [k for _, p in s.find(words) for k in patterns[p]] == list(range(50))
-    assert sum(len(x) for x in s.bucket[end].values()) == 3000
+    patterns = [(start, *m, *end) for m in mid]
+    (s,) = decontaminate.searchers([(k, b" ".join(p)) for k, p in enumerate(patterns)])
+    asked = []
+
+    class Said(list):
+        def __getitem__(self, some):
+            asked.append(some)
+            return list.__getitem__(self, some)
+
+    words = Said(w for p in patterns[:50] for w in p)
+    *hashed, _ = decontaminate.hash_words(b" ".join(words))
+    assert [x for _, x in s.find(tuple(hashed), words)] == [[k] for k in range(50)]
+    assert len(asked) == 50 and (s.shifts == 0).sum() == 3000
+
+
+def test_tables_of_a_block_stay_small():
+    """Bytes of two hundred thousand words' tables, of which a block may have ten times as many, as they are sent and as they are held."""
+    import pickle
+    import tracemalloc
+
+    words = [f"w{k * 7919 % 100_003}".encode() for k in range(200_000)]
+    rows = [(k, b" ".join(words[k : k + 400])) for k in range(0, len(words), 400)]
+    sent = pickle.dumps(decontaminate.searchers(rows))
+    tracemalloc.start()
+    held = pickle.loads(sent)
+    used, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(sent) * 10 < 100e6 and used * 10 < 100e6 and most * 10 < 200e6 and len(held) == 1
+
+
+@pytest.mark.parametrize("most", [1, 5, 1000])
+def test_parts_of_an_item_hold_all_its_windows(monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 1)
+    for n in (0, 1, 12, 13, 14, 200):
+        raw = ("  ,".join(f"V{k}" for k in range(n)) + " . ").encode()
+        parts = [p.split() for p, _ in decontaminate.item_parts(raw, most)]
+        words = decontaminate.words_of(raw)
+        m = min(13, n)
+        want = {tuple(words[i : i + m]) for i in range(n - m + 1)} if n else set()
+        assert {tuple(p[i : i + m]) for p in parts for i in range(len(p) - m + 1) if p} == want
+        assert all(len(p) == n if n < 13 else len(p) >= 13 for p in parts) and (n < 200 or most > 100 or max(map(len, parts)) < 60)
 
 
 def test_blocks_are_taken_one_by_one(spark, monkeypatch):
