@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier names and does not reject; it learns from the labelled ones."""
-    return language_id.identify(docs, language_id.fit(docs)).where("not lang_rejected").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return language_id.identify(rows, language_id.fit(docs)).where("not lang_rejected").select("row.*")
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,8 +219,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], names=["lang", "score", "rejected"])
 
     predict = F.arrow_udf(run, "lang string, score double, rejected boolean")
-    judged = docs.withColumn("__lang", predict(F.col(text_col).cast("binary")))
-    return judged.withColumns({"lang_pred": F.col("__lang.lang"), "lang_score": F.col("__lang.score"), "lang_rejected": F.col("__lang.rejected")}).drop("__lang")
+    held = "_judged"
+    while held in map(str.lower, docs.columns):
+        held += "_"
+    judged = docs.withColumn(held, predict(F.col(text_col).cast("binary")))
+    return judged.withColumns({f"lang_{new}": F.col(held)[c] for new, c in (("pred", "lang"), ("score", "score"), ("rejected", "rejected"))}).drop(held)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ import pyarrow.ipc  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import new_path, read, remove
@@ -436,6 +437,13 @@ class WindowIndex:
         return spark.read.schema(judged.schema).parquet(done)
 
 
+def _range_ends(docs: DataFrame, id_col: str, batches: int) -> list:
+    """The largest id of each of the first ranges of ids, of ids that have an order but no percentiles: a value a batch."""
+    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").repartitionByRange(batches, "id")
+    ends = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.max("id").alias("id")).orderBy("p").collect()
+    return [r["id"] for r in ends[:-1]]
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text: bool = True, batches: int = BATCHES, **options) -> DataFrame:
     """WindowIndex.add()'s rows for a whole table, taken in batches of like size in order of id.
 
@@ -443,8 +451,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows of one id share a batch; rows without an id go with the first.
     """
     shares = [k / batches for k in range(1, batches)]
-    facts = docs.agg(F.percentile_approx(id_col, shares, 10_000).alias("cuts"), F.sum(F.octet_length(text_col)).alias("bytes")).first() if shares else None
-    edges = [None, *sorted(set(facts["cuts"] or [] if facts else [])), None]
+    plain = isinstance(docs.schema[id_col].dataType, T.NumericType)
+    cuts = F.percentile_approx(id_col, shares, 10_000) if plain else F.lit(None)
+    facts = docs.agg(cuts.alias("cuts"), F.sum(F.octet_length(text_col)).alias("bytes")).first() if shares else None
+    inner = _range_ends(docs, id_col, batches) if shares and not plain else facts["cuts"] or [] if facts else []
+    edges = [None, *sorted(set(inner)), None]
     found = None
     with WindowIndex(docs.sparkSession, expected=int((facts and facts["bytes"]) or 1) // 6, **options) as index:
         for lo, hi in zip(edges, edges[1:], strict=False):

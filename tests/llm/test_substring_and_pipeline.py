@@ -6,6 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from leafmill.llm import substring_dedup as S
+from pyspark.sql import functions as F
 
 from .cases import LONG, ODD, documents
 
@@ -176,3 +177,18 @@ def test_pipeline_keeps_distinct_texts_under_one_id_or_none(spark):
     got = [(r["doc_id"], r["text"]) for r in left.collect()]
     want = [(1, one), (1, two), (None, three), (None, four), (2, first), (3, six), (None, None)]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_ids_that_are_texts(spark):
+    rows = [(k, text(30) if k % 3 else "w%d " % (k % 2) * 20) for k in range(40)]
+    docs = documents(spark, rows)
+    named = docs.withColumn("doc_id", F.format_string("id%05d", F.col("doc_id").cast("int")))
+    got = {r["id"]: r["n_removed"] for r in S.remove_repeats(named, batches=5, text=False).collect()}
+    want = {f"id{r['id']:05d}": r["n_removed"] for r in S.remove_repeats(docs, batches=5, text=False).collect()}
+    assert got == want and any(want.values())
+
+
+def test_language_stage_keeps_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("*", F.col("doc_id").alias("lang_pred"), F.lit("mine").alias("_judged"), F.lit(None).cast("int").alias("lang_rejected"), F.lit("x").alias("__lang"))
+    left = corpus_pipeline.known_language(spark, docs, sf)
+    assert left.columns == docs.columns and left.where("lang_pred = doc_id and _judged = 'mine' and __lang = 'x'").count() == left.count() > 150
