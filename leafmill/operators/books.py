@@ -106,12 +106,22 @@ def explore(rows: DataFrame, search: str, category: str, page_no: int, size: int
     return found.orderBy(*order).offset((max(1, page_no) - 1) * size).limit(size)
 
 
-def until_enough(pages: DataFrame, order: str, n_items: str, size: int) -> DataFrame:
-    """Pages of a listing up to the first empty one or the one that fills the page size."""
-    by = Window.orderBy(order)
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    got = pages.withColumn("_n", F.coalesce(F.sum(n_items).over(before), F.lit(0))).withColumn("_empty", F.coalesce(F.max(F.col(n_items) == 0).over(before), F.lit(False)))
-    return got.where((F.col("_n") < size) & ~F.col("_empty") & (F.col(n_items) > 0)).drop("_n", "_empty")
+def until_enough(pages: DataFrame, order: str, n_items: str, size: int, key: str | None = None) -> DataFrame:
+    """Pages of a listing, of each listing by key, up to the first empty one or the one that fills the page size.
+
+    Items before a page are summed in two steps, inside ranges of (key, order) and over them, so that no task holds a listing.
+    """
+    by = [key] if key else []
+    empty = (F.col(n_items) <= 0).cast("long")
+    rows = settled(pages.repartitionByRange(*by, order).withColumn("_p", F.spark_partition_id()))
+    inside = Window.partitionBy(*by, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    here = rows.withColumns({"_n": zero(F.sum(n_items).over(inside)), "_e": zero(F.sum(empty).over(inside))})
+    sums = rows.groupBy(*by, "_p").agg(F.sum(n_items).alias("_sn"), F.sum(empty).alias("_se"))
+    over = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sums.select(*by, "_p", zero(F.sum("_sn").over(over)).alias("_bn"), zero(F.sum("_se").over(over)).alias("_be"))
+    got = here.join(shift, [*by, "_p"])
+    return got.where((F.col("_n") + F.col("_bn") < size) & (F.col("_e") + F.col("_be") == 0) & (F.col(n_items) > 0)).select(*pages.columns)
 
 
 def alternates(book: DataFrame, candidates: DataFrame, least: float = 0.45) -> DataFrame:

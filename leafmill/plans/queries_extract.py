@@ -96,11 +96,11 @@ def chain_exclude(spark, sf):
     return _listed(spark, sf, "tag.nav@tag.li!0@tag.a@text")
 
 
-@query(f"SELECT page_id, title AS value FROM ({_NAV}) WHERE regexp_matches(title, '[aeiou]')")
+@query(f"SELECT page_id, regexp_replace(title, '[aeiou]+([a-z])', '<\\1>', 'g') AS value, regexp_replace(title, '[A-Z]', '', 'g') AS small FROM ({_NAV})")
 def chain_replace(spark, sf):
-    got = extract.extract(read(spark, sf, "pages").select("page_id", "html"), "html", {"value": "tag.article@tag.h1@text##[0-9]+##"})
-    plain = extract.extract(got, "html", {"title": "tag.article@tag.h1@text"})
-    return plain.where(F.col("title").rlike("[aeiou]")).select("page_id", F.col("title").alias("value"))
+    """Replacements behind a chain: with a group, and to nothing."""
+    rules = {"value": "tag.article@tag.h1@text##[aeiou]+([a-z])##<$1>", "small": "tag.article@tag.h1@text##[A-Z]"}
+    return extract.extract(read(spark, sf, "pages").select("page_id", "html"), "html", rules).select("page_id", "value", "small")
 
 
 @query(f"SELECT page_id, regexp_replace(title, '[aeiou]+', '_', 'g') AS value FROM ({_NAV})")
@@ -131,8 +131,7 @@ def content_text(spark, sf):
 )
 def article_shape(spark, sf):
     got = extract.extract(read(spark, sf, "pages").select("page_id", "html"), "html", {"p": "@css:article p@html", "b": "@css:article b@html"}, as_list=True)
-    inner = F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1)
-    return got.select("page_id", F.regexp_count(inner, F.lit("<p>")).cast("long").alias("n_paragraphs"), (F.size("b") > 0).alias("has_bold"))
+    return got.select("page_id", F.size("p").cast("long").alias("n_paragraphs"), (F.size("b") > 0).alias("has_bold"))
 
 
 # ---- JSON ----
@@ -172,11 +171,11 @@ def json_fallback(spark, sf):
     return _books(spark, sf).select("g", json_paths.first_of(d, "$.nothing && $.meta.total").alias("total"), json_paths.value(d, "books[0].id").alias("first_id"), json_paths.first_of(d, "n{{$.meta.total}}/{{$.books[0].status}}").alias("label"))
 
 
-@query(f"SELECT g, list_distinct([b.status for b in l]) AS s, len(list_distinct([b.status for b in l])) AS n FROM ({_SHELF})".replace("list_distinct([b.status for b in l]) AS s, ", "") )
+@query(f"SELECT g, list_distinct([b.status for b in l]) AS s, len(list_distinct([b.status for b in l])) AS n, list_aggregate(list_sort(list_distinct([b.status for b in l])), 'string_agg', ',') AS held FROM ({_SHELF})".replace("list_distinct([b.status for b in l]) AS s, ", ""))
 def json_or(spark, sf):
     d = F.col("doc")
     both = lists.combine([json_paths.query(d, "$.nothing[*].x"), json_paths.query(d, "$.books[*].status")], ["||"], "json")
-    return _books(spark, sf).select("g", F.size(both).cast("long").alias("n"))
+    return _books(spark, sf).select("g", F.size(both).cast("long").alias("n"), F.array_join(F.array_sort(both), ",").alias("held"))
 
 
 @query(f"SELECT g, CAST(b.id AS VARCHAR) AS id, b.status AS status FROM (SELECT g, unnest(l) AS b FROM ({_SHELF}))")

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from leafmill.functions import blocks, urls
+from leafmill.functions import blocks, extract, json_paths, lists, regexes, urls
 from leafmill.operators import alike, books, by_source, replacing
 from leafmill.plans.registry import query, read
-from leafmill.sources import formats
+from leafmill.sources import fetching, files, formats
 from leafmill.sources.shared import shared_dir
 from leafmill.streaming import searches, streams
 
@@ -260,3 +260,84 @@ def url_resolve_cases(spark, sf):
     base = F.concat(root, F.lit("/one/two/"), k, F.lit(".html;v=1?k="), k, F.lit("#top"))
     rows = read(spark, sf, "pages").select("page_id", base.alias("base"), F.posexplode(F.array(*map(F.lit, _REFS))).alias("i", "ref"))
     return rows.select("page_id", "i", urls.resolve(F.col("base"), F.col("ref")).alias("resolved"))
+
+
+# ---- fetching, charsets, listings ----
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'refused' WHEN page_id % 7 = 0 THEN 'no response' WHEN page_id % 5 IN (2, 4) THEN 'failed' ELSE 'ok' END AS outcome,
+       CASE WHEN page_id % 11 = 0 OR page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 1 THEN 2 WHEN page_id % 5 = 2 THEN 3 ELSE 1 END AS attempts,
+       CASE WHEN page_id % 11 = 0 OR page_id % 7 = 0 OR page_id % 5 IN (2, 4) THEN NULL WHEN page_id % 5 = 3 THEN 404 ELSE 200 END AS status,
+       CASE WHEN page_id % 11 = 0 OR page_id % 7 = 0 OR page_id % 5 IN (2, 4) THEN NULL WHEN page_id % 2 = 0 THEN 'utf-8' ELSE 'utf-16-le' END AS charset,
+       md5(CASE WHEN page_id % 11 = 0 OR page_id % 7 = 0 OR page_id % 5 IN (2, 4) THEN '' ELSE html END) AS h FROM pages"""
+)
+def fetch_attempts(spark, sf):
+    """Every page asked for: some answer at once, some at the second attempt, some time out three times, some fail for good, some may not be asked."""
+    k = F.col("page_id")
+    p = read(spark, sf, "pages").select("page_id", "html", F.when(k % 11 == 0, F.concat(F.lit("http://127.0.0.1/"), k.cast("string"))).otherwise(F.col("url")).alias("url"))
+    error = lambda said: F.lit(said).alias("error")
+    row = lambda n, status, err: F.struct(F.lit(n).alias("attempt"), F.lit(status).cast("int").alias("status"), error(err))
+    tries = F.when(k % 5 == 1, F.array(row(1, None, "unexpected EOF"), row(2, 200, None))).when(k % 5 == 2, F.array(*[row(n, None, "i/o timeout") for n in (1, 2, 3)], row(4, 200, None))).when(k % 5 == 3, F.array(row(1, 404, None), row(2, 200, None))).when(k % 5 == 4, F.array(row(1, None, "no such host"), row(2, 200, None))).otherwise(F.array(row(1, 200, None)))
+    body = F.when(k % 2 == 0, F.encode("html", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE")))
+    made = p.where(k % 7 != 0).select("url", F.inline(tries), body.alias("body")).select("url", "attempt", "status", "error", F.lit("text/html").alias("content_type"), F.lit("").alias("content_encoding"), "body")
+    got = fetching.fetched(p.select("page_id", "url"), made)
+    return got.select("page_id", "outcome", "attempts", "status", "charset", F.md5("text").alias("h"))
+
+
+@query(
+    """SELECT doc_id, ['utf-8', 'gbk', 'hz', 'utf-16-be', 'utf-8'][1 + doc_id % 5] AS charset, md5(CASE doc_id % 5 WHEN 4 THEN t ELSE concat(repeat('第一章中文', 1 + length(t) // 8), t) END) AS h
+FROM (SELECT doc_id, replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '~', '') AS t FROM documents)"""
+)
+def charset_scored(spark, sf):
+    """Chinese words before each document's ASCII letters in UTF-8, GBK, HZ and marked UTF-16, and these letters alone."""
+    t = F.replace(F.regexp_replace("text", "[^\\x00-\\x7F]", ""), F.lit("~"), F.lit(""))
+    n = (1 + F.floor(F.char_length(t) / 8)).cast("int")
+    said = lambda code: F.concat(F.unhex(F.repeat(F.lit("第一章中文".encode(code).hex()), n)), F.encode(t, "UTF-8"))
+    wide = F.concat(F.unhex(F.lit("FEFF")), F.encode(F.concat(F.repeat(F.lit("第一章中文"), n), t), "UTF-16BE"))
+    raw = F.get(F.array(said("utf-8"), said("gb18030"), said("hz"), wide, F.encode(t, "UTF-8")), (F.col("doc_id") % 5).cast("int"))
+    return read(spark, sf, "documents").select("doc_id", files.scored(raw).alias("x")).select("doc_id", "x.charset", F.md5("x.text").alias("h"))
+
+
+@query(
+    """WITH n AS (SELECT l_suppkey AS source_id, l_partkey AS page, count(*) FILTER (l_partkey % 17 <> 3) AS n FROM lineitem GROUP BY ALL),
+b AS (SELECT *, coalesce(sum(n) OVER w, 0) AS before, coalesce(max(CASE WHEN n = 0 THEN 1 ELSE 0 END) OVER w, 0) AS gone FROM n WINDOW w AS (PARTITION BY source_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT source_id, page, n FROM b WHERE before < 30 AND gone = 0 AND n > 0"""
+)
+def explore_sources(spark, sf):
+    """Every supplier's listing, page by page of its parts, up to an empty page or thirty items."""
+    per = read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("source_id"), F.col("l_partkey").alias("page")).agg(F.count_if(F.col("l_partkey") % 17 != 3).alias("n"))
+    return books.until_enough(per, "page", "n", 30, "source_id")
+
+
+# ---- smaller parts of rules and URLs ----
+
+
+@query(
+    "SELECT p_partkey, concat('http://b.example/toc/', p_partkey, '?q=', p_size) AS toc, concat('http://b.example/', replace(p_brand, '#', '%23'), '/', p_partkey, '/', greatest(1, p_partkey % 4)) AS filled, CASE WHEN p_partkey % 4 <= 1 THEN 'x' ELSE 'y' END AS listed FROM part"
+)
+def url_placeholders(spark, sf):
+    """Contents' URLs told from book pages, some of them glued to another URL; generic places and values by page."""
+    k = F.col("p_partkey").cast("string")
+    page = F.concat(F.lit('<a id="toc" href="'), F.when(F.col("p_partkey") % 3 == 0, F.lit("http://x.example/go?u=http://b.example")).otherwise(""), F.lit("/toc/"), k, F.lit("?q="), F.col("p_size").cast("string"), F.lit('">'))
+    rows = read(spark, sf, "part").withColumn("page", page)
+    got = extract.extract(rows, "page", {"toc": ':id="toc" href="([^"]+)"'})
+    number = F.col("p_partkey") % 4
+    filled = urls.evaluate(urls.parse_template("http://b.example//{{brand}}/{id}/{page}"), {"brand": urls.encode(F.col("p_brand")), "id": k}, F.greatest(number, F.lit(1)))
+    listed = urls.evaluate(urls.parse_template("<x,y>"), {}, number)
+    return got.select("p_partkey", urls.undouble(urls.absolutize(F.lit("http://b.example/#top"), F.col("toc"))).alias("toc"), filled.alias("filled"), listed.alias("listed"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[a-z]+e\\.')) AS BIGINT) AS n, regexp_extract(text, '([A-Z])[a-z]', 1) AS first FROM documents")
+def regex_delimiters(spark, sf):
+    """Regex rules between slashes and behind a colon, one with doubled backslashes, one with a group."""
+    t = F.col("text")
+    return read(spark, sf, "documents").select("doc_id", F.size(regexes.find_all(t, "/[a-z]+e\\./")).cast("long").alias("n"), lists.first(regexes.find_all(t, ":([A-Z])[a-z]")).alias("first"))
+
+
+@query("SELECT event_id, concat(event_type, ',', user_id, ',', event_id, ',x') AS flat, 4 AS n FROM events")
+def json_flat(spark, sf):
+    """Nested arrays of an event's values, three deep, flattened."""
+    doc = F.concat(F.lit('["'), F.col("event_type"), F.lit('", ["'), F.col("user_id").cast("string"), F.lit('", ["'), F.col("event_id").cast("string"), F.lit('"]], [["x"]]]'))
+    got = json_paths.flat(F.from_json(doc, "array<string>"))
+    return read(spark, sf, "events").select("event_id", F.array_join(got, ",").alias("flat"), F.size(got).alias("n"))

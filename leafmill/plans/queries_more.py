@@ -47,17 +47,24 @@ def first_part_only(spark, sf):
     return got.select("page_id", "link")
 
 
-@query("SELECT p_partkey, p_size AS n, CASE WHEN p_size > 20 THEN 'b' ELSE 'a' END AS agent, 2 AS n_headers FROM part")
+@query(
+    "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN concat('b', p_size) ELSE 'a' END AS agent, CASE WHEN p_partkey % 3 = 1 THEN p_brand END AS cookie, CASE WHEN p_partkey % 5 = 0 THEN 'last' ELSE '*' END AS accept, CASE WHEN p_partkey % 3 = 1 THEN 3 ELSE 2 END AS n_headers FROM part"
+)
 def merged_headers(spark, sf):
-    own = text.headers(F.when(F.col("p_size") > 20, '{"User-Agent": "b"}').otherwise("{broken"))
-    got = text.merge_headers(F.create_map(F.lit("User-Agent"), F.lit("a"), F.lit("Accept"), F.lit("*")), own)
-    return read(spark, sf, "part").select("p_partkey", F.col("p_size").alias("n"), got["User-Agent"].alias("agent"), F.size(got).alias("n_headers"))
+    """Headers of all requests, of a source (some malformed) and of one request, the last of which wins."""
+    m = F.col("p_partkey") % 3
+    said = F.when(m == 0, F.concat(F.lit('{"User-Agent": "b'), F.col("p_size").cast("string"), F.lit('"}'))).when(m == 1, F.concat(F.lit('{"Cookie": "'), F.col("p_brand"), F.lit('"}'))).otherwise("{broken")
+    last = F.when(F.col("p_partkey") % 5 == 0, F.create_map(F.lit("Accept"), F.lit("last"))).otherwise(F.create_map().cast("map<string,string>"))
+    got = text.merge_headers(F.create_map(F.lit("User-Agent"), F.lit("a"), F.lit("Accept"), F.lit("*")), text.headers(said), last)
+    return read(spark, sf, "part").select("p_partkey", got["User-Agent"].alias("agent"), got["Cookie"].alias("cookie"), got["Accept"].alias("accept"), F.size(got).alias("n_headers"))
 
 
-@query("SELECT p_partkey, p_partkey % 2 = 0 AS ok FROM part")
+@query("SELECT p_partkey, p_partkey % 7 IN (0, 1, 2) AS ok FROM part")
 def isbn_shapes(spark, sf):
-    said = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("978-"), F.lpad(F.col("p_partkey").cast("string"), 10, "0"))).otherwise("978-x")
-    return read(spark, sf, "part").select("p_partkey", text.is_isbn(said).alias("ok"))
+    """Thirteen digits with dashes, ten without, ten with an X; one digit less, one more, a letter inside, none."""
+    k = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
+    shapes = [F.concat(F.lit("978-0"), k), F.concat(k, F.lit("1")), F.concat(k, F.lit("-X")), k, F.concat(k, F.lit("12")), F.concat(F.lit("x"), k), F.lit("")]
+    return read(spark, sf, "part").select("p_partkey", text.is_isbn(F.get(F.array(*shapes), (F.col("p_partkey") % 7).cast("int"))).alias("ok"))
 
 
 @query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS on_shelf FROM customer")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,68 @@ def charset(data: bytes, hint: str = "") -> tuple[str, int]:
     return "utf-8", 0
 
 
+#: What an encoding's score is made of, fixed values: that the bytes can be decoded, how few control bytes there are (share, score), how
+#: many CJK characters a byte (share, score), and that UTF-8 sequences are whole.
+DECODES, CONTROLS, CJK, WHOLE = 0.3, ((0.01, 0.3), (0.05, 0.15)), ((0.1, 0.4), (0.05, 0.2), (0.01, 0.1)), 0.3
+_CONTROL = np.isin(np.arange(256), [b for b in range(32) if b not in (9, 10, 13)])
+_CJK = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2A6DF))
+
+
+def charset_scores(data: bytes) -> dict[str, float]:
+    """How well UTF-8, GBK and HZ fit bytes without a mark; an encoding that cannot read them scores 0."""
+    if not data:
+        return dict.fromkeys(("utf-8", "gbk", "hz"), 0.0)
+    controls = np.bincount(np.frombuffer(data, np.uint8), minlength=256)[_CONTROL].sum() / len(data)
+    clean = next((s for most, s in CONTROLS if controls < most), 0.0)
+    out = {}
+    for name, codec in (("utf-8", "utf-8"), ("gbk", "gb18030"), ("hz", "hz")):
+        try:
+            text = data.decode(codec)
+        except UnicodeDecodeError:
+            out[name] = 0.0
+            continue
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        n = sum(int(np.count_nonzero((points >= a) & (points <= b))) for a, b in _CJK)
+        extra = WHOLE if name == "utf-8" else next((s for least, s in CJK if n > least * len(text.encode("utf-8", "replace"))), 0.0)
+        out[name] = DECODES + clean + extra
+    return out
+
+
+def scored_charset(data: bytes) -> str:
+    """The encoding by its mark, else by its zeros, else of the highest score.
+
+    Bytes above 127 that are whole UTF-8 are UTF-8, whatever GBK would make of them; with none of those, HZ needs its shifts.
+    """
+    for mark, name in _BOMS:
+        if data.startswith(mark):
+            return name
+    if (name := charset(data)[0]).startswith("utf-16"):
+        return name
+    scores = charset_scores(data)
+    if scores["utf-8"] and max(data, default=0) > 127:
+        return "utf-8"
+    if b"~{" not in data:
+        scores["hz"] = 0.0
+    best = max(scores, key=lambda k: (scores[k], k == "utf-8"))
+    return best if scores[best] else "utf-8"
+
+
+def scored(content: Column) -> Column:
+    """struct(charset, text) of bytes, the charset by scores."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for data in batches:
+            out = []
+            for d in data.to_pylist():
+                d = bytes(d or b"")
+                name = scored_charset(d)
+                skip = next((len(m) for m, n in _BOMS if n == name and d.startswith(m)), 0)
+                out.append({"charset": name, "text": d[skip:].decode({"gbk": "gb18030"}.get(name, name), "replace")})
+            yield pa.array(out, pa.struct([("charset", pa.string()), ("text", pa.string())]))
+
+    return F.arrow_udf(run, "struct<charset: string, text: string>")(content)
+
+
 def decode(data: bytes, hint: str = "") -> str:
     name, skip = charset(data, hint)
     return data[skip:].decode(name, "replace")

@@ -155,3 +155,77 @@ def test_chains_by_doubling(spark, most, monkeypatch):
     rows = [tuple(r) for r in got.collect()]
     assert len(held) <= 2 * 7
     assert sorted(rows) == sorted((k, n, u) for k, s in starts for n, u in enumerate(brute_chain(s, to, most)))
+
+
+# ---- fetching, charsets, listings ----
+
+
+def test_the_first_settled_attempt_counts(spark):
+    import gzip
+    import zlib
+
+    from leafmill.sources import fetching
+
+    raw = zlib.compressobj(wbits=-15)
+    deflated = raw.compress(b"raw") + raw.flush()
+    rows = [
+        ("http://a.x/1", 1, 200, None, "text/html; charset=gbk", None, "中文".encode("gbk")),
+        ("http://a.x/2", 2, 200, None, None, "gzip", gzip.compress("two é".encode())),
+        ("http://a.x/2", 1, None, "read: connection reset by peer", None, None, None),
+        ("http://a.x/3", 1, None, "unexpected EOF", None, None, None),
+        ("http://a.x/3", 4, 200, None, None, None, b"too late"),
+        ("http://a.x/4", 1, None, "certificate", None, None, b"partly"),
+        ("http://a.x/4", 2, 200, None, None, None, b"never asked"),
+        ("http://a.x/5", 1, 500, None, None, "deflate", zlib.compress(b"five")),
+        ("http://a.x/6", 1, 200, None, None, "deflate", deflated),
+        ("http://a.x/7", 1, 200, None, None, "gzip", b"not gzip"),
+        ("http://a.x/8", 1, 200, None, None, None, None),
+        ("http://a.x/8", 1, 200, None, None, None, None),
+    ]
+    responses = spark.createDataFrame(rows, "url string, attempt int, status int, error string, content_type string, content_encoding string, body binary")
+    asked = spark.createDataFrame([(k, f"http://a.x/{k}", "mine") for k in range(1, 10)] + [(10, "http://10.0.0.1/", "mine"), (11, None, "mine"), (1, "http://a.x/1", "again")], "id int, url string, text2 string")
+    got = fetching.fetched(asked, responses).collect()
+    assert len(got) == 12
+    by = {r["id"]: (r["outcome"], r["attempts"], r["status"], r["text"]) for r in got}
+    assert by == {
+        1: ("ok", 1, 200, "中文"),
+        2: ("ok", 2, 200, "two é"),
+        3: ("failed", 1, None, ""),
+        4: ("failed", 1, None, ""),
+        5: ("ok", 1, 500, "five"),
+        6: ("ok", 1, 200, "raw"),
+        7: ("ok", 1, 200, "not gzip"),
+        8: ("ok", 1, 200, ""),
+        9: ("no response", None, None, ""),
+        10: ("refused", None, None, ""),
+        11: ("refused", None, None, ""),
+    }
+
+
+def test_scores_tell_encodings_apart():
+    from leafmill.sources import files
+
+    said = "第一章 他说：你好。"
+    cases = {("utf-8", said), ("gb18030", said * 3), ("hz", said), ("utf-16", said), ("utf-8", "plain"), ("utf-8", "é" * 5), ("gb18030", "a" * 5 + said)}
+    want = {"gb18030": "gbk", "utf-16": "utf-16-le"}
+    assert all(files.scored_charset(t.encode(c)) == want.get(c, c) for c, t in cases)
+    scores = files.charset_scores(said.encode("gb18030"))
+    assert scores["utf-8"] == 0 and scores["hz"] == 0 and scores["gbk"] == pytest.approx(1.0)
+    assert files.charset_scores(b"")["utf-8"] == 0 and files.scored_charset(b"") == "utf-8" and files.scored_charset(b"\xff\x00\xff") == "utf-8"
+    assert files.charset_scores(b"\x01" * 3 + b"a" * 97)["utf-8"] == pytest.approx(0.75)
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_listings_stop_where_they_are_full_or_empty(spark, keyed):
+    rng = random.Random(keyed)
+    rows = [(s if keyed else 0, p, rng.choice([0, 1, 2, 5, 9]) if p else 4) for s in range(40 if keyed else 1) for p in range(rng.randrange(1, 60))]
+    want, before, gone = set(), {}, set()
+    for s, p, n in sorted(rows):
+        if s not in gone and before.get(s, 0) < 20 and n > 0:
+            want.add((s, p, n))
+        gone |= {s} if n <= 0 else set()
+        before[s] = before.get(s, 0) + n
+    df = spark.createDataFrame(rows, "s int, p int, n int").repartition(5)
+    got = books.until_enough(df, "p", "n", 20, "s" if keyed else None)
+    assert {tuple(r) for r in got.collect()} == want and got.columns == ["s", "p", "n"]
+    assert books.until_enough(df.limit(0), "p", "n", 20, "s").count() == 0
