@@ -90,22 +90,24 @@ def debug_events(results: DataFrame, key: str, phase: str, ok) -> DataFrame:
 
 
 def search_stream(results: DataFrame, keys: list[str], most: int, path: str, checkpoint: str) -> DataFrame:
-    """Streamed search results: new keys only, at most ``most`` in all; the sink's files say how many are out already."""
+    """Streamed search results: new keys only, at most ``most`` in all; a batch writes its own folder, and those before it say how many are out.
 
-    def emit(batch: DataFrame, _id: int) -> None:
+    A batch that is tried again takes the place of what it wrote before.  searches.search_events() does the same per request, in state.
+    """
+
+    def emit(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         try:
-            out = spark.read.schema(batch.schema).parquet(path).count()
+            out = spark.read.schema("batch long").parquet(path).where(F.col("batch") < batch_id).count()
         except Exception as e:  # nothing is out yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             out = 0
         batch = batch.persist()  # the whole batch runs, so that every partition's state is committed
         batch.count()
-        if out < most:
-            batch.limit(most - out).write.mode("append").parquet(path)
+        batch.limit(max(0, most - out)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         batch.unpersist()
 
     q = results.dropDuplicates(keys).writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return results.sparkSession.read.schema(results.schema).parquet(path)
+    return results.sparkSession.read.schema(results.schema).option("basePath", path).parquet(path)
