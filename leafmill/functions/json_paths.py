@@ -103,6 +103,41 @@ CHAPTER_KEYS = {"title": ["title", "name", "chapterTitle"], "url": ["url", "chap
 CHAPTER_LISTS = ("list", "data", "chapters", "toc", "volume.chapters")
 
 
+#: Details that are numbers or lists, and what content pages call their fields, fixed values, tried in this order.
+DETAIL_NUMBERS = {"rating": ["rating", "score", "book.rating"], "word_count": ["wordCount", "size", "book.wordCount"]}
+TAG_LISTS, TAG_TEXT = ("tags", "tag"), "tags"
+CONTENT_KEYS = {"content": ["content", "body", "text"], "title": ["title"], "prev_url": ["prevUrl", "prev"], "next_url": ["nextUrl", "next"]}
+IMAGE_LISTS = ("images", "imgs", "imageList", "pics")
+
+
+def _number_of(doc: Column, names: list[str], kind: str) -> Column:
+    """The first of several keys whose number is not zero, or 0."""
+    each = [F.nullif(F.get_json_object(doc, f"$.{n}").try_cast("double"), F.lit(0.0)) for n in names]
+    return F.coalesce(*each, F.lit(0.0)).cast(kind)
+
+
+def _array_at(doc: Column, key: str) -> Column:
+    """The texts of the array at a key that are not blank; null if there is no array."""
+    got = F.get_json_object(doc, f"$.{key}")
+    return F.when(got.startswith("["), F.filter(F.transform(F.from_json(got, "array<string>"), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False))))
+
+
+def default_numbers(doc: Column) -> dict[str, Column]:
+    """A book's rating, words and tags by the usual keys; tags are the first list there is, else a text's parts between commas."""
+    said = F.coalesce(F.get_json_object(doc, f"$.{TAG_TEXT}"), F.lit(""))
+    parts = F.filter(F.transform(F.split(said, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return {"rating": _number_of(doc, DETAIL_NUMBERS["rating"], "double"), "word_count": _number_of(doc, DETAIL_NUMBERS["word_count"], "long"), "tags": F.coalesce(*[_array_at(doc, k) for k in TAG_LISTS], parts)}
+
+
+def default_content(doc: Column) -> dict[str, Column]:
+    """A chapter's content by the usual keys: texts and links, the first list with images, words (bytes without blanks), and the mode of reading."""
+    found = {k: aliases(doc, names) for k, names in CONTENT_KEYS.items()}
+    lists = [_array_at(doc, k) for k in IMAGE_LISTS]
+    images = F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], F.array().cast("array<string>"))
+    words = F.octet_length(F.replace(found["content"], F.lit(" "), F.lit("")))
+    return {**found, "images": images, "word_count": words.cast("long"), "mode": F.when(F.size(images) > 0, "comic").otherwise("text")}
+
+
 def default_detail(doc: Column) -> dict[str, Column]:
     """A book's fields by the usual keys."""
     return {k: aliases(doc, names) for k, names in DETAIL_KEYS.items()}

@@ -272,6 +272,19 @@ def image_type(name: Column) -> Column:
     return F.when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext == "svg", "image/svg+xml").when(ext.isin("gif", "png", "bmp", "webp"), F.concat(F.lit("image/"), ext)).otherwise("application/octet-stream")
 
 
+#: First bytes of images, in hexadecimal digits, and their types; fixed values.
+IMAGE_MARKS = (("FFD8FF", "image/jpeg"), ("89504E47", "image/png"), ("474946", "image/gif"), ("3C737667", "image/svg+xml"))
+
+
+def image_type_of(content: Column, name: Column | None = None) -> Column:
+    """An image's type by its first bytes, else by its name if there is one."""
+    head = F.hex(F.substring(content, 1, 4))
+    out = F
+    for mark, kind in IMAGE_MARKS:
+        out = out.when(head.startswith(mark), kind)
+    return out.otherwise("application/octet-stream" if name is None else image_type(name))
+
+
 def is_isbn(text: Column) -> Column:
     return F.replace(text, F.lit("-"), F.lit("")).rlike(r"^(\d{13}|[\dX]{10})$")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from leafmill.functions import blocks, extract, json_paths, lists, regexes, urls
+from leafmill.functions import blocks, extract, json_paths, lists, regexes, text, urls
 from leafmill.operators import alike, books, by_source, replacing
 from leafmill.plans.registry import query, read
 from leafmill.sources import fetching, files, formats
@@ -341,3 +341,54 @@ def json_flat(spark, sf):
     doc = F.concat(F.lit('["'), F.col("event_type"), F.lit('", ["'), F.col("user_id").cast("string"), F.lit('", ["'), F.col("event_id").cast("string"), F.lit('"]], [["x"]]]'))
     got = json_paths.flat(F.from_json(doc, "array<string>"))
     return read(spark, sf, "events").select("event_id", F.array_join(got, ",").alias("flat"), F.size(got).alias("n"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '' ELSE text END AS content, CASE WHEN doc_id % 2 = 0 THEN concat('T', doc_id) ELSE '' END AS title, CASE doc_id % 3 WHEN 0 THEN concat('/p/', doc_id) WHEN 1 THEN concat('/q/', doc_id) ELSE '' END AS next_url,
+       CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n_images, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE strlen(replace(text, ' ', '')) END AS word_count, CASE WHEN doc_id % 5 <= 1 THEN 'comic' ELSE 'text' END AS mode FROM documents"""
+)
+def json_content_default(spark, sf):
+    """Documents as JSON chapters under several names of their fields, with images or without."""
+    k = F.col("doc_id")
+    n = k.cast("string")
+    some = lambda c, x: F.when(c, x)
+    doc = F.to_json(
+        F.struct(
+            some(k % 4 == 0, F.col("text")).alias("content"),
+            some(k % 4 == 1, F.col("text")).alias("body"),
+            some(k % 4 == 2, F.col("text")).alias("text"),
+            some(k % 2 == 0, F.concat(F.lit("T"), n)).alias("title"),
+            some(k % 3 == 0, F.concat(F.lit("/p/"), n)).alias("nextUrl"),
+            some(k % 3 < 2, F.concat(F.lit("/q/"), n)).alias("next"),
+            F.array(F.lit(" "), F.lit("")).alias("images"),
+            some(k % 5 == 0, F.array(F.lit("a.png"), F.lit(" "), F.lit("b.png"))).alias("imgs"),
+            some(k % 5 == 1, F.array(F.lit("c.png"))).alias("pics"),
+        )
+    )
+    got = json_paths.default_content(doc)
+    return read(spark, sf, "documents").select("doc_id", got["content"].alias("content"), got["title"].alias("title"), got["next_url"].alias("next_url"), F.size(got["images"]).alias("n_images"), got["word_count"].alias("word_count"), got["mode"].alias("mode"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 10 > 0 THEN (p_size % 10) / 2.0 WHEN p_partkey % 2 = 0 THEN 1.5 ELSE 0 END AS rating, CAST(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size * 1000 END AS BIGINT) AS word_count,
+       CASE p_partkey % 4 WHEN 0 THEN concat(p_brand, '|', p_type) WHEN 1 THEN p_type WHEN 2 THEN concat(p_brand, '|x') ELSE '' END AS tags, ['image/jpeg', 'image/png', 'image/gif', 'image/svg+xml', 'image/webp'][1 + p_partkey % 5] AS kind FROM part"""
+)
+def json_detail_numbers(spark, sf):
+    """Ratings, words and tags of details by the usual keys, and types of covers by their first bytes, else their names."""
+    k = F.col("p_partkey")
+    some = lambda c, x: F.when(c, x)
+    doc = F.to_json(
+        F.struct(
+            (F.col("p_size") % 10 / 2.0).alias("rating"),
+            some(k % 2 == 0, F.lit("1.5")).alias("score"),
+            some(k % 3 == 1, F.col("p_size") * 1000).alias("wordCount"),
+            some(k % 3 == 2, F.struct((F.col("p_size") * 1000).cast("string").alias("wordCount"))).alias("book"),
+            some(k % 3 == 0, F.lit("many")).alias("size"),
+            some(k % 4 == 1, F.array("p_type", F.lit(""))).alias("tag"),
+        )
+    )
+    tagged = F.when(k % 4 == 0, F.concat(F.lit(',"tags":["'), F.col("p_brand"), F.lit('","'), F.col("p_type"), F.lit('"]}'))).when(k % 4 == 2, F.concat(F.lit(',"tags":" '), F.col("p_brand"), F.lit(', ,x"}'))).otherwise("}")
+    got = json_paths.default_numbers(F.concat(F.regexp_replace(doc, r"\}$", ""), tagged))
+    marks = ["FFD8FFE000", "89504E470D0A", "474946383961", "3C73766720786D6C", "52494646"]
+    kind = text.image_type_of(F.unhex(F.get(F.array(*map(F.lit, marks)), (k % 5).cast("int"))), F.when(k % 5 == 4, "x.webp").otherwise("x.bin"))
+    return read(spark, sf, "part").select("p_partkey", got["rating"].alias("rating"), got["word_count"].alias("word_count"), F.array_join(got["tags"], "|").alias("tags"), kind.alias("kind"))
