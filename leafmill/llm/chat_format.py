@@ -158,13 +158,37 @@ def format_chats(turns: DataFrame, tokenizer: str | None = None, learned: tuple[
     return dealt.select("conv", "role", "text").mapInArrow(run, f"conv_id {kind}, part long, ids array<int>, mask array<tinyint>, formatted string")
 
 
-def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) from the ids and masks, part after part."""
+def parsed(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(conv_id, part, n_turns, said, learned, formatted_chars) per part, where the parts are: their ids and masks parsed and decoded.
+
+    said holds role, line end, text, line end per turn, learned the texts under the mask.
+    """
     path = tokenizer or default_tokenizer()
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tpl, now, state = template(path), None, None
+        tpl = template(path)
+        for b in batches:
+            for at in range(b.num_rows):
+                conv, part, ids, mask, text = (b.column(k)[at] for k in range(5))
+                turns = tpl.parse(ids.values.to_numpy(), mask.values.to_numpy())
+                said = "".join(f"{role}\n{text_}\n" for role, text_, _ in turns)
+                row = [pa.array([conv.as_py()], b.schema.field(0).type), pa.array([part.as_py()], pa.int64()), pa.array([len(turns)], pa.int64()), pa.array([said]), pa.array(["".join(x for _, _, x in turns)]), pa.array([len(text.as_py())], pa.int64())]
+                yield pa.record_batch(row, names=["conv_id", "part", "n_turns", "said", "learned", "formatted_chars"])
+
+    rows = formatted.select("conv_id", "part", "ids", "mask", "formatted")
+    return rows.mapInArrow(run, f"conv_id {kind}, part long, n_turns long, said string, learned string, formatted_chars long")
+
+
+def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) from the ids and masks, part after part.
+
+    Parts are parsed where they are; a conversation's texts meet in one task for their digests alone, which are sequential.
+    """
+    kind = formatted.schema["conv_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
         def out():
@@ -173,21 +197,21 @@ def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
         for b in batches:
             type_ = b.schema.field(0).type
-            for conv, ids, mask, text in zip(*(b.column(k) for k in range(4)), strict=True):
+            for conv, n, said, learned, total in zip(*(b.column(k) for k in range(5)), strict=True):
                 if now != (conv.as_py(),):
                     if now is not None:
                         yield out()
                     now, state = (conv.as_py(),), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said, learned in tpl.parse(ids.values.to_numpy(), mask.values.to_numpy()):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{said}\n".encode())
-                    state[2] += len(learned)
-                    state[3].update(learned.encode())
-                state[4] += len(text.as_py())
+                text = learned.as_py()
+                state[0] += n.as_py()
+                state[1].update(said.as_buffer())
+                state[2] += len(text)
+                state[3].update(text.encode())
+                state[4] += total.as_py()
         if now is not None:
             yield out()
 
-    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part").select("conv_id", "ids", "mask", "formatted")
+    rows = parsed(formatted, tokenizer).repartition("conv_id").sortWithinPartitions("conv_id", "part").drop("part")
     return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
