@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import blocks, extract, json_paths, lists, regexes, text, urls
 from leafmill.operators import alike, books, by_source, replacing
+from leafmill.plans import rules as rules_
 from leafmill.plans.registry import query, read
 from leafmill.sources import fetching, files, formats
 from leafmill.sources.shared import shared_dir
@@ -392,3 +393,19 @@ def json_detail_numbers(spark, sf):
     marks = ["FFD8FFE000", "89504E470D0A", "474946383961", "3C73766720786D6C", "52494646"]
     kind = text.image_type_of(F.unhex(F.get(F.array(*map(F.lit, marks)), (k % 5).cast("int"))), F.when(k % 5 == 4, "x.webp").otherwise("x.bin"))
     return read(spark, sf, "part").select("p_partkey", got["rating"].alias("rating"), got["word_count"].alias("word_count"), F.array_join(got["tags"], "|").alias("tags"), kind.alias("kind"))
+
+
+@query(
+    """SELECT p_partkey, ['css', 'json', 'chain', 'xpath', 'json', 'js', NULL][1 + p_partkey % 7] AS mode, CASE p_partkey % 7 WHEN 6 THEN NULL WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END AS n_parts, ['&&', '||,&&', '', '', '', '', NULL][1 + p_partkey % 7] AS ops,
+       ['', '', '', '', 'name', '', NULL][1 + p_partkey % 7] AS puts, ['', '', '', '', concat('size', p_size), '', NULL][1 + p_partkey % 7] AS gets, [0, 0, 2, 0, 0, 0, NULL][1 + p_partkey % 7] AS n_replaces, [0, 0, 0, 0, 0, 1, NULL][1 + p_partkey % 7] AS n_expressions,
+       p_partkey % 7 = 2 AS chain, p_partkey % 7 = 5 AS script FROM part"""
+)
+def rule_inspection(spark, sf):
+    """What the rules of parts are made of: modes, parts and operators, bindings, replacements, expressions; every seventh is blank."""
+    n = F.col("p_size").cast("string")
+    rules = [F.concat(F.lit("@css:li.c"), n, F.lit(" a@href && .b[title='a||b']@text")), F.concat(F.lit("$.data.l"), n, F.lit("||$.items&&$.rows[?(@.a)]")), F.concat(F.lit("tag.li!0@tag.a@text##[0-9]+##x##y"), n), F.concat(F.lit('//div[@id="p'), n, F.lit('"]/text()')), F.concat(F.lit("@put:{name}$.title@get:{size"), n, F.lit("}")), F.concat(F.lit("@js:result + {{key"), n, F.lit("}}")), F.lit(" ")]
+    rows = read(spark, sf, "part").select("p_partkey", F.get(F.array(*rules), (F.col("p_partkey") % 7).cast("int")).alias("rule"))
+    got = rules_.inspected(rows, "rule")
+    joined = lambda c: F.array_join(f"said.{c}", ",").alias(c)
+    flag = lambda c: F.coalesce(f"said.{c}", F.lit(False)).alias(c)
+    return got.select("p_partkey", "said.mode", F.col("said.parts").cast("int").alias("n_parts"), joined("ops"), joined("puts"), joined("gets"), F.col("said.replaces").cast("int").alias("n_replaces"), F.col("said.expressions").cast("int").alias("n_expressions"), flag("chain"), flag("script"))

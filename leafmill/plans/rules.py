@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions.lists import IndexSpec
 from leafmill.functions.urls import loose_json
@@ -203,6 +206,28 @@ def summary(rule: str) -> dict:
     return {"mode": r.mode, "parts": len(r.parts), "ops": list(r.ops), "puts": list(r.puts), "gets": list(r.gets), "replaces": len(r.replaces), "expressions": len(r.expressions)}
 
 
+#: The fields of a summary.
+_SUMMARY = [("mode", T.StringType()), ("parts", T.LongType()), ("ops", T.ArrayType(T.StringType())), ("puts", T.ArrayType(T.StringType())), ("gets", T.ArrayType(T.StringType())), ("replaces", T.LongType()), ("expressions", T.LongType()), ("chain", T.BooleanType()), ("script", T.BooleanType())]
+
+
+@F.arrow_udf(T.StructType([T.StructField(k, t) for k, t in _SUMMARY]))
+def _summaries(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kinds = {T.StringType: pa.string(), T.LongType: pa.int64(), T.BooleanType: pa.bool_(), T.ArrayType: pa.list_(pa.string())}
+    for rules in parts:
+        rows = [{**summary(r or ""), "chain": is_chain(r or ""), "script": uses_script(r)} if (r or "").strip() else None for r in rules.to_pylist()]
+        yield pa.array(rows, pa.struct([(k, kinds[type(t)]) for k, t in _SUMMARY]))
+
+
+def inspected(df: DataFrame, rule: str, out: str = "said") -> DataFrame:
+    """df with what each row's rule is made of, as summary() says it, and whether it is a chain or needs a script; null for a blank rule.
+
+    Every distinct rule is parsed once.
+    """
+    distinct = df.select(rule).where(F.col(rule).isNotNull()).distinct()
+    found = distinct.select(F.col(rule).alias("_rule"), _summaries(F.col(rule)).alias(out))
+    return df.join(found, F.col(rule) == F.col("_rule"), "left").drop("_rule")
+
+
 @dataclass
 class Source:
     """Rules of one source by phase."""
