@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of words' ids that a worker remembers: other stages' workers stand beside it.
+CACHE_BYTES = 96 << 20
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier names and does not reject; it learns from the labelled ones."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
@@ -40,7 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's ids stand in the token files, read back from them."""
     path = common.new_path(spark, "tokens")
-    token_output.write_tokens(docs, path)
+    token_output.write_tokens(docs, path, cache_bytes=CACHE_BYTES)
     return token_output.documents_of(spark, path).withColumnRenamed("id", "doc_id")
 
 

@@ -105,13 +105,14 @@ class Encoder:
     """Encodes texts with a tokenizers file.
 
     Byte-level files split at every single space between two other characters that are not white space, and never merge
-    across it, so a text's ids are its chunks' ids in a row; the chunks' ids are remembered, up to CACHE_BYTES of them, after
+    across it, so a text's ids are its chunks' ids in a row; the chunks' ids are remembered, up to cache_bytes of them (CACHE_BYTES), after
     which the memory starts anew.  New chunks are encoded as one text, which is cut again where an id begins with a space.
     Texts with a special token's string, and files of another kind, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.most = cache_bytes
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -179,20 +180,20 @@ class Encoder:
             f[0] = first
             out[i] = b"".join(f)
         self.held += sum(map(len, new)) + _ENTRY * len(new)
-        if self.held > CACHE_BYTES:
+        if self.held > (CACHE_BYTES if self.most is None else self.most):
             self.known, self.held = {}, 0
         self.known.update(new)
         return [np.frombuffer(x, self.kind) for x in out]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cache_bytes: int | None = None) -> Encoder:
+    """One per worker process, file and bound."""
+    if (path, cache_bytes) not in _ENCODERS:
+        _ENCODERS[path, cache_bytes] = Encoder(path, cache_bytes)
+    return _ENCODERS[path, cache_bytes]
 
 
 def default_tokenizer() -> str:
@@ -201,7 +202,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int | None = None) -> None:
     """Write docs' ids to path in ascending id order, end_id after each document.
 
     Null texts are empty and give the end id only; null ids come first; rows that repeat an id follow each other, in the
@@ -212,7 +213,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, number = encoder(tokenizer, cache_bytes), TaskContext.get().partitionId(), 0
         ids, held, size = [], [], 0
 
         def block():
