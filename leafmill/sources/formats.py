@@ -39,8 +39,8 @@ class Part(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    hidden: str
-    name: str
+    hidden: str = ""  # both blank: the task had no rows
+    name: str = ""
 
 
 def files_of(path: str) -> list[tuple[int, str, int]]:
@@ -191,7 +191,7 @@ class _Writer(DataSourceWriter):
     def __init__(self, path: str, schema: T.StructType, overwrite: bool):
         self.path, self.schema, self.overwrite, self.run = path, schema, overwrite, uuid.uuid4().hex
 
-    def write(self, iterator) -> Written | None:
+    def write(self, iterator) -> Written:
         fs, at = opened(self.path)
         fs.create_dir(at, recursive=True)
         name = f"{uuid.uuid4().hex}.jsonl"
@@ -203,14 +203,14 @@ class _Writer(DataSourceWriter):
                 n += 1
         if not n:
             fs.delete_file(hidden)
-            return None
+            return Written()
         return Written(hidden, f"{at}/part-{self.run}-{name}")
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, _ = opened(self.path)
         old = [f for _, f, _ in files_of(self.path)] if self.overwrite else []
         for m in messages:
-            if m is not None:
+            if m is not None and m.hidden:
                 fs.move(m.hidden, m.name)
         for f in old:
             fs.delete_file(f)

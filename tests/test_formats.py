@@ -73,3 +73,12 @@ def test_a_stream_goes_on_after_its_offset(spark, tmp_path):
         os.utime(tmp_path / f"in/{9 - k}.json", (1000 + k, 1000 + k))
         assert run() == list(range(2 * k + 2))
     assert run() == list(range(6))
+
+
+def test_tasks_without_rows_write_nothing_and_commit(spark, tmp_path):
+    rows = spark.range(0, 3, 1, 6).select(F.concat(F.lit("n"), F.col("id")).alias("name"))
+    rows.where("name <> 'n1'").write.format("json_collection").mode("append").save(str(tmp_path / "c"))
+    assert sorted(r[0] for r in read(spark, tmp_path / "c", "name string").collect()) == ["n0", "n2"]
+    rows.where("name = 'x'").write.format("json_collection").mode("append").save(str(tmp_path / "none"))
+    assert read(spark, tmp_path / "none", "name string").count() == 0
+    assert not [f for f in os.listdir(tmp_path / "c") if f.startswith("_")]
