@@ -14,9 +14,15 @@ from leafmill.functions import extract, json_paths, text, urls
 from leafmill.sources.shared import settled
 
 
-def fetch(requests: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """Requested URLs with their page, by a join; found says whether there is one."""
-    return requests.join(pages.select(F.col("url").alias(url), F.col("html").alias("body")), url, "left").withColumn("found", F.col("body").isNotNull())
+def fetch(requests: DataFrame, pages: DataFrame, url: str = "url", page_key: str | None = None) -> DataFrame:
+    """Requested URLs with their page, by a join, one row a request; found says whether there is one.
+
+    Where pages are kept by request, page_key is the column of both that tells whose page it is; of several pages of one URL (and key) the
+    smallest text counts.
+    """
+    by = [url] if page_key is None else [url, page_key]
+    held = pages.select(F.col("url").alias(url), *by[1:], "html").groupBy(*by).agg(F.min("html").alias("body"))
+    return requests.join(held, by, "left").select(*requests.columns, "body").withColumn("found", F.col("body").isNotNull())
 
 
 def allowed(requests: DataFrame, url: str = "url") -> DataFrame:
@@ -35,13 +41,15 @@ def merge_results(results: DataFrame, *order: Column, limit: int = 50, keys: tup
     return best.orderBy("_rank", *keys).limit(limit).drop("_rank")
 
 
-def search(sources: DataFrame, pages: DataFrame, rules: dict[str, str], key: str, limit: int = 50) -> DataFrame:
+def search(sources: DataFrame, pages: DataFrame, rules: dict[str, str], key: str, limit: int = 50, page_key: str | None = None) -> DataFrame:
     """Search every enabled source: its URL, its page, the list rule's items, their fields, merged.
 
-    sources: id, base_url, search_url, order; the search_url column already holds the URL of the query.
+    sources: id, base_url, search_url, order; the search_url column already holds the URL of the query.  page_key is the pages' column that
+    names the source that a page is kept for, if they are kept so.
     """
     asked = sources.where("enabled").select(F.col("id").alias("source_id"), F.col("order").alias("source_order"), F.replace("search_url", F.lit("{{key}}"), F.lit(key)).alias("url"), "base_url")
-    rows = list_page(fetch(allowed(asked), pages).where("found"), rules, "body", "base_url")
+    own = pages if page_key is None else pages.withColumnRenamed(page_key, "source_id")
+    rows = list_page(fetch(allowed(asked), own, page_key=page_key and "source_id").where("found"), rules, "body", "base_url")
     return merge_results(rows, -F.col("source_order"), F.col("source_id"), F.col("pos"), limit=limit)
 
 
@@ -53,16 +61,17 @@ def list_page(pages: DataFrame, rules: dict[str, str], body: str, base: str) ->
     return got.where(F.trim("name") != "")
 
 
-def book_info(books: DataFrame, pages: DataFrame, rules: dict[str, str]) -> DataFrame:
+def book_info(books: DataFrame, pages: DataFrame, rules: dict[str, str], page_key: str | None = None) -> DataFrame:
     """Details of books: their page's fields, filled up from the search row where the page has none."""
-    got = extract.extract(fetch(books, pages), "body", {f"new_{k}": v for k, v in rules.items()})
+    got = extract.extract(fetch(books, pages, page_key=page_key), "body", {f"new_{k}": v for k, v in rules.items()})
     fill = {k: F.coalesce(F.nullif(F.col(f"new_{k}"), F.lit("")), F.col(k) if k in books.columns else F.lit("")) for k in rules}
     return got.withColumns(fill).drop("body", *[f"new_{k}" for k in rules])
 
 
-def chapters(books: DataFrame, pages: DataFrame, rules: dict[str, str], key: str, url: str = "url", newest_first: bool = False) -> DataFrame:
+def chapters(books: DataFrame, pages: DataFrame, rules: dict[str, str], key: str, url: str = "url", newest_first: bool = False, page_key: str | None = None) -> DataFrame:
     """Contents: (key, idx, title, chapter_url); blank titles go, numbers are dense, reversed lists renumbered."""
-    found = fetch(books.select(key, F.col(url)), pages, url).where("found")
+    asked = books.select(*dict.fromkeys([key, url, page_key or key]))
+    found = fetch(asked, pages, url, page_key).where("found")
     got = extract.extract_items(found, "body", rules["list"], {"title": rules["title"], "link": rules["url"]}).where(F.trim("title") != "")
     order = F.col("pos").desc() if newest_first else F.col("pos").asc()
     return got.select(key, (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).alias("idx"), "title", urls.resolve(F.col(url), F.col("link")).alias("chapter_url"))

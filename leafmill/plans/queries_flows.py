@@ -281,8 +281,8 @@ def fetch_attempts(spark, sf):
     row = lambda n, status, err: F.struct(F.lit(n).alias("attempt"), F.lit(status).cast("int").alias("status"), error(err))
     tries = F.when(k % 5 == 1, F.array(row(1, None, "unexpected EOF"), row(2, 200, None))).when(k % 5 == 2, F.array(*[row(n, None, "i/o timeout") for n in (1, 2, 3)], row(4, 200, None))).when(k % 5 == 3, F.array(row(1, 404, None), row(2, 200, None))).when(k % 5 == 4, F.array(row(1, None, "no such host"), row(2, 200, None))).otherwise(F.array(row(1, 200, None)))
     body = F.when(k % 2 == 0, F.encode("html", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE")))
-    made = p.where(k % 7 != 0).select("url", F.inline(tries), body.alias("body")).select("url", "attempt", "status", "error", F.lit("text/html").alias("content_type"), F.lit("").alias("content_encoding"), "body")
-    got = fetching.fetched(p.select("page_id", "url"), made)
+    made = p.where(k % 7 != 0).select("page_id", "url", F.inline(tries), body.alias("body")).select("page_id", "url", "attempt", "status", "error", F.lit("text/html").alias("content_type"), F.lit("").alias("content_encoding"), "body")
+    got = fetching.fetched(p.select("page_id", "url"), made, key="page_id")
     return got.select("page_id", "outcome", "attempts", "status", "charset", F.md5("text").alias("h"))
 
 

@@ -204,7 +204,7 @@ def search_flow(spark, sf):
     """Every page as a source whose search page is itself: list items, their fields, merged by name and author."""
     pages = read(spark, sf, "pages")
     sources = pages.select(F.col("page_id").alias("id"), F.col("url").alias("base_url"), F.col("url").alias("search_url"), F.lit(True).alias("enabled"), F.col("page_id").alias("order"))
-    got = books.search(sources, pages, {"list": "@css:nav li", "name": "tag.a@text", "author": "@css:none@text", "url": "tag.a@href"}, "q")
+    got = books.search(sources, pages, {"list": "@css:nav li", "name": "tag.a@text", "author": "@css:none@text", "url": "tag.a@href"}, "q", page_key="page_id")
     return got.select("name", "url")
 
 
@@ -212,13 +212,13 @@ def search_flow(spark, sf):
 def book_info_flow(spark, sf):
     pages = read(spark, sf, "pages")
     asked = pages.select("page_id", "url", F.lit("old").alias("name"), F.concat(F.lit("author "), F.col("page_id").cast("string")).alias("author"))
-    return books.book_info(asked, pages, {"name": "@css:article h1@text", "author": "@css:.author@text"}).select("page_id", "url", "name", "author")
+    return books.book_info(asked, pages, {"name": "@css:article h1@text", "author": "@css:.author@text"}, page_key="page_id").select("page_id", "url", "name", "author")
 
 
 @query(f"SELECT page_id, CAST(len(texts) - i AS BIGINT) AS idx, texts[i] AS title, concat(regexp_extract(url, '^(https?://[^/]+)', 1), hrefs[i]) AS chapter_url FROM (SELECT *, unnest(range(1, len(texts) + 1)) AS i FROM ({_NAV})) WHERE texts[i] <> ''")
 def chapter_list_flow(spark, sf):
     pages = read(spark, sf, "pages")
-    got = books.chapters(pages.select("page_id", "url"), pages, {"list": "tag.nav@tag.li", "title": "tag.a@text", "url": "tag.a@href"}, "page_id", newest_first=True)
+    got = books.chapters(pages.select("page_id", "url"), pages, {"list": "tag.nav@tag.li", "title": "tag.a@text", "url": "tag.a@href"}, "page_id", newest_first=True, page_key="page_id")
     return got.withColumn("idx", F.col("idx").cast("long"))
 
 

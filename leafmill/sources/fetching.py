@@ -48,24 +48,27 @@ def inflated(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array([None if b is None else _inflated(b) if (e or "").strip().lower() in ("gzip", "x-gzip", "deflate") else b for b, e in rows], pa.binary())
 
 
-def settled_attempt(responses: DataFrame, most: int = MOST) -> DataFrame:
-    """(url, attempt, attempts): the first of a URL's attempts that does not ask for another one, else its last; numbers from 1 on."""
+def settled_attempt(responses: DataFrame, most: int = MOST, by: tuple[str, ...] = ("url",)) -> DataFrame:
+    """(by, attempt, attempts): the first of a request's attempts that does not ask for another one, else its last; numbers from 1 on."""
     made = responses.where(F.col("attempt").between(1, most))
     end = F.coalesce(F.min(F.when(~worth_another(F.col("error")), F.col("attempt"))), F.max("attempt"))
-    return made.groupBy("url").agg(end.alias("attempt")).withColumn("attempts", F.col("attempt"))
+    return made.groupBy(*by).agg(end.alias("attempt")).withColumn("attempts", F.col("attempt"))
 
 
-def fetched(requests: DataFrame, responses: DataFrame, most: int = MOST, url: str = "url") -> DataFrame:
+def fetched(requests: DataFrame, responses: DataFrame, most: int = MOST, url: str = "url", key: str | None = None) -> DataFrame:
     """requests with attempts, status, error, outcome, text and charset.
 
     responses: url, attempt, status, error, content_type, content_encoding, body (binary).  outcome is 'ok', 'failed' (with its
     error), 'refused' (the URL may not be asked for) or 'no response'; a status is no failure.  Without a body the text is ''.
+    With a key, a column of both, a URL that several requests ask for has attempts of each.
     """
-    plan = settled_attempt(responses, most)
-    one = responses.dropDuplicates(["url", "attempt"]).join(plan, ["url", "attempt"])
-    held = one.select(F.col("url").alias("_url"), "attempts", "status", "error", "content_type", "content_encoding", "body")
+    by = ("url",) if key is None else ("url", key)
+    plan = settled_attempt(responses, most, by)
+    one = responses.dropDuplicates([*by, "attempt"]).join(plan, [*by, "attempt"])
+    held = one.select(F.col("url").alias("_url"), *[F.col(k).alias("_key") for k in by[1:]], "attempts", "status", "error", "content_type", "content_encoding", "body")
     asked = requests.withColumn("_asked", F.when(urls.is_allowed(F.col(url)), F.col(url)))
-    joined = asked.join(held, F.col("_asked") == F.col("_url"), "left")
+    same = F.col("_asked") == F.col("_url")
+    joined = asked.join(held, same if key is None else same & (F.col(key) == F.col("_key")), "left")
     outcome = F.when(F.col("_asked").isNull(), "refused").when(F.col("_url").isNull(), "no response").when(F.col("error").isNotNull(), "failed").otherwise("ok")
     read = files.decoded(inflated(F.when(F.col("error").isNull(), F.col("body")), F.col("content_encoding")), F.coalesce("content_type", F.lit("")))
     done = joined.withColumn("outcome", outcome).withColumn("_read", read)

@@ -6,6 +6,7 @@ from urllib.parse import urljoin
 import pytest
 from leafmill.functions import text, urls
 from leafmill.operators import alike, books, by_source
+from leafmill.sources import fetching
 from pyspark.sql import functions as F
 
 BASES = ["http://a/b/c/d;p?q", "http://a", "http://a/", "https://a.b:80/x/", "http://a/b/../c/./d", "/a/b", "a/b", "", "http://a/b//c/d?x=/y/z", "ftp://h/p/q", "http://u@h/a#frag?x", "http://a/b/c?q#f"]
@@ -164,8 +165,6 @@ def test_the_first_settled_attempt_counts(spark):
     import gzip
     import zlib
 
-    from leafmill.sources import fetching
-
     raw = zlib.compressobj(wbits=-15)
     deflated = raw.compress(b"raw") + raw.flush()
     rows = [
@@ -229,3 +228,22 @@ def test_listings_stop_where_they_are_full_or_empty(spark, keyed):
     got = books.until_enough(df, "p", "n", 20, "s" if keyed else None)
     assert {tuple(r) for r in got.collect()} == want and got.columns == ["s", "p", "n"]
     assert books.until_enough(df.limit(0), "p", "n", 20, "s").count() == 0
+
+
+# ---- pages of one URL ----
+
+
+def test_requests_of_one_url_have_one_page_each_and_their_own_by_key(spark):
+    pages = spark.createDataFrame([(1, "http://a/x", "<h1>one</h1>"), (2, "http://a/x", "<h1>two</h1>"), (3, "http://a/y", None)], "page_id long, url string, html string")
+    asked = pages.select("page_id", "url")
+    assert sorted(map(tuple, books.fetch(asked, pages).select("page_id", "body", "found").collect())) == [(1, "<h1>one</h1>", True), (2, "<h1>one</h1>", True), (3, None, False)]
+    assert sorted(map(tuple, books.fetch(asked, pages, page_key="page_id").select("page_id", "body").collect())) == [(1, "<h1>one</h1>"), (2, "<h1>two</h1>"), (3, None)]
+    got = books.book_info(asked, pages, {"name": "@css:h1@text"}, page_key="page_id")
+    assert sorted(map(tuple, got.select("page_id", "name").collect())) == [(1, "one"), (2, "two"), (3, "")]
+
+
+def test_attempts_of_one_url_are_told_apart_by_key(spark):
+    rows = [(1, "http://a.example/x", 1, None, "i/o timeout", "a"), (1, "http://a.example/x", 2, 200, None, "b"), (2, "http://a.example/x", 1, 404, None, "c")]
+    made = spark.createDataFrame(rows, "k long, url string, attempt int, status int, error string, said string").select("k", "url", "attempt", "status", "error", F.lit("text/html").alias("content_type"), F.lit("").alias("content_encoding"), F.encode("said", "UTF-8").alias("body"))
+    got = fetching.fetched(made.select("k", "url").distinct(), made, key="k")
+    assert sorted(map(tuple, got.select("k", "attempts", "status", "text").collect())) == [(1, 2, 200, "b"), (2, 1, 404, "c")]
