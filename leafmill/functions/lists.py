@@ -36,7 +36,8 @@ def interleave(parts: list[Column]) -> Column:
     if len(parts) == 1:
         return parts[0]
     same = reduce(lambda a, b: a & b, [F.size(p) == F.size(parts[0]) for p in parts[1:]]) & (F.size(parts[0]) > 0)
-    turns = F.transform(parts[0], lambda _, i: F.array(*[F.get(p, i) for p in parts]))
+    names = [f"p{i}" for i in range(len(parts))]
+    turns = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, names, strict=True)]), lambda x: F.array(*[x[n] for n in names]))
     return F.when(same, F.flatten(turns)).otherwise(F.concat(*parts))
 
 

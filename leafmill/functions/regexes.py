@@ -92,4 +92,6 @@ def all_groups(text: Column, pattern: str) -> Column:
     """Groups 0 to n of every match."""
     pattern = preprocess(pattern)
     each = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(n_groups(pattern) + 1)]
-    return F.transform(each[0], lambda _, i: F.array(*[F.get(e, i) for e in each]))
+    names = [f"g{g}" for g in range(len(each))]
+    # zipped first: what a lambda names from outside is worked out anew for every match
+    return F.transform(F.arrays_zip(*[e.alias(n) for e, n in zip(each, names, strict=True)]), lambda m: F.array(*[m[n] for n in names]))

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from leafmill.functions import expressions, json_paths, regexes, text, urls
+from leafmill.functions import expressions, json_paths, lists, regexes, text, urls
 from pyspark.sql import functions as F
 
 
@@ -87,3 +87,11 @@ def test_urls(spark):
     assert tuple(r) == ("http://h/a/q?p=y", "http://h/a/q?p=x", "https://a/b/c", "https://b/c", "http://a/d", "http://a/d")
     tabs = spark.range(1).select(urls.explore_tabs(F.lit("[{title:'A',url:''},{title:'Bee',url:'/b'}]")).alias("t")).select(urls.choose_tab(F.col("t"), F.lit("Be"))["url"]).first()[0]
     assert tabs == "/b"
+
+
+def test_groups_and_turns_work_a_list_out_once_not_once_a_match(spark):
+    df = spark.createDataFrame([("Ab Cd e",), ("",), (None,)], "v string")
+    got = df.select(regexes.all_groups(F.col("v"), "([A-Z])([a-z]+)").alias("g"), lists.interleave([regexes.find_all(F.col("v"), "[A-Z]"), regexes.find_all(F.col("v"), "[a-z](?= )")]).alias("t"))
+    assert [tuple(r) for r in got.collect()] == [([["Ab", "A", "b"], ["Cd", "C", "d"]], ["A", "b", "C", "d"]), ([], []), (None, None)]
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "lambdafunction(" in plan and "get(regexp_extract_all" not in plan
