@@ -62,5 +62,6 @@ def apply_rules(texts: DataFrame, rules: DataFrame, text: str, scope: str) -> Da
     found = by_scope(rules)
     own = found.where("scope is not null").select(F.col("scope").alias("_scope"), F.col("rules").alias("_own"))
     common = found.where("scope is null").select(F.col("rules").alias("_common"))
-    joined = texts.join(own, F.col(scope) == F.col("_scope"), "left").join(F.broadcast(common))
+    # rules are few beside texts, which stay where they are: by scope, a task would have all texts of one
+    joined = texts.join(F.broadcast(own), F.col(scope) == F.col("_scope"), "left").join(F.broadcast(common))
     return joined.withColumn(text, replaced(F.col(text), F.coalesce("_own", "_common"))).select(*texts.columns)

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from leafmill.operators import replacing
 from leafmill.streaming import searches, streams
+from pyspark.sql import functions as F
 
 SCHEMA = "request string, ts timestamp, source_id string, name string, author string, url string"
 T0 = datetime.datetime(2024, 5, 1)
@@ -95,3 +96,16 @@ def test_rules_of_a_table_apply_in_order_and_by_scope(spark):
     assert got == {1: "<b>dc<bb>\\$1zq", 2: plain.replace("q", "only y"), 3: plain, 4: plain, 5: None, 6: ""}
     assert {r["id"] for r in replacing.apply_rules(texts, rules.limit(0), "text", "scope").where("text = 'acdbb[zeq'").collect()} == {1, 2, 3, 4}
     assert [r["id"] for r in replacing.listed(rules, enabled_only=True).where("scope = 'all'").collect()] == [6, 4, 1]
+
+
+def test_texts_are_not_dealt_by_scope(spark):
+    texts = spark.range(40).select("id", F.concat(F.lit("a"), F.col("id")).alias("text"), F.lit("s1").alias("scope"))
+    rules = spark.createDataFrame([(1, "a", "b", "s1", 0, False, True)], "id long, pattern string, replacement string, scope string, order int, case_insensitive boolean, enabled boolean")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = replacing.apply_rules(texts, rules, "text", "scope")
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+        assert {r["text"] for r in got.collect()} == {f"b{k}" for k in range(40)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
