@@ -247,3 +247,18 @@ def test_attempts_of_one_url_are_told_apart_by_key(spark):
     made = spark.createDataFrame(rows, "k long, url string, attempt int, status int, error string, said string").select("k", "url", "attempt", "status", "error", F.lit("text/html").alias("content_type"), F.lit("").alias("content_encoding"), F.encode("said", "UTF-8").alias("body"))
     got = fetching.fetched(made.select("k", "url").distinct(), made, key="k")
     assert sorted(map(tuple, got.select("k", "attempts", "status", "text").collect())) == [(1, 2, 200, "b"), (2, 1, 404, "c")]
+
+
+# ---- alternates over alphabets of any size ----
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_sets_of_letters_as_bits_and_as_arrays_find_the_same_pairs(spark, wide):
+    rng = random.Random(5)
+    titles = sorted({"".join(rng.choice("abcdefg ") for _ in range(rng.randint(1, 7))).strip() for _ in range(60)} - {""})
+    more = ["".join(chr(0x4E00 + k) for k in range(90))] if wide else []
+    df = spark.createDataFrame([(t,) for t in titles + more], "title string")
+    got = {(r[0], r[1]): r[2] for r in alike.title_pairs(df, df.withColumnRenamed("title", "other"), 0.2).collect()}
+    both = df.crossJoin(df.withColumnRenamed("title", "other")).withColumn("s", text.text_similarity(F.col("title"), F.col("other"))).where("s >= 0.2")
+    want = {(r[0], r[1]): r[2] for r in both.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
