@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import dom, text
+from leafmill.functions.batches import pieces
 
 MAX_BYTES = 50 << 20
 FORMATS = {".txt": "txt", ".epub": "epub", ".cbz": "cbz", ".pdf": "pdf"}
@@ -113,7 +114,7 @@ def scored(content: Column) -> Column:
     """struct(charset, text) of bytes, the charset by scores."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for data in batches:
+        for data in pieces(batches):
             out = []
             for d in data.to_pylist():
                 d = bytes(d or b"")
@@ -134,11 +135,12 @@ def decoded(content: Column, hint: Column | None = None) -> Column:
     """struct(text, charset, bom) of bytes."""
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for data, hints in batches:
+        for data, hints in pieces(batches):
             out = []
             for d, h in zip(data.to_pylist(), hints.to_pylist(), strict=True):
                 d, h = bytes(d or b""), h or ""
-                out.append({"text": decode(d, h), "charset": charset(d, h)[0], "bom": charset(d, h)[1]})
+                name, skip = charset(d, h)
+                out.append({"text": d[skip:].decode(name, "replace"), "charset": name, "bom": skip})
             yield pa.array(out, pa.struct([("text", pa.string()), ("charset", pa.string()), ("bom", pa.int32())]))
 
     return F.arrow_udf(run, "struct<text: string, charset: string, bom: int>")(content, hint if hint is not None else F.lit(""))
@@ -246,7 +248,7 @@ def chapters(files: DataFrame, content: str = "content", kind: str = "format") -
     """files with one row per chapter of their EPUB, CBZ or PDF content (column ch); files with none give no row."""
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for data, kinds in batches:
+        for data, kinds in pieces(batches):
             yield pa.array([{"epub": epub, "cbz": cbz, "pdf": pdf}.get(k, lambda _: [])(bytes(d or b"")) for d, k in zip(data.to_pylist(), kinds.to_pylist(), strict=True)], pa.list_(_CHAPTER))
 
     schema = "array<struct<book: string, author: string, idx: int, title: string, path: string, text: string>>"
