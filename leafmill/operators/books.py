@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.functions import extract, json_paths, text, urls
+from leafmill.functions.batches import pieces
 from leafmill.sources.shared import settled
 
 
@@ -231,7 +232,7 @@ def split_long(docs: DataFrame, key: str, body: str, most: int) -> DataFrame:
     """(key, part, text): a text is cut at a paragraph when the running length passes the limit."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for t in b.to_pylist():
                 parts, now, n = [], [], 0
