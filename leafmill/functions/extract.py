@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import dom, expressions, json_paths, lists, regexes
+from leafmill.functions.batches import pieces
 from leafmill.plans import rules as R
 
 
@@ -31,7 +32,7 @@ def dom_lists(body: Column, parts: list[tuple[str, str]]) -> Column:
     names = [f"p{i}" for i in range(len(parts))]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
+        for b in pieces(batches):
             cols: list[list[list[str]]] = [[] for _ in parts]
             for page in b:
                 root = dom.parse(page.as_py() or "")
@@ -111,7 +112,7 @@ def items(df: DataFrame, body: str, rule: str, out: str = "item", pos: str = "po
         return df.select("*", F.posexplode(json_paths.items(F.col(body), parsed.parts[0])).alias(pos, out))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
+        for b in pieces(batches):
             got = []
             for page in b:
                 root = dom.parse(page.as_py() or "")
@@ -145,7 +146,7 @@ def extract_items(df: DataFrame, body: str, rule: str, wanted: dict[str, str], p
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([(n, pa.list_(pa.string())) for n in names]))
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for page in b:
                 rows = []
@@ -166,7 +167,7 @@ def content(df: DataFrame, body: str, selector: str, base: str | None = None) ->
     """df with content (text by blocks) and images of the first element that matches, or of the page; base is the column of its URL."""
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for b, at in batches:
+        for b, at in pieces(batches):
             texts, pics = [], []
             for page, url in zip(b, at, strict=True):
                 root = dom.parse(page.as_py() or "")
@@ -182,7 +183,7 @@ def whitelisted(df: DataFrame, body: str, out: str = "html_clean", allowed: froz
     """df with the body's markup reduced to the allowed tags; scripts and styles go, other tags leave their content."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
+        for b in pieces(batches):
             yield pa.array([dom.whitelisted(dom.parse(p.as_py() or ""), allowed) for p in b], pa.string())
 
     return df.withColumn(out, F.arrow_udf(run, "string")(F.col(body)))

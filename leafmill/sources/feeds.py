@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions import dom, json_paths, text, urls
+from leafmill.functions import dom, json_paths, lists, text, urls
+from leafmill.functions.batches import pieces
 
 _ITEM = "struct<title: string, link: string, description: string, guid: string, pubDate: string, author: string, `content:encoded`: string>"
 _RSS = f"channel struct<title: string, link: string, description: string, item: array<{_ITEM}>>"
@@ -103,7 +104,7 @@ def page_items(pages: DataFrame, body: str = "html", key: str = "page_id", url:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind_ = pa.list_(pa.struct([("title", pa.string()), ("link", pa.string()), ("description", pa.string())]))
-        for b in batches:
+        for b in pieces(batches):
             yield pa.array([_page_items(p.as_py() or "") for p in b], kind_)
 
     got = pages.select(key, url, F.posexplode(F.arrow_udf(run, "array<struct<title: string, link: string, description: string>>")(F.col(body))).alias("pos", "i"))
