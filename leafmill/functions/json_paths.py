@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.functions import lists
+
 _SLICE = re.compile(r"^(.*?)\[(-?\d*):(-?\d*)\](.*)$")
 
 
@@ -29,8 +31,7 @@ def items(doc: Column, rule: str) -> Column:
     path = to_path(rule)
     if path == "$":
         return F.coalesce(F.when(F.ltrim(doc).startswith("["), F.from_json(doc, "array<string>")).otherwise(F.map_values(F.from_json(doc, "map<string,string>"))), F.array().cast("array<string>"))
-    got = F.get_json_object(doc, path)
-    listed = F.when(got.startswith("["), F.from_json(got, "array<string>")).when(got.isNotNull(), F.array(got))
+    listed = lists.bound(F.get_json_object(doc, path), lambda got: F.when(got.startswith("["), F.from_json(got, "array<string>")).when(got.isNotNull(), F.array(got)))
     return F.coalesce(listed, F.array().cast("array<string>"))
 
 
@@ -47,7 +48,10 @@ def query(doc: Column, rule: str) -> Column:
 
 def value(doc: Column, rule: str) -> Column:
     """The first value at a path, or ''."""
-    return F.coalesce(F.get(query(doc, rule), F.lit(0)), F.lit(""))
+    if _SLICE.match(rule) or to_path(rule) == "$":
+        return F.coalesce(F.get(query(doc, rule), F.lit(0)), F.lit(""))
+    first = lambda got: F.get(F.filter(F.from_json(got, "array<string>"), lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(lists.bound(F.get_json_object(doc, to_path(rule)), lambda got: _number(F.when(got.startswith("["), first(got)).otherwise(got))), F.lit(""))
 
 
 def first_of(doc: Column, rule: str) -> Column:
@@ -59,12 +63,12 @@ def first_of(doc: Column, rule: str) -> Column:
             each.append(F.concat(*[F.coalesce(F.get_json_object(doc, to_path(x)), F.lit("")) if k % 2 else F.lit(x) for k, x in enumerate(pieces)]))
         elif part:
             each.append(value(doc, part))
-    return F.coalesce(*[F.nullif(e, F.lit("")) for e in each], F.lit("")) if each else F.lit("")
+    return lists.first_that(each[:-1], lambda x: x != "", each[-1]) if each else F.lit("")
 
 
 def aliases(doc: Column, names: list[str]) -> Column:
     """The first non-empty of several keys."""
-    return F.coalesce(*[F.nullif(F.get_json_object(doc, f"$.{n}"), F.lit("")) for n in names], F.lit(""))
+    return lists.first_that([F.get_json_object(doc, f"$.{n}") for n in names], lambda x: x != "", F.lit(""))
 
 
 def is_json(doc: Column) -> Column:
@@ -148,24 +152,30 @@ def fields(doc: Column, rules: dict[str, str]) -> dict[str, Column]:
     return {k: first_of(doc, rule) for k, rule in rules.items()}
 
 
+def _first_array(doc: Column, paths: list[str], empty: bool = False) -> Column:
+    """The JSON text of the first array at the paths, be it empty or not; null if there is none."""
+    is_array = lambda x: x.startswith("[") if empty else x.startswith("[") & (x != "[]")
+    return lists.first_that([F.get_json_object(doc, p) for p in paths], is_array, F.lit(None).cast("string"))
+
+
+def _rows_of(array: Column) -> Column:
+    return F.coalesce(F.from_json(array, "array<string>"), F.array().cast("array<string>"))
+
+
 def listed(doc: Column, rule: str) -> Column:
     """The rows at the first path of p1&&p2&&... that holds a non-empty array."""
-    found = [F.get_json_object(doc, to_path(p.strip())) for p in rule.split("&&") if p.strip()]
-    return F.coalesce(F.from_json(F.coalesce(*[F.when(x.startswith("[") & (x != "[]"), x) for x in found]), "array<string>"), F.array().cast("array<string>"))
+    return _rows_of(_first_array(doc, [to_path(p.strip()) for p in rule.split("&&") if p.strip()]))
 
 
 def default_chapters(doc: Column) -> Column:
     """The rows of contents without a rule: the root array, or the first usual key with an array, be it empty."""
-    found = [F.get_json_object(doc, f"$.{k}") for k in CHAPTER_LISTS]
-    held = F.coalesce(*[F.when(x.startswith("["), x) for x in found])
-    return F.coalesce(F.from_json(F.when(F.ltrim(doc).startswith("["), doc).otherwise(held), "array<string>"), F.array().cast("array<string>"))
+    held = _first_array(doc, [f"$.{k}" for k in CHAPTER_LISTS], empty=True)
+    return _rows_of(F.when(F.ltrim(doc).startswith("["), doc).otherwise(held))
 
 
 def default_items(doc: Column) -> Column:
     """The rows of a list page without a rule: the root array, or the first usual key with a non-empty array."""
-    found = [F.get_json_object(doc, f"$.{k}") for k in LIST_KEYS]
-    listed = F.coalesce(*[F.when(x.startswith("[") & (x != "[]"), x) for x in found])
-    return F.coalesce(F.from_json(F.when(F.ltrim(doc).startswith("["), doc).otherwise(listed), "array<string>"), F.array().cast("array<string>"))
+    return _rows_of(F.when(F.ltrim(doc).startswith("["), doc).otherwise(_first_array(doc, [f"$.{k}" for k in LIST_KEYS])))
 
 
 def default_book(item: Column) -> dict[str, Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +12,18 @@ from pyspark.sql import functions as F
 EMPTY = lambda: F.array().cast("array<string>")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def first_that(each: list[Column], fits: Callable[[Column], Column], other: Column) -> Column:
+    """The first value that fits, each worked out once and only if none before it fits; else the other."""
+    if not each:
+        return other
+    return bound(each[0], lambda x: F.when(fits(x), x).otherwise(first_that(each[1:], fits, other)))
+
+
 def intersection(left: Column, right: Column) -> Column:
     """Distinct non-empty items of left that right has, in left's order."""
     return F.array_remove(F.array_intersect(left, right), "")

@@ -192,10 +192,14 @@ def upload_chapters(docs: DataFrame, key: str, body: str) -> DataFrame:
 def json_chapters(docs: DataFrame, body: str, rules: dict[str, str] | None = None) -> DataFrame:
     """docs with a row per chapter (idx, title, chapter_url) of JSON contents, by rules or by the usual keys; blank titles go."""
     rows = json_paths.listed(F.col(body), rules["list"]) if rules else json_paths.default_chapters(F.col(body))
-    got = docs.select("*", F.posexplode(rows).alias("idx", "_item"))
-    item = F.col("_item")
-    named = json_paths.fields(item, {"title": rules["title"], "url": rules["url"]}) if rules else {k: json_paths.aliases(item, v) for k, v in json_paths.CHAPTER_KEYS.items()}
-    return got.withColumns({"title": named["title"], "chapter_url": named["url"]}).where(F.trim("title") != "").drop(body, "_item")
+
+    def named(item: Column) -> Column:
+        got = json_paths.fields(item, {"title": rules["title"], "url": rules["url"]}) if rules else {k: json_paths.aliases(item, v) for k, v in json_paths.CHAPTER_KEYS.items()}
+        return F.struct(got["title"].alias("title"), got["url"].alias("url"))
+
+    # named before they are told apart: a filter over the rows would work the titles out once more
+    got = docs.select("*", F.posexplode(F.transform(rows, named)).alias("idx", "_item"))
+    return got.withColumns({"title": F.col("_item.title"), "chapter_url": F.col("_item.url")}).where(F.trim("title") != "").drop(body, "_item")
 
 
 def search_one(sources: DataFrame, pages: DataFrame, rules: dict[str, str], key: str, source_id: int) -> DataFrame:
