@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.functions import lists
+
 
 @dataclass(frozen=True)
 class Template:
@@ -159,7 +161,11 @@ def resolve(base: Column, ref: Column) -> Column:
 
     An absolute reference stays as it is, one without a base too; a fold over the path's segments keeps those that no .. takes back.
     """
-    said = F.translate(F.trim(ref), "\t\r\n", "")
+    return lists.bound(ref, lambda r: lists.bound(F.translate(F.trim(r), "\t\r\n", ""), lambda said: _resolved(base, r, said)))
+
+
+def _resolved(base: Column, ref: Column, said: Column) -> Column:
+    """resolve() of a reference that is cleaned already: said."""
     mark = {2: "//", 4: "?", 5: "#"}  # alone, it says nothing
 
     def of(text: Column, k: int) -> Column:

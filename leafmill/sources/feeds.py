@@ -58,11 +58,20 @@ def json_items(docs: DataFrame, rules: dict[str, str], body: str = "body", base:
 
     A title falls back to its link; rows with neither go.
     """
-    rows = docs.select("*", F.posexplode(json_paths.listed(F.col(body), rules["list"])).alias("pos", "_item"))
-    got = json_paths.fields(F.col("_item"), {k: rules.get(k, "") for k in ("title", "link", "author", "image", "date", "description")})
-    got["link"], got["image"] = (F.when(got[k] != "", urls.resolve(F.col(base), got[k])).otherwise("") for k in ("link", "image"))
-    named = rows.withColumns({**got, "date": text.parse_time(got["date"])}).drop(body, "_item")
-    return named.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.col("link"))).where("title <> ''")
+    names = ("title", "link", "author", "image", "date", "description")
+
+    def read(item: Column) -> Column:
+        got = json_paths.fields(item, {k: rules.get(k, "") for k in names})
+        for k in ("link", "image"):
+            if rules.get(k):
+                got[k] = lists.bound(got[k], lambda x: F.when(x != "", urls.resolve(F.col(base), x)).otherwise(""))
+        return F.struct(*[got[k].alias(k) for k in names])
+
+    # read before they are told apart: a filter over the rows would work titles and links out once more
+    rows = docs.select("*", F.posexplode(F.transform(json_paths.listed(F.col(body), rules["list"]), read)).alias("pos", "_item"))
+    item = {k: F.col(f"_item.{k}") for k in names}
+    named = rows.withColumns({**item, "title": F.coalesce(F.nullif(item["title"], F.lit("")), item["link"]), "date": text.parse_time(item["date"])})
+    return named.drop(body, "_item").where("title <> ''")
 
 
 #: Selectors of list items and of their titles, fixed values, tried in this order.
