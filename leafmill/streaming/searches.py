@@ -8,10 +8,11 @@ output go forward together with the checkpoint: a batch that is tried again emit
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -55,64 +56,58 @@ def first_of_each(rows: DataFrame, most: int = MOST) -> DataFrame:
 
 
 class Search(StatefulProcessor):
-    """The results of one request, as they come, and its end."""
+    """The results of one request, as they come, and its end.
+
+    All that is known of a request is one value, since every look at the state is a trip to the JVM; the keys that are out are a JSON text in it.
+    """
 
     def __init__(self, most: int = MOST, seconds: float = SECONDS):
         self.most, self.seconds = most, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "source_id string, url string", "out boolean")
-        self.at = handle.getValueState("at", "n long, until long, done boolean")
-
-    def _row(self, key, event: str, seq: int, book=None, total=None) -> dict:
-        return {"request": key[0], "event": event, "seq": seq, **dict(zip(_FIELDS, book or [None] * 4, strict=True)), "total": total}
-
-    def _frame(self, rows: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["request", "event", "seq", *_FIELDS, "total"])
-        return out.astype({"seq": "Int64", "total": "Int64"})
+        self.at = handle.getValueState("at", "n long, until long, done boolean, seen string")
 
-    def _finish(self, key, n: int, until: int) -> dict:
-        self.seen.clear()
-        self.at.update((n, until, True))
-        return self._row(key, "done", n, total=n)
+    def _row(self, key, event: str, seq: int, book=(None, None, None, None), total=None) -> Row:
+        return Row(request=key[0], event=event, seq=seq, **dict(zip(_FIELDS, book, strict=True)), total=total)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, until, done = self.at.get() if self.at.exists() else (0, None, False)
-        found = pd.concat(list(rows))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.at.get()
+        n, until, done, said = held or (0, None, False, "[]")
         if done:
+            for _ in rows:
+                pass
             return
-        found = found.sort_values(["ts", "source_id", "url"], kind="stable")
-        out = []
-        for ts, *book in found[["ts", *_FIELDS]].itertuples(index=False):
-            ms = ts.value // 1_000_000
+        seen = {tuple(x) for x in json.loads(said)}
+        # nulls last, as in the tasks that thin out
+        for r in sorted(rows, key=lambda r: (r["us"], r["source_id"] is None, r["source_id"] or "", r["url"] is None, r["url"] or "")):
             if until is None:
-                until = ms + int(self.seconds * 1000)
-                self.handle.registerTimer(until)
-            if ms > until:
+                until = r["us"] + round(self.seconds * 1e6)
+            known = (r["source_id"], r["url"])
+            if r["us"] > until:
                 done = True
                 break
-            known = (book[0], book[3])
-            if not (book[3] or "").strip() or self.seen.containsKey(known):
+            if not (r["url"] or "").strip() or known in seen:
                 continue
-            self.seen.updateValue(known, (True,))
-            out.append(self._row(key, "result", n, book))
+            seen.add(known)
+            yield self._row(key, "result", n, [r[k] for k in _FIELDS])
             n += 1
             if n >= self.most:
                 done = True
                 break
         if done:
-            self.handle.deleteTimer(until)
-            out.append(self._finish(key, n, until))
-        else:
-            self.at.update((n, until, False))
-        if out:
-            yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, until, done = self.at.get()
+            if held:
+                self.handle.deleteTimer(until // 1000)
+            yield self._row(key, "done", n, total=n)
+        elif not held:
+            self.handle.registerTimer(until // 1000)
+        self.at.update((n, until, done, "[]" if done else json.dumps([*seen])))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        n, until, done, _ = self.at.get()
         if not done:
-            yield self._frame([self._finish(key, n, until)])
+            self.at.update((n, until, True, "[]"))
+            yield self._row(key, "done", n, total=n)
 
     def close(self) -> None:
         pass
@@ -127,8 +122,8 @@ def search_events(results: DataFrame, most: int = MOST, seconds: float = SECONDS
     spark = results.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = results.select(F.col("request").cast("string").alias("request"), F.col("ts").cast("timestamp").alias("ts"), *[F.col(c).cast("string").alias(c) for c in _FIELDS])
-    timed = first_of_each(rows.where("request is not null and ts is not null"), most).withWatermark("ts", late)
-    return timed.groupBy("request").transformWithStateInPandas(Search(most, seconds), EVENTS, "append", "EventTime")
+    timed = first_of_each(rows.where("request is not null and ts is not null"), most).withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
+    return timed.groupBy("request").transformWithState(Search(most, seconds), EVENTS, "append", "EventTime")
 
 
 def run_search(spark: SparkSession, results: DataFrame, path: str, checkpoint: str, **options) -> DataFrame:
