@@ -87,20 +87,21 @@ def list_pages(fetched: DataFrame, texts: list[str], rule: str, body: str, base:
     markup = [t for t in texts if t not in {t for t, _ in native}]
     if len(native) > fused or markup:
         fetched = settled(fetched)
+    full = lambda x: F.when(F.trim(x) != "", urls.resolve(F.col(base), x)).otherwise("")
     parts = []
     for at in range(0, max(1, len(native)), fused):
         some = native[at : at + fused]
         found = reduce(lambda c, x: c.when(said == x[0], x[1]), some, F) if some else F.array().cast(_BOOKS)
+        # resolved before they are told apart: a filter on the rows' URLs would resolve them once more
+        found = F.transform(found, lambda b: F.struct(*[(full(b[k]) if k in ("url", "cover") else b[k]).alias(k) for k in FIELDS]))
         rows = fetched.where(said.isin([t for t, _ in some])) if some else fetched.where("false")
         parts.append(rows.select(*rest, F.posexplode(found).alias("pos", "b")).select(*rest, "pos", "b.*"))
     for t in markup:
         rules = R.field_rules(t)
         wanted = {k: r for k, names in _KEYS.items() for r in [next((rules[n] for n in names if rules.get(n)), "")] if r}
         got = books.list_page(fetched.where(said == t).drop(rule), {"list": R.field_rule(rules, "bookList", "list"), **{k: v for k, v in wanted.items() if k != "url"}, **({"link": wanted["url"]} if "url" in wanted else {})}, body, base)
-        parts.append(got.select(*rest, "pos", *[F.col("link" if k == "url" else k).alias(k) if k in wanted else F.lit("").alias(k) for k in FIELDS]))
-    rows = reduce(DataFrame.unionByName, parts).where(F.trim("name") != "")
-    full = {k: F.when(F.trim(k) != "", urls.resolve(F.col(base), F.col(k))).otherwise("") for k in ("url", "cover")}
-    return rows.withColumns(full)
+        parts.append(got.select(*rest, "pos", *[(F.col("link" if k == "url" else k) if k in wanted else F.lit("")).alias(k) for k in FIELDS]).withColumns({k: full(F.col(k)) for k in ("url", "cover")}))
+    return reduce(DataFrame.unionByName, parts).where(F.trim("name") != "")
 
 
 def fetched_results(sources: DataFrame, pages: DataFrame, key: str) -> DataFrame:
